@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, token_store
 from .common import table
 
 
@@ -20,9 +20,14 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op8_token_store(spark, sf_dir):
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
+    "op8_token_store": op8_token_store,
 }
 
 ORACLE_SQL = {
