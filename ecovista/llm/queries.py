@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_store
+from . import bpe, exact_dedup, token_store, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_store(spark, sf_dir):
     return token_store.store_and_read(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2)
 
@@ -27,6 +31,7 @@ def op8_token_store(spark, sf_dir):
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
+    "op6_toxicity": op6_toxicity,
     "op8_token_store": op8_token_store,
 }
 
