@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows around the hits.
 
-The lexicon is learned from labelled documents: words that mark toxic documents and stand there in ever new
-surroundings (a word that always follows the same word comes from copies of one text).  Each word of a text
+The lexicon is learned from labelled documents: words, and stems that begin several words of a text, that mark toxic
+documents and stand there in ever new surroundings (a word that always follows the same word comes from copies
+of one text).  Each word of a text
 is matched with the trie of these terms under an edit distance of 1 (2 for long terms); the rows of the
 distance table are the states of the Levenshtein automaton, and a branch of the trie is left when its state is dead.
 Around each hit a window of words tells quotation (quotation marks, words of reporting) from abuse (words of
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Memo
-from .common import arrow_batches, id_text
+from .common import arrow_batches, id_text, shuffle_partitions, written
 
 #: Most labelled rows that are learned from.
 MAX_SAMPLE = 12_000
+#: A term is in at least this share of the toxic documents that the commonest term is in; rarer words come from copies.
+MIN_SHARE = 0.12
 #: Most terms in the lexicon.
-MAX_TERMS = 300
+MAX_TERMS = 100
+#: Most words like a term that are known from clean documents.
+MAX_CLEAN = 20_000
 THRESHOLD = 0.7
 WINDOW = 6
 
@@ -42,8 +48,14 @@ REPORTING = frozenset("said says say called calls wrote writes quote quoted quot
 ADDRESS = frozenset("you your youre u ur he she they them him her".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
-PRIOR = np.array([-3.0, 2.0, 1.5, 0.0, 0.0, 0.5, 0.5])
-STIFFNESS = np.array([0.05, 0.3, 0.3, 3.0, 3.0, 0.3, 1.0])
+STEMS = (5, 6, 7)
+#: Marks a stem in the list of terms.
+STEM = "*"
+
+# Of 1, logs of the hits (all, the more the nearer; misspelled ones; both again in quotation), log of the distinct terms, log of the
+# hits near words of address, log of the hits of stems, two or more hits of stems.
+PRIOR = np.array([-3.0, 3.5, 0.0, 0.0, 0.0, 0.7, 0.5, 0.5, 1.5])
+STIFFNESS = np.array([0.05, 0.3, 30.0, 3.0, 3.0, 0.3, 1.0, 0.3, 0.3])
 
 
 def distance_allowed(term: str) -> int:
@@ -55,7 +67,8 @@ class LexiconTrie:
 
     def __init__(self, terms):
         self.root: dict = {}
-        self.terms = frozenset(terms)
+        self.stems = tuple(sorted(t.removesuffix(STEM) for t in terms if t.endswith(STEM)))
+        self.terms = frozenset(t for t in terms if not t.endswith(STEM))
         heads, tails, inner = set(), set(), set()
         for t in self.terms:
             node = self.root
@@ -78,13 +91,15 @@ class LexiconTrie:
         """(term, distance) of the nearest term within its allowed distance; ties go to the first in order of letters."""
         if word in self.terms:
             return word, 0
+        if word.startswith(self.stems):
+            return STEM, 0
         if not self.sizes[0] <= len(word) <= self.sizes[1] or self.hint is None or not self.hint.search(word):
             return None
         best: tuple[int, str] | None = None
         n = len(word)
-        stack = [(self.root, list(range(n + 1)))]
+        stack = [(self.root, list(range(n + 1)), None, "")]
         while stack:
-            node, row = stack.pop()
+            node, row, older, before = stack.pop()
             for c, below in node.items():
                 if c == "":
                     if row[n] <= distance_allowed(below) and (best is None or (row[n], below) < best):
@@ -98,10 +113,12 @@ class LexiconTrie:
                         a = row[i + 1] + 1
                     if left + 1 < a:
                         a = left + 1
+                    if i and older and word[i] == before and word[i - 1] == c and older[i - 1] + 1 < a:
+                        a = older[i - 1] + 1  # two letters exchanged
                     new.append(a)
                     left = a
                 if min(new) <= 2:
-                    stack.append((below, new))
+                    stack.append((below, new, row, c))
         return (best[1], best[0]) if best else None
 
 
@@ -115,6 +132,8 @@ def plain(token: str) -> list[str]:
 class ToxicityModel:
     terms: list[str]
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    #: Words of clean documents that happen to be like a term; they are no misspellings.
+    clean: frozenset[str] = frozenset()
 
     def prepare(self):
         self.trie = LexiconTrie(self.terms)
@@ -122,12 +141,12 @@ class ToxicityModel:
         return self
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights}
+        return {"terms": self.terms, "weights": self.weights, "clean": self.clean}
 
     def _token(self, token: bytes) -> tuple[tuple[str, int], ...]:
         """Hits within a token of bytes: (term, distance)."""
         text = token.decode("utf-8", "replace")
-        hits = [m for w in plain(text) if (m := self.trie.match(w))]
+        hits = [m for w in plain(text) if w not in self.clean and (m := self.trie.match(w))]
         if not hits and not text.isalpha():
             # Letters written as other signs, and letters set apart by marks.
             hits = [(m[0], max(m[1], 1)) for w in plain(text.translate(LEET)) if (m := self.trie.match(w))]
@@ -143,16 +162,20 @@ class ToxicityModel:
         x[0] = 1
         if not found:
             return x
-        kinds, terms, address = [0, 0, 0, 0], set(), 0
+        kinds, terms, address, stems = [0, 0, 0, 0], set(), 0, 0
         for i, hits in found:
             quoted, addressed = self._context(tokens, i)
             for term, d in hits:
-                kinds[2 * quoted + (d > 0)] += 1
+                if term == STEM:
+                    stems += not quoted
+                    continue
+                kinds[2 * quoted] += (1, 0.8, 0.5)[d]
+                kinds[2 * quoted + 1] += d > 0
                 if not quoted:
                     terms.add(term)
                     address += addressed
         x[1:5] = np.log1p(kinds)
-        x[5:] = np.log1p([len(terms), address])
+        x[5:] = *np.log1p([len(terms), address, stems]), stems >= 2
         return x
 
     def _context(self, tokens: list[bytes], i: int) -> tuple[bool, bool]:
@@ -187,10 +210,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         for batch in batches:
             out: list[list] = [[], [], []]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                before, seen = "", {}
-                for w in re.findall(r"[^\W\d_]+", text.lower()):
-                    seen.setdefault(w, before)
-                    before = w
+                found, seen = re.findall(r"[^\W\d_]+", text.lower()), {}
+                for w, b in zip(found, ["", *found]):
+                    seen.setdefault(w, b)
+                heads = Counter(w[:n] for w in found for n in STEMS if len(w) >= n)
+                shown = {h + STEM for h, n in heads.items() if n >= 2}
+                for w, b in zip(found, ["", *found]):
+                    for n in STEMS:
+                        if (h := w[:n] + STEM) in shown:
+                            shown.discard(h)
+                            seen[h] = b
                 for w, b in seen.items():
                     if 4 <= len(w) <= 30:
                         out[0].append(w)
@@ -198,15 +227,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                         out[2].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], ["word", "toxic", "before"])
 
+    sample = written(sample.select("doc_id", "text", "toxic").repartition(shuffle_partitions(docs.sparkSession)), "toxicity-sample")
     seen = sample.select("text", "toxic").mapInArrow(words, "word string, toxic int, before string")
     totals = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel([])
     counts = seen.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("ways"))
+    counts = written(counts.filter("a + b >= 2"), "toxicity-words")
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    terms = counts.filter((F.col("a") >= max(3, n1 // 100)) & (odds >= 2.5) & (F.col("ways") >= 0.6 * F.col("a"))).orderBy(odds.desc(), "word").limit(MAX_TERMS)
-    model = ToxicityModel(sorted(r["word"] for r in terms.select("word").collect()))
+    marking = counts.filter((F.col("a") >= max(3, n1 // 100)) & (odds >= 2.5) & (F.col("ways") >= 0.6 * F.col("a")))
+    most = marking.agg(F.max("a")).first()[0] or 0
+    terms = marking.filter(F.col("a") >= MIN_SHARE * most).orderBy(F.desc("a"), F.length("word"), "word").limit(MAX_TERMS)
+    chosen_terms: list[str] = []
+    for w in (r["word"] for r in terms.select("word").collect()):  # a stem stands for the words and stems it begins; a whole word for stems of it
+        body = w.removesuffix(STEM)
+        if not any(body.startswith(c[:-1]) if c.endswith(STEM) else w != body and c.startswith(body) for c in chosen_terms):
+            chosen_terms.append(w)
+    model = ToxicityModel(sorted(chosen_terms))
+
+    model.clean = frozenset(r["word"] for r in counts.filter(~F.col("word").endswith(STEM) & _near(model, F.col("word")) & (F.col("b") >= 2) & (F.col("b") * n1 > F.col("a") * n0 * 0.2)).orderBy(F.desc("b"), "word").limit(MAX_CLEAN).select("word").collect())
 
     def rows(batches):
         import pyarrow as pa
@@ -222,6 +262,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return model
 
 
+def _near(model: ToxicityModel, words):
+    """Whether a word is like a term without being one."""
+
+    @F.pandas_udf("boolean")
+    def near(column: pd.Series) -> pd.Series:
+        trie = LexiconTrie(model.terms)
+        return pd.Series([bool((m := trie.match(w)) and m[1]) for w in column])
+
+    return near(words)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Weights by Newton's method, with Gaussian priors at PRIOR of precision STIFFNESS."""
     w = PRIOR.copy()
