@@ -286,14 +286,16 @@ class IncrementalDecoder:
 
 
 class _Memo(dict):
-    def __init__(self, make):
+    """Results of make by word; started anew once it has `most`."""
+
+    def __init__(self, make, most: int = MEMO_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word):
         value = self.make(word)
         if len(word) <= MEMO_LETTERS:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = value
         return value

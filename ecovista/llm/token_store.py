@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import TextCutter, _Memo
+from .bpe import TextCutter, _Memo, byte_letters
 from .common import arrow_batches, id_text, shared_dir, shuffle_partitions
 
 SCALE = 20
@@ -35,6 +35,8 @@ STEPS = 512
 BLOCK = LANES * STEPS
 #: A segment is closed once it has so many ids.
 SEGMENT_IDS = 1 << 20
+#: Words whose ids a worker keeps.
+MEMO_WORDS = 1_000_000
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _MASK32 = np.uint64(0xFFFFFFFF)
@@ -121,11 +123,17 @@ class LibraryEncoder:
     def __init__(self, path: str):
         self.cutter = TextCutter(path)
         self.tokenizer = self.cutter.tokenizer
-        self.words = _Memo(self._ids)
+        self.model = self.tokenizer.model
+        letters = byte_letters()
+        self.as_letters = str.maketrans({chr(i): "".join(letters[b] for b in chr(i).encode()) for i in range(256)})
+        self.words = _Memo(self._word, MEMO_WORDS)
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word.translate(self.as_letters))], "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if len(self.cutter.parts(text)) > 1 or not self.cutter.latin(text):
             return self._ids(text)
