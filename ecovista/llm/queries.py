@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_store, toxicity
+from . import bpe, exact_dedup, jaccard_join, secret_scan, token_store, toxicity
 from .common import table
 
 
@@ -24,15 +24,25 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark, sf_dir):
     return token_store.store_and_read(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2)
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": op7_secret_scan,
     "op8_token_store": op8_token_store,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {
@@ -42,4 +52,20 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)
     """,
+    "op10_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+            FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (
+            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x WHERE r.root < e.y)
+        SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id
+        FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1
+    """,
 }
