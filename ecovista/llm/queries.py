@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, secret_scan, token_store, toxicity
+from . import bpe, exact_dedup, hmm_lm, jaccard_join, secret_scan, token_store, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_hmm_lm(spark, sf_dir):
+    return hmm_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -37,6 +41,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_hmm_lm": op1_hmm_lm,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
