@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, hmm_lm, jaccard_join, secret_scan, token_store, toxicity
+from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, secret_scan, token_store, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -43,6 +47,7 @@ def op10_jaccard_join(spark, sf_dir):
 QUERIES = {
     "op1_hmm_lm": op1_hmm_lm,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
