@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, secret_scan, token_store, toxicity
+from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_scan, secret_scan, token_store, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op8_token_store(spark, sf_dir):
     return token_store.store_and_read(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2)
 
 
+def op9_license_scan(spark, sf_dir):
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_store": op8_token_store,
+    "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
