@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_scan, secret_scan, token_store, toxicity
+from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_scan, secret_scan, substring_dedup, token_store, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_store": op8_token_store,
