@@ -6,7 +6,7 @@ from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_sca
 from .common import table
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -25,7 +25,7 @@ def op3_decontamination(spark, sf_dir):
 
 
 def op4_bpe(spark, sf_dir):
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary())
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_substring_dedup(spark, sf_dir):
@@ -41,7 +41,7 @@ def op7_secret_scan(spark, sf_dir):
 
 
 def op8_token_store(spark, sf_dir):
-    return token_store.store_and_read(table(spark, sf_dir, "documents"), _vocabulary(), end_id=2)
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
 def op9_license_scan(spark, sf_dir):
