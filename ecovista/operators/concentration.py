@@ -32,8 +32,7 @@ def concentration(contributions: DataFrame, config: Config = DEFAULT) -> DataFra
     """Per repo with commits: flag of a top share at the threshold, HHI (exact and rounded), entropy, tier, top contributor (ties: least)."""
     s = shares(contributions).filter("total > 0")
     p = F.col("share")
-    best = F.max(F.struct("share", (-F.col("contributor")).alias("minus"))) if dict(s.dtypes)["contributor"] != "string" else None
-    top = F.max("share").alias("top_share"), (F.min_by("contributor", F.struct(-p, "contributor")) if best is None else -best["minus"]).alias("top_contributor")
+    top = F.max("share").alias("top_share"), F.min_by("contributor", F.struct(-p, "contributor")).alias("top_contributor")
     g = s.groupBy("repo").agg(
         F.sum(p * p).alias("_sq"), F.sum(F.when(p > 0, -p * F.log(p)).otherwise(0.0)).alias("_h"), *top,
         F.count(F.lit(1)).alias("n_contributors"), F.max("total").alias("total_commits"),
@@ -66,9 +65,9 @@ def in_window(commits: DataFrame, as_of, days: int) -> DataFrame:
 
 def top_contributors(contributions: DataFrame) -> DataFrame:
     """Per repo: sum of commits, top contributor (ties: least), its share in percent and the band of it."""
-    c = sum_contributions(contributions).groupBy("repo").agg(F.sum("commits").cast("long").alias("total"), F.max(F.struct("commits", (-F.col("contributor")).alias("minus"))).alias("best"))
-    pct = F.round(100 * F.col("best.commits") / F.col("total"), 2)
-    return c.filter("total > 0").select("repo", "total", (-F.col("best.minus")).alias("top_contributor"), pct.alias("top_pct"), top_share_band(pct).alias("band"))
+    c = sum_contributions(contributions).groupBy("repo").agg(F.sum("commits").cast("long").alias("total"), F.min(F.struct((-F.col("commits")).alias("minus"), "contributor")).alias("best"))
+    pct = F.round(100 * -F.col("best.minus") / F.col("total"), 2)
+    return c.filter("total > 0").select("repo", "total", F.col("best.contributor").alias("top_contributor"), pct.alias("top_pct"), top_share_band(pct).alias("band"))
 
 
 def share_histogram(top: DataFrame, bins: int = 20) -> DataFrame:
