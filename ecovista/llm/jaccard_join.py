@@ -195,21 +195,28 @@ def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
     matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     cells = written(cells.join(several.hint("merge"), "token", "left_semi"), "cells")
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")).select("token", F.col("grp").alias("other"), "low", "high")
+    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members")).select("token", F.col("grp").alias("other"), "low", "high", "members")
     asked = cells.join(matrix.hint("merge"), "token").filter("grp <> other").filter(f"100 * high >= {percent} * n AND 100 * n >= {percent} * low")
     # A member's size is within [low, high] and within what the document's own size allows; the overlap needed falls
     # with the member's size, and so does what both may share behind their prefixes.
     p, q = percent, 100 + percent
     low, high = f"greatest(min(low), ceil(n * {p} / 100))", f"least(max(high), floor(n * 100 / {p}))"
     need = f"least({_need(p, q, 'n', low)}, {_need(p, q, 'n', high)}, {_need(p, q, 'n', 'n')})"
-    opened = asked.groupBy("doc_id", "n", "other").agg(F.count(F.lit(1)).alias("m"), F.expr(need).alias("need")).filter("m >= need").select("doc_id", "other")
-    ask = cells.select("token", "doc_id", "n", "last").join(opened.hint("merge"), "doc_id")
-    with_members = ask.join(cells.select("token", F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("last").alias("last_b")).hint("merge"), ["token", "other"])
-    fit = with_members.filter(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
-    pairs = fit.groupBy(F.greatest("doc_id", "b").alias("u"), F.least("doc_id", "b").alias("v"), F.col("doc_id")).agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("nb").alias("nb"), F.first("last").alias("last"), F.first("last_b").alias("last_b"))
-    # All shingles of the prefix that ends first are known to be in the other's prefix or not in it at all.
-    own = f"ceil({p} * (n + nb) / {q}) - (ceil({p} * IF(last <= last_b, n, nb) / 100) - 1)"
-    return pairs.filter(f"m >= {own}").select("u", "v").distinct()
+    opened = asked.groupBy("doc_id", "n", "other").agg(F.count(F.lit(1)).alias("m"), F.expr(need).alias("need")).filter("m >= need")
+    # A member that is linked shares `need` of the m shingles that the group's union shares, so one of any m - need + 1:
+    # those that fewest members have.
+    opened = opened.select("doc_id", "other", F.greatest(F.col("m") - F.greatest("need", F.lit(1)) + 1, F.lit(1)).alias("keep"))
+    ask = cells.select("token", "doc_id", "n").join(opened.hint("merge"), "doc_id").join(matrix.select("token", "other", "members").hint("merge"), ["token", "other"])
+    rare = ask.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "other").orderBy("members", "token"))).filter("place <= keep")
+    met = rare.join(cells.select("token", F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb")).hint("merge"), ["token", "other"]).filter(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
+    pairs = met.select(F.greatest("doc_id", "b").alias("u"), F.least("doc_id", "b").alias("v")).distinct()
+    # The shingles that both prefixes have, against what the pair's own sizes ask for: all shingles of the prefix that
+    # ends first are in the other's prefix or not in it at all.
+    heads = cells.groupBy("doc_id").agg(F.collect_list("token").alias("t"), F.first("n").alias("n"), F.first("last").alias("last"))
+    side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("last").alias(f"l{x}")).hint("merge")
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    own = f"ceil({p} * (nu + nv) / {q}) - (ceil({p} * IF(lu <= lv, nu, nv) / 100) - 1)"
+    return both.filter(f"size(array_intersect(tu, tv)) >= {own}").select("u", "v")
 
 
 def _need(p: int, q: int, n: str, other: str) -> str:
