@@ -7,7 +7,7 @@ unseen word of the class, as the base model has one.  So emission tables have a
 of the corpus keeps its own count.
 
   1. Words of all training texts are counted: each task sends a row for each distinct word it has.
-  2. Symbols of every text are written once (2 bytes a token), with the words outside the frequent ones.
+  2. Symbols of every text are written once (2 bytes a token), with the words outside the known ones.
   3. Expectation: each task runs the scaled forward and backward recursions over its training texts, in
      segments of at most SEGMENT tokens, many at once, and sends its expected counts (a table of fixed size).
      Maximisation: the driver adds these tables up.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ ROUNDS = 5
 SEGMENT = 256
 #: Tokens of one batch of segments in the expectation step.
 BATCH_TOKENS = 400_000
+#: Symbols (in bytes) that the forward recursion takes at once.
+FORWARD_BYTES = 8 << 20
 END = b"\n"  # no word is this
 
 
@@ -176,43 +179,45 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.filter(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _encoded(docs: DataFrame, known: list[tuple[bytes, int]]) -> DataFrame:
-    """Per row: doc_id, row, held, n_tokens, symbols (16-bit), hits and base (known words: number, sum of log10(c + 1)), inner (log10 count sums of known words by class), rare words with their numbers."""
+def _encoded(docs: DataFrame, known: list[tuple[bytes, int]], inner: np.ndarray) -> DataFrame:
+    """Per row: doc_id, held, n_tokens, symbols (16-bit); of known words hits, base (sum of log10(c + 1)) and inner (sum of
+    log probabilities within classes); rare words with their numbers. inner: by place in known."""
 
     def run(batches):
         import pyarrow as pa
 
-        symbol = {w: i + 1 for i, (w, _) in enumerate(known[:FREQUENT])} | {END: 0}
-        table = {w: (symbol.get(w) if w in symbol else word_class(w), float(np.log10(c + 1)), c) for w, c in known}
+        place = {w: i for i, (w, _) in enumerate(known)}
+        symbol = np.array([0 if w == END else i + 1 if i < FREQUENT else word_class(w) for i, (w, _) in enumerate(known)] + [0], np.uint16)
+        logs = np.array([np.log10(c + 1.0) for _, c in known] + [0.0])
+        within = np.append(inner, 0.0)
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            words: list[bytes] = []
+            sizes = []
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
+                own = words_of(text)
+                words += own
                 words.append(END)
-                found = list(map(table.get, words))
-                rare: Counter = Counter()
-                symbols = np.empty(len(words), "<u2")
-                hits, base, inner = 0, 0.0, Counter()
-                for i, f in enumerate(found):
-                    if f is None:
-                        rare[words[i]] += 1
-                        symbols[i] = word_class(words[i])
-                    else:
-                        symbols[i] = f[0]
-                        hits += 1
-                        base += f[1]
-                        if f[0] > FREQUENT:
-                            inner[f[0], f[2]] += 1
-                out[0].append(len(words))
-                out[1].append(symbols.tobytes())
-                out[2].append(hits)
-                out[3].append(base)
-                out[4].append([{"s": s, "c": c, "k": k} for (s, c), k in inner.items()])
-                out[5].append([{"w": w, "k": k} for w, k in rare.items()])
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.struct([("s", pa.int32()), ("c", pa.int64()), ("k", pa.int64())])), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(out, types)]], ["doc_id", "held", "n_tokens", "symbols", "hits", "base", "inner", "rare"])
-
-    schema = "doc_id long, held boolean, n_tokens long, symbols binary, hits long, base double, inner array<struct<s:int,c:long,k:long>>, rare array<struct<w:binary,k:long>>"
+                sizes.append(len(own) + 1)
+            at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+            symbols = symbol[at]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            rare: list[Counter] = [Counter() for _ in sizes]
+            for i in np.flatnonzero(at < 0).tolist():
+                w = words[i]
+                rare[owner[i]][w] += 1
+                symbols[i] = word_class(w)
+            sums = lambda x: np.bincount(owner, weights=x[at] * (at >= 0), minlength=len(sizes))
+            ends = np.cumsum(sizes)
+            raw = symbols.astype("<u2").tobytes()
+            flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64())], ["w", "k"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), flat)
+            out = [
+                pa.array(sizes, pa.int64()), pa.array([raw[2 * (e - n) : 2 * e] for e, n in zip(ends, sizes)], pa.binary()),
+                pa.array(np.bincount(owner, weights=at >= 0, minlength=len(sizes)).astype(np.int64)), pa.array(sums(logs)), pa.array(sums(within)), lists,
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *out], ["doc_id", "held", "n_tokens", "symbols", "hits", "base", "inner", "rare"])
+
+    schema = "doc_id long, held boolean, n_tokens long, symbols binary, hits long, base double, inner double, rare array<struct<w:binary,k:long>>"
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(run, schema)
 
 
@@ -271,7 +276,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     ends = (counts.filter(F.col("word") == F.lit(END)).select("c").first() or [0])[0]
     # Totals of the classes: a table of fixed size.
     classes = _class_totals(counts, known[:FREQUENT])
-    discount = n1 / (n1 + 2 * n2) if n1 else 0.5
+    discount = min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.5
     unigram = np.zeros(SYMBOLS)
     unigram[0] = ends
     unigram[1 : 1 + min(FREQUENT, len(known))] = [c for _, c in known[:FREQUENT]]
@@ -280,17 +285,34 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lost = np.where(classes[:, 1] > 0, np.log10(np.maximum(discount * classes[:, 1], 1e-300)), 0.0) if n else np.zeros(CLASSES)
     size = np.log10(np.maximum(classes[:, 0], 1))
 
-    encoded = written(_encoded(docs, [*known, (END, ends)] if ends else known).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    if ends:
+        known.append((END, ends))
+    # A frequent word and the end are symbols of their own; other known words have a probability within their class.
+    inner = np.array([0.0 if i < FREQUENT or w == END else np.log10(c - discount) - size[word_class(w) - 1 - FREQUENT] for i, (w, c) in enumerate(known)])
+    encoded = written(_encoded(docs, known, inner).withColumn("row", F.monotonically_increasing_id()), "encoded")
     model = train(encoded, unigram, rounds)
 
     def forward(batches):
         import pyarrow as pa
 
+        held: list = []
+        size = 0
+
+        def scored():
+            rows = np.concatenate([b.column(0).to_numpy() for b in held])
+            logs = log_likelihoods(model, [np.frombuffer(s, "<u2") for b in held for s in b.column(1).to_pylist()])
+            inner = np.concatenate([b.column(2).to_numpy() for b in held])
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(logs + inner)], ["row", "known_score"])
+
+        # Many texts at once: a step of the recursion costs much the same for few texts as for many.
         for batch in batches:
-            texts = [np.frombuffer(s, "<u2") for s in batch.column(1).to_pylist()]
-            logs = log_likelihoods(model, texts)
-            inner = np.array([sum(x["k"] * (np.log10(x["c"] - discount) - size[x["s"] - 1 - FREQUENT]) for x in xs) for xs in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logs + inner, pa.float64())], ["row", "known_score"])
+            held.append(batch)
+            size += batch.nbytes
+            if size > FORWARD_BYTES:
+                yield scored()
+                held, size = [], 0
+        if held:
+            yield scored()
 
     scores = encoded.select("row", "symbols", "inner").mapInArrow(forward, "row long, known_score double")
     # Words that aren't among the known ones: looked up by a join.
