@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         for batch in batches:
             out: list[list] = [[], [], []]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, seen = re.findall(r"[^\W\d_]+", text.lower()), {}
+                found, seen = re.findall(r"[^\W_]+", text.lower()), {}
                 for w, b in zip(found, ["", *found]):
                     seen.setdefault(w, b)
                 heads = Counter(w[:n] for w in found for n in STEMS if len(w) >= n)
