@@ -45,6 +45,25 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Bytes of text that a task lays out at once; a batch of long documents is cut into such parts.
+TEXT_BYTES = 4 << 20
+
+
+def by_size(batches, column: int):
+    """Arrow batches cut so that a part holds TEXT_BYTES of the column's text, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, arrow_batches, id_text, without_ids, written
+from .common import BROADCAST_IDS, arrow_batches, by_size, id_text, without_ids, written
 from .components import connected_components
 from .text_kernel import distinct_sets, hash_words, mix, shingles, utf8
 
@@ -61,7 +61,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             hot = counts >= LOCAL_HOT
             return pa.RecordBatch.from_arrays([pa.array(values[hot]), pa.array(counts[hot])], ["token", "n"])
 
-        for batch in batches:
+        for batch in by_size(batches, 0):
             offsets, tokens = _tokens(utf8(batch.column(0)))
             held.append(distinct_sets(offsets, tokens)[1])
             size += len(held[-1])
@@ -87,7 +87,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
         seen: set = set()
         bits = np.zeros(1 << 22, bool)
         bits[values & ((1 << 22) - 1)] = True
-        for batch in batches:
+        for batch in by_size(batches, 1):
             offsets, tokens = _tokens(utf8(batch.column(1)))
             maybe = np.flatnonzero(bits[tokens & ((1 << 22) - 1)])
             if len(maybe) and len(values):
@@ -129,7 +129,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in by_size(batches, 1):
             offsets, tokens = distinct_sets(*_tokens(utf8(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int64()))], ["doc_id", "tokens"])
 
