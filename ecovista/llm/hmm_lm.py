@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, id_text, written
+from .common import arrow_batches, by_size, id_text, written
 
 FREQUENT = 16_384
 #: Words the workers know the counts of without a join: the commonest.
@@ -190,7 +190,7 @@ def _encoded(docs: DataFrame, known: list[tuple[bytes, int]], inner: np.ndarray)
         symbol = np.array([0 if w == END else i + 1 if i < FREQUENT else word_class(w) for i, (w, _) in enumerate(known)] + [0], np.uint16)
         logs = np.array([np.log10(c + 1.0) for _, c in known] + [0.0])
         within = np.append(inner, 0.0)
-        for batch in batches:
+        for batch in by_size(batches, 1):
             words: list[bytes] = []
             sizes = []
             for text in batch.column(1).to_pylist():
