@@ -95,7 +95,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                 same = values[at] == tokens[maybe]
                 tokens[maybe[same]] = HOT + by_value[at[same]]
             count, k1, k2, last, prefixes = [], [], [], [], []
-            for i in range(len(offsets) - 1):
+            for i, known in enumerate(batch.column(0).is_valid().to_pylist()):
                 t = np.sort(tokens[offsets[i] : offsets[i + 1]])
                 if len(t) > 1:
                     t = t[np.concatenate(([True], t[1:] != t[:-1]))]
@@ -107,7 +107,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                 k2.append(key[1])
                 p = n - -(-percent * n // 100) + 1 if n else 0
                 last.append(int(t[p - 1]) if n else None)
-                if n and key not in seen:
+                if n and known and key not in seen:  # a row without doc_id stands for no other
                     seen.add(key)
                     prefixes.append(t[:p])
                 else:
@@ -196,7 +196,8 @@ def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     cells = written(cells.join(several.hint("merge"), "token", "left_semi"), "cells")
     matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members")).select("token", F.col("grp").alias("other"), "low", "high", "members")
-    asked = cells.join(matrix.hint("merge"), "token").filter("grp <> other").filter(f"100 * high >= {percent} * n AND 100 * n >= {percent} * low")
+    fits = f"100 * high >= {percent} * n AND 100 * n >= {percent} * low"
+    asked = cells.join(matrix.hint("merge"), "token").filter("grp <> other").filter(fits)
     # A member's size is within [low, high] and within what the document's own size allows; the overlap needed falls
     # with the member's size, and so does what both may share behind their prefixes.
     p, q = percent, 100 + percent
@@ -204,9 +205,10 @@ def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
     need = f"least({_need(p, q, 'n', low)}, {_need(p, q, 'n', high)}, {_need(p, q, 'n', 'n')})"
     opened = asked.groupBy("doc_id", "n", "other").agg(F.count(F.lit(1)).alias("m"), F.expr(need).alias("need")).filter("m >= need")
     # A member that is linked shares `need` of the m shingles that the group's union shares, so one of any m - need + 1:
-    # those that fewest members have.
+    # those that fewest members have.  Ranked are the m shingles that were counted: a cell that no member of a fitting
+    # size is in would take a place of theirs.
     opened = opened.select("doc_id", "other", F.greatest(F.col("m") - F.greatest("need", F.lit(1)) + 1, F.lit(1)).alias("keep"))
-    ask = cells.select("token", "doc_id", "n").join(opened.hint("merge"), "doc_id").join(matrix.select("token", "other", "members").hint("merge"), ["token", "other"])
+    ask = cells.select("token", "doc_id", "n").join(opened.hint("merge"), "doc_id").join(matrix.hint("merge"), ["token", "other"]).filter(fits)
     rare = ask.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "other").orderBy("members", "token"))).filter("place <= keep")
     met = rare.join(cells.select("token", F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb")).hint("merge"), ["token", "other"]).filter(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
     pairs = met.select(F.greatest("doc_id", "b").alias("u"), F.least("doc_id", "b").alias("v")).distinct()

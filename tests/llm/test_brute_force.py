@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,6 +120,38 @@ def test_jaccard_components(spark):
     assert got == {i: (len({tuple(t[k : k + 5]) for k in range(len(t) - 4)}), find(i)) for i, t in enumerate(texts)}
 
 
+def test_jaccard_across_groups(spark):
+    """Every linked pair of different groups is kept; the groups' sizes span more than 4/3, so some members fit and others don't."""
+    r, sets, groups = random.Random(5), {}, {}
+    for k in range(60):
+        rare, rest = r.sample(range(k << 20, (k << 20) + 1000), 20), r.sample(range((k << 20) + 1000, k + 1 << 20), 300)
+        own, other, both, more = rare[:10], rare[10:], rest[:70], rest[70:]
+        # A shingle that only the other group's small member has besides is in the prefix of one larger member.
+        far = lambda part: [set(part[i::3] + r.sample(more, n)) for i, n in enumerate((105, 115, 125))]
+        for members in ([set(own + both), *far(other)], [set(other + both), *far(own)]):
+            first = len(sets)
+            for m in members:
+                groups[len(sets)] = first
+                sets[len(sets)] = m
+    prefixes = {i: sorted(s)[: len(s) - -(-75 * len(s) // 100) + 1] for i, s in sets.items()}
+    several = {t for t, c in Counter(t for p in prefixes.values() for t in p).items() if c > 1}
+    shared = spark.createDataFrame([(t, i) for i, p in prefixes.items() for t in p if t in several], "token long, doc_id long")
+    nodes = spark.createDataFrame([(i, len(s), prefixes[i][-1]) for i, s in sets.items()], "doc_id long, n long, last long")
+    named = spark.createDataFrame(list(groups.items()), "node long, component long")
+    got = {(x["u"], x["v"]) for x in jaccard_join._across(shared, nodes, named, 75).collect()}
+    linked = {(j, i) for i, j in itertools.combinations(sets, 2) if groups[i] != groups[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(linked) == 60 and linked - got == set()
+
+
+def test_jaccard_row_without_id(spark):
+    """A text that comes first with a null doc_id still links the documents that have ids."""
+    base = words(100, 1)
+    near = [*base[:50], "edit", *base[51:]]
+    rows = [(None, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, " ".join(words(100, 2)))]
+    got = {(x["doc_id"], x["component_id"]) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {(None, None), (2, 2), (3, 2), (4, 4)}
+
+
 def test_edit_distance_and_recall():
     r = random.Random(4)
     for _ in range(100):
