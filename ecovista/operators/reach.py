@@ -59,18 +59,14 @@ def neighbourhood(edges: DataFrame, closure: DataFrame) -> DataFrame:
     return union.groupBy("node_id").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in names])
 
 
-def approximate_criticality(nodes: DataFrame, edges: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """Criticality by sketches of neighbourhoods, without pairs: each node's sketch takes in those of its dependents until none grows."""
+def approximate_criticality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Criticality by sketches of neighbourhoods, without pairs: each node's sketch takes in those of its dependents until no node's estimate changes."""
     seed = nodes.withColumn("own", F.coalesce("active", F.lit(False)))
-    state = cut(seed.groupBy("node_id").agg(F.hll_sketch_agg(F.when(F.col("own"), F.col("node_id"))).alias("sketch"), F.max("own").alias("own")))
+    state = cut(seed.groupBy("node_id").agg(F.hll_sketch_agg(F.when(F.col("own"), F.col("node_id"))).alias("sketch"), F.max("own").alias("own")).withColumn("changed", F.lit(True)))
     back = edges.filter("src <> dst").select("src", "dst").distinct()
-    total = -1.0
-    while True:
-        sent = back.join(state.select(F.col("node_id").alias("src"), "sketch"), "src").select(F.col("dst").alias("node_id"), "sketch")
+    while not state.filter("changed").isEmpty():
+        sent = back.join(state.filter("changed").select(F.col("node_id").alias("src"), "sketch"), "src").select(F.col("dst").alias("node_id"), "sketch")
         grown = state.select("node_id", "sketch").unionByName(sent).groupBy("node_id").agg(F.hll_union_agg("sketch").alias("sketch"))
-        state = cut(grown.join(state.select("node_id", "own"), "node_id"))
-        now = float(state.agg(F.coalesce(F.sum(F.hll_sketch_estimate("sketch")), F.lit(0))).first()[0])
-        if now <= total * (1 + tolerance) if total >= 0 else now == 0:
-            break
-        total = now
+        before = state.select("node_id", "own", F.hll_sketch_estimate("sketch").alias("before"))
+        state = cut(grown.join(before, "node_id").select("node_id", "sketch", "own", (F.hll_sketch_estimate("sketch") != F.col("before")).alias("changed")))
     return state.select("node_id", F.greatest(F.hll_sketch_estimate("sketch") - F.col("own").cast("long"), F.lit(0)).alias("criticality"))

@@ -104,3 +104,12 @@ def test_projection(spark):
 def test_empty(spark):
     e, n = edges(spark, []), nodes(spark, [])
     assert reach.transitive_dependents(e).count() == cohesion.bridges(e).count() == cohesion.core_numbers(n, e).count() == 0
+
+
+def test_approximate_criticality_of_a_deep_chain(spark):
+    """A chain whose growth is far under a thousandth of the sum of all estimates is still followed to its end."""
+    wide, deep = range(1000, 11_000), range(12)
+    e = edges(spark, [(i, 999) for i in wide] + list(zip(deep, deep[1:])))
+    n = nodes(spark, [999, *deep, *wide], active={*deep, *wide})
+    got = reach.approximate_criticality(n, e).filter("node_id < 999")
+    assert rows(got, "node_id", "criticality") == {(i, i) for i in deep}
