@@ -13,9 +13,11 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Only a local session may go without, and gets an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ecovista-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -76,11 +78,61 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BROADCAST_IDS = 1_000_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in ids (one column); columns and order of columns stay."""
-    name = "dropped_id"
-    while name in docs.columns:
+def few(keys: DataFrame) -> bool:
+    """Whether there are at most BROADCAST_IDS rows (of narrow keys); reads no more than that many."""
+    return keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
         name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id and text are none of dropped (doc_id, text_sha256 in hex): another text under a
+    dropped id stays.  Nulls are values (a null text is the empty one); columns and their order stay."""
+    keys = dropped.select(F.col("doc_id").cast("long").alias("dropped_id"), F.unhex("text_sha256").alias("dropped_sha")).distinct()
+    names = [_unused(n, docs.columns) for n in keys.columns]
+    keys = keys.toDF(*names)
+    sha = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(names[0])) & (sha == F.col(names[1]))
+    return docs.join(F.broadcast(keys) if few(keys) else keys.hint("merge"), same, "left_anti")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id (column `by`) is not in ids (one column); columns and order of columns stay.
+
+    For ids that name one row each: see one_row_ids.
+    """
+    name = _unused("dropped_id", docs.columns)
     ids = ids.toDF(name).filter(F.col(name).isNotNull())
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), docs["doc_id"] == F.col(name), "left_anti")
+    return docs.join(F.broadcast(ids) if few(ids) else ids.hint("merge"), docs[by] == F.col(name), "left_anti")
+
+
+def one_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column that names each row: doc_id if no id is null or repeated, else a number given to every row.
+
+    With the number, docs is written out first, so that a row keeps it whatever is computed again.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return docs, "doc_id"
+    name = _unused("row_number", docs.columns)
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts (a written table) with the greatest n: all above the least bound that at most `most` rows pass.
+
+    The bound comes from a histogram of at most 1,024 cells, so no task and no driver ever sorts the rows; what is
+    returned is bounded by `most` and may be collected or broadcast.
+    """
+    cell = F.floor(F.log2(F.col(n) + F.lit(1.0)) * 16).cast("int")
+    bound, total = None, 0
+    for row in sorted(counts.groupBy(cell.alias("cell")).count().collect(), key=lambda r: -r["cell"]):
+        total += row["count"]
+        if total > most:
+            break
+        bound = row["cell"]
+    return counts.filter(F.lit(False)) if bound is None else counts.filter(cell >= bound)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, id_text, without_ids
+from .common import arrow_batches, id_text, one_row_ids, without_ids, written
 
 MAX_EDIT = 0.15
 SHORT = 32
@@ -248,8 +248,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_edit: float =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT) -> DataFrame:
-    """docs without those that hold a passage near a benchmark item; columns as they are."""
-    from .common import written
-
-    found = written(find_contamination(docs, benchmark, max_edit), "contaminated")
-    return without_ids(docs, found.select("doc_id").distinct())
+    """docs without the rows that hold a passage near a benchmark item; columns as they are.
+
+    Where ids are null or repeated, rows are told apart by numbers of their own, so each text is judged on its own.
+    """
+    numbered, row = one_row_ids(docs)
+    found = written(find_contamination(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, max_edit), "contaminated")
+    kept = without_ids(numbered, found.select("doc_id").distinct(), row)
+    return kept if row == "doc_id" else kept.drop(row)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, without_ids, written
+from .common import id_text, one_row_ids, without_ids, without_rows, written
 
 #: Most groups whose keys are broadcast to find the texts to compare; beyond it, both sides are shuffled.
 BROADCAST_GROUPS = 500_000
@@ -58,10 +58,17 @@ def _result(rows: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """docs without the rows that exact_dedup drops, columns as they are; of rows with one id and text, one stays."""
+    """docs without the rows that exact_dedup drops, columns as they are; of rows with one id and text, one stays.
+
+    A row is dropped by its id and text together: another text under the same id, or no id, is judged on its own.
+    """
     found = written(exact_dedup(docs, keep), "exact")
-    dropped = found.filter("NOT kept").select("doc_id")
-    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():  # an id more than once
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    return without_ids(docs, dropped)
+    repeated = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    if not repeated.isEmpty():  # the row that stays is there more than once
+        docs, row = one_row_ids(docs)
+        rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("text_sha256"))
+        first = rows.groupBy("doc_id", "text_sha256").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("count")).filter("count > 1")
+        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_sha256") == F.col("b.text_sha256"))
+        again = rows.alias("a").join(first.alias("b").hint("merge"), same).filter(F.col(row) > F.col("first")).select(row)
+        docs = without_ids(docs, again, row).drop(*([row] if row != "doc_id" else []))
+    return without_rows(docs, found.filter("NOT kept"))

@@ -17,9 +17,9 @@ shingles are salted where rows are gathered; a group of copies of any size sends
 task, and near copies are compared with leaders, not with one another.
 
 Defined results: a document without words (or null) has no shingles and is a component of its own; one of 1 to 4
-words has its whole sequence as one shingle; rows with a null doc_id are linked with nothing and have a null
-component; of rows that repeat a doc_id with other texts, one stands for the id in links; repeated rows give
-repeated results; other columns are not read; an empty table gives an empty result.
+words has its whole sequence as one shingle; where ids are null or repeated, each row is a document of its own and a
+component has the least id in it (null if there is none); repeated rows give repeated results; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, arrow_batches, by_size, id_text, without_ids, written
+from .common import arrow_batches, by_size, few, id_text, most_frequent, one_row_ids, without_ids, written
 from .components import connected_components
 from .text_kernel import distinct_sets, hash_words, mix, shingles, utf8
 
@@ -72,8 +72,9 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             yield report()
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= 2 * LOCAL_HOT).orderBy(F.desc("n"), "token").limit(MAX_HOT)
-    return np.array([r[0] for r in top.collect()][::-1], np.int64)  # at most MAX_HOT rows
+    counts = written(counts.filter(F.col("n") >= 2 * LOCAL_HOT), "common")
+    top = sorted((r["n"], r["token"]) for r in most_frequent(counts, "n", MAX_HOT).collect())  # at most MAX_HOT rows
+    return np.array([t for _, t in top], np.int64)
 
 
 def _prefixes(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
@@ -140,8 +141,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets have percent * union <= 100 * intersection."""
     pairs = written(pairs.select("u", "v").distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    asked = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_semi")
+    asked = docs.select("doc_id", "text").join(F.broadcast(ids) if few(ids) else ids.hint("merge"), "doc_id", "left_semi")
     sets = written(shingle_sets(asked), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("a")).hint("merge"), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("b")).hint("merge"), "v")
@@ -151,18 +151,36 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    docs, row = one_row_ids(docs)
+    if row == "doc_id":
+        return _components(id_text(docs), percent)
+    ranked = _ranked(docs, row, percent)
+    names = ranked.groupBy("component_id").agg(F.min("rank.doc_id").alias("name"))
+    return ranked.join(names.hint("merge"), "component_id").select("rank.doc_id", "n_shingles", F.col("name").alias("component_id"))
+
+
+def _ranked(docs: DataFrame, row: str, percent: int) -> DataFrame:
+    """For rows that only the column `row` tells apart: n_shingles, component_id (a row), rank (no id, doc_id, row)."""
+    found = _components(docs.select(F.col(row).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), percent)
+    found = written(found.withColumnRenamed("doc_id", "row"), "near")
+    doc_id = F.col("doc_id").cast("long")
+    ranks = docs.select(F.col(row).alias("row"), F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.col(row).alias("row")).alias("rank"))
+    return found.join(ranks.hint("merge"), "row")
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """The same for documents (doc_id, text) whose ids are neither null nor repeated."""
     arrow_batches(docs.sparkSession)
-    docs = id_text(docs)
     sets = written(_prefixes(docs, common_shingles(docs), percent), "prefixes")
     facts = sets.select("doc_id", "n", "k1", "k2", "last").filter("doc_id IS NOT NULL AND n > 0")
     # Copies: one row for each task and digest arrives where a digest is gathered.
     heads = facts.groupBy("k1", "k2").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("k1", "k2", "v")
     copies = facts.select("doc_id", "k1", "k2").join(heads.hint("merge"), ["k1", "k2"]).select(F.col("doc_id").alias("u"), "v").filter("u <> v")
 
-    rows = sets.filter("doc_id IS NOT NULL").select(F.explode("prefix").alias("token"), "doc_id")
+    rows = sets.filter("doc_id IS NOT NULL").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", (F.col("n") - F.col("pos")).alias("left"))
     salt = F.when(F.col("token") >= HOT, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0))
     counted = rows.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("token", salt)))
-    shared = written(counted.filter((F.col("others") > 1) | (F.col("token") >= HOT)).select("token", "doc_id"), "shared")
+    shared = written(counted.filter((F.col("others") > 1) | (F.col("token") >= HOT)).select("token", "doc_id", "left"), "shared")
 
     weights = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     nodes = written(weights.join(facts.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("last").alias("last")).hint("merge"), "doc_id").select("doc_id", "n", "last", (F.col("c") / F.col("n")).alias("weight")), "nodes")
@@ -189,28 +207,37 @@ def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different groups that the bounds allow to be linked."""
+    """Pairs of documents of different groups that the bounds allow to be linked.
+
+    `left` is the number of a set's shingles from this one to its end in the common order.  The first shingle that two
+    linked sets share has at least the needed overlap left in both; common shingles come last, so most sets that hold
+    a passage of the many have too little left there and neither ask nor are asked on it.  Of two groups the smaller
+    one asks, so that a large group is met once for each asking document, not by each of its members.
+    """
+    p, q = percent, 100 + percent
     member = nodes.join(groups.select(F.col("node").alias("doc_id"), "component").distinct().hint("merge"), "doc_id", "left").select("doc_id", "n", "last", F.coalesce("component", "doc_id").alias("grp"))
+    sizes = member.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"))
+    member = member.join(sizes.hint("merge"), "grp")
     cells = shared.join(member.hint("merge"), "doc_id")
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+    several = cells.groupBy("token").agg((F.min("grp") < F.max("grp")).alias("more")).filter("more").select("token")
     cells = written(cells.join(several.hint("merge"), "token", "left_semi"), "cells")
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members")).select("token", F.col("grp").alias("other"), "low", "high", "members")
-    fits = f"100 * high >= {percent} * n AND 100 * n >= {percent} * low"
-    asked = cells.join(matrix.hint("merge"), "token").filter("grp <> other").filter(fits)
+    matrix = cells.groupBy("token", "grp", "docs").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most"), F.count(F.lit(1)).alias("members"))
+    matrix = matrix.select("token", F.col("grp").alias("other"), F.col("docs").alias("others"), "low", "high", "most", "members")
+    fits = f"100 * high >= {p} * n AND 100 * n >= {p} * low"
+    least = f"ceil({p} * (n + greatest(low, ceil(n * {p} / 100))) / {q})"
+    first = f"(docs < others OR docs = others AND grp < other) AND least(left, most) >= {least}"
+    asked = cells.join(matrix.hint("merge"), "token").filter(first).filter(fits).select("doc_id", "n", "other").distinct()
+    asked = written(asked, "asked")
     # A member's size is within [low, high] and within what the document's own size allows; the overlap needed falls
     # with the member's size, and so does what both may share behind their prefixes.
-    p, q = percent, 100 + percent
     low, high = f"greatest(min(low), ceil(n * {p} / 100))", f"least(max(high), floor(n * 100 / {p}))"
     need = f"least({_need(p, q, 'n', low)}, {_need(p, q, 'n', high)}, {_need(p, q, 'n', 'n')})"
-    opened = asked.groupBy("doc_id", "n", "other").agg(F.count(F.lit(1)).alias("m"), F.expr(need).alias("need")).filter("m >= need")
-    # A member that is linked shares `need` of the m shingles that the group's union shares, so one of any m - need + 1:
-    # those that fewest members have.  Ranked are the m shingles that were counted: a cell that no member of a fitting
-    # size is in would take a place of theirs.
-    opened = opened.select("doc_id", "other", F.greatest(F.col("m") - F.greatest("need", F.lit(1)) + 1, F.lit(1)).alias("keep"))
-    ask = cells.select("token", "doc_id", "n").join(opened.hint("merge"), "doc_id").join(matrix.hint("merge"), ["token", "other"]).filter(fits)
-    rare = ask.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "other").orderBy("members", "token"))).filter("place <= keep")
-    met = rare.join(cells.select("token", F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb")).hint("merge"), ["token", "other"]).filter(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
+    rows = cells.select("token", "doc_id", "left").join(asked.hint("merge"), "doc_id").join(matrix.hint("merge"), ["token", "other"]).filter(fits)
+    opened = rows.groupBy("doc_id", "n", "other").agg(F.count(F.lit(1)).alias("m"), F.expr(need).alias("need")).filter("m >= need").select("doc_id", "n", "other")
+    # Within an opened group, a member is met on the first shingle that both have.
+    ask = cells.select("token", "doc_id", "left").join(opened.hint("merge"), "doc_id")
+    members = cells.select("token", F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("leftb"))
+    met = ask.join(members.hint("merge"), ["token", "other"]).filter(f"100 * least(n, nb) >= {p} * greatest(n, nb) AND least(left, leftb) >= ceil({p} * (n + nb) / {q})")
     pairs = met.select(F.greatest("doc_id", "b").alias("u"), F.least("doc_id", "b").alias("v")).distinct()
     # The shingles that both prefixes have, against what the pair's own sizes ask for: all shingles of the prefix that
     # ends first are in the other's prefix or not in it at all.
@@ -227,6 +254,16 @@ def _need(p: int, q: int, n: str, other: str) -> str:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with one document of each group (the one whose id names it); columns as they are."""
-    found = written(jaccard_components(docs, percent), "near")
-    return without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    """docs with one document of each group (the one whose id names it); columns as they are.
+
+    Where ids are null or repeated, each row is judged by its own text: the row with the least id stays, of several
+    the first; rows without an id come last.
+    """
+    numbered, row = one_row_ids(docs)
+    if row == "doc_id":
+        found = written(_components(id_text(docs), percent), "near")
+        return without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    ranked = _ranked(numbered, row, percent)
+    best = ranked.groupBy("component_id").agg(F.min("rank").alias("best"))
+    dropped = ranked.join(best.hint("merge"), "component_id").filter("rank <> best").select(F.col("rank.row"))
+    return without_ids(numbered, written(dropped, "dropped"), row).drop(row)

@@ -135,7 +135,7 @@ def test_jaccard_across_groups(spark):
                 sets[len(sets)] = m
     prefixes = {i: sorted(s)[: len(s) - -(-75 * len(s) // 100) + 1] for i, s in sets.items()}
     several = {t for t, c in Counter(t for p in prefixes.values() for t in p).items() if c > 1}
-    shared = spark.createDataFrame([(t, i) for i, p in prefixes.items() for t in p if t in several], "token long, doc_id long")
+    shared = spark.createDataFrame([(t, i, len(sets[i]) - at) for i, p in prefixes.items() for at, t in enumerate(p) if t in several], "token long, doc_id long, left long")
     nodes = spark.createDataFrame([(i, len(s), prefixes[i][-1]) for i, s in sets.items()], "doc_id long, n long, last long")
     named = spark.createDataFrame(list(groups.items()), "node long, component long")
     got = {(x["u"], x["v"]) for x in jaccard_join._across(shared, nodes, named, 75).collect()}
@@ -144,12 +144,42 @@ def test_jaccard_across_groups(spark):
 
 
 def test_jaccard_row_without_id(spark):
-    """A text that comes first with a null doc_id still links the documents that have ids."""
+    """A row without an id is a document like any other: it takes part in a component, but doesn't name it."""
     base = words(100, 1)
     near = [*base[:50], "edit", *base[51:]]
     rows = [(None, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, " ".join(words(100, 2)))]
     got = {(x["doc_id"], x["component_id"]) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
-    assert got == {(None, None), (2, 2), (3, 2), (4, 4)}
+    assert got == {(None, 2), (2, 2), (3, 2), (4, 4)}
+
+
+def test_jaccard_hot_group_and_passage(spark):
+    """A thousand near copies of one text, some too far from most others, and a passage that half of all documents hold."""
+    r = random.Random(21)
+    passage, base, texts = words(24, 3), words(90, 4), []
+    for k in range(900):
+        t = list(base)
+        for _ in range(r.randrange(0, 7)):
+            t[r.randrange(len(t))] = f"edit{r.randrange(40)}"
+        texts.append(t)
+    texts += [passage + words(r.randrange(2, 60), 5000 + k) for k in range(900)]
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in texts]
+    numbers: dict = {}
+    table = np.zeros((len(sets), 40_000), np.float32)
+    for i, s in enumerate(sets):
+        for g in s:
+            table[i, numbers.setdefault(g, len(numbers))] = 1
+    common = (table @ table.T).astype(np.int64)
+    n = np.diag(common)
+    linked = 100 * common >= 75 * (n[:, None] + n[None, :] - common)
+    name = np.arange(len(sets))
+    while True:
+        least = np.where(linked, name[None, :], len(sets)).min(1)
+        if (least == name).all():
+            break
+        name = least
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_components(df).collect()}
+    assert got == {i: int(c) for i, c in enumerate(name)} and 300 < len(set(got.values())) < 1500
 
 
 def test_edit_distance_and_recall():

@@ -80,3 +80,50 @@ def test_hmm_counts(spark):
         assert r["n_tokens"] == (4 if i % 2 else 3) == r["n_known"]
         assert r["score"] < 0 and r["base_score"] < 0
     assert len({r["train_tokens"] for r in got.values()}) == 1
+
+
+def plain(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def left(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+X, Y = "one two three four five six", "another text of some words here"
+
+
+def test_drops_are_by_row(spark):
+    """A dropped id says nothing about another text under the same id, nor about rows without one."""
+    d = plain(spark, [(1, X), (2, X), (1, Y), (None, X), (None, None), (2, X)])
+    assert left(exact_dedup.drop_exact_duplicates(d, "max")) == sorted([(2, X), (1, Y), (None, None)], key=str)
+    t = [f"w{i}" for i in range(60)]
+    near = " ".join(t[:-1] + ["other"])
+    d = plain(spark, [(None, " ".join(t)), (3, near), (4, " ".join(t)), (3, Y), (None, Y), (7, None), (7, None)])
+    assert left(jaccard_join.drop_near_duplicates(d)) == sorted([(3, near), (3, Y), (7, None), (7, None)], key=str)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(d).collect()), key=str)
+    assert got == sorted([(None, 3), (3, 3), (4, 3), (3, 3), (None, 3), (7, 7), (7, 7)], key=str)
+    items = plain(spark, [(1, " ".join(t))]).withColumnRenamed("doc_id", "item_id")
+    assert left(decontaminate.drop_contaminated(d, items)) == sorted([(3, Y), (None, Y), (7, None), (7, None)], key=str)
+    assert left(decontaminate.drop_contaminated(plain(spark, [(1, " ".join(t)), (1, Y)]), items)) == [(1, Y)]
+
+
+def test_pipeline_keeps_a_row_of_each_text(spark, tmp_path):
+    """Null and repeated ids through the stages that drop rows."""
+    import corpus_pipeline
+
+    rows = [(1, X), (2, X), (1, Y), (None, X), (None, "z " + Y), (5, None), (5, "")]
+    plain(spark, rows).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(0)}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0 for r in out)) == [1, 2, 5] or sorted((r["doc_id"] or 0 for r in out)) == [0, 1, 2, 5]
+
+
+def test_most_frequent(spark):
+    from ecovista.llm.common import most_frequent
+
+    counts = spark.createDataFrame([(k, 1 + k * k) for k in range(200)], "k long, c long")
+    got = {r["k"] for r in most_frequent(counts, "c", 50).collect()}
+    assert got == set(range(200 - len(got), 200)) and 40 <= len(got) <= 50
+    assert most_frequent(counts, "c", 1000).count() == 200 and most_frequent(counts.limit(0), "c", 5).isEmpty()
