@@ -1,20 +1,24 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Texts are lower-cased and their white space is made single blanks.  Items are grouped by length (each group's
-length is at most 1.25 times less than its items'), and windows of a group's length start at each word of a
-document.  A CGK random walk reads a window with a pointer that stays or moves on by a random bit of step and
-letter; texts of a small edit distance then agree in most places of what is read, so the edit distance becomes a
-Hamming distance.  Each of TABLES samples of PLACES places of the walks' outputs is a key; a window with a key of an
-item is a candidate.  Candidates are verified exactly: the least edit distance between the item and any
-substring near the window, by bit-parallel dynamic programming.
-
-Windows in which few 10-byte pieces are pieces of any item are left out before the walks: below SHARE of them an
-edit distance within MAX_EDIT hardly ever leaves so few.  The documents are only mapped over, never shuffled; items
-go to the tasks in blocks of at most ITEM_BLOCK, whose size bounds what is broadcast.
-
-Defined results: null or empty texts and items match nothing; items of fewer than SHORT letters must be there
-as they are; a row for each document row and item, so repeated rows repeat; null ids stay null; other columns are not
-read; empty tables give empty results.
+Texts are lower-cased and their white space is made single blanks.  Items are grouped by length (windows of a group
+are PART of its items' letters, at most 1.25 times less); each item has windows at several of its word starts, and
+windows of a group's length start at each word of a document.  A CGK random walk reads a window with a pointer that
+stays or moves on by a random bit of step and letter; texts of a small edit distance then agree in most places of
+what is read, so the edit distance becomes a Hamming distance.  Each of TABLES samples of PLACES places of the walks'
+outputs, all within SPAN steps, is a key; a window with a key of an item is a candidate.  Candidates are verified
+exactly: the least edit distance between the item and any substring near the window, by bit-parallel dynamic
+programming.
+
+Windows in which under SHARE of the 10-byte pieces are pieces of any item are left out before the walks: an edit
+distance within MAX_EDIT seldom leaves so few in all windows of an item.  Recall is measured in the tests up to
+MAX_EDIT, and for items without their head or tail.  The documents are only mapped over, never shuffled; items go to
+the tasks in blocks of at most ITEM_BLOCK, whose size bounds what is broadcast; with several blocks, each one's result
+is written before the next is read.
+
+Defined results: null or empty texts and items match nothing; items of fewer than SHORT letters must be there as they
+are, not as part of a longer word; a row for each document row and item, so repeated rows repeat; null ids stay null;
+other columns are not read; very long texts are read whole, in parts of CHUNK letters' worth of documents; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -29,13 +33,19 @@ from .common import arrow_batches, id_text, one_row_ids, without_ids, written
 
 MAX_EDIT = 0.15
 SHORT = 32
-WALKS = 4
-TABLES = 48
-PLACES = 6
+WALKS = 2
+TABLES = 16
+PLACES = 14
+#: Steps of a walk that the places of one sample lie within: an edit spoils all places behind it until the walks of both
+#: texts meet again, so places near one another agree together.
+SPAN = 32
+#: Windows of each item: of this share of its letters, at so many word starts spread over it.
+PART = 0.7
+ANCHORS = 6
 #: Letters of a piece, and the least share of a window's pieces that items have too.
 GRAM = 10
-SHARE = 0.15
-ITEM_BLOCK = 10_000
+SHARE = 0.1
+ITEM_BLOCK = 20_000
 BITMAP = 1 << 23
 #: Letters searched in one go.
 CHUNK = 1 << 22
@@ -65,7 +75,8 @@ class _Walk:
         self.moves = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.uint8)
         # Walks read about half as many letters as they make steps; later places only show the padding.
         used = 2 * length
-        self.samples = [(k % WALKS, np.sort(rng.choice(used, PLACES, replace=False))) for k in range(TABLES)]
+        begins = rng.integers(0, used - SPAN + 1, TABLES)
+        self.samples = [(k % WALKS, begins[k] + np.sort(rng.choice(SPAN, PLACES, replace=False))) for k in range(TABLES)]
         self.needed = [sorted({int(p) for w, s in self.samples if w == walk for p in s}) for walk in range(WALKS)]
         self.weights = rng.integers(1, 2**63, PLACES, dtype=np.uint64) | np.uint64(1)
 
@@ -117,6 +128,17 @@ def best_substring(pattern: str, text: str) -> tuple[int, int]:
     return best, where
 
 
+def whole_words(text: str, item: str) -> int:
+    """Where item first stands in text without being part of a longer word, or -1."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and text[at - 1].isalnum() and item[0].isalnum() or end < len(text) and text[end].isalnum() and item[-1].isalnum()):
+            return at
+        at = text.find(item, at + 1)
+    return -1
+
+
 class Matcher:
     """Finds items in texts."""
 
@@ -131,16 +153,23 @@ class Matcher:
             raw = np.frombuffer(t.encode(), np.uint8)
             self.bits[_grams(raw)] = True
             size = SHORT
-            while size * 5 // 4 <= len(raw):
+            while size * 5 // 4 <= max(SHORT, PART * len(raw)):
                 size = size * 5 // 4
             by_size.setdefault(size, []).append(n)
         self.groups = []
         for size, members in sorted(by_size.items()):
             walk = _Walk(size)
-            data = np.concatenate([np.frombuffer(self.items[n][1].encode(), np.uint8)[:size] for n in members])
-            keys = walk.keys(np.append(data, np.zeros(size, np.uint8)), np.arange(len(members)) * size)
+            windows = [(n, at) for n in members for at in self._anchors(self.items[n][1].encode(), size)]
+            data = np.concatenate([np.frombuffer(self.items[n][1].encode(), np.uint8)[at : at + size] for n, at in windows])
+            keys = walk.keys(np.append(data, np.zeros(size, np.uint8)), np.arange(len(windows)) * size)
             order = np.argsort(keys, axis=1, kind="stable")
-            self.groups.append((walk, np.array(members)[order], np.take_along_axis(keys, order, 1)))
+            self.groups.append((walk, np.array(windows, np.int64)[order], np.take_along_axis(keys, order, 1)))
+
+    @staticmethod
+    def _anchors(raw: bytes, size: int) -> list[int]:
+        """Word starts, spread over an item, at which windows of this size begin: the first and up to ANCHORS others."""
+        starts = [0] + [i + 1 for i, c in enumerate(raw) if c == 32 and i + 1 <= len(raw) - size]
+        return sorted({starts[round(k * (len(starts) - 1) / ANCHORS)] for k in range(ANCHORS + 1)})
 
     def find_all(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: (item number among all, start, end, distance) in letters of the normal text."""
@@ -148,7 +177,7 @@ class Matcher:
         normals = [normal(t) for t in texts]
         for k, t in enumerate(normals):
             for item, s in self.short:
-                if (at := t.find(s)) >= 0:
+                if (at := whole_words(t, s)) >= 0:
                     out[k].append((item, at, at + len(s), 0))
         group, size = [], 0
         for k, t in enumerate(normals):
@@ -190,7 +219,8 @@ class Matcher:
                         while i < len(known) and known[i] == mine[table][h]:
                             start = int(part[h])
                             doc = int(np.searchsorted(begins, start, "right") - 1)
-                            found.setdefault((doc, int(members[table][i])), set()).add(start - int(begins[doc]))
+                            item, anchor = members[table][i].tolist()
+                            found.setdefault((doc, item), set()).add(max(0, start - int(begins[doc]) - anchor))
                             i += 1
         for (doc, item), places in sorted(found.items()):
             match = self._verify(raw[doc], normals[numbers[doc]], self.items[item][1], sorted(places))
@@ -203,7 +233,7 @@ class Matcher:
         most = int(self.max_edit * n)
         slack = most + 8
         best, done = None, -1
-        for byte in places:
+        for byte in places:  # where the item would begin, by each of its windows that was met
             at = len(raw[:byte].decode("utf-8", "replace")) if len(raw) != len(text) else byte
             if at < done:
                 continue
@@ -244,7 +274,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_edit: float =
 
         return docs.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, [block(k) for k in range(blocks)])
+    if blocks == 1:
+        return block(0)
+    return reduce(DataFrame.unionAll, [written(block(k), "contaminated") for k in range(blocks)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT) -> DataFrame:
