@@ -8,15 +8,16 @@ of the corpus keeps its own count.
 
   1. Words of all training texts are counted: each task sends a row for each distinct word it has.
   2. Symbols of every text are written once (2 bytes a token), with the words outside the known ones.
-  3. Expectation: each task runs the scaled forward and backward recursions over its training texts, in
-     segments of at most SEGMENT tokens, many at once, and sends its expected counts (a table of fixed size).
-     Maximisation: the driver adds these tables up.
+  3. Expectation: each task runs the scaled forward and backward recursions over its training texts from end to
+     end, many of a like length at once, and sends its expected counts (a table of fixed size).  Maximisation: the
+     driver adds these tables up.
   4. Every text gets its exact likelihood by the scaled forward recursion over its whole length, plus the log
      probabilities of its words within their classes, looked up by a join on the word.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is held out; repeated rows count as
-often as they are there and get a row each; without training texts the model is uniform over the symbols;
-other columns are not read; an empty table gives an empty result.
+often as they are there and get a row each; without training texts the model is uniform over the symbols; a very long
+text is one sequence, in training (28 bytes a token) as in scoring; other columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_size, id_text, written
+from .common import arrow_batches, by_size, id_text, most_frequent, written
 
 FREQUENT = 16_384
 #: Words the workers know the counts of without a join: the commonest.
@@ -39,9 +40,12 @@ CLASSES = 1024
 SYMBOLS = 1 + FREQUENT + CLASSES
 STATES = 6
 ROUNDS = 5
-SEGMENT = 256
-#: Tokens of one batch of segments in the expectation step.
+#: Tokens of texts that the expectation step takes at once, or one text; more of long ones, since a step of the
+#: recursion costs much the same for few texts as for many.
 BATCH_TOKENS = 400_000
+LONG, LONG_TOKENS = 600, 2_000_000
+#: Tokens it holds to find texts of a like length among (2 bytes each).
+HELD_TOKENS = 10_000_000
 #: Symbols (in bytes) that the forward recursion takes at once.
 FORWARD_BYTES = 8 << 20
 END = b"\n"  # no word is this
@@ -84,15 +88,15 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def expected(model: Model, segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions over segments, and their log likelihood."""
-    segments = sorted((s for s in segments if len(s)), key=len, reverse=True)
+def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions over whole texts, and their log likelihood."""
+    texts = sorted((s for s in texts if len(s)), key=len, reverse=True)
     start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES)), 0.0
     at = 0
     b32, a32 = model.emit.astype(np.float32), model.move.astype(np.float32)
-    while at < len(segments):
-        longest = len(segments[at])
-        group = segments[at : at + max(1, BATCH_TOKENS // longest)]
+    while at < len(texts):
+        longest = len(texts[at])
+        group = texts[at : at + max(1, (LONG_TOKENS if longest > LONG else BATCH_TOKENS) // longest)]
         at += len(group)
         lengths = np.array([len(s) for s in group])
         alive = np.array([int((lengths > t).sum()) for t in range(longest)])
@@ -242,11 +246,9 @@ def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Mode
 
             for batch in batches:
                 for s in batch.column(0).to_pylist():
-                    s = np.frombuffer(s, "<u2")
-                    for at in range(0, len(s), SEGMENT):
-                        held.append(s[at : at + SEGMENT])
-                        size += len(held[-1])
-                    if size >= BATCH_TOKENS:
+                    held.append(np.frombuffer(s, "<u2"))
+                    size += len(held[-1])
+                    if size >= HELD_TOKENS:
                         add()
             if held:
                 add()
@@ -271,8 +273,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = id_text(docs)
     counts = written(_counts(docs), "word-counts")
     n, v, n1, n2 = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
-    known = list(zip((bytes(w) for w in top["word"].to_pylist()), top["c"].to_pylist()))
+    top = most_frequent(counts.filter(F.col("word") != F.lit(END)), "c", KNOWN).toArrow()  # at most KNOWN rows
+    known = sorted(zip((bytes(w) for w in top["word"].to_pylist()), top["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
     ends = (counts.filter(F.col("word") == F.lit(END)).select("c").first() or [0])[0]
     # Totals of the classes: a table of fixed size.
     classes = _class_totals(counts, known[:FREQUENT])
