@@ -1,4 +1,4 @@
-"""Repository names and URLs as column expressions."""
+"""Repository names and URLs as column expressions.  Fixed values: the patterns of paths and of the .git ending."""
 
 from __future__ import annotations
 
@@ -24,9 +24,9 @@ def as_url(name: Column, host: str = "github.com") -> Column:
     return F.when(name.startswith("http"), name).when(name.contains("/"), F.concat(F.lit(f"https://{host}/"), name)).otherwise(name)
 
 
-def short_name(name: Column) -> Column:
-    """Last segment of a path behind a host, else the name as it is."""
-    return F.when(name.contains("://"), F.element_at(F.split(F.regexp_replace(name, "/+$", ""), "/"), -1)).otherwise(name)
+def short_name(name: Column, host: str = "github.com") -> Column:
+    """Last segment of a path behind the host, else the name as it is."""
+    return F.when(name.contains(host + "/"), F.element_at(F.split(F.regexp_replace(name, "/+$", ""), "/"), -1)).otherwise(name)
 
 
 def canonical(name: Column, aliases: Mapping[str, str]) -> Column:

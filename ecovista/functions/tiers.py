@@ -1,7 +1,14 @@
-"""Tiers and labels as column expressions."""
+"""Tiers and labels as column expressions.
+
+Fixed values: the names of tiers and bands, their bounds (here and in config), and the labels of directions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,8 +40,10 @@ def top_share_band(percent: Column) -> Column:
     return F.when(percent < 30, "healthy").when(percent < 50, "moderate").when(percent < 80, "concentrated").otherwise("critical")
 
 
-def ecosystem_of(key: Column) -> Column:
-    return F.when(key.startswith("@"), "NPM").when(key.contains("github.com/"), "GITHUB").otherwise("PYPI")
+def ecosystem_of(key: Column, npm_prefixes: Collection[str] = ("@",)) -> Column:
+    """By prefix: scopes (and names) of one registry, repository URLs, else the other registry."""
+    npm = reduce(or_, [key.startswith(p) for p in npm_prefixes], F.lit(False))
+    return F.when(npm, "NPM").when(key.startswith("https://github.com"), "GITHUB").otherwise("PYPI")
 
 
 def direction(delta: Column, lower_is_better: bool = False) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, cut_counted
 from .graph import undirected
 
 
+#: Rounds after which the pieces of a growing table are written as one.
+COMPACT = 4
+
+
 def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
@@ -19,12 +23,14 @@ def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     est = cut(both.groupBy("u").agg(F.count(F.lit(1)).alias("core")))
     order = Window.partitionBy("u").orderBy(F.col("core").desc())
     while True:
-        seen = both.join(est.select(F.col("u").alias("v"), "core"), "v").withColumn("i", F.row_number().over(order))
-        new = seen.groupBy("u").agg(F.max(F.least("i", "core")).alias("new"))
-        nxt = cut(est.join(new, "u").select("u", F.least("core", "new").cast("long").alias("core"), (F.col("new") < F.col("core")).alias("changed")))
-        if nxt.filter("changed").isEmpty():
+        # A hub's neighbours are counted by estimate before they meet, so its window has a row for each estimate only.
+        counted = both.join(est.select(F.col("u").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
+        new = counted.withColumn("i", F.sum("n").over(order)).groupBy("u").agg(F.max(F.least("i", "core")).alias("new"))
+        changes = Observation()
+        nxt = est.join(new, "u").select("u", F.least("core", "new").cast("long").alias("core"), (F.col("new") < F.col("core")).alias("changed"))
+        est = cut(nxt.observe(changes, F.count_if("changed").alias("n"))).select("u", "core")
+        if not changes.get["n"]:
             break
-        est = nxt.select("u", "core")
     return nodes.select("node_id").join(est.select(F.col("u").alias("node_id"), "core"), "node_id", "left").na.fill(0, ["core"])
 
 
@@ -32,6 +38,17 @@ def core_shells(cores: DataFrame) -> DataFrame:
     return cores.groupBy("core").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+def inner_core(cores: DataFrame) -> DataFrame:
+    """Nodes of the greatest core number."""
+    return cores.join(F.broadcast(cores.agg(F.max("core").alias("core"))), "core")  # one row
+
+
+def bridge_share(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: bridges, undirected edges, share."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(found, "bridges").crossJoin(n(undirected(edges), "edges")).withColumn("share", F.round(F.col("bridges") / F.col("edges"), 4))  # one row each
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     near = _both(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -66,22 +83,28 @@ def bridges(edges: DataFrame) -> DataFrame:
     found = None
     while True:  # prune leaves
         degree = _both(rest).groupBy("u").agg(F.count(F.lit(1)).alias("d")).filter("d = 1").select("u")
-        leaves = cut(rest.join(degree.withColumnRenamed("u", "a"), "a", "left_semi").unionByName(rest.join(degree.withColumnRenamed("u", "b"), "b", "left_semi")).distinct())
-        if leaves.isEmpty():
-            break
+        marked = rest.join(degree.select(F.col("u").alias("a"), F.lit(True).alias("x")), "a", "left").join(degree.select(F.col("u").alias("b"), F.lit(True).alias("y")), "b", "left")
+        marked, n = cut_counted(marked.select("a", "b", F.coalesce("x", "y", F.lit(False)).alias("leaf")))
+        leaves, rest = marked.filter("leaf").select("a", "b"), marked.filter("NOT leaf").select("a", "b")
+        pruned = leaves.count()
         found = leaves if found is None else found.unionByName(leaves)
-        rest = cut(rest.join(leaves, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
+        left = n - pruned
+        if not pruned or not left:
+            break
+    if not left:
         return found if found is not None else rest
     both = cut(_both(rest))
     roots = components(rest).select(F.col("component").alias("node_id")).distinct()
-    level = cut(roots.select("node_id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
-    tree, depth = level, 0
-    while not level.isEmpty():
+    kind = rest.schema["a"].dataType
+    level = cut(roots.select("node_id", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth")))
+    tree, depth, grown = level, 0, 1
+    while grown:
         depth += 1
         nxt = both.join(level.select(F.col("node_id").alias("u")), "u").groupBy(F.col("v").alias("node_id")).agg(F.min("u").alias("parent"))
-        level = cut(nxt.join(tree.select("node_id"), "node_id", "left_anti").select("node_id", "parent", F.lit(depth).alias("depth")))
+        level, grown = cut_counted(nxt.join(tree.select("node_id"), "node_id", "left_anti").select("node_id", "parent", F.lit(depth).alias("depth")))
         tree = tree.unionByName(level)
+        if depth % COMPACT == 0:  # what is scanned in a round stays a few tables
+            tree = cut(tree)
     tree = cut(tree)
     arcs = tree.filter("parent IS NOT NULL").select(F.least("node_id", "parent").alias("a"), F.greatest("node_id", "parent").alias("b"))
     chords = _both(rest.join(arcs, ["a", "b"], "left_anti"))

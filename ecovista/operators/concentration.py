@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.tiers import hhi_tier, top_share_band
+from .rank import place
 
 
 def sum_contributions(rows: DataFrame, on_duplicate: str = "sum") -> DataFrame:
@@ -75,7 +76,7 @@ def share_histogram(top: DataFrame, bins: int = 20) -> DataFrame:
     width = 100 / bins
     counts = top.groupBy(F.least(F.floor(F.col("top_pct") / width), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     spine = top.sparkSession.range(bins).withColumnRenamed("id", "bin")
-    return spine.join(counts, "bin", "left").na.fill(0, ["n"])
+    return spine.join(F.broadcast(counts), "bin", "left").na.fill(0, ["n"])  # bins rows each
 
 
 def hhi_histogram(conc: DataFrame, bins: int = 40) -> DataFrame:
@@ -87,6 +88,42 @@ def tier_summary(conc: DataFrame) -> DataFrame:
     return conc.groupBy("hhi_tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hhi"), 1).alias("mean_hhi"), F.round(F.avg("pony_factor"), 4).alias("pony_rate"), F.round(100 * F.count(F.lit(1)) / total, 2).alias("pct"))
 
 
+def flagged_share(top: DataFrame, at: float = 50.0) -> DataFrame:
+    """One row: repos, those whose top contributor has `at` percent or more, and their percentage."""
+    hit = F.count_if(F.col("top_pct") >= at)
+    return top.agg(F.count(F.lit(1)).alias("n"), hit.alias("n_flagged"), F.round(100 * hit / F.count(F.lit(1)), 2).alias("flagged_pct"))
+
+
+def band_summary(top: DataFrame, conc: DataFrame) -> DataFrame:
+    """Per band of the top contributor's share: repos and their percentage; mean HHI and flagged share over all repos."""
+    total = F.sum(F.count(F.lit(1))).over(Window.partitionBy())  # over one row for each band
+    bands = top.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.count(F.lit(1)) / total, 2).alias("pct"))
+    whole = conc.agg(F.round(F.avg("hhi"), 1).alias("mean_hhi"), F.round(F.avg("pony_factor"), 4).alias("pony_rate"))
+    return bands.crossJoin(whole)  # one row
+
+
+def repo_order(edges: DataFrame, passing: DataFrame) -> DataFrame:
+    """Repos of a bipartite graph with their number of contributors, passing ones first, then those with more."""
+    r = edges.groupBy("repo").agg(F.count(F.lit(1)).alias("n_contributors")).join(passing.select("repo", F.lit(True).alias("passed")), "repo", "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    return _placed(r, F.col("passed").desc(), F.col("n_contributors").desc(), F.col("repo"))
+
+
+def contributor_order(edges: DataFrame) -> DataFrame:
+    """Contributors with their repos and commits, those of several repos first, then those with more commits."""
+    c = edges.groupBy("contributor").agg(F.count_distinct("repo").alias("n_repos"), F.sum("commits").alias("commits"), F.bool_or("cross_repo").alias("cross_repo"))
+    return _placed(c, F.col("cross_repo").desc(), F.col("commits").desc(), F.col("contributor"))
+
+
+def _placed(df: DataFrame, *order) -> DataFrame:
+    return place(df.withColumn("_all", F.lit(0)), "_all", list(order), "place").drop("_all")
+
+
+def labelled(edges: DataFrame, passing: DataFrame, least_share: float = 20.0) -> DataFrame:
+    """Contributors to name: those of several repos, and those with a share on a passing repo."""
+    on_passing = edges.filter(F.col("share_pct") >= least_share).join(passing, "repo", "left_semi")
+    return edges.filter("cross_repo").select("contributor").union(on_passing.select("contributor")).distinct()
+
+
 def bipartite(contributions: DataFrame, bots: Collection = (), least_share: float = 15.0) -> DataFrame:
     """Edges of people (not bots) with a share of at least least_share percent, or who work on more than one repo."""
     s = shares(contributions).filter(~F.col("contributor").isin(*bots)) if bots else shares(contributions)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
@@ -19,13 +22,20 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _bounded(titles: DataFrame, projects: DataFrame, cutoff: float) -> DataFrame:
     """Pairs of folded titles that the cutoff allows: a ratio is at most 2 min(la, lb) / (la + lb), and at most twice the
-    letters in common over all letters, so a pair shares one letter at least."""
+    letters in common (counted by letter) over all letters; both bounds are taken before any Python runs."""
     lo = cutoff / (2 - cutoff)
-    a = titles.select("title").distinct().withColumn("a", F.lower("title")).withColumn("la", F.length("a"))
-    b = projects.groupBy("project").agg(F.min("ord").alias("ord")).withColumn("b", F.lower("project")).withColumn("lb", F.length("b"))
+    a = titles.select("title").distinct().withColumn("a", F.lower("title")).withColumn("la", F.length("a")).withColumn("ca", _letters("a"))
+    b = projects.groupBy("project").agg(F.min("ord").alias("ord")).withColumn("b", F.lower("project")).withColumn("lb", F.length("b")).withColumn("cb", _letters("b"))
     # An equi-join on each length a partner may have: no cross join.
     a = a.withColumn("lb", F.explode(F.sequence(F.ceil(F.col("la") * lo).cast("int"), F.floor(F.col("la") / lo).cast("int"))))
-    return a.hint("shuffle_hash").join(b, "lb").filter(F.size(F.array_intersect(F.split("a", ""), F.split("b", ""))) > 0)
+    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return a.hint("shuffle_hash").join(b, "lb").filter(2 * common >= cutoff * (F.col("la") + F.col("lb"))).drop("ca", "cb")
+
+
+def _letters(column: str) -> Column:
+    """How often each of LETTERS is in a text, and how many others there are."""
+    counts = [F.length(column) - F.length(F.replace(F.col(column), F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.array(*counts, F.length(F.regexp_replace(column, f"[{LETTERS}]", "")))
 
 
 def best_match(titles: DataFrame, projects: DataFrame, cutoff: float = DEFAULT.fuzzy_cutoff) -> DataFrame:

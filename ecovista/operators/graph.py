@@ -5,10 +5,13 @@ nodes: node_id, node_type, days_since_commit, archived, active, ... ; dependency
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .rank import last_per_key, quantile
 
 
 def retained(config: Config = DEFAULT) -> Column:
@@ -75,8 +78,6 @@ def enrich_activity(nodes: DataFrame, activity: DataFrame, config: Config = DEFA
 
 def apply_delta(current: DataFrame, delta: DataFrame, keys: list[str], version: str, deleted: str) -> DataFrame:
     """The latest row of each key from both tables; keys whose latest row is a tombstone go."""
-    from .rank import last_per_key
-
     both = current.unionByName(delta, allowMissingColumns=True)
     return last_per_key(both, keys, version).filter(~F.coalesce(deleted, F.lit(False)))
 
@@ -93,7 +94,36 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def degree_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return degrees(nodes, edges).groupBy("in_degree").agg(F.count(F.lit(1)).alias("n_nodes"))
+    """side (in, out), degree, n_nodes."""
+    d = degrees(nodes, edges).select(F.inline(F.array(F.struct(F.lit("in").alias("side"), F.col("in_degree").alias("degree")), F.struct(F.lit("out").alias("side"), F.col("out_degree").alias("degree")))))
+    return d.groupBy("side", "degree").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def degree_summary(edges: DataFrame, crit: DataFrame) -> DataFrame:
+    """One row: mean number of dependents of packages with any, and the upper quartile of criticality over 0."""
+    mean = edges.groupBy("dst").count().agg(F.avg("count").alias("mean_in_degree"))
+    return mean.crossJoin(quantile(crit.filter("criticality > 0"), "criticality", 0.75, "criticality_p75"))  # one row each
+
+
+def hubs(edges: DataFrame, k: int) -> DataFrame:
+    """The k targets with the most edges, with how many sources they have."""
+    return edges.groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_sources")).orderBy(F.desc("n"), "target").limit(k)
+
+
+def source_count(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count_distinct("src").alias("n_sources"), F.count(F.lit(1)).alias("n_edges"))
+
+
+def core_hub_edges(edges: DataFrame, core: DataFrame, src: Column, dst: Column, several: int = 3) -> DataFrame:
+    """Edges to packages of core (dst), under display names and without loops; multi: the source has `several` of them or more."""
+    e = edges.join(core, "dst", "left_semi").select(src.alias("src"), dst.alias("dst")).filter("src <> dst")
+    n = e.groupBy("src").agg((F.count(F.lit(1)) >= several).alias("multi"))
+    return e.join(n, "src")
+
+
+def coverage(parts: dict[str, DataFrame]) -> DataFrame:
+    """part, n: rows of each table."""
+    return reduce(DataFrame.unionAll, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()])
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -101,8 +131,10 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def touched(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node_id")).union(edges.select(F.col("dst").alias("node_id"))).distinct()
+def touched(edges: DataFrame, *others: DataFrame) -> DataFrame:
+    """Nodes of any edge, and those of other tables (hubs, critical ones)."""
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select(F.col("dst").alias("node_id")))
+    return reduce(lambda a, b: a.union(b.select("node_id")), others, ends).distinct()
 
 
 def type_counts(nodes: DataFrame, typed_edges: DataFrame) -> DataFrame:

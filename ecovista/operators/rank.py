@@ -61,13 +61,59 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     return ranks.agg((F.sum(F.col("value") * (2 * i_sum - F.col("ties") * (n + 1))) / F.nullif(F.lit(n) * total, F.lit(0.0))).alias("gini"))
 
 
+def distribution(df: DataFrame, value: str) -> DataFrame:
+    """One row: total, median, max and gini of the values."""
+    whole = df.agg(F.sum(value).alias("total"), F.max(value).alias("max"))
+    return whole.crossJoin(quantile(df, value, 0.5, "median")).crossJoin(gini(df, value))  # one row each
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """value, n, pct."""
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(total).select("value", "n", F.round(100 * F.col("n") / F.col("_total"), 2).alias("pct"))  # total is one row
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return _edge_of_key(df, keys, F.col(order).asc())
+    """The row of each key with the least order (not null); one row a key leaves each task, whatever a key holds."""
+    return _edge_of_key(df, keys, F.min_by(F.struct(*df.columns), order))
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return _edge_of_key(df, keys, F.col(order).desc())
+    return _edge_of_key(df, keys, F.max_by(F.struct(*df.columns), order))
+
 
+def _edge_of_key(df: DataFrame, keys: list[str], best: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
 
-def _edge_of_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+
+def quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row: the quantile of the values (between two of them in proportion; null for none), read from the value ranks."""
+    ranks, n = value_ranks(df, value)
+    at = q * max(n - 1, 0)
+    low = int(at)
+    holds = lambda i: (F.col("less_than") <= i) & (F.lit(i) < F.col("less_than") + F.col("ties"))
+    pick = lambda i: F.max(F.when(holds(i), F.col("value").cast("double")))
+    return ranks.agg(pick(low).alias("_a"), pick(min(low + 1, max(n - 1, 0))).alias("_b")).select((F.col("_a") + (F.col("_b") - F.col("_a")) * (at - low)).alias(name))
+
+
+def place(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place within its group under a total order: rows are dealt out by range, and one count for each
+    group and range goes to the driver, so no task sorts a whole group."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, F.col(group), *order).withColumn("_range", F.spark_partition_id()))
+    before: dict = {}
+    offsets = []
+    for r in dealt.groupBy(group, "_range").count().orderBy(group, "_range").collect():  # a row for each range, and one more for each group
+        offsets.append((r[group], r["_range"], before.get(r[group], 0)))
+        before[r[group]] = before.get(r[group], 0) + r["count"]
+    base = df.sparkSession.createDataFrame(offsets, f"`{group}` {df.schema[group].dataType.simpleString()}, _range int, _before long")
+    w = Window.partitionBy(group, "_range").orderBy(*order)
+    return dealt.join(F.broadcast(base), [group, "_range"]).withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_range", "_before")
+
+
+def top(df: DataFrame, value: str, key: str, k: int, *more: str) -> DataFrame:
+    """One row: `top`, the k rows of the greatest value (ties: least key) as an array of structs in that order."""
+    best = df.filter(F.col(value).isNotNull()).orderBy(F.desc(value), key).limit(k)
+    rows = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("_minus"), F.col(key), F.col(value), *[F.col(c) for c in more])))  # k rows
+    return best.agg(F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in (key, value, *more)])).alias("top"))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.lineage import cut
+from ..functions.lineage import cut, cut_counted
+
+#: Rounds after which the pieces of a growing table are written as one.
+COMPACT = 4
 
 
 def transitive_dependents(edges: DataFrame) -> DataFrame:
@@ -16,11 +19,15 @@ def transitive_dependents(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     step = edges.select(F.col("dst").alias("mid"), F.col("src").alias("next"))
-    found = delta = cut(edges.select(F.col("dst").alias("pkg"), F.col("src").alias("dependent")))
-    while not delta.isEmpty():
+    found = delta = edges.select(F.col("dst").alias("pkg"), F.col("src").alias("dependent"))
+    rounds, grown = 0, 1
+    while grown:
         new = delta.join(step, delta["dependent"] == step["mid"]).select("pkg", F.col("next").alias("dependent")).distinct()
-        delta = cut(new.join(found, ["pkg", "dependent"], "left_anti"))
+        delta, grown = cut_counted(new.join(found, ["pkg", "dependent"], "left_anti"))
         found = found.unionAll(delta)
+        rounds += 1
+        if rounds % COMPACT == 0:  # what is scanned in a round stays a few tables
+            found = cut(found)
     return cut(found.filter("pkg <> dependent"))
 
 

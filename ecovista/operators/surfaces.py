@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import narratives
 from ..functions.tiers import FER_TIERS, commit_trend, fer_tier
-from .rank import exclusive_percentile, funded_percentile
+from .cohesion import inner_core
+from .rank import exclusive_percentile, funded_percentile, place, top
 from .reach import union_reach
 
 
@@ -40,7 +43,7 @@ def gate(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
         "maintenance_text": narratives.concentration(F.col("hhi"), F.col("top_contributor"), F.col("top_share"), F.col("maintenance_passed"), config),
         "adoption_text": narratives.adoption(F.col("adoption_score"), F.col("adoption_passed"), config),
     }
-    return df.withColumns(texts).withColumn("explanation", F.concat(F.when(F.col("passed"), "PASSED").otherwise("FAILED"), F.lit(" ("), F.col("votes"), F.lit(f" of 3 signals, {config.signals_required} needed). "), F.concat_ws(" ", *texts)))
+    return df.withColumns(texts).withColumn("explanation", narratives.gate(F.col("passed"), F.col("votes"), [F.col(t) for t in texts], config))
 
 
 def gate_order():
@@ -72,23 +75,32 @@ def maintenance_debt(nodes: DataFrame, crit: DataFrame, conc: DataFrame, config:
     return out.withColumn("narrative", text)
 
 
-def debt_summary(debt: DataFrame) -> DataFrame:
-    return debt.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hhi_tier") == "critical").alias("n_critical"), F.count_if(F.col("trend") == "declining").alias("n_declining"))
+def debt_summary(debt: DataFrame, k: int = 5) -> DataFrame:
+    """One row: size, critical and declining entries, and the k of the highest risk."""
+    counts = debt.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hhi_tier") == "critical").alias("n_critical"), F.count_if(F.col("trend") == "declining").alias("n_declining"))
+    return counts.crossJoin(top(debt, "risk", "node_id", k))  # one row each
+
+
+def keystone_repos(conc: DataFrame, crit: DataFrame) -> DataFrame:
+    """contributor, node_id, criticality of each flagged repo: rows, as one owner may have any number of them."""
+    flagged = conc.filter("pony_factor = 1").select(F.col("repo").alias("node_id"), F.col("top_contributor").alias("contributor"))
+    return flagged.join(crit.select("node_id", "criticality"), "node_id", "left").na.fill(0, ["criticality"])
 
 
 def keystones(conc: DataFrame, crit: DataFrame, nodes: DataFrame, closure: DataFrame) -> DataFrame:
     """Per top contributor of flagged repos: summed criticality (0 dropped after the percentile), repos, projects, union reach."""
     flagged = conc.filter("pony_factor = 1").select(F.col("repo").alias("node_id"), "top_contributor")
-    rows = flagged.join(crit.select("node_id", "criticality"), "node_id", "left").na.fill(0, ["criticality"]).join(nodes.select("node_id", "project"), "node_id", "left")
-    g = rows.groupBy(F.col("top_contributor").alias("contributor")).agg(F.sum("criticality").cast("long").alias("kci"), F.count(F.lit(1)).alias("n_repos"), F.count_distinct("project").alias("n_projects"), F.array_sort(F.collect_list("node_id")).alias("repos"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", "criticality")))).alias("scores"))
+    rows = keystone_repos(conc, crit).join(nodes.select("node_id", "project"), "node_id", "left")
+    g = rows.groupBy("contributor").agg(F.sum("criticality").cast("long").alias("kci"), F.count(F.lit(1)).alias("n_repos"), F.count_distinct("project").alias("n_projects"))
     reach = union_reach(flagged.select(F.col("top_contributor").alias("owner"), "node_id"), closure).select(F.col("owner").alias("contributor"), F.col("reach").alias("at_risk"))
     ranked = exclusive_percentile(g, "kci", "kci_pct").filter("kci > 0").join(reach, "contributor")
     return ranked.withColumn("narrative", narratives.keystone(*[F.col(c) for c in ("contributor", "n_repos", "n_projects", "kci", "at_risk")]))
 
 
-def keystone_summary(k: DataFrame) -> DataFrame:
-    """The sum counts packages under several contributors several times."""
-    return k.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("at_risk"), F.lit(0)).cast("long").alias("at_risk_total"), F.coalesce(F.max("kci"), F.lit(0)).alias("max_kci"))
+def keystone_summary(k: DataFrame, n: int = 5) -> DataFrame:
+    """One row with the n of the highest score; the sum counts packages under several contributors several times."""
+    counts = k.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("at_risk"), F.lit(0)).cast("long").alias("at_risk_total"), F.coalesce(F.max("kci"), F.lit(0)).alias("max_kci"))
+    return counts.crossJoin(top(k, "kci", "contributor", n, "n_repos", "at_risk"))  # one row each
 
 
 def project_totals(nodes: DataFrame, crit: DataFrame, conc: DataFrame) -> DataFrame:
@@ -115,6 +127,58 @@ def fer_summary(fer: DataFrame) -> DataFrame:
     return tiers.join(fer.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), "tier", "left").na.fill(0, ["n"])
 
 
+def fer_display(fer: DataFrame) -> DataFrame:
+    """Per tier: projects, those with a flagged repo, and the number of underfunded projects in all."""
+    low = fer.agg(F.count_if(F.col("tier").isin("critically_underfunded", "underfunded")).alias("n_underfunded"))
+    return fer.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if("any_pony").alias("n_with_pony")).crossJoin(low)  # one row
+
+
+def gate_funnel(g: DataFrame) -> DataFrame:
+    """stage, n: all projects, those that pass each signal, passed and failed."""
+    signals = ("criticality", "maintenance", "adoption")
+    row = g.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(f"{k}_passed").alias(k) for k in signals], F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in row.columns])))
+
+
+def gate_lookup(g: DataFrame, asked: DataFrame) -> DataFrame:
+    """Gate rows of the projects asked for (column asked)."""
+    return asked.distinct().join(g, F.col("asked") == F.col("node_id"))
+
+
+def metric_listing(crit: DataFrame, conc: DataFrame, adoption: DataFrame, keystones: DataFrame, fer: DataFrame, debt: DataFrame) -> DataFrame:
+    """metric, name, value of every scored thing."""
+    parts = [("criticality", crit, "node_id", "criticality"), ("hhi", conc, "repo", "hhi"), ("adoption", adoption, "node_id", "adoption_score"), ("kci", keystones, "contributor", "kci"), ("fer", fer, "project", "fer"), ("risk", debt, "node_id", "risk")]
+    rows = [df.select(F.lit(m).alias("metric"), F.col(k).cast("string").alias("name"), F.col(v).cast("double").alias("value")) for m, df, k, v in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def node_encodings(crit: DataFrame, cores: DataFrame, conc: DataFrame) -> DataFrame:
+    """Per package what a drawing shows: size by criticality (5 to 40), colour by core number, a border where one contributor dominates."""
+    j = crit.join(cores.select("node_id", "core"), "node_id", "left").join(conc.select(F.col("repo").alias("node_id"), "pony_factor"), "node_id", "left")
+    size = F.greatest(F.lit(5.0), F.least(F.lit(40.0), 5 + F.log1p("criticality") * 8))
+    return j.select("node_id", size.alias("size"), F.coalesce("core", F.lit(0)).cast("long").alias("color"), F.coalesce(F.col("pony_factor") == 1, F.lit(False)).alias("risk_border"))
+
+
+def headline(crit: DataFrame, conc: DataFrame, cores: DataFrame, fer: DataFrame) -> DataFrame:
+    """One row of a run's first figures."""
+    parts = [
+        crit.agg(F.count_if(F.col("criticality") > 0).alias("scored"), F.max("criticality").alias("max_score")),
+        conc.agg(F.round(100 * F.avg("pony_factor"), 2).alias("flagged_pct"), F.count_if(F.col("hhi_tier") == "critical").alias("n_critical")),
+        inner_core(cores).agg(F.count(F.lit(1)).alias("inner_core")), fer.agg(F.count_if(F.col("tier").isin("critically_underfunded", "underfunded")).alias("underfunded")),
+    ]
+    return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+
+
+def rollup(awards: DataFrame, keys: list[str]) -> DataFrame:
+    """awards: amount, voter, flagged -> per key: total (in cents exactly), n, voters, flagged_pct."""
+    return awards.groupBy(*keys).agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n"), F.count_distinct("voter").alias("voters"), (100 * F.avg(F.col("flagged").cast("int"))).alias("flagged_pct"))
+
+
+def most_underfunded(fer: DataFrame, k: int = 5) -> DataFrame:
+    """One row: the k critically underfunded projects of the highest FER."""
+    return top(fer.filter("tier = 'critically_underfunded'"), "fer", "project", k)
+
+
 def scorecard(totals: DataFrame, fer: DataFrame) -> DataFrame:
     """Per project with repos: flagged share, average-rank percentile of criticality, FER with tier unknown where there is none."""
     from .rank import average_percentile
@@ -125,5 +189,4 @@ def scorecard(totals: DataFrame, fer: DataFrame) -> DataFrame:
 
 def gate_rank(g: DataFrame) -> DataFrame:
     """Place within passed and failed projects, borderline first among the passed."""
-    w = Window.partitionBy("passed").orderBy(*gate_order()[1:])
-    return g.withColumn("place", F.row_number().over(w).cast("long"))
+    return place(g, "passed", gate_order()[1:], "place")

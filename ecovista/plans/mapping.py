@@ -1,7 +1,8 @@
-"""The star-schema tables as the ecosystem model, and the metric tables derived from them once for each data set."""
+"""The star-schema tables as an ecosystem: the mapping by which the queries and their SQL twins see the given tables."""
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,23 +10,28 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.lineage import cut
-from ..operators import adoption, cohesion, concentration, graph, reach, surfaces
+from ..operators import graph
+from .ecosystem import Ecosystem
 
 CONTRIBUTION_DAYS = 365
 
 
-class Model:
-    """Tables of one data set. Iterative results are written once and shared by the metrics that need them."""
+class Model(Ecosystem):
+    """An ecosystem whose inputs are derived from the tables of one folder."""
 
-    _known: dict[tuple[str, str], Model] = {}
+    _known: dict[tuple, Model] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: Config = DEFAULT):
         self.spark, self.dir, self.config = spark, sf_dir, config
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Model:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        """One model for each state of a folder in an application: files written anew make a new one."""
+        files = tuple(sorted(spark.read.parquet(*[f"{sf_dir}/{t}.parquet" for t in ("part",)]).inputFiles()))
+        local = tuple(os.path.getmtime(f.removeprefix("file://")) for f in files if f.startswith("file://") and os.path.exists(f.removeprefix("file://")))
+        key = (spark.sparkContext.applicationId, sf_dir, files, local)
         if key not in cls._known:
+            cls._known = {k: m for k, m in cls._known.items() if k[:2] != key[:2]}
             cls._known[key] = cls(spark, sf_dir)
         return cls._known[key]
 
@@ -40,9 +46,29 @@ class Model:
     def as_of(self):
         return F.lit(self.commits.agg(F.max("committed_at")).first()[0])
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """One pass over the commits: what ages, contributions and signals need of each repo and contributor."""
+        recent = F.col("committed_at") >= F.date_sub(self.as_of, CONTRIBUTION_DAYS)
+        when = F.when(recent, F.col("committed_at"))
+        return cut(
+            self.commits.groupBy("repo", "contributor").agg(
+                F.count_if(recent).alias("commits"), F.min(when).alias("first_date"), F.max(when).alias("last_date"),
+                F.max("committed_at").alias("latest"), F.count(F.lit(1)).alias("stars"), F.sum("quantity").alias("downloads"),
+            )
+        )
+
     @cached_property
     def ages(self) -> DataFrame:
-        return self.commits.groupBy("repo").agg(F.datediff(self.as_of, F.max("committed_at")).cast("long").alias("age"))
+        return self.pairs.groupBy("repo").agg(F.datediff(self.as_of, F.max("latest")).cast("long").alias("age"))
+
+    @cached_property
+    def contributions(self) -> DataFrame:
+        return self.pairs.filter("commits > 0").select("repo", "contributor", "commits", "first_date", "last_date")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return self.pairs.groupBy(F.col("repo").alias("node_id")).agg(F.sum("stars").alias("stars"), F.count(F.lit(1)).alias("forks"), F.sum("downloads").cast("long").alias("downloads"))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -53,85 +79,14 @@ class Model:
             F.when((key % 100 == 0) | (key % 97 == 5), None).otherwise(F.col("age")).alias("days_since_commit"), (F.col("p_size") == 50).alias("archived"),
         )
         active = F.coalesce((F.col("days_since_commit") <= self.config.active_window_days) & ~F.col("archived"), F.lit(False))
-        return graph.project_active(base.withColumn("active", active), self.config)
+        return cut(graph.project_active(base.withColumn("active", active), self.config))
 
     @cached_property
     def all_edges(self) -> DataFrame:
         p = self.table("part").select(F.col("p_partkey").alias("src"))
         loop = self.spark.createDataFrame([(2, 11)], "src long, dst long")  # closes a cycle
-        return p.withColumn("dst", F.expr("src div 2")).unionAll(p.withColumn("dst", F.expr("src div 3"))).unionAll(loop).filter("src <> dst").distinct()
-
-    @cached_property
-    def active_nodes(self) -> DataFrame:
-        return cut(self.nodes.filter("retained"))
-
-    @cached_property
-    def edges(self) -> DataFrame:
-        return cut(graph.induced(self.all_edges, graph.dependency_nodes(self.active_nodes)).select("src", "dst"))
-
-    @cached_property
-    def closure(self) -> DataFrame:
-        return reach.transitive_dependents(self.edges)
-
-    @cached_property
-    def criticality(self) -> DataFrame:
-        return cut(surfaces.scored(reach.criticality(self.active_nodes, self.closure)))
-
-    @cached_property
-    def contributions(self) -> DataFrame:
-        recent = concentration.in_window(self.commits, self.as_of, CONTRIBUTION_DAYS)
-        return recent.groupBy("repo", "contributor").agg(F.count(F.lit(1)).alias("commits"), F.min("committed_at").alias("first_date"), F.max("committed_at").alias("last_date"))
-
-    @cached_property
-    def active_contributions(self) -> DataFrame:
-        """Of retained repositories of the own kind."""
-        repos = self.active_nodes.filter("node_type = 'Repo'").select(F.col("node_id").alias("repo"))
-        return self.contributions.join(repos, "repo", "left_semi")
-
-    @cached_property
-    def concentration(self) -> DataFrame:
-        return cut(concentration.concentration(self.active_contributions, self.config))
-
-    @cached_property
-    def signals(self) -> DataFrame:
-        return self.commits.groupBy(F.col("repo").alias("node_id")).agg(F.count(F.lit(1)).alias("stars"), F.count_distinct("contributor").alias("forks"), F.sum("quantity").cast("long").alias("downloads"))
-
-    @cached_property
-    def adoption(self) -> DataFrame:
-        return cut(adoption.adoption_scores(graph.enrich_adoption(self.active_nodes.select("node_id"), self.signals)))
+        return cut(p.withColumn("dst", F.expr("src div 2")).unionAll(p.withColumn("dst", F.expr("src div 3"))).unionAll(loop).filter("src <> dst").distinct())
 
     @cached_property
     def projects(self) -> DataFrame:
         return self.table("part").groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("title")).agg(F.sum(F.when(F.col("p_size") > 45, F.col("p_retailprice")).otherwise(0.0).cast("decimal(18,2)")).cast("double").alias("total_awarded_usd"))
-
-    @cached_property
-    def gate_rows(self) -> DataFrame:
-        return surfaces.gate_input(self.criticality, self.concentration, self.adoption)
-
-    @cached_property
-    def gate(self) -> DataFrame:
-        return cut(surfaces.gate(self.gate_rows, self.config))
-
-    @cached_property
-    def debt(self) -> DataFrame:
-        return cut(surfaces.maintenance_debt(self.active_nodes, self.criticality, self.concentration, self.config))
-
-    @cached_property
-    def keystones(self) -> DataFrame:
-        return cut(surfaces.keystones(self.concentration, self.criticality, self.active_nodes, self.closure))
-
-    @cached_property
-    def project_totals(self) -> DataFrame:
-        return cut(surfaces.project_totals(self.active_nodes, self.criticality, self.concentration))
-
-    @cached_property
-    def fer(self) -> DataFrame:
-        return cut(surfaces.funding_efficiency(self.project_totals, self.projects, self.config))
-
-    @cached_property
-    def cores(self) -> DataFrame:
-        return cut(cohesion.core_numbers(self.active_nodes, self.edges))
-
-    @cached_property
-    def bridges(self) -> DataFrame:
-        return cut(cohesion.bridges(self.edges))

@@ -81,7 +81,17 @@ fer1 AS (SELECT *, CASE WHEN funding > 0 AND fund_pct > 0 THEN round(crit_pct /
 fer AS (
   SELECT *, pony_risk_repos > 0 AS any_pony, CASE WHEN fer IS NULL THEN 'unfunded' WHEN fer > 2 THEN 'critically_underfunded' WHEN fer > 1.3 THEN 'underfunded'
               WHEN fer > 0.7 THEN 'balanced' WHEN fer > 0.4 THEN 'overfunded' ELSE 'significantly_overfunded' END AS tier FROM fer1),
-und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges)
+und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges),
+ends AS (SELECT a AS x, b AS y FROM und UNION ALL SELECT b, a FROM und),
+peel(step, node, k) AS (
+  SELECT 0, node_id, 1 FROM act UNION ALL
+  SELECT step + 1, node, CASE WHEN every_one THEN k + 1 ELSE k END
+  FROM (SELECT p.step, p.node, p.k, coalesce(d.deg, 0) AS deg, bool_and(coalesce(d.deg, 0) >= p.k) OVER () AS every_one
+        FROM peel p LEFT JOIN (SELECT m.node, count(*) AS deg FROM peel m JOIN ends e ON e.x = m.node JOIN peel o ON o.node = e.y GROUP BY 1) d ON d.node = p.node)
+  WHERE deg >= k),
+cores AS (SELECT node AS node_id, max(k)::BIGINT - 1 AS core FROM peel GROUP BY 1),
+away(a, b, n) AS (SELECT a, b, a FROM und UNION SELECT w.a, w.b, e.y FROM away w JOIN ends e ON e.x = w.n WHERE NOT (least(e.x, e.y) = w.a AND greatest(e.x, e.y) = w.b)),
+bridges AS (SELECT a, b FROM und WHERE NOT EXISTS (SELECT 1 FROM away w WHERE w.a = und.a AND w.b = und.b AND w.n = und.b))
 """
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names, narratives, tiers
-from ..operators import adoption, cohesion, concentration, fuzzy, graph, rank, reach, snapshots, surfaces
-from ..sources import payloads, tables
+from ..functions import names, tiers
+from ..functions.lineage import shared_dir
+from ..operators import adoption, build, cohesion, concentration, fuzzy, graph, rank, reach, snapshots, surfaces
+from ..sources import ingest, payloads, tables
+from . import run
 from .mapping import Model
 from .oracle import eco
 
@@ -86,28 +90,16 @@ def g4_union_reach(m):
     return reach.union_reach(m.concentration.filter("pony_factor = 1").select(F.col("top_contributor").alias("owner"), F.col("repo").alias("node_id")), m.closure)
 
 
-@query()
+@query(eco("SELECT node_id, core FROM cores"))
 def g5_core_numbers(m):
     return m.cores
 
 
-@query()
+@query(eco("SELECT a, b FROM bridges"))
 def g6_bridges(m):
     return m.bridges
 
 
-_SMALL = "u AS (SELECT a, b FROM und WHERE a < 200 AND b < 200), e AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u)"
-
-
-@query(
-    eco(" SELECT a, b FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = u.a AND r.b = u.b AND r.n = u.b)", _SMALL + """, r(a, b, n) AS (
-    SELECT a, b, a FROM u UNION SELECT r.a, r.b, e.y FROM r JOIN e ON e.x = r.n WHERE NOT (least(e.x, e.y) = r.a AND greatest(e.x, e.y) = r.b))""")
-)
-def g6_bridges_of_hub_region(m):
-    """Bridges of the subgraph of the packages with the lowest keys, where a brute-force twin can follow."""
-    return cohesion.bridges(m.edges.filter("src < 200 AND dst < 200"))
-
-
 @query(eco("""SELECT node_id, coalesce(sum(n) FILTER (w = 'a'), 0)::BIGINT AS direct_dependents, coalesce(sum(n) FILTER (w = 'b'), 0)::BIGINT AS direct_dependencies,
   coalesce(sum(n) FILTER (w = 'c'), 0)::BIGINT AS transitive_dependents, coalesce(sum(n) FILTER (w = 'd'), 0)::BIGINT AS transitive_dependencies
   FROM (SELECT dst AS node_id, count(*) AS n, 'a' AS w FROM edges GROUP BY 1 UNION ALL SELECT src, count(*), 'b' FROM edges GROUP BY 1
@@ -116,45 +108,47 @@ def g7_neighbourhood(m):
     return reach.neighbourhood(m.edges, m.closure)
 
 
-@query(eco("SELECT coalesce(n, 0) AS in_degree, count(*) AS n_nodes FROM nodes LEFT JOIN (SELECT dst, count(*) AS n FROM alledges GROUP BY 1) ON dst = node_id GROUP BY 1"))
+@query(eco("""SELECT 'in' AS side, coalesce(n, 0) AS degree, count(*) AS n_nodes FROM nodes LEFT JOIN (SELECT dst, count(*) AS n FROM alledges GROUP BY 1) ON dst = node_id GROUP BY 2
+  UNION ALL SELECT 'out', coalesce(n, 0), count(*) FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM alledges GROUP BY 1) ON src = node_id GROUP BY 2"""))
 def g8_degree_histogram(m):
     return graph.degree_histogram(m.nodes, m.all_edges)
 
 
 @query(eco("SELECT (SELECT round(avg(n), 4) FROM (SELECT count(*) AS n FROM edges GROUP BY dst)) AS mean_in_degree, (SELECT round(quantile_cont(criticality, 0.75), 4) FROM crit WHERE criticality > 0) AS criticality_p75"))
 def g8_degree_summary(m):
-    a = m.edges.groupBy("dst").count().agg(R(F.avg("count"), 4).alias("mean_in_degree"))
-    return a.crossJoin(m.criticality.filter("criticality > 0").agg(R(F.percentile("criticality", 0.75), 4).alias("criticality_p75")))  # one row each
+    return graph.degree_summary(m.edges, m.criticality).select(R("mean_in_degree", 4).alias("mean_in_degree"), R("criticality_p75", 4).alias("criticality_p75"))
 
 
-@query()
+@query(eco("SELECT core, count(*) AS n_nodes FROM cores GROUP BY 1"))
 def g9_core_shells(m):
     return cohesion.core_shells(m.cores)
 
 
-@query()
+@query(eco("SELECT node_id, core, criticality FROM cores JOIN crit USING (node_id) WHERE core = (SELECT max(core) FROM cores)"))
 def g9_inner_core(m):
-    top = m.cores.agg(F.max("core").alias("core"))
-    return m.cores.join(F.broadcast(top), "core").join(m.criticality, "node_id").select("node_id", "core", "criticality")  # top is one row
+    return cohesion.inner_core(m.cores).join(m.criticality, "node_id").select("node_id", "core", "criticality")
 
 
-@query(eco("SELECT node_id FROM (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges)"))
+@query(eco("SELECT src AS node_id FROM edges UNION SELECT dst FROM edges UNION SELECT node_id FROM crit WHERE criticality_pct >= 95 UNION SELECT dst FROM edges GROUP BY dst HAVING count(*) >= 3"))
 def g10_touched_nodes(m):
-    return graph.touched(m.edges)
+    hubs = m.edges.groupBy(F.col("dst").alias("node_id")).count().filter("count >= 3")
+    return graph.touched(m.edges, hubs, m.criticality.filter("criticality_pct >= 95"))
 
 
-@query()
+@query(eco("SELECT (SELECT count(*) FROM bridges) AS bridges, (SELECT count(*) FROM und) AS edges, round((SELECT count(*) FROM bridges) / (SELECT count(*) FROM und)::DOUBLE, 4) AS share"))
 def a31_bridge_share(m):
-    return m.bridges.agg(F.count(F.lit(1)).alias("bridges")).crossJoin(graph.undirected(m.edges).agg(F.count(F.lit(1)).alias("edges"))).withColumn("share", R(F.col("bridges") / F.col("edges"), 4))  # one row each
+    return cohesion.bridge_share(m.bridges, m.edges)
 
 
 # --- completion, enrichment, keys -----------------------------------------------------------------------------------
 
 
-@query(eco("SELECT coalesce(x.node_id, n.node_id) AS node_id, coalesce(n.node_type, 'ExternalRepo') AS node_type FROM (SELECT * FROM nodes WHERE node_id % 7 <> 3) n FULL JOIN (SELECT src AS node_id FROM alledges UNION SELECT dst FROM alledges) x USING (node_id)"))
+@query("SELECT coalesce(n.node_id, x.node_id) AS node_id, coalesce(node_type, 'ExternalRepo') AS node_type FROM (SELECT p_partkey AS node_id, 'Repo' AS node_type FROM part) n FULL JOIN (SELECT DISTINCT unnest([l_partkey, -l_suppkey]) AS node_id FROM lineitem) x ON x.node_id = n.node_id")
 def j1_complete_endpoints(m):
-    known = m.nodes.filter("node_id % 7 <> 3").select("node_id", "node_type", F.lit(None).cast("string").alias("ecosystem"))
-    return graph.complete_endpoints(known, m.all_edges.withColumns({"ecosystem": F.lit("PYPI"), "ord": F.col("src")})).select("node_id", "node_type")
+    """Parts are the nodes; suppliers of line items are ends that no node has."""
+    known = m.table("part").select(F.col("p_partkey").alias("node_id"), F.lit("Repo").alias("node_type"), F.lit(None).cast("string").alias("ecosystem"))
+    deps = m.table("lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"), F.lit("PYPI").alias("ecosystem"), F.col("l_orderkey").alias("ord"))
+    return graph.complete_endpoints(known, deps).select("node_id", "node_type")
 
 
 @query(eco("SELECT 'c' || contributor AS node_id, 'Contributor' AS node_type, true AS active FROM (SELECT DISTINCT contributor FROM contrib) UNION ALL SELECT 'r' || node_id, node_type, active FROM nodes"))
@@ -163,9 +157,11 @@ def j2_complete_contributors(m):
     return graph.complete_contributors(n, m.contributions.select(F.concat(F.lit("c"), "contributor").alias("contributor"))).select("node_id", "node_type", "active")
 
 
-@query(eco("SELECT n.node_id, downloads, stars, forks FROM nodes n LEFT JOIN signals s ON s.node_id = n.node_id AND s.node_id % 3 <> 0"))
+@query("SELECT p_partkey AS node_id, downloads, stars, forks FROM part LEFT JOIN (SELECT l_partkey AS k, sum(l_quantity)::BIGINT AS downloads, count(*) AS stars, 0::BIGINT AS forks FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 5 GROUP BY 1) ON k = p_partkey")
 def j3_enrich_adoption(m):
-    return graph.enrich_adoption(m.nodes.select("node_id"), m.signals.filter("node_id % 3 <> 0")).select("node_id", "downloads", "stars", "forks")
+    """Signals come from late returned lines only, so some parts have none."""
+    s = m.table("lineitem").filter("l_returnflag = 'R' AND l_linenumber > 5").groupBy(F.col("l_partkey").alias("node_id")).agg(F.sum("l_quantity").cast("long").alias("downloads"), F.count(F.lit(1)).alias("stars"), F.lit(None).cast("long").alias("forks"))
+    return graph.enrich_adoption(m.table("part").select(F.col("p_partkey").alias("node_id")), s).select("node_id", "downloads", "stars", "forks")
 
 
 @query(eco("SELECT node_id, coalesce(age, days) AS days, coalesce(age <= 90, active) AS active FROM nodes LEFT JOIN ages ON repo = node_id"))
@@ -219,18 +215,37 @@ def j10_debt_input(m):
     return r.join(m.criticality, "node_id").join(m.concentration, F.col("repo") == F.col("node_id")).select("node_id", "criticality", "hhi")
 
 
-@query("SELECT DISTINCT coalesce(a.s_name, l_suppkey::VARCHAR) AS src, coalesce(b.p_name, l_partkey::VARCHAR) AS dst FROM lineitem LEFT JOIN supplier a ON a.s_suppkey = l_suppkey AND a.s_suppkey % 2 = 0 LEFT JOIN part b ON b.p_partkey = l_partkey AND b.p_partkey % 2 = 0")
+@query("""WITH e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b, CASE WHEN l_returnflag = 'N' THEN 'NPM' ELSE 'CARGO' END AS ecosystem FROM lineitem),
+u AS (SELECT 'p' || p_partkey AS name, 'https://p/' || p_brand AS url FROM part WHERE p_size > 10 UNION ALL SELECT 's' || s_suppkey, 'https://s/' || s_name FROM supplier WHERE s_acctbal > 0)
+SELECT CASE WHEN ecosystem = 'CARGO' THEN coalesce(x.url, a) ELSE a END AS src, CASE WHEN ecosystem = 'CARGO' THEN coalesce(y.url, b) ELSE b END AS dst, ecosystem FROM e LEFT JOIN u x ON x.name = a LEFT JOIN u y ON y.name = b""")
 def j11_translate_names(m):
-    li = m.table("lineitem").select("l_suppkey", "l_partkey").distinct()
-    s = m.table("supplier").filter("s_suppkey % 2 = 0").select("s_suppkey", "s_name")
-    p = m.table("part").filter("p_partkey % 2 = 0").select("p_partkey", "p_name")
-    j = li.join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return j.select(F.coalesce("s_name", F.col("l_suppkey").cast("string")).alias("src"), F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    edges, urls = _named_edges(m)
+    return ingest.translate_names(edges, urls, "CARGO").select(F.col("from_repo").alias("src"), F.col("to_package").alias("dst"), "ecosystem")
 
 
-@query(eco("SELECT node_id, coalesce(a.downloads, 0) AS downloads, coalesce(b.stars, 0) AS stars, coalesce(b.forks, 0) AS forks FROM (SELECT * FROM signals WHERE node_id % 2 = 0) a FULL JOIN (SELECT * FROM signals WHERE node_id % 3 = 0) b USING (node_id)"))
+def _named_edges(m):
+    name = lambda p, c: F.concat(F.lit(p), c)
+    edges = m.table("lineitem").select(name("p", "l_partkey").alias("from_repo"), name("s", "l_suppkey").alias("to_package"), F.when(F.col("l_returnflag") == "N", "NPM").otherwise("CARGO").alias("ecosystem")).distinct()
+    p = m.table("part").filter("p_size > 10").select(name("p", "p_partkey").alias("name"), name("https://p/", "p_brand").alias("url"))
+    return edges, p.unionByName(m.table("supplier").filter("s_acctbal > 0").select(name("s", "s_suppkey").alias("name"), name("https://s/", "s_name").alias("url")))
+
+
+@query("SELECT 'p' || l_partkey AS name FROM lineitem UNION SELECT 's' || l_suppkey FROM lineitem")
+def u3_package_names(m):
+    return ingest.package_names(_named_edges(m)[0])
+
+
+@query("SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 1000 UNION ALL SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 1000)")
+def u7_live_else_cached(m):
+    """Nothing was ingested, so the cached rows count."""
+    return ingest.live_else_cached(m.table("lineitem").filter("l_quantity > 1000").select(F.col("l_orderkey").alias("k")), m.table("orders").select(F.col("o_orderkey").alias("k")))
+
+
+@query("SELECT coalesce(a.k, b.k) AS node_id, coalesce(downloads, 0) AS downloads, coalesce(stars, 0) AS stars, coalesce(forks, 0) AS forks FROM (SELECT l_partkey AS k, sum(l_quantity)::BIGINT AS downloads FROM lineitem WHERE l_linenumber = 6 GROUP BY 1) a FULL JOIN (SELECT l_partkey AS k, count(*) AS stars, count(DISTINCT l_suppkey) AS forks FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) b ON a.k = b.k")
 def j12_merge_signals(m):
-    return adoption.merge_signals(m.signals.filter("node_id % 2 = 0").select("node_id", "downloads"), m.signals.filter("node_id % 3 = 0").select("node_id", "stars", "forks"))
+    """Sixth lines give downloads, seventh lines stars and forks; many parts have one of them only."""
+    line = lambda n: m.table("lineitem").filter(f"l_linenumber = {n}").groupBy(F.col("l_partkey").alias("node_id"))
+    return adoption.merge_signals(line(6).agg(F.sum("l_quantity").cast("long").alias("downloads")), line(7).agg(F.count(F.lit(1)).alias("stars"), F.count_distinct("l_suppkey").alias("forks")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -320,9 +335,9 @@ def a9_keystones(m):
     return m.keystones.select("contributor", "kci", "n_repos", "n_projects", R("kci_pct", 4).alias("kci_pct"), "at_risk")
 
 
-@query(eco("SELECT contributor, array_to_string(array_agg(f.node_id ORDER BY f.node_id), ',') AS repos FROM flagged f JOIN keystones USING (contributor) GROUP BY 1"))
+@query(eco("SELECT contributor, f.node_id, coalesce(criticality, 0) AS criticality FROM flagged f LEFT JOIN crit USING (node_id)"))
 def a9_keystone_repos(m):
-    return m.keystones.select("contributor", F.array_join(F.col("repos").cast("array<string>"), ",").alias("repos"))
+    return surfaces.keystone_repos(m.concentration, m.criticality)
 
 
 @query(eco("SELECT node_id, project, days, criticality, hhi, trend, hhi_tier, risk FROM debt"))
@@ -342,14 +357,19 @@ def a11_gate_summary(m):
     return surfaces.gate_summary(m.gate, m.config)
 
 
-@query(eco("SELECT count(*) AS total, count(*) FILTER (hhi_tier = 'critical') AS n_critical, count(*) FILTER (trend = 'declining') AS n_declining FROM debt"))
+@query(eco("SELECT count(*) AS total, count(*) FILTER (hhi_tier = 'critical') AS n_critical, count(*) FILTER (trend = 'declining') AS n_declining, (SELECT coalesce(string_agg(node_id::VARCHAR, ',' ORDER BY risk DESC, node_id), '') FROM (SELECT * FROM debt ORDER BY risk DESC, node_id LIMIT 5)) AS top FROM debt"))
 def a12_debt_summary(m):
-    return surfaces.debt_summary(m.debt)
+    return surfaces.debt_summary(m.debt).withColumn("top", _keys("top", "node_id"))
+
 
+def _keys(column, key):
+    """The keys of an array of structs, in order, as text."""
+    return F.array_join(F.transform(column, lambda x: x[key].cast("string")), ",")
 
-@query(eco("SELECT count(*) AS total, coalesce(sum(at_risk), 0)::BIGINT AS at_risk_total, coalesce(max(kci), 0) AS max_kci FROM keystones"))
+
+@query(eco("SELECT count(*) AS total, coalesce(sum(at_risk), 0)::BIGINT AS at_risk_total, coalesce(max(kci), 0) AS max_kci, (SELECT coalesce(string_agg(contributor::VARCHAR, ',' ORDER BY kci DESC, contributor), '') FROM (SELECT * FROM keystones ORDER BY kci DESC, contributor LIMIT 5)) AS top FROM keystones"))
 def a13_keystone_summary(m):
-    return surfaces.keystone_summary(m.keystones)
+    return surfaces.keystone_summary(m.keystones).withColumn("top", _keys("top", "contributor"))
 
 
 @query(eco("SELECT t.tier, count(f.tier) AS n FROM (SELECT unnest(['critically_underfunded', 'underfunded', 'balanced', 'overfunded', 'significantly_overfunded', 'unfunded']) AS tier) t LEFT JOIN fer f ON f.tier = t.tier GROUP BY 1"))
@@ -357,26 +377,35 @@ def a14_fer_summary(m):
     return surfaces.fer_summary(m.fer)
 
 
-_SNAPSHOT = """SELECT (SELECT count(*) FROM nodes WHERE node_type = 'Repo' AND retained) AS active_repos, (SELECT count(DISTINCT project) FROM nodes WHERE node_type = 'Repo') AS projects, (SELECT count(*) FROM edges) AS dependency_edges,
+@query(eco("SELECT coalesce(string_agg(project, ',' ORDER BY fer DESC, project), '') AS top FROM (SELECT * FROM fer WHERE tier = 'critically_underfunded' ORDER BY fer DESC, project LIMIT 5)"))
+def a14_most_underfunded(m):
+    return surfaces.most_underfunded(m.fer).select(_keys("top", "project").alias("top"))
+
+
+_SNAPSHOT = """SELECT (SELECT count(*) FROM act WHERE node_type = 'Repo') AS active_repos, (SELECT count(DISTINCT project) FROM nodes WHERE node_type = 'Repo') AS projects, 0::BIGINT AS project_nodes,
+  (SELECT count(*) FROM edges) AS dependency_edges, (SELECT max(core) FROM cores) AS max_core, (SELECT count(*) FROM bridges) AS bridge_edges,
   (SELECT round(avg(hhi), 1) FROM conc) AS mean_hhi, (SELECT round(median(hhi), 1) FROM conc) AS median_hhi, (SELECT round(avg(pony_factor), 4) FROM conc) AS pony_rate,
   (SELECT round(avg(criticality), 2) FROM crit) AS mean_criticality, (SELECT round(median(criticality), 2) FROM crit) AS median_criticality, (SELECT max(criticality) FROM crit) AS max_criticality,
-  (SELECT round(avg(passed::INT), 4) FROM gate) AS gate_pass_rate, (SELECT count(*) FROM gate WHERE borderline) AS borderline, (SELECT count(*) FROM debt) AS debt_size, (SELECT count(*) FROM keystones) AS keystone_count"""
+  (SELECT round(avg(passed::INT), 4) FROM gate) AS gate_pass_rate, (SELECT count(*) FROM gate WHERE borderline) AS borderline, (SELECT count(*) FROM debt) AS debt_size, (SELECT count(*) FROM keystones) AS keystone_count,
+  (SELECT coalesce(string_agg(node_id::VARCHAR, ',' ORDER BY criticality DESC, node_id), '') FROM (SELECT * FROM crit WHERE criticality > 0 ORDER BY criticality DESC, node_id LIMIT 10)) AS top_critical,
+  (SELECT coalesce(string_agg(contributor::VARCHAR, ',' ORDER BY kci DESC, contributor), '') FROM (SELECT * FROM keystones ORDER BY kci DESC, contributor LIMIT 5)) AS top_keystones,
+  (SELECT string_agg(tier || ':' || n, ',' ORDER BY tier) FROM (SELECT tier, count(*) AS n FROM fer GROUP BY 1)) AS fer_tiers"""
 
 
 @query(eco(_SNAPSHOT))
 def a15_snapshot(m):
-    return snapshots.snapshot(m.nodes, m.criticality, m.concentration, m.gate, m.debt, m.keystones, m.edges)
+    tiers_ = F.array_join(F.transform(F.map_entries("fer_tiers"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return m.snapshot.withColumns({"top_critical": _keys("top_critical", "node_id"), "top_keystones": _keys("top_keystones", "contributor"), "fer_tiers": tiers_})
 
 
-@query(eco("SELECT (SELECT count(*) FROM fer) AS fer_total, (SELECT count(*) FROM fer WHERE tier IN ('critically_underfunded', 'underfunded')) AS underfunded, (SELECT count(*) FROM debt) AS debt_size, (SELECT round(100 * avg(passed::INT))::BIGINT FROM gate) AS pass_pct"))
+@query(eco(" SELECT *, underfunded || ' of ' || fer_total || ' projects have too little funding for their importance, ' || debt_size || ' repositories carry maintenance debt, and ' || pass_pct || ' % of those scored pass the gate.' AS answer FROM facts", "facts AS (SELECT (SELECT count(*) FROM fer) AS fer_total, (SELECT count(*) FROM fer WHERE tier IN ('critically_underfunded', 'underfunded')) AS underfunded, (SELECT count(*) FROM debt) AS debt_size, (SELECT round(100 * avg(passed::INT))::BIGINT FROM gate) AS pass_pct)"))
 def a16_north_star(m):
-    return snapshots.north_star(m.fer, m.debt, m.gate).drop("answer")
+    return snapshots.north_star(m.fer, m.debt, m.gate)
 
 
 @query(eco("SELECT 'commits' AS part, count(*) AS n FROM commits UNION ALL SELECT 'contributions', count(*) FROM contrib UNION ALL SELECT 'dependencies', count(*) FROM alledges UNION ALL SELECT 'adoption', count(*) FROM signals"))
 def a17_coverage(m):
-    one = lambda n, d: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n")
-    return one("commits", m.commits).unionAll(one("contributions", m.contributions)).unionAll(one("dependencies", m.all_edges)).unionAll(one("adoption", m.signals))
+    return graph.coverage({"commits": m.commits, "contributions": m.contributions, "dependencies": m.all_edges, "adoption": m.signals})
 
 
 @query("SELECT count(DISTINCT user_id) AS processed, (SELECT count(DISTINCT user_id) FROM events WHERE event_type <> 'error') AS accessible, count(DISTINCT user_id) - (SELECT count(DISTINCT user_id) FROM events WHERE event_type <> 'error') AS inaccessible, (SELECT count(DISTINCT props) FROM events WHERE event_type <> 'error') AS contributors FROM events")
@@ -384,10 +413,18 @@ def a18_run_summary(m):
     return concentration.run_summary(m.table("events").select(F.col("user_id").alias("repo"), F.col("props").alias("email"), (F.col("event_type") != "error").alias("accessible")))
 
 
-@query(eco("SELECT CASE WHEN dst < 5 THEN 'hub' ELSE dst::VARCHAR END AS target, count(*) AS n FROM alledges GROUP BY 1 ORDER BY n DESC, target LIMIT 8"))
+@query(eco("SELECT CASE WHEN dst < 5 THEN 'hub' ELSE dst::VARCHAR END AS target, count(*) AS n, count(DISTINCT src) AS n_sources FROM alledges GROUP BY 1 ORDER BY n DESC, target LIMIT 8"))
 def a19_t7_dependency_hubs(m):
-    target = names.canonical(F.col("dst").cast("string"), {str(i): "hub" for i in range(5)})
-    return m.all_edges.groupBy(target.alias("target")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target").limit(8)
+    return graph.hubs(m.all_edges.withColumn("dst", names.canonical(F.col("dst").cast("string"), _HUBS)), 8)
+
+
+#: Display names of the packages with the lowest keys, which most others depend on.
+_HUBS = {str(i): "hub" for i in range(5)}
+
+
+@query(eco("SELECT count(DISTINCT src) AS n_sources, count(*) AS n_edges FROM alledges"))
+def a19_source_count(m):
+    return graph.source_count(m.all_edges)
 
 
 _TOP = "top AS (SELECT repo, sum(commits)::BIGINT AS total, (array_agg(contributor ORDER BY commits DESC, contributor))[1] AS top_contributor, round(100.0::DOUBLE * max(commits) / sum(commits), 2) AS top_pct FROM contrib GROUP BY 1)"
@@ -398,20 +435,29 @@ def a20_share_histogram(m):
     return concentration.share_histogram(concentration.top_contributors(m.contributions))
 
 
+@query(eco(" SELECT count(*) AS n, count(*) FILTER (top_pct >= 50) AS n_flagged, round(100.0::DOUBLE * count(*) FILTER (top_pct >= 50) / count(*), 2) AS flagged_pct FROM top", _TOP))
+def a20_flagged_share(m):
+    return concentration.flagged_share(concentration.top_contributors(m.contributions))
+
+
 @query(eco(" SELECT *, CASE WHEN top_pct < 30 THEN 'healthy' WHEN top_pct < 50 THEN 'moderate' WHEN top_pct < 80 THEN 'concentrated' ELSE 'critical' END AS band FROM top", _TOP))
 def a21_p13_top_contributors(m):
     return concentration.top_contributors(m.contributions)
 
 
 @query(eco("SELECT hhi_tier, count(*) AS n, round(avg(hhi), 1) AS mean_hhi, round(avg(pony_factor), 4) AS pony_rate, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM conc), 2) AS pct FROM conc GROUP BY 1"))
-def a22_a29_tier_summary(m):
+def a29_tier_summary(m):
     return concentration.tier_summary(m.concentration)
 
 
+@query(eco(" SELECT CASE WHEN top_pct < 30 THEN 'healthy' WHEN top_pct < 50 THEN 'moderate' WHEN top_pct < 80 THEN 'concentrated' ELSE 'critical' END AS band, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM top), 2) AS pct, (SELECT round(avg(hhi), 1) FROM conc) AS mean_hhi, (SELECT round(avg(pony_factor), 4) FROM conc) AS pony_rate FROM top GROUP BY 1", _TOP))
+def a22_band_summary(m):
+    return concentration.band_summary(concentration.top_contributors(m.contributions), m.concentration)
+
+
 @query(eco("SELECT * FROM (SELECT 'total' AS stage, count(*) AS n FROM gate UNION ALL SELECT 'criticality', count(*) FROM gate WHERE criticality_passed UNION ALL SELECT 'maintenance', count(*) FROM gate WHERE maintenance_passed UNION ALL SELECT 'adoption', count(*) FROM gate WHERE adoption_passed UNION ALL SELECT 'passed', count(*) FROM gate WHERE passed UNION ALL SELECT 'failed', count(*) FROM gate WHERE NOT passed)"))
 def a23_gate_funnel(m):
-    s = surfaces.gate_summary(m.gate).crossJoin(m.gate.agg(*[F.count_if(f"{k}_passed").alias(f"n_{k}") for k in ("criticality", "maintenance", "adoption")]))  # one row each
-    return s.selectExpr("stack(6, 'total', total, 'criticality', n_criticality, 'maintenance', n_maintenance, 'adoption', n_adoption, 'passed', n_passed, 'failed', n_failed) AS (stage, n)")
+    return surfaces.gate_funnel(m.gate)
 
 
 _BOTS = (1, 4)
@@ -423,45 +469,68 @@ def p9_p17_bipartite(m):
     return concentration.bipartite(m.contributions.select("repo", "contributor", "commits"), _BOTS)
 
 
-@query(eco(" SELECT contributor, count(DISTINCT repo) AS n_repos, sum(commits)::BIGINT AS commits, bool_or(cross_repo) AS cross_repo FROM kept GROUP BY 1", _BIP))
+@query(eco(" SELECT contributor, count(DISTINCT repo) AS n_repos, sum(commits)::BIGINT AS commits, bool_or(cross_repo) AS cross_repo, row_number() OVER (ORDER BY bool_or(cross_repo) DESC, sum(commits) DESC, contributor) AS place FROM kept GROUP BY 1", _BIP))
 def a24_t9_contributors(m):
-    return concentration.bipartite(m.contributions.select("repo", "contributor", "commits"), _BOTS).groupBy("contributor").agg(F.count_distinct("repo").alias("n_repos"), F.sum("commits").alias("commits"), F.bool_or("cross_repo").alias("cross_repo"))
+    return concentration.contributor_order(_bipartite(m))
+
+
+def _bipartite(m):
+    return concentration.bipartite(m.contributions.select("repo", "contributor", "commits"), _BOTS)
+
+
+def _passing(m):
+    return m.gate.filter("passed").select(F.col("node_id").alias("repo"))
+
+
+@query(eco(" SELECT repo, count(*) AS n_contributors, coalesce(bool_or(passed), false) AS passed, row_number() OVER (ORDER BY coalesce(bool_or(passed), false) DESC, count(*) DESC, repo) AS place FROM kept LEFT JOIN gate ON node_id = repo GROUP BY 1", _BIP))
+def a24_t9_repos(m):
+    return concentration.repo_order(_bipartite(m), _passing(m))
+
+
+@query(eco(" SELECT repo, contributor, CASE WHEN share_pct >= 70 THEN 'dominant' WHEN share_pct >= 40 THEN 'major' WHEN share_pct >= 20 THEN 'notable' ELSE 'minor' END AS band FROM kept", _BIP))
+def p13_edge_bands(m):
+    return _bipartite(m).select("repo", "contributor", tiers.edge_share_band(F.col("share_pct")).alias("band"))
 
 
 @query(eco(" SELECT contributor FROM kept WHERE cross_repo UNION SELECT contributor FROM kept JOIN gate ON node_id = repo WHERE passed AND share_pct >= 20", _BIP))
 def u5_labels(m):
-    k = concentration.bipartite(m.contributions.select("repo", "contributor", "commits"), _BOTS)
-    passing = m.gate.filter("passed").select(F.col("node_id").alias("repo"))
-    return k.filter("cross_repo").select("contributor").union(k.filter("share_pct >= 20").join(passing, "repo", "left_semi").select("contributor")).distinct()
+    return concentration.labelled(_bipartite(m), _passing(m))
 
 
-@query(eco("SELECT src, CASE WHEN dst < 5 THEN 'hub' ELSE dst::VARCHAR END AS dst, count(*) OVER (PARTITION BY src) >= 2 AS multi FROM alledges WHERE dst < 5 AND src >= 5"))
+@query(eco(" SELECT src, dst, count(*) OVER (PARTITION BY src) >= 3 AS multi FROM (SELECT CASE WHEN src < 5 THEN 'hub' ELSE src::VARCHAR END AS src, CASE WHEN dst < 5 THEN 'hub' ELSE dst::VARCHAR END AS dst FROM dep JOIN (SELECT dst AS h FROM dep GROUP BY 1 HAVING count(*) >= 5) ON h = dst) WHERE src <> dst", "dep AS (SELECT src, dst FROM alledges UNION SELECT l_suppkey + 1000000000, l_partkey FROM lineitem)"))
 def p8_p18_core_hub_edges(m):
-    e = m.all_edges.filter("dst < 5 AND src >= 5").select("src", names.canonical(F.col("dst").cast("string"), {str(i): "hub" for i in range(5)}).alias("dst"))
-    return e.withColumn("multi", F.count(F.lit(1)).over(Window.partitionBy("src")) >= 2)
+    """Suppliers depend on the parts they deliver; a hub is what five or more depend on."""
+    more = m.table("lineitem").select((F.col("l_suppkey") + 1_000_000_000).alias("src"), F.col("l_partkey").alias("dst"))
+    e = m.all_edges.unionByName(more).distinct()
+    core = e.groupBy("dst").count().filter("count >= 5").select("dst")
+    name = lambda c: names.canonical(F.col(c).cast("string"), _HUBS)
+    return graph.core_hub_edges(e, core, name("src"), name("dst"))
 
 
 @query(eco("SELECT a.node_id, stars, forks, downloads, coalesce(passed, false) AS passed FROM adopt a LEFT JOIN gate g ON g.node_id = a.node_id"))
 def a25_adoption_scatter(m):
-    return m.adoption.join(m.gate.select("node_id", "passed"), "node_id", "left").select("node_id", "stars", "forks", "downloads", F.coalesce("passed", F.lit(False)).alias("passed"))
+    return adoption.scatter(m.adoption, m.gate)
 
 
-@query("SELECT p_type AS category, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM part), 2) AS pct FROM part GROUP BY 1")
+@query("SELECT p_type AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM part), 2) AS pct FROM part GROUP BY 1")
 def a26_category_counts(m):
-    total = m.table("part").agg(F.count(F.lit(1)).alias("total"))
-    return m.table("part").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("category", "n", R(100 * F.col("n") / F.col("total"), 2).alias("pct"))  # total is one row
+    return rank.value_counts(m.table("part"), "p_type")
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM orders), 2) AS pct FROM orders GROUP BY 1")
+def a26_status_counts(m):
+    return rank.value_counts(m.table("orders"), "o_orderstatus")
 
 
 @query(eco("""SELECT round(sum(funding), 2) AS total, round(median(funding), 2) AS median, max(funding) AS max, round(sum(funding * (2 * i - n - 1)) / (max(n) * sum(funding)), 6) AS gini
   FROM (SELECT funding, row_number() OVER (ORDER BY funding) AS i, count(*) OVER () AS n FROM projects)"""))
 def a27_funding_distribution(m):
-    p = m.projects.withColumnRenamed("total_awarded_usd", "funding")
-    return p.agg(R(F.sum("funding"), 2).alias("total"), R(F.median("funding"), 2).alias("median"), F.max("funding").alias("max")).crossJoin(rank.gini(p, "funding").select(R("gini", 6).alias("gini")))  # one row each
+    return rank.distribution(m.projects, "total_awarded_usd").select(R("total", 2).alias("total"), R("median", 2).alias("median"), "max", R("gini", 6).alias("gini"))
 
 
-@query(eco("SELECT t.project, t.criticality, n_repos, t.pony_risk_repos, round(t.pony_risk_repos / greatest(n_repos, 1)::DOUBLE, 4) AS high_pony_ratio, fer, CASE WHEN fer IS NULL THEN 'unknown' ELSE tier END AS tier FROM totals t LEFT JOIN fer f USING (project)"))
+@query(eco("SELECT t.project, t.criticality, n_repos, t.pony_risk_repos, round((rank() OVER (ORDER BY t.criticality) + (count(*) OVER (PARTITION BY t.criticality) - 1) / 2.0) / (count(*) OVER ())::DOUBLE * 100, 6) AS crit_rank_pct, round(t.pony_risk_repos / greatest(n_repos, 1)::DOUBLE, 4) AS high_pony_ratio, fer, CASE WHEN fer IS NULL THEN 'unknown' ELSE tier END AS tier FROM totals t LEFT JOIN fer f USING (project)"))
 def a30_scorecard(m):
-    return surfaces.scorecard(m.project_totals, m.fer).drop("crit_rank_pct")
+    return surfaces.scorecard(m.project_totals, m.fer).withColumn("crit_rank_pct", R("crit_rank_pct", 6))
 
 
 @query(eco("SELECT hhi_tier, least(floor(hhi / 250), 39)::BIGINT AS bin, count(*) AS n FROM conc GROUP BY 1, 2"))
@@ -469,15 +538,40 @@ def a32_hhi_histogram(m):
     return concentration.hhi_histogram(m.concentration)
 
 
-@query("SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP AS quarter, o_orderpriority AS category, round(sum(o_totalprice), 2) AS total, count(*) AS n, count(DISTINCT o_custkey) AS voters, round(100.0::DOUBLE * avg((o_orderstatus = 'F')::INT), 2) AS flagged_pct FROM orders GROUP BY 1, 2")
+@query("SELECT o_orderpriority AS category, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1")
+def a33_categories(m):
+    return surfaces.rollup(_awards(m), ["category"]).select("category", R("total", 2).alias("total"), "n")
+
+
+def _awards(m):
+    """Orders as awards: round, category, amount, voter, stage, flagged."""
+    return m.table("orders").select(F.date_trunc("quarter", "o_orderdate").alias("round"), F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("amount"), F.col("o_custkey").alias("voter"), F.col("o_orderstatus").alias("stage"), (F.col("o_orderstatus") == "F").alias("flagged"))
+
+
+@query("SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP AS round, round(sum(o_totalprice), 2) AS total, count(*) AS n, count(DISTINCT o_custkey) AS voters, round(100.0::DOUBLE * avg((o_orderstatus = 'F')::INT), 2) AS flagged_pct FROM orders GROUP BY 1")
+def a33_rounds(m):
+    return surfaces.rollup(_awards(m), ["round"]).select("round", R("total", 2).alias("total"), "n", "voters", R("flagged_pct", 2).alias("flagged_pct"))
+
+
+@query("SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP AS round, o_orderpriority AS category, round(sum(o_totalprice), 2) AS total, count(*) AS n, count(DISTINCT o_custkey) AS voters, round(100.0::DOUBLE * avg((o_orderstatus = 'F')::INT), 2) AS flagged_pct FROM orders GROUP BY 1, 2")
 def a33_dashboard_rollup(m):
-    o = m.table("orders")
-    return o.groupBy(F.date_trunc("quarter", "o_orderdate").alias("quarter"), F.col("o_orderpriority").alias("category")).agg(R(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("total"), F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("voters"), R(100 * F.avg((F.col("o_orderstatus") == "F").cast("int")), 2).alias("flagged_pct"))
+    return surfaces.rollup(_awards(m), ["round", "category"]).withColumns({"total": R("total", 2), "flagged_pct": R("flagged_pct", 2)})
+
 
+@query("SELECT o_orderstatus AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM orders), 2) AS pct FROM orders GROUP BY 1")
+def a33_stages(m):
+    return rank.value_counts(_awards(m), "stage")
 
-@query(eco("SELECT tier, count(*) AS n, count(*) FILTER (any_pony) AS n_with_pony FROM fer GROUP BY 1"))
+
+@query("SELECT n_name AS github_org, count(*) AS project_count FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def a33_org_counts(m):
+    c = m.table("customer").join(m.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return tables.org_counts(c.select(F.concat(F.lit("https://github.com/"), "n_name", F.lit("/"), "c_name").alias("github_url")))
+
+
+@query(eco("SELECT tier, count(*) AS n, count(*) FILTER (any_pony) AS n_with_pony, (SELECT count(*) FROM fer WHERE tier IN ('critically_underfunded', 'underfunded')) AS n_underfunded FROM fer GROUP BY 1"))
 def a34_fer_display(m):
-    return m.fer.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if("any_pony").alias("n_with_pony"))
+    return surfaces.fer_display(m.fer)
 
 
 @query(eco("SELECT node_id, round(criticality_pct, 4) AS criticality_pct, hhi, trend FROM debt"))
@@ -491,9 +585,9 @@ def a36_type_counts(m):
     return graph.type_counts(m.nodes, typed)
 
 
-@query(eco("SELECT (SELECT count(*) FROM crit WHERE criticality > 0) AS scored, (SELECT max(criticality) FROM crit) AS max_score, (SELECT round(100 * avg(pony_factor), 2) FROM conc) AS flagged_pct, (SELECT count(*) FROM conc WHERE hhi_tier = 'critical') AS n_critical"))
+@query(eco("SELECT (SELECT count(*) FROM crit WHERE criticality > 0) AS scored, (SELECT max(criticality) FROM crit) AS max_score, (SELECT round(100 * avg(pony_factor), 2) FROM conc) AS flagged_pct, (SELECT count(*) FROM conc WHERE hhi_tier = 'critical') AS n_critical, (SELECT count(*) FROM cores WHERE core = (SELECT max(core) FROM cores)) AS inner_core, (SELECT count(*) FROM fer WHERE tier IN ('critically_underfunded', 'underfunded')) AS underfunded"))
 def a37_headline(m):
-    return m.criticality.agg(F.count_if(F.col("criticality") > 0).alias("scored"), F.max("criticality").alias("max_score")).crossJoin(m.concentration.agg(R(100 * F.avg("pony_factor"), 2).alias("flagged_pct"), F.count_if(F.col("hhi_tier") == "critical").alias("n_critical")))  # one row each
+    return surfaces.headline(m.criticality, m.concentration, m.cores, m.fer)
 
 
 # --- gate, orders, narratives ---------------------------------------------------------------------------------------
@@ -525,10 +619,24 @@ def t4_fer_order(m):
 
 
 @query(eco("SELECT node_id, criticality, round(criticality_pct, 4) AS criticality_pct FROM crit WHERE criticality > 0 ORDER BY criticality DESC, node_id LIMIT 10"))
-def t5_t6_critical_top(m):
+def t5_critical_top(m):
     return m.criticality.filter("criticality > 0").orderBy(F.desc("criticality"), "node_id").limit(10).select("node_id", "criticality", R("criticality_pct", 4).alias("criticality_pct"))
 
 
+@query(eco("SELECT node_id, criticality, row_number() OVER (ORDER BY criticality DESC, node_id) AS place FROM crit"))
+def t6_critical_order(m):
+    return rank.place(m.criticality.select("node_id", "criticality", F.lit(0).alias("g")), "g", [F.col("criticality").desc(), F.col("node_id")], "place").drop("g")
+
+
+_DECAY = "decay AS (SELECT a.node_id, coalesce(round(s, 3), 0) AS decay_criticality FROM act a LEFT JOIN (SELECT pkg, sum(exp(-coalesce(days, 0) / 30.0)) AS s FROM closure JOIN act d ON d.node_id = dependent AND d.active GROUP BY 1) ON pkg = a.node_id)"
+
+
+@query(eco(" SELECT node_id, criticality, round(criticality_pct, 4) AS criticality_pct, decay_criticality FROM crit JOIN decay USING (node_id) ORDER BY criticality DESC, node_id LIMIT 20", _DECAY))
+def t6_top_with_decay(m):
+    best = m.criticality.orderBy(F.desc("criticality"), "node_id").limit(20)
+    return m.decay.join(F.broadcast(best), "node_id").select("node_id", "criticality", R("criticality_pct", 4).alias("criticality_pct"), "decay_criticality")  # 20 rows
+
+
 @query(eco("SELECT repo, top_share FROM conc ORDER BY top_share DESC, repo LIMIT 20"))
 def t8_top_share(m):
     return m.concentration.select("repo", "top_share").orderBy(F.desc("top_share"), "repo").limit(20)
@@ -544,17 +652,38 @@ def t10_underfunded_top(m):
     return m.fer.filter("fer > 1.5").select("project", "fer").orderBy(F.desc("fer"), "project").limit(10)
 
 
-@query()
+@query(eco("SELECT node_id, round(adoption_score, 4) AS adoption_score FROM adopt ORDER BY round(adoption_score, 9) DESC, node_id LIMIT 15"))
+def t10_adopted_top(m):
+    return m.adoption.orderBy(R("adoption_score", 9).desc(), "node_id").limit(15).select("node_id", R("adoption_score", 4).alias("adoption_score"))
+
+
+@query(eco("SELECT project, fer, criticality FROM fer WHERE fer BETWEEN 0.8 AND 1.2 ORDER BY criticality DESC, project LIMIT 5"))
+def t10_balanced_top(m):
+    return m.fer.filter("fer BETWEEN 0.8 AND 1.2").select("project", "fer", "criticality").orderBy(F.desc("criticality"), "project").limit(5)
+
+
+@query(eco("SELECT node_id, criticality FROM crit ORDER BY criticality DESC, node_id LIMIT 8"))
+def t10_critical_top(m):
+    return m.criticality.select("node_id", "criticality").orderBy(F.desc("criticality"), "node_id").limit(8)
+
+
+@query(eco(""" SELECT node_id, a AS criticality_text, b AS maintenance_text, c AS adoption_text, CASE WHEN passed THEN 'Passes' ELSE 'Fails' END || ' with ' || votes || ' of 2 signals needed; ' || a || '; ' || b || '; ' || c || '.' AS explanation FROM texts""", """texts AS (SELECT *,
+  'criticality ' || CASE WHEN criticality_passed THEN 'met' ELSE 'missed' END || ': ' || criticality || ' active packages build on it, more than ' || round(criticality_pct)::BIGINT || ' % of all packages have (50 % asked)' AS a,
+  CASE WHEN maintenance_passed THEN 'maintenance met: HHI ' || round(hhi)::BIGINT || ' (under 2500 asked)' ELSE 'maintenance missed: ' || top_contributor || ' made ' || round(top_share * 100)::BIGINT || ' % of the commits, HHI ' || round(hhi)::BIGINT || ' (under 2500 asked)' END AS b,
+  'adoption ' || CASE WHEN adoption_passed THEN 'met' ELSE 'missed' END || ': mean rank of downloads, stars and forks ' || round(adoption_score)::BIGINT || ' of 100 (40 asked)' AS c FROM gate)"""))
 def n1_gate_narratives(m):
     return m.gate.select("node_id", "criticality_text", "maintenance_text", "adoption_text", "explanation")
 
 
-@query()
+@query(eco(""" SELECT project, CASE tier WHEN 'unfunded' THEN 'No funding to compare with; criticality rank ' || round(crit_pct)::BIGINT || '.' WHEN 'critically_underfunded' THEN 'Far too little money for what depends on it: ' || places || '.'
+  WHEN 'underfunded' THEN 'Less money than its importance suggests: ' || places || '.' WHEN 'balanced' THEN 'Money and importance agree: ' || places || '.' WHEN 'overfunded' THEN 'More money than its importance suggests: ' || places || '.'
+  ELSE 'Much more money than its importance suggests: ' || places || '.' END AS narrative FROM p""", "p AS (SELECT *, 'criticality rank ' || round(crit_pct)::BIGINT || ', funding rank ' || round(fund_pct)::BIGINT || ', ratio ' || printf('%.2f', round(fer, 2)) AS places FROM fer)"))
 def n2_funding_narratives(m):
     return m.fer.select("project", "narrative")
 
 
-@query()
+@query(eco("""SELECT project AS subject, project || ': ' || criticality || ' dependents (rank ' || round(criticality_pct)::BIGINT || '), ' || trend || ' for ' || days || ' days; ' || top_contributor || ' made ' || round(top_share * 100)::BIGINT || ' % of the commits (HHI ' || round(hhi)::BIGINT || ', ' || hhi_tier || ').' AS narrative FROM debt
+  UNION ALL SELECT contributor::VARCHAR, 'Without ' || contributor || ', ' || n_repos || ' packages of ' || n_projects || ' projects lose their main maintainer (score ' || kci || '); ' || at_risk || ' packages lie downstream.' FROM keystones"""))
 def n3_surface_narratives(m):
     return m.debt.select(F.col("project").alias("subject"), "narrative").unionAll(m.keystones.select(F.col("contributor").cast("string"), "narrative"))
 
@@ -564,65 +693,127 @@ def p12_commit_trend(m):
     return m.nodes.select("node_id", tiers.commit_trend(F.col("days_since_commit")).alias("trend"))
 
 
-@query(eco("SELECT a.node_id, round(greatest(5, least(40, 5 + ln(1 + criticality) * 8)), 4) AS size, coalesce(hhi >= 5000, false) AS risk_border FROM crit a LEFT JOIN conc ON repo = node_id"))
+@query(eco("SELECT a.node_id, round(greatest(5, least(40, 5 + ln(1 + criticality) * 8)), 4) AS size, coalesce(core, 0) AS color, coalesce(pony_factor = 1, false) AS risk_border FROM crit a LEFT JOIN conc ON repo = node_id LEFT JOIN cores c ON c.node_id = a.node_id"))
 def p20_node_encodings(m):
-    j = m.criticality.join(m.concentration, F.col("repo") == F.col("node_id"), "left")
-    return j.select("node_id", R(F.greatest(F.lit(5.0), F.least(F.lit(40.0), 5 + F.log1p("criticality") * 8)), 4).alias("size"), F.coalesce(F.col("hhi") >= 5000, F.lit(False)).alias("risk_border"))
+    return surfaces.node_encodings(m.criticality, m.cores, m.concentration).withColumn("size", R("size", 4))
 
 
-@query("SELECT page_id, nullif(regexp_extract(regexp_replace(trim(url), '/+$', ''), '(?i)^https?://([^/]+/[^/?]+)$', 1), '') AS path, split_part(regexp_replace(url, '/+$', ''), '/', -1) AS short FROM pages")
+_PAGE_URL = "regexp_replace(url, '^https?://[^/]+', CASE WHEN page_id % 5 = 0 THEN 'https://other.org' WHEN page_id % 2 = 0 THEN 'HTTP://GitHub.com' ELSE 'https://github.com' END) || CASE WHEN page_id % 3 = 0 THEN '/' WHEN page_id % 3 = 1 THEN '.git' ELSE '' END"
+
+
+def _page_urls(m):
+    """The pages' paths behind two hosts, with and without what is to be cut off."""
+    host = F.when(F.col("page_id") % 5 == 0, "https://other.org").when(F.col("page_id") % 2 == 0, "HTTP://GitHub.com").otherwise("https://github.com")
+    tail = F.when(F.col("page_id") % 3 == 0, "/").when(F.col("page_id") % 3 == 1, ".git").otherwise("")
+    return m.table("pages").select("page_id", F.concat(F.regexp_replace("url", F.lit("^https?://[^/]+"), host), tail).alias("u"))
+
+
+@query(f"WITH t AS (SELECT page_id, {_PAGE_URL} AS u FROM pages), c AS (SELECT *, regexp_replace(regexp_replace(trim(u), '/+$', ''), '\\.git$', '') AS x FROM t) SELECT page_id, nullif(regexp_extract(x, '(?i)^https?://github\\.com/([^/]+/[^/]+)$', 1), '') AS path, CASE WHEN u LIKE '%github.com/%' THEN split_part(regexp_replace(u, '/+$', ''), '/', -1) ELSE u END AS short FROM c")
 def p5_p7_url_paths(m):
-    u = F.regexp_replace(F.trim("url"), "/+$", "")
-    return m.table("pages").select("page_id", F.nullif(F.regexp_extract(u, r"(?i)^https?://([^/]+/[^/?]+)$", 1), F.lit("")).alias("path"), names.short_name(F.col("url")).alias("short"))
+    return _page_urls(m).select("page_id", names.github_path(F.col("u")).alias("path"), names.short_name(F.col("u")).alias("short"))
 
 
-@query("SELECT page_id, CASE WHEN url LIKE 'https%' THEN 'NPM' WHEN url LIKE '%example.org/%' THEN 'GITHUB' ELSE 'PYPI' END AS ecosystem FROM pages")
+@query(f"WITH t AS (SELECT page_id, {_PAGE_URL} AS u FROM pages), c AS (SELECT *, CASE WHEN u LIKE '%github.com/%' THEN regexp_replace(regexp_replace(split_part(u, 'github.com/', -1), '^/+', ''), '/+$', '') ELSE u END AS path FROM t) SELECT page_id, path, CASE WHEN path LIKE 'http%' THEN path WHEN path LIKE '%/%' THEN 'https://github.com/' || path ELSE path END AS url FROM c")
+def p6_host_paths(m):
+    path = names.host_path(F.col("u"), "github.com")
+    return _page_urls(m).select("page_id", path.alias("path"), names.as_url(path).alias("url"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'NPM' WHEN page_id % 4 = 2 THEN 'GITHUB' ELSE 'PYPI' END AS ecosystem FROM pages")
 def p14_ecosystem(m):
-    key = F.when(F.col("url").startswith("https"), F.concat(F.lit("@"), "url")).otherwise(F.replace(F.col("url"), F.lit("example.org/"), F.lit("github.com/")))
-    return m.table("pages").select("page_id", tiers.ecosystem_of(key).alias("ecosystem"))
+    heads = F.element_at(F.array(*[F.lit(x) for x in ("@scope/", "client-kit-", "https://github.com/o/", "see github.com/")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return m.table("pages").select("page_id", tiers.ecosystem_of(F.concat(heads, "url"), ("@", "client-kit")).alias("ecosystem"))
+
+
+def _seeds(m):
+    """Parts as project rows."""
+    url = F.when(F.col("p_size") > 10, F.concat(F.lit("https://github.com/"), "p_brand", F.lit("/"), F.col("p_partkey")))
+    return m.table("part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("category"), F.when(F.col("p_size") % 2 == 0, "Live").otherwise("Expired").alias("integration_status"), (F.col("p_retailprice") > 1000).cast("string").alias("open_source"), url.alias("github_url"))
 
 
-@query("SELECT p_brand AS org, count(*) AS project_count FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND p_size > 10 GROUP BY 1")
+@query("SELECT p_partkey AS ord, p_type AS category FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND p_size % 2 = 0 AND p_retailprice > 1000 AND p_size > 10")
+def p21_seeds(m):
+    return tables.seed_projects(_seeds(m), ["ECONOMY", "PROMO"], ["Live"], "open_source = 'true'").select("ord", "category")
+
+
+@query("SELECT p_partkey AS ord, p_type AS category FROM part WHERE p_size % 2 = 0 AND p_size > 10")
+def p21_all_active(m):
+    return tables.seed_projects(_seeds(m), None, ["Live"]).select("ord", "category")
+
+
+@query("SELECT p_brand AS github_org, count(*) AS project_count FROM part WHERE p_size > 10 GROUP BY 1")
 def p21_seed_orgs(m):
-    return m.table("part").filter("p_type IN ('ECONOMY', 'PROMO') AND p_size > 10").groupBy(F.col("p_brand").alias("org")).agg(F.count(F.lit(1)).alias("project_count"))
+    return tables.org_counts(_seeds(m))
 
 
-@query("SELECT user_id AS repo, coalesce(max(ts) FILTER (event_type <> 'error') IS NOT NULL, false) AS accessible, CASE WHEN max(ts) FILTER (event_type <> 'error') IS NULL THEN 9999 ELSE date_diff('day', max(ts) FILTER (event_type <> 'error')::DATE, (SELECT max(ts)::DATE FROM events)) END AS days FROM events GROUP BY 1")
+@query("SELECT user_id AS repo, bool_or(event_type <> 'error') AS accessible, CASE WHEN max(ts) FILTER (event_type <> 'error') IS NULL THEN 9999 ELSE date_diff('day', max(ts) FILTER (event_type <> 'error')::DATE, (SELECT max(ts)::DATE FROM events)) END AS days FROM events GROUP BY 1")
 def p19_activity(m):
+    e, day = _readings(m)
+    return ingest.accessible_activity(e, day).select("repo", "accessible", F.col("days_since_commit").alias("days"))
+
+
+def _readings(m):
+    """Events as readings of a user's repository; errors are failed ones."""
     e = m.table("events")
     day = F.lit(e.agg(F.to_date(F.max("ts"))).first()[0])
-    latest = F.max(F.when(F.col("event_type") != "error", F.col("ts")))
-    return e.groupBy(F.col("user_id").alias("repo")).agg(latest.isNotNull().alias("accessible"), F.coalesce(F.datediff(day, F.to_date(latest)), F.lit(9999)).cast("long").alias("days"))
+    return e.select(F.col("user_id").alias("repo"), F.col("props").alias("contributor"), F.when(F.col("event_type") != "error", F.col("ts")).alias("committed_at"), (F.col("event_type") != "error").alias("accessible")), day
+
+
+@query("SELECT user_id AS repo, props AS contributor, count(*) AS commits FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
+def p19_edges(m):
+    return ingest.accessible_edges(_readings(m)[0])
 
 
 # --- snapshots ------------------------------------------------------------------------------------------------------
 
 _ROUNDS = """
-rounds AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS snapshot_date, count(DISTINCT o_custkey) AS active_repos, round(avg(o_totalprice) / 100, 1) AS mean_hhi,
-  round(avg((o_orderstatus = 'O')::INT), 4) AS gate_pass_rate, round(avg((o_orderpriority LIKE '1%')::INT), 4) AS pony_rate, count(*) FILTER (o_totalprice > 300000) AS debt_size, count(*) FILTER (o_totalprice < 20000) AS keystone_count
-  FROM orders GROUP BY 1)"""
+rounds AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS snapshot_date, CASE WHEN quarter(date_trunc('quarter', o_orderdate)) <> 1 THEN 'Q' || quarter(date_trunc('quarter', o_orderdate)) || ' ' || year(date_trunc('quarter', o_orderdate)) END AS label,
+  count(DISTINCT o_custkey) AS active_repos, round(avg(o_totalprice) / 100, 1) AS mean_hhi, round(min(o_totalprice) / 100, 1) AS median_hhi, round(avg((o_orderstatus = 'O')::INT), 4) AS gate_pass_rate,
+  round(avg((o_orderpriority LIKE '1%')::INT), 4) AS pony_rate, count(*) FILTER (o_totalprice > 300000) AS debt_size, count(*) FILTER (o_totalprice < 20000) AS keystone_count, count(*) FILTER (o_totalprice < 50000) AS bridge_edges,
+  count(*) FILTER (o_orderstatus = 'P') AS borderline, count(DISTINCT o_custkey % 100) AS projects, count(*) AS dependency_edges
+  FROM orders GROUP BY date_trunc('quarter', o_orderdate))"""
 
 
 def _rounds(m):
-    """A snapshot for each quarter of the orders."""
-    o = m.table("orders")
-    return o.groupBy(F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("snapshot_date")).agg(
-        F.count_distinct("o_custkey").alias("active_repos"), R(F.avg("o_totalprice") / 100, 1).alias("mean_hhi"), R(F.avg((F.col("o_orderstatus") == "O").cast("int")), 4).alias("gate_pass_rate"),
-        R(F.avg(F.col("o_orderpriority").startswith("1").cast("int")), 4).alias("pony_rate"), F.count_if(F.col("o_totalprice") > 300000).alias("debt_size"), F.count_if(F.col("o_totalprice") < 20000).alias("keystone_count"),
+    """A snapshot for each quarter of the orders; first quarters have no label."""
+    q = F.to_date(F.date_trunc("quarter", "o_orderdate"))
+    o = m.table("orders").withColumn("snapshot_date", q)
+    price, n_if = F.col("o_totalprice"), lambda c, name: F.count_if(c).alias(name)
+    g = o.groupBy("snapshot_date").agg(
+        F.count_distinct("o_custkey").alias("active_repos"), R(F.avg(price) / 100, 1).alias("mean_hhi"), R(F.min(price) / 100, 1).alias("median_hhi"), R(F.avg((F.col("o_orderstatus") == "O").cast("int")), 4).alias("gate_pass_rate"),
+        R(F.avg(F.col("o_orderpriority").startswith("1").cast("int")), 4).alias("pony_rate"), n_if(price > 300000, "debt_size"), n_if(price < 20000, "keystone_count"), n_if(price < 50000, "bridge_edges"),
+        n_if(F.col("o_orderstatus") == "P", "borderline"), F.count_distinct(F.col("o_custkey") % 100).alias("projects"), F.count(F.lit(1)).alias("dependency_edges"),
     )
+    quarter = F.quarter("snapshot_date")
+    return g.withColumn("label", F.when(quarter != 1, F.concat(F.lit("Q"), quarter, F.lit(" "), F.year("snapshot_date"))))
 
 
-_METRICS = ["active_repos", "mean_hhi", "gate_pass_rate", "pony_rate", "debt_size", "keystone_count"]
-_DELTA = "delta AS (SELECT * FROM (SELECT lag(snapshot_date) OVER w AS earlier, snapshot_date AS later, " + ", ".join(f"round({m} - lag({m}) OVER w, 6) AS {m}_delta" for m in _METRICS) + " FROM rounds WINDOW w AS (ORDER BY snapshot_date)) WHERE earlier IS NOT NULL)"
+_METRICS = snapshots.METRICS
+_DELTA = "delta AS (SELECT * FROM (SELECT lag(snapshot_date) OVER w AS earlier, snapshot_date AS later, lag(coalesce(label, snapshot_date::VARCHAR)) OVER w AS earlier_label, coalesce(label, snapshot_date::VARCHAR) AS later_label, " + ", ".join(f"round({m} - lag({m}) OVER w, 6) AS {m}_delta" for m in _METRICS) + " FROM rounds WINDOW w AS (ORDER BY snapshot_date)) WHERE earlier IS NOT NULL)"
 
 
 def _delta(m):
-    return snapshots.deltas(_rounds(m), _METRICS)
+    return snapshots.deltas(_rounds(m))
 
 
 @query("WITH" + _ROUNDS + ", " + _DELTA + " SELECT * FROM delta")
 def c1_j13_w9_deltas(m):
-    return _delta(m).select("earlier", "later", *[R(f"{x}_delta", 6).alias(f"{x}_delta") for x in _METRICS])
+    return _delta(m).select("earlier", "later", "earlier_label", "later_label", *[R(f"{x}_delta", 6).alias(f"{x}_delta") for x in _METRICS])
+
+
+def _moved(x, up, down, by):
+    return f"CASE WHEN {x}_delta > 0 THEN '{up} up by ' || {by} WHEN {x}_delta < 0 THEN '{down} down by ' || {by} END"
+
+
+_POINTS = "printf('%.1f', round(100 * abs({}_delta), 1)) || ' points'"
+_N4 = f"""SELECT later, earlier_label || ' to ' || later_label || ': ' || concat_ws(', ', coalesce({_moved("gate_pass_rate", "gate passes", "gate passes", _POINTS.format("gate_pass_rate"))}, 'gate passes as before'),
+  {_moved("mean_hhi", "concentration", "concentration", "round(abs(mean_hhi_delta))::BIGINT")}, {_moved("pony_rate", "flagged repositories", "flagged repositories", _POINTS.format("pony_rate"))},
+  {_moved("debt_size", "debt entries", "debt entries", "abs(debt_size_delta)::BIGINT")}) || '.' AS narrative FROM delta"""
+
+
+@query("WITH" + _ROUNDS + ", " + _DELTA + " " + _N4)
+def n4_comparison_narratives(m):
+    return _delta(m).select("later", "narrative")
 
 
 _UP = "(pony_rate_delta < -0.01)::INT + (mean_hhi_delta < -50)::INT + (gate_pass_rate_delta > 0.01)::INT + (debt_size_delta < 0)::INT + (keystone_count_delta < 0)::INT"
@@ -659,27 +850,56 @@ def c5_borderline_top(m):
     return m.gate.filter("borderline").orderBy(F.desc("criticality_pct"), "node_id").limit(10).select("node_id", "criticality", "hhi")
 
 
+@query(eco("SELECT node_id, criticality, round(criticality_pct, 4) AS criticality_pct, hhi, top_contributor::VARCHAR AS top_contributor, top_share, round(adoption_score, 4) AS adoption_score, votes, passed, borderline FROM gate"))
+def c5_gate_table(m):
+    return m.gate.select("node_id", "criticality", R("criticality_pct", 4).alias("criticality_pct"), "hhi", "top_contributor", "top_share", R("adoption_score", 4).alias("adoption_score"), "votes", "passed", "borderline")
+
+
+_PAIRS = " UNION ALL ".join(f"SELECT '{k}' AS metric, printf('%.{digits}f', round({k}::DOUBLE * {100 if share else 1}, {digits})){" || '%'" if share else ''} AS value FROM s" for k, (digits, share) in snapshots.DASHBOARD.items())
+
+
+@query(eco(" " + _PAIRS, "s AS (" + _SNAPSHOT + ")"))
+def c5_dashboard(m):
+    return snapshots.dashboard(m.snapshot)
+
+
 # --- payloads, made from the events table ---------------------------------------------------------------------------
 
 
+#: Events of one landed page, about.
+PAGE = 100
+
+
+def _pages(m, key="user_id"):
+    """events with `page`: a key's events come in as many pages of about PAGE as it has, as an API lists them."""
+    e = m.table("events")
+    pages = e.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count(F.lit(1)) / PAGE).alias("_pages"))
+    return e.join(pages, F.col(key) == F.col("_k")).withColumn("page", F.pmod(F.xxhash64("event_id"), F.col("_pages"))).drop("_k", "_pages")
+
+
 def _payload(m, key, column):
-    return m.table("events").groupBy(F.col(key)).agg(F.to_json(F.array_sort(F.collect_list(column))).alias("payload"))
+    return _pages(m, key).groupBy(key, "page").agg(F.to_json(F.array_sort(F.collect_list(column))).alias("payload"))
 
 
-@query("SELECT user_id AS repo, CASE WHEN event_type = 'error' THEN 'unknown_' || event_type || '@unknown' ELSE event_type || '@x.org' END AS email, CASE WHEN event_id % 2 = 0 THEN 'login' || event_id ELSE event_type END AS name FROM events")
+@query("SELECT user_id AS repo, CASE WHEN event_type = 'error' THEN 'unknown_' || event_type || '@unknown' ELSE event_type || '@x.org' END AS email, CASE WHEN event_id % 2 = 0 THEN 'login' || event_id ELSE event_type END AS name, date_trunc('second', ts) AS committed_at FROM events")
 def s13_commit_payload(m):
     author = F.struct(F.col("event_type").alias("name"), F.when(F.col("event_type") != "error", F.concat(F.lit(" "), F.initcap("event_type"), F.lit("@X.org "))).alias("email"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
     c = F.struct(F.struct(author.alias("author")).alias("commit"), F.struct(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("login"), "event_id")).alias("login")).alias("author"))
-    return payloads.commits(_payload(m, "user_id", c).withColumnRenamed("user_id", "repo")).select("repo", "email", "name")
+    return payloads.commits(_payload(m, "user_id", c).withColumnRenamed("user_id", "repo")).select("repo", "email", "name", F.col("committed_at").cast("timestamp_ntz").alias("committed_at"))
 
 
-@query("SELECT DISTINCT 'u' || user_id AS from_name, event_type AS to_name, true AS is_direct FROM events")
+@query("SELECT DISTINCT 'u' || user_id AS from_name, event_type AS to_name, 'NPM' AS ecosystem, true AS is_direct FROM events")
 def s14_dependency_payload(m):
-    node = lambda n: F.struct(F.struct(F.lit("NPM").alias("system"), n.alias("name"), F.lit("1").alias("version")).alias("versionKey"))
+    return payloads.dependency_edges(_dependency_pages(m, "NPM")).select("from_name", "to_name", "ecosystem", "is_direct")
+
+
+def _dependency_pages(m, system):
+    """A user's event types as its dependencies."""
+    node = lambda n: F.struct(F.struct(F.lit(system).alias("system"), n.alias("name"), F.lit("1").alias("version")).alias("versionKey"))
     g = m.table("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
     nodes = F.concat(F.array(node(F.concat(F.lit("u"), "user_id"))), F.transform("types", node))
     edges = F.transform(F.sequence(F.lit(1), F.size("types")), lambda i: F.struct(F.lit(0).alias("fromNode"), i.alias("toNode"), F.lit("^1").alias("requirement")))
-    return payloads.dependency_edges(g.select(F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges"))).alias("payload"))).select("from_name", "to_name", "is_direct")
+    return g.select(F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges"))).alias("payload"))
 
 
 @query("SELECT 'p' || event_id AS name, '1.' || user_id AS version, 'MIT, ' || event_type AS licences, CASE WHEN event_id % 3 = 0 THEN 'https://home/' || event_id ELSE 'https://src/' || event_id END AS source_url, 'pkg:cargo/p' || event_id || '@1.' || user_id AS purl FROM events")
@@ -692,21 +912,20 @@ def s15_version_payload(m):
     return payloads.version_metadata(m.table("events").select(p.alias("payload")))
 
 
-@query("SELECT 'github.com/u/' || event_id AS id, user_id AS stars, event_id AS forks, (event_id % 7)::BIGINT AS issues, CASE WHEN event_id % 2 = 0 THEN (event_id % 11)::INT END AS maintained FROM events")
+@query("SELECT 'github.com/u/' || event_id AS id, user_id AS stars, event_id AS forks, (event_id % 7)::BIGINT AS issues, CASE WHEN event_id % 2 = 0 THEN (event_id % 11)::INT END AS maintained, CASE WHEN event_id % 2 = 0 THEN 'r' END AS reason FROM events")
 def s16_project_payload(m):
     e = m.table("events")
     check = lambda n, s: F.struct(F.lit(n).alias("name"), s.cast("int").alias("score"), F.lit("r").alias("reason"))
     checks = F.when(F.col("event_id") % 2 == 0, F.array(check("License", F.lit(10)), check("Maintained", F.col("event_id") % 11), check("Maintained", F.lit(99)))).otherwise(F.array(check("License", F.lit(10))))
     p = F.to_json(F.struct(F.struct(F.concat(F.lit("github.com/u/"), "event_id").alias("id")).alias("projectKey"), F.col("user_id").alias("starsCount"), F.col("event_id").alias("forksCount"), (F.col("event_id") % 7).alias("openIssuesCount"), F.struct(checks.alias("checks")).alias("scorecard")))
-    return payloads.project_enrichment(e.select(p.alias("payload"))).drop("reason")
+    return payloads.project_enrichment(e.select(p.alias("payload")))
 
 
 @query("SELECT user_id AS package, CASE WHEN event_id % 4 = 0 THEN 'fallback' || event_id ELSE event_type END AS dependent FROM events")
 def s17_reverse_payload(m):
-    e = m.table("events")
     dep = F.struct(F.col("event_id").alias("id"), F.col("event_id").alias("version_id"), F.concat(F.lit("fallback"), "event_id").alias("crate_id"), F.lit("^1").alias("req"))
     ver = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("crate"), F.lit("1").alias("num"))
-    g = e.groupBy(F.col("user_id").alias("package")).agg(F.collect_list(dep).alias("d"), F.collect_list(F.when(F.col("event_id") % 4 != 0, ver)).alias("v"))
+    g = _pages(m).groupBy(F.col("user_id").alias("package"), "page").agg(F.collect_list(dep).alias("d"), F.collect_list(F.when(F.col("event_id") % 4 != 0, ver)).alias("v"))
     return payloads.reverse_dependencies(g.select("package", F.to_json(F.struct(F.col("d").alias("dependencies"), F.col("v").alias("versions"))).alias("payload"))).select("package", "dependent")
 
 
@@ -775,7 +994,11 @@ def s6_adoption(m):
 
 @query("SELECT DISTINCT 'r' || user_id AS repo, user_id::INT AS days_since_commit FROM events")
 def s7_activity(m):
-    g = m.table("events").select("user_id").distinct().groupBy((F.col("user_id") % 5).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("r"), "user_id"), F.struct(F.col("user_id").alias("days_since_commit"))))).alias("x"))
+    """The cache comes in lines of about PAGE repositories each."""
+    users = m.table("events").select("user_id").distinct()
+    lines = max(1, users.count() // PAGE)
+    entry = F.struct(F.concat(F.lit("r"), "user_id"), F.struct(F.col("user_id").alias("days_since_commit")))
+    g = users.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(lines)).alias("k")).agg(F.map_from_entries(F.collect_list(entry)).alias("x"))
     return tables.activity(g.select(F.to_json("x").alias("value"))).select("repo", "days_since_commit")
 
 
@@ -784,7 +1007,144 @@ def s8_url_list(m):
     return tables.url_list(m.table("pages").select(F.concat(F.lit(" "), "url").alias("repo_url")))
 
 
-@query(eco("SELECT node_id, passed FROM gate WHERE node_id % 5 = 1"))
+@query(eco("SELECT user_id AS asked, g.node_id, passed, votes FROM (SELECT DISTINCT user_id FROM events) JOIN gate g ON g.node_id = user_id"))
 def x6_gate_lookup(m):
-    """The service's lookup, for a family of projects."""
-    return m.gate.filter("node_id % 5 = 1").select("node_id", "passed")
+    """The service's lookup, of all projects that the events' users ask for."""
+    return surfaces.gate_lookup(m.gate, m.table("events").select(F.col("user_id").alias("asked"))).select("asked", "node_id", "passed", "votes")
+
+
+@query(eco("""SELECT 'criticality' AS metric, node_id::VARCHAR AS name, criticality::DOUBLE AS value FROM crit UNION ALL SELECT 'hhi', repo::VARCHAR, hhi FROM conc UNION ALL SELECT 'adoption', node_id::VARCHAR, round(adoption_score, 4) FROM adopt
+  UNION ALL SELECT 'kci', contributor::VARCHAR, kci FROM keystones UNION ALL SELECT 'fer', project, fer FROM fer UNION ALL SELECT 'risk', node_id::VARCHAR, risk FROM debt"""))
+def x6_metric_listing(m):
+    return surfaces.metric_listing(m.criticality, m.concentration, m.adoption, m.keystones, m.fer, m.debt).withColumn("value", R("value", 4))
+
+
+# --- composites over tables of one's own: customers' repositories, the parts they use, suppliers who contribute -----
+
+
+def _seed_tables(m):
+    """Nations as projects, customers as repositories submitted under their nation's name in small letters."""
+    n, c = m.table("nation"), m.table("customer")
+    projects = n.select(F.concat(F.col("n_name"), F.lit(" ")).alias("title"), (1000 * F.col("n_nationkey")).cast("string").alias("total_awarded_usd"), F.col("n_nationkey").alias("ord"))
+    repos = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("https://github.com/c/"), "c_custkey").alias("github_url"), F.when(F.col("c_mktsegment") == "BUILDING", "nan").otherwise(F.lower("n_name")).alias("submission_title"), F.lit("1.5").alias("total_awarded_usd"), F.col("c_custkey").alias("ord"))  # 25 nations
+    return tables.projects(projects), tables.repos(repos)
+
+
+_X1 = "x1 AS (SELECT n_name AS node_id, 'Project' AS node_type, NULL AS project, 1000.0 * n_nationkey AS funding FROM nation UNION ALL SELECT 'https://github.com/c/' || c_custkey, 'Repo', CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE n_name END, 1.5 FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+
+
+@query(f"WITH {_X1} SELECT node_id, node_type, project, funding::DOUBLE AS funding FROM x1")
+def x1_graph_nodes(m):
+    return build.build_graph(*_seed_tables(m)).nodes.select("node_id", "node_type", "project", "funding")
+
+
+@query(f"WITH {_X1} SELECT node_id AS src, project AS dst, 'belongs_to' AS edge_type FROM x1 WHERE project IS NOT NULL")
+def x1_graph_edges(m):
+    return build.build_graph(*_seed_tables(m)).edges.select("src", "dst", "edge_type")
+
+
+def _enriched(m):
+    o, li = m.table("orders"), m.table("lineitem")
+    url = F.concat(F.lit("https://github.com/c/"), "o_custkey")
+    used = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    deps = used.select(url.alias("from_repo"), F.concat(F.lit("part-"), "l_partkey").alias("to_package"), F.lit("NPM").alias("ecosystem"), F.col("l_orderkey").alias("ord"))
+    people = used.select(F.concat(F.lit("dev-"), "l_suppkey").alias("contributor"), url.alias("repo"), F.col("l_linenumber").cast("long").alias("commits"), F.col("l_orderkey").alias("ord"))
+    sums = o.groupBy(url.alias("node_id")).agg(F.count(F.lit(1)).alias("stars"), F.count_distinct("o_orderpriority").alias("forks"), F.sum(F.floor("o_totalprice")).cast("long").alias("downloads"), F.max("o_orderdate").alias("last"))
+    day = F.lit(o.agg(F.to_date(F.max("o_orderdate"))).first()[0])
+    activity = sums.select(F.col("node_id").alias("repo"), F.datediff(day, F.to_date("last")).cast("long").alias("days_since_commit"), (F.col("forks") < 3).alias("archived"))
+    return build.enrich_graph(build.build_graph(*_seed_tables(m)), deps, people, sums.select("node_id", "downloads", "stars", "forks"), activity, m.config)
+
+
+_X2 = _X1 + """, used AS (SELECT 'https://github.com/c/' || o_custkey AS url, l_partkey, l_suppkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+sums AS (SELECT 'https://github.com/c/' || o_custkey AS url, count(*) AS stars, count(DISTINCT o_orderpriority) AS forks, sum(floor(o_totalprice))::BIGINT AS downloads, date_diff('day', max(o_orderdate)::DATE, (SELECT max(o_orderdate)::DATE FROM orders)) AS days FROM orders GROUP BY 1),
+x2 AS (SELECT node_id, node_type, project, days, forks < 3 AS archived, CASE WHEN days IS NOT NULL THEN days <= 90 AND forks >= 3 END AS active, stars, forks, downloads FROM x1 LEFT JOIN sums ON url = node_id
+  UNION ALL SELECT DISTINCT 'part-' || l_partkey, 'ExternalRepo', NULL, NULL::BIGINT, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM used
+  UNION ALL SELECT DISTINCT 'dev-' || l_suppkey, 'Contributor', NULL, NULL::BIGINT, NULL::BOOLEAN, true, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM used)"""
+
+
+@query(f"WITH {_X2} SELECT node_id, node_type, project, days AS days_since_commit, archived, active, stars, forks, downloads FROM x2")
+def x2_enriched_nodes(m):
+    return _enriched(m).nodes.select("node_id", "node_type", "project", "days_since_commit", "archived", "active", "stars", "forks", "downloads")
+
+
+@query(f"WITH {_X2} SELECT edge_type, src, dst FROM (SELECT 'belongs_to' AS edge_type, node_id AS src, project AS dst FROM x1 WHERE project IS NOT NULL UNION SELECT 'depends_on', url, 'part-' || l_partkey FROM used UNION SELECT 'contributed_to', 'dev-' || l_suppkey, url FROM used)")
+def x2_enriched_edges(m):
+    return _enriched(m).edges.select("edge_type", "src", "dst")
+
+
+_X4 = _X2 + """, ret AS (SELECT * FROM x2 WHERE node_type NOT IN ('Repo', 'ExternalRepo') OR CASE WHEN days IS NULL THEN node_type = 'ExternalRepo' ELSE days <= 90 AND NOT archived END),
+dep AS (SELECT DISTINCT url AS src, 'part-' || l_partkey AS dst FROM used JOIN ret ON node_id = url),
+cr AS (SELECT node_id, count(src) FILTER (EXISTS (SELECT 1 FROM ret r WHERE r.node_id = src AND r.active)) AS criticality FROM ret LEFT JOIN dep ON dst = node_id WHERE node_type IN ('Repo', 'ExternalRepo') GROUP BY 1),
+con AS (SELECT url AS repo, 'dev-' || l_suppkey AS contributor, sum(l_linenumber)::DOUBLE AS commits FROM used JOIN ret ON node_id = url GROUP BY 1, 2),
+hh AS (SELECT repo, round(sum((commits / total) ** 2) * 10000, 1) AS hhi FROM (SELECT *, sum(commits) OVER (PARTITION BY repo) AS total FROM con) GROUP BY 1)"""
+
+
+@query(f"WITH {_X4} SELECT 'criticality' AS part, count(*) AS n, sum(criticality)::DOUBLE AS total FROM cr UNION ALL SELECT 'concentration', count(*), round(sum(hhi), 1) FROM hh UNION ALL SELECT 'dormant', (SELECT count(*) FROM x2) - count(*), 0 FROM ret UNION ALL SELECT 'edges', count(*), 0 FROM dep UNION ALL SELECT 'gate', count(*), 0 FROM hh JOIN cr ON node_id = repo")
+def x4_full_run(m):
+    """The metric run over the enriched graph: sizes and sums of what it derives."""
+    e = run.ecosystem_of(_enriched(m), m.config)
+    got = e.results()
+    part = lambda n, df, total=None: df.agg(F.count(F.lit(1)).alias("n"), R(F.sum((total if total is not None else F.lit(0)).cast("double")), 1).alias("total")).select(F.lit(n).alias("part"), "n", F.coalesce("total", F.lit(0.0)).alias("total"))
+    rows = [part("criticality", got["criticality"], F.col("criticality")), part("concentration", got["concentration"], F.col("hhi")), part("dormant", got["dormant"]), part("edges", e.edges), part("gate", got["gate"])]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_X5 = """days AS (SELECT max(ts)::DATE AS d FROM events), c AS (SELECT user_id AS repo, CASE WHEN event_type = 'error' THEN 'unknown_' || event_type || '@unknown' ELSE event_type || '@x.org' END AS email, ts::DATE AS day FROM events),
+r AS (SELECT user_id AS repo, bool_or(event_type <> 'error') AS accessible FROM events GROUP BY 1)"""
+
+
+def _landed(m):
+    author = F.struct(F.col("event_type").alias("name"), F.when(F.col("event_type") != "error", F.concat("event_type", F.lit("@x.org"))).alias("email"), F.date_format("ts", "yyyy-MM-dd'T'00:00:00'Z'").alias("date"))
+    c = F.struct(F.struct(author.alias("author")).alias("commit"), F.struct(F.lit(None).cast("string").alias("login")).alias("author"))
+    pages = _payload(m, "user_id", c).withColumnRenamed("user_id", "repo")
+    repos = m.table("events").groupBy(F.col("user_id").alias("repo")).agg(F.bool_or(F.col("event_type") != "error").alias("accessible"), F.lit(False).alias("archived"))
+    day = F.lit(m.table("events").agg(F.to_date(F.max("ts"))).first()[0])
+    return ingest.contributions(pages, repos, day, m.config)
+
+
+@query(f"WITH {_X5}, g AS (SELECT repo, email, count(*) AS commits FROM c JOIN r USING (repo) WHERE accessible AND day >= (SELECT d FROM days) - 90 GROUP BY 1, 2) SELECT repo, email, commits, round(100.0::DOUBLE * commits / sum(commits) OVER (PARTITION BY repo), 2) AS commit_share_pct FROM g")
+def x5_ingested_contributions(m):
+    return _landed(m)[0].select("repo", "email", "commits", "commit_share_pct")
+
+
+@query(f"WITH {_X5} SELECT r.repo, accessible, CASE WHEN accessible THEN date_diff('day', max(day), (SELECT d FROM days)) ELSE 9999 END AS days_since_commit FROM r JOIN c ON c.repo = r.repo GROUP BY 1, 2")
+def x5_ingested_activity(m):
+    return _landed(m)[1].select("repo", "accessible", "days_since_commit")
+
+
+@query("SELECT DISTINCT coalesce(url, 'u' || user_id) AS from_repo, event_type AS to_package, 'CARGO' AS ecosystem FROM events LEFT JOIN (SELECT c_custkey, 'https://github.com/c/' || c_custkey AS url FROM customer) ON c_custkey = user_id")
+def x5_ingested_dependencies(m):
+    urls = m.table("customer").select(F.concat(F.lit("u"), "c_custkey").alias("name"), F.concat(F.lit("https://github.com/c/"), "c_custkey").alias("url"))
+    return ingest.dependencies(_dependency_pages(m, "CARGO"), urls).select("from_repo", "to_package", "ecosystem")
+
+
+# --- sinks ----------------------------------------------------------------------------------------------------------
+
+
+@query("WITH" + _ROUNDS + " SELECT snapshot_date::VARCHAR AS date, coalesce(lower(replace(label, ' ', '_')), '') AS round, active_repos FROM rounds")
+def s10_s11_snapshot_round_trip(m):
+    """Written twice: a rerun replaces its own rows."""
+    path = f"{shared_dir(m.spark)}/snapshots-{uuid.uuid4().hex}"
+    snaps = _rounds(m)
+    for _ in range(2):
+        tables.write_snapshot(snaps, path, "label")
+    return tables.read_snapshots(m.spark, path, "active_repos long, date string, round string").select("date", F.coalesce("round", F.lit("")).alias("round"), "active_repos")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def s9_guarded_sink(m):
+    """A table is written, and an empty one over it is not."""
+    path = f"{shared_dir(m.spark)}/sink-{uuid.uuid4().hex}"
+    o = m.table("orders").select("o_orderkey", "o_totalprice")
+    tables.write_guarded(o, path)
+    tables.write_guarded(o.filter("o_orderkey < 0"), path)
+    return m.spark.read.parquet(path)
+
+
+@query("SELECT user_id AS repo, event_type AS email, count(*) AS commits FROM events GROUP BY 1, 2")
+def s12_contributor_export(m):
+    c = m.table("events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("email"), F.col("props").alias("name"), F.col("ts").alias("committed_at"))
+    path = f"{shared_dir(m.spark)}/export-{uuid.uuid4().hex}"
+    tables.export_contributors(concentration.roll_up_commits(c), path)
+    kind = "repo long, part int, contributors array<struct<email:string,commits:long>>"
+    return m.spark.read.schema(kind).json(path).select("repo", F.inline("contributors"))

@@ -9,7 +9,7 @@ from ..functions.names import as_url, slug
 from ..operators.rank import first_per_key, last_per_key
 
 PROJECTS = "title string, category string, integration_status string, github_url string, website string, total_awarded_usd string, open_source string, description string"
-REPOS = "github_url string, round string, submission_title string, total_awarded_usd string, use_soroban string, tranche_completion string"
+REPOS = "github_url string, round string, submission_title string, total_awarded_usd string, tranche_completion string"
 CONTRIBUTIONS = "repo_full_name string, contributor_login string, commits_90d string, commit_share_pct string"
 DEPENDENCIES = "from_repo string, to_package string, ecosystem string, is_direct string"
 ADOPTION = "repo_full_name string, ecosystem string, monthly_downloads string, github_stars string, github_forks string"
@@ -42,6 +42,18 @@ def orgs(raw: DataFrame) -> DataFrame:
     return raw.filter("github_org IS NOT NULL AND github_org <> ''").select("github_org", number("project_count", "bigint").alias("project_count"))
 
 
+def seed_projects(rows: DataFrame, categories: list[str] | None, statuses: list[str], flag: str = "true") -> DataFrame:
+    """Project rows of these categories (None: all) and statuses that pass the flag (a condition) and have a repository URL."""
+    ok = F.col("integration_status").isin(*statuses) & F.expr(flag) & (F.coalesce(F.trim("github_url"), F.lit("")) != "")
+    return rows.filter(ok if categories is None else ok & F.col("category").isin(*categories))
+
+
+def org_counts(rows: DataFrame) -> DataFrame:
+    """github_org, project_count: the organisations of the rows' repository URLs."""
+    org = F.nullif(F.regexp_extract("github_url", r"(?i)github\.com/([^/]+)", 1), F.lit(""))
+    return rows.select(org.alias("github_org")).filter("github_org IS NOT NULL").groupBy("github_org").agg(F.count(F.lit(1)).alias("project_count"))
+
+
 def contributions(raw: DataFrame) -> DataFrame:
     return raw.filter("coalesce(repo_full_name, '') <> '' AND coalesce(contributor_login, '') <> ''").select(F.col("contributor_login").alias("contributor"), as_url(F.col("repo_full_name")).alias("repo"), number("commits_90d", "bigint").alias("commits"), "ord")
 
@@ -62,11 +74,14 @@ def activity(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def url_list(df: DataFrame, fallback: str = "url") -> DataFrame:
-    """Distinct trimmed URLs of github_url, else repo_url, else the fallback column."""
+    """Distinct trimmed URLs of github_url, else repo_url, else the fallback column; by first place where there is `ord`."""
     name = next((c for c in ("github_url", "repo_url", fallback) if c in df.columns), None)
     if name is None:
         raise ValueError("no URL column")
-    return df.select(F.trim(F.col(name)).alias("url")).filter("url IS NOT NULL AND url NOT IN ('', 'nan')").distinct()
+    urls = df.withColumn("url", F.trim(F.col(name))).filter("url IS NOT NULL AND url NOT IN ('', 'nan')")
+    if "ord" in df.columns:
+        return urls.groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord").select("url")
+    return urls.select("url").distinct()
 
 
 def write_guarded(df: DataFrame, path: str, kind: str = "parquet") -> bool:
@@ -77,15 +92,27 @@ def write_guarded(df: DataFrame, path: str, kind: str = "parquet") -> bool:
     return True
 
 
-def append_snapshot(snapshot: DataFrame, path: str) -> None:
-    """snapshot: one row with scf_round; kept as JSON by round."""
-    snapshot.withColumn("round", slug(F.col("scf_round"))).write.mode("append").partitionBy("round").json(path)
+def write_snapshot(snapshot: DataFrame, path: str, label: str = "round_label", date: str = "snapshot_date") -> None:
+    """snapshot: one row a round with its label and date, kept as JSON by date and label; a rerun replaces its own rows only."""
+    keyed = snapshot.withColumns({"date": F.date_format(date, "yyyy-MM-dd"), "round": slug(F.coalesce(label, F.lit("")))})
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "round").json(path)
 
 
 def read_snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: Contributors of one exported row.
+EXPORT_PAGE = 1000
+
+
+def contributor_pages(rollup: DataFrame, page: int = EXPORT_PAGE) -> DataFrame:
+    """rollup (repo, email, display, commits, aliases) as nested rows: repo, part, contributors; a repo with more than
+    about `page` contributors has several parts, so no row grows with the table."""
+    parts = rollup.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / page).alias("_parts"))
+    part = F.pmod(F.xxhash64("email"), F.col("_parts")).cast("int")
+    return rollup.join(parts, "repo").withColumn("part", part).groupBy("repo", "part").agg(F.array_sort(F.collect_list(F.struct("email", "display", "commits", "aliases"))).alias("contributors"))
+
+
 def export_contributors(rollup: DataFrame, path: str) -> None:
-    """One JSON row per repo with its contributors as an array."""
-    rollup.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("email", "display", "commits", "aliases"))).alias("contributors")).write.mode("overwrite").json(path)
+    contributor_pages(rollup).write.mode("overwrite").json(path)

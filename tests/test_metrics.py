@@ -51,7 +51,7 @@ def test_gate(spark):
     assert got == [(1, 0, False, False), (2, 2, True, True), (3, 3, True, False)]
     s = surfaces.gate_summary(g).first()
     assert (s["total"], s["n_passed"], s["all_three_failed"], s["pass_rate"]) == (3, 2, 1, 0.6667)
-    assert "x accounts for 99% of commits" in g.filter("node_id = 2").first()["maintenance_text"]
+    assert "x made 99 % of the commits" in g.filter("node_id = 2").first()["maintenance_text"]
     assert surfaces.gate_summary(g.limit(0)).first()["pass_rate"] == 0
 
 
@@ -84,7 +84,22 @@ def test_names(spark):
 
 
 def test_fuzzy(spark):
-    t = spark.createDataFrame([("Blend Protocol",), ("zzz",)], "title string")
-    p = spark.createDataFrame([("blend protocols", 0), ("BLEND PROTOCOL", 1), ("other", 2)], "project string, ord long")
+    t = spark.createDataFrame([("Silver Harbor",), ("zzz",)], "title string")
+    p = spark.createDataFrame([("silver harbors", 0), ("SILVER HARBOR", 1), ("other", 2)], "project string, ord long")
     got = [(r["title"], r["project"], r["ratio"]) for r in fuzzy.best_match(t, p).collect()]
-    assert got == [("Blend Protocol", "BLEND PROTOCOL", 1.0)]
+    assert got == [("Silver Harbor", "SILVER HARBOR", 1.0)]
+
+
+def test_quantiles_and_places(spark):
+    values = [5, 1, 1, 9, 3, 3, 3, 7]
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(values)], "i long, v long, g long")
+    for q in (0.0, 0.25, 0.5, 0.75, 1.0):
+        want = df.agg(F.percentile("v", q)).first()[0]
+        assert rank.quantile(df, "v", q, "x").first()["x"] == want
+    assert rank.quantile(df.limit(0), "v", 0.5, "x").first()["x"] is None
+    got = {r["i"]: r["place"] for r in rank.place(df, "g", [F.col("v").desc(), F.col("i")], "place").collect()}
+    for g in (0, 1):
+        order = sorted((i for i in range(len(values)) if i % 2 == g), key=lambda i: (-values[i], i))
+        assert [got[i] for i in order] == list(range(1, len(order) + 1))
+    top = rank.top(df, "v", "i", 3).first()["top"]
+    assert [(r["i"], r["v"]) for r in top] == [(3, 9), (7, 7), (0, 5)]

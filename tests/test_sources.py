@@ -1,5 +1,9 @@
 """CSV scans, sinks and the driver's contract."""
 
+from pyspark.sql import functions as F
+
+from ecovista.operators import build
+from ecovista.plans import run
 from ecovista.sources import tables
 
 
@@ -17,11 +21,65 @@ def test_guarded_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
 
 
-def test_snapshots_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("Round 1", 5)], "scf_round string, n long")
-    tables.append_snapshot(df, str(tmp_path / "s"))
-    tables.append_snapshot(df, str(tmp_path / "s"))
-    assert tables.read_snapshots(spark, str(tmp_path / "s"), "scf_round string, n long, round string").count() == 2
+def test_snapshots_are_kept_by_date_and_round(spark, tmp_path):
+    """A rerun replaces its own round; other rounds and dates stay."""
+    rows = lambda *x: spark.createDataFrame(list(x), "snapshot_date string, round_label string, n long").withColumn("snapshot_date", F.to_date("snapshot_date"))
+    path = str(tmp_path / "s")
+    tables.write_snapshot(rows(("2026-01-01", "Round 1", 5)), path)
+    tables.write_snapshot(rows(("2026-01-01", "Round 1", 6)), path)
+    tables.write_snapshot(rows(("2026-04-01", "Round 1", 7), ("2026-04-01", None, 8)), path)
+    got = tables.read_snapshots(spark, path, "round_label string, n long, date string, round string").select("date", "n").collect()
+    assert sorted(map(tuple, got)) == [("2026-01-01", 6), ("2026-04-01", 7), ("2026-04-01", 8)]
+
+
+def test_contributor_pages(spark):
+    rolled = spark.createDataFrame([("r", f"e{i}", "d", 1, ["a"]) for i in range(50)] + [("s", "x", "d", 2, [])], "repo string, email string, display string, commits long, aliases array<string>")
+    got = tables.contributor_pages(rolled, 10).collect()
+    assert len([r for r in got if r["repo"] == "r"]) > 1
+    assert sorted(c["email"] for r in got if r["repo"] == "r" for c in r["contributors"]) == sorted(f"e{i}" for i in range(50))
+
+
+def test_url_list_keeps_the_order(spark):
+    df = spark.createDataFrame([(0, " b "), (1, "nan"), (2, "a"), (3, "b"), (4, None)], "ord long, repo_url string")
+    assert [r["url"] for r in tables.url_list(df).collect()] == ["b", "a"]
+
+
+def test_run_from_csv(spark, tmp_path):
+    """The shipped shapes of tables, through graph, enrichment and all metrics."""
+
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    projects = put("p.csv", "title,category,integration_status,github_url,website,total_awarded_usd,open_source,description\nLumen Wallet,App,Live,,,1000,yes,\nBridge Kit,Tool,Live,,,5,yes,\n")
+    repos = put("r.csv", "github_url,round,submission_title,total_awarded_usd,tranche_completion\nhttps://github.com/a/w,1,lumen walet,10,\nhttps://github.com/a/w,2,Bridge Kit,11,\nhttps://github.com/b/k,1,Bridge Kit,x,\nnan,1,none,,\nhttps://github.com/c/z,1,zzzz qqqq,1,\n")
+    deps = put("d.csv", "from_repo,to_package,ecosystem,is_direct\nhttps://github.com/a/w,https://github.com/b/k,NPM,True\nhttps://github.com/b/k,core-lib,NPM,True\nhttps://github.com/c/z,https://github.com/b/k,NPM,True\n,x,NPM,True\n")
+    people = put("c.csv", "repo_full_name,contributor_login,commits_90d,commit_share_pct\nb/k,ann,60,60\nb/k,bob,20,20\nb/k,ann,20,20\na/w,bob,4,100\nunknown/x,eve,1,100\n")
+    adoption = put("a.csv", "repo_full_name,ecosystem,monthly_downloads,github_stars,github_forks\nb/k,NPM,100,7,1\n")
+    activity = put("t.json", '{"https://github.com/a/w": {"days_since_commit": 10, "archived": false}, "https://github.com/b/k": {"days_since_commit": 50, "archived": false}, "https://github.com/c/z": {"days_since_commit": 400, "archived": false}}\n')
+    e = run.run_from_csv(spark, projects, repos, deps, people, adoption, activity)
+    nodes = {r["node_id"]: r for r in e.nodes.collect()}
+    w, k = "https://github.com/a/w", "https://github.com/b/k"
+    assert (nodes[w]["project"], nodes[k]["project"], nodes["https://github.com/c/z"]["project"]) == ("Lumen Wallet", "Bridge Kit", None)
+    assert nodes["core-lib"]["node_type"] == "ExternalRepo" and nodes["ann"]["node_type"] == "Contributor" and nodes["https://github.com/unknown/x"]["node_type"] == ""
+    assert not nodes["https://github.com/c/z"]["retained"] and nodes[k]["stars"] == 7
+    got = e.results()
+    assert {r["node_id"]: r["criticality"] for r in got["criticality"].collect()} == {w: 0, k: 1, "core-lib": 2}
+    assert {r["repo"]: (r["top_contributor"], r["hhi"]) for r in got["concentration"].collect()} == {k: ("ann", 6800.0), w: ("bob", 10000.0)}
+    assert {(r["a"], r["b"]) for r in got["bridges"].collect()} == {(w, k), ("core-lib", k)} or len(got["bridges"].collect()) == 2
+    s = got["snapshot"].first()
+    assert (s["active_repos"], s["dependency_edges"], s["max_core"], s["bridge_edges"], s["project_nodes"]) == (2, 2, 1, 2, 2)
+    assert [x["node_id"] for x in s["top_critical"]] == ["core-lib", k]
+    for name, df in got.items():
+        assert df.count() >= 0, name
+
+
+def test_enrichment_of_nothing(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    g = build.build_graph(empty("title string, total_awarded_usd double, ord long"), empty("github_url string, submission_title string, total_awarded_usd double"))
+    g = build.enrich_graph(g, empty("from_repo string, to_package string, ecosystem string, ord long"), empty("contributor string, repo string, commits long, ord long"), empty("node_id string, downloads long, stars long, forks long"), empty("repo string, days_since_commit long, archived boolean"))
+    assert g.nodes.isEmpty() and g.edges.isEmpty()
+    assert run.ecosystem_of(g).snapshot.first()["bridge_edges"] == 0
 
 
 def test_every_twin_has_a_query():
