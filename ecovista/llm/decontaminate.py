@@ -48,7 +48,7 @@ SHARE = 0.1
 ITEM_BLOCK = 20_000
 BITMAP = 1 << 23
 #: Letters searched in one go.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
