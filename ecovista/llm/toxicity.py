@@ -8,7 +8,7 @@ distance table are the states of the Levenshtein automaton, and a branch of the
 Around each hit a window of words tells quotation (quotation marks, words of reporting) from abuse (words of
 address).  Counts of hits by kind go into a logistic regression, with a prior under which quoted hits count nothing.
 
-The lexicon and the regression are fitted on at most MAX_SAMPLE labelled rows, by a hash of doc_id; everything
+The lexicon and the regression are fitted on about MAX_SAMPLE labelled rows, by a hash of doc_id; everything
 else covers all rows.
 
 Defined results: a null or empty text has no hits and gets the score of a text without hits; a null doc_id is
@@ -31,14 +31,10 @@ from pyspark.sql import functions as F
 from .bpe import _Memo
 from .common import arrow_batches, id_text, shuffle_partitions, written
 
-#: Most labelled rows that are learned from.
+#: Labelled rows that are learned from, about.
 MAX_SAMPLE = 12_000
 #: A term is in at least this share of the toxic documents that the commonest term is in; rarer words come from copies.
 MIN_SHARE = 0.12
-#: Most terms in the lexicon.
-MAX_TERMS = 100
-#: Most words like a term that are known from clean documents.
-MAX_CLEAN = 20_000
 THRESHOLD = 0.7
 WINDOW = 6
 
@@ -62,6 +58,15 @@ def distance_allowed(term: str) -> int:
     return 2 if len(term) >= 8 else 1 if len(term) >= 4 else 0
 
 
+def without_letters(word: str, most: int):
+    """The sets of what is left of a word without 0, 1, ... most of its letters."""
+    rest = {word}
+    yield rest
+    for _ in range(most):
+        rest = {w[:i] + w[i + 1 :] for w in rest for i in range(len(w))}
+        yield rest
+
+
 class LexiconTrie:
     """The terms as a trie; `match` intersects it with a word's Levenshtein automaton."""
 
@@ -69,23 +74,27 @@ class LexiconTrie:
         self.root: dict = {}
         self.stems = tuple(sorted(t.removesuffix(STEM) for t in terms if t.endswith(STEM)))
         self.terms = frozenset(t for t in terms if not t.endswith(STEM))
-        heads, tails, inner = set(), set(), set()
+        # Texts within d edits (exchanges of neighbours among them) have a common rest once d letters at most are left out
+        # of each, so only words that have a rest of a term are looked up in the trie: no match is missed.
+        self.rests: list[set[str]] = [set(), set(), set()]
         for t in self.terms:
             node = self.root
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-            # With at most d edits, one of d + 1 parts of the term is in the word as it is.
             d = distance_allowed(t)
-            n = len(t)
-            cuts = [n * i // (d + 1) for i in range(d + 2)]
-            heads.add(t[: cuts[1]])
-            tails.add(t[cuts[d] :])
-            if d == 2:
-                inner.add(t[cuts[1] : cuts[2]])
-        esc = lambda x: "|".join(map(re.escape, sorted(x)))
-        self.hint = re.compile(f"^(?:{esc(heads)})|(?:{esc(tails)})$" + (f"|{esc(inner)}" if inner else "")) if self.terms else None
-        self.sizes = (min(map(len, self.terms), default=1) - 1, max(map(len, self.terms), default=0) + 2)
+            for rest in without_letters(t, d):
+                self.rests[d] |= rest
+        self.sizes = (min(map(len, self.terms), default=1) - 2, max(map(len, self.terms), default=0) + 2)
+
+    def _may_match(self, word: str) -> bool:
+        _, one, two = self.rests
+        if not one and not two:
+            return False
+        for k, rest in enumerate(without_letters(word, 2 if two else 1)):
+            if k <= 1 and not rest.isdisjoint(one) or not rest.isdisjoint(two):
+                return True
+        return False
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, distance) of the nearest term within its allowed distance; ties go to the first in order of letters."""
@@ -93,7 +102,7 @@ class LexiconTrie:
             return word, 0
         if word.startswith(self.stems):
             return STEM, 0
-        if not self.sizes[0] <= len(word) <= self.sizes[1] or self.hint is None or not self.hint.search(word):
+        if not self.sizes[0] <= len(word) <= self.sizes[1] or not self._may_match(word):
             return None
         best: tuple[int, str] | None = None
         n = len(word)
@@ -201,8 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn the lexicon and the weights from labelled rows that are not held out."""
     arrow_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    chosen = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE)
-    sample = id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most MAX_SAMPLE ids
+    chosen = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = chosen.count()
+    # About MAX_SAMPLE ids pass a bound on a hash, so no task sorts or collects them.
+    chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, MAX_SAMPLE / max(n, 1)) * (1 << 20)))
+    sample = id_text(docs).join(F.broadcast(chosen), "doc_id")  # about MAX_SAMPLE ids
 
     def words(batches):
         import pyarrow as pa
@@ -238,15 +250,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     marking = counts.filter((F.col("a") >= max(3, n1 // 100)) & (odds >= 2.5) & (F.col("ways") >= 0.6 * F.col("a")))
     most = marking.agg(F.max("a")).first()[0] or 0
-    terms = marking.filter(F.col("a") >= MIN_SHARE * most).orderBy(F.desc("a"), F.length("word"), "word").limit(MAX_TERMS)
+    terms = marking.filter(F.col("a") >= MIN_SHARE * most)
     chosen_terms: list[str] = []
-    for w in (r["word"] for r in terms.select("word").collect()):  # a stem stands for the words and stems it begins; a whole word for stems of it
+    found = sorted(terms.select("a", "word").collect(), key=lambda r: (-r["a"], len(r["word"]), r["word"]))  # bounded by the sample
+    for w in (r["word"] for r in found):  # a stem stands for the words and stems it begins; a whole word for stems of it
         body = w.removesuffix(STEM)
         if not any(body.startswith(c[:-1]) if c.endswith(STEM) else w != body and c.startswith(body) for c in chosen_terms):
             chosen_terms.append(w)
     model = ToxicityModel(sorted(chosen_terms))
 
-    model.clean = frozenset(r["word"] for r in counts.filter(~F.col("word").endswith(STEM) & _near(model, F.col("word")) & (F.col("b") >= 2) & (F.col("b") * n1 > F.col("a") * n0 * 0.2)).orderBy(F.desc("b"), "word").limit(MAX_CLEAN).select("word").collect())
+    model.clean = frozenset(r["word"] for r in counts.filter(~F.col("word").endswith(STEM) & _near(model, F.col("word")) & (F.col("b") >= 2) & (F.col("b") * n1 > F.col("a") * n0 * 0.2)).select("word").collect())  # bounded by the sample
 
     def rows(batches):
         import pyarrow as pa
@@ -256,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             x = [m.features(t).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    got = sample.select("text", "toxic").mapInArrow(rows, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()  # at most MAX_SAMPLE rows
+    got = sample.select("text", "toxic").mapInArrow(rows, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()  # at most one row for each of the sample
     if got:
         model.weights = logistic(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got]), np.array([r["count"] for r in got]))
     return model
