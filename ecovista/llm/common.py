@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_dir
+
 #: Rows of one Arrow batch given to a Python worker; with this, a batch of typical documents is a few MB.
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.  Only a local session may go without, and gets an own one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="ecovista-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: a lineage cut that survives lost executors.
 
     The size estimate of what is read back is that of its files, so later joins are planned on true sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ecovista/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -43,12 +33,15 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keep batches that Spark hands to Python small, so that a worker's memory doesn't depend on the table."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep batches that Spark hands to Python small, so that a worker's memory doesn't depend on the table.  Results are
+    computed after the call, so the session keeps the setting; one that is smaller already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 #: Bytes of text that a task lays out at once; a batch of long documents is cut into such parts.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 def by_size(batches, column: int):

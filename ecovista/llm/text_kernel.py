@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes handled in one go; longer texts are cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240817))
