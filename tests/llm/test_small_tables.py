@@ -127,3 +127,69 @@ def test_most_frequent(spark):
     got = {r["k"] for r in most_frequent(counts, "c", 50).collect()}
     assert got == set(range(200 - len(got), 200)) and 40 <= len(got) <= 50
     assert most_frequent(counts, "c", 1000).count() == 200 and most_frequent(counts.limit(0), "c", 5).isEmpty()
+
+
+def tokens_of(text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+    return ids, tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def packed(ids):
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def test_bpe_and_token_files_are_the_librarys(spark):
+    """Null, empty, long, repeated texts and a null id: ids, digests, and places in the files."""
+    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
+    want, at = [], 0
+    for i, t in rows:
+        ids, text = tokens_of(t)
+        want.append((i, len(ids), hashlib.sha256(packed(ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    got = bpe.encode_documents(docs(spark), PATH).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    got = token_store.store_and_read(docs(spark), PATH, 2).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    plain_ids = {(i, t): tokens_of(t)[0] + [2] for i, t in rows}
+    got = sorted(map(tuple, got), key=lambda r: r[1])
+    assert [r[0] for r in got] == [i for i, _ in rows]
+    for (i, t), (doc, start, n, crc) in zip(rows, got):
+        ids = plain_ids[i, t]
+        assert (doc, start, n, crc) == (i, at, len(ids), zlib.crc32(packed(ids)))
+        at += n
+
+
+def test_hmm_base_score(spark):
+    """n_known, train_tokens and base_score by counting, with null and empty texts, repeated rows and a null id."""
+    import math
+    import re
+    from collections import Counter
+
+    rows = [*ROWS, *[(k, " ".join(f"w{(k * j) % 17}" for j in range(k % 9))) for k in range(20, 60)]]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in rows if not held(i) for w in [*split(t), None])
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, t in rows:
+        w = [*split(t), None]
+        want.append((i, held(i), len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)))
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in hmm_lm.score_documents(docs(spark, rows), 1).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_values_of_scans_on_odd_rows(spark):
+    """Texts without anything to find score as the empty one; spans of empty texts are none."""
+    got = secret_scan.scan_secrets(docs(spark)).collect()
+    assert {(r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in got} == {(0, 0, 0, hashlib.sha256(b"").hexdigest(), "")}
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 5)], LABELS)
+    got = toxicity.score_documents(docs(spark), labels).collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert score[3] == score[4] == score[6] and all(0 <= x <= 1 for x in score.values())
+    assert {r["doc_id"]: r["held_out"] for r in got} == {i: i is None or zlib.crc32(str(i).encode()) % 3 == 1 for i in score}
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert license_scan.scan_licences(docs(spark)).collect() == []
+    assert substring_dedup.repeated_passages(docs(spark, [*ROWS, (None, LONG)])).collect() == []
+    pair = substring_dedup.repeated_passages(docs(spark, [*ROWS, (9, LONG)])).collect()
+    assert {(r["doc_id"], r["other_id"], r["class_id"]) for r in pair} == {(9, 5, 5)}
