@@ -58,13 +58,9 @@ def distance_allowed(term: str) -> int:
     return 2 if len(term) >= 8 else 1 if len(term) >= 4 else 0
 
 
-def without_letters(word: str, most: int):
-    """The sets of what is left of a word without 0, 1, ... most of its letters."""
-    rest = {word}
-    yield rest
-    for _ in range(most):
-        rest = {w[:i] + w[i + 1 :] for w in rest for i in range(len(w))}
-        yield rest
+def exchanged(word: str, at: int) -> str:
+    """The word with the letters on both sides of this place exchanged."""
+    return word[: at - 1] + word[at] + word[at - 1] + word[at + 1 :] if 0 < at < len(word) else word
 
 
 class LexiconTrie:
@@ -74,35 +70,37 @@ class LexiconTrie:
         self.root: dict = {}
         self.stems = tuple(sorted(t.removesuffix(STEM) for t in terms if t.endswith(STEM)))
         self.terms = frozenset(t for t in terms if not t.endswith(STEM))
-        # Texts within d edits (exchanges of neighbours among them) have a common rest once d letters at most are left out
-        # of each, so only words that have a rest of a term are looked up in the trie: no match is missed.
-        self.rests: list[set[str]] = [set(), set(), set()]
+        # With at most d edits, one of d + 1 parts of the term is in the word as it is: the first at its head, the last at
+        # its end.  Only an exchange of the letters at a joint spoils two parts; the two parts so exchanged count as one.
+        heads, tails, inner, whole = set(), set(), set(), set()
         for t in self.terms:
             node = self.root
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-            d = distance_allowed(t)
-            for rest in without_letters(t, d):
-                self.rests[d] |= rest
+            d, n = distance_allowed(t), len(t)
+            cuts = [n * i // (d + 1) for i in range(d + 2)]
+            heads.add(t[: cuts[1]])
+            tails.add(t[cuts[d] :])
+            if d == 1:
+                whole.add(exchanged(t, cuts[1]))
+            if d == 2:
+                inner.add(t[cuts[1] : cuts[2]])
+                heads.add(exchanged(t, cuts[1])[: cuts[2]])
+                tails.add(exchanged(t, cuts[2])[cuts[1] :])
+                whole.add(exchanged(exchanged(t, cuts[1]), cuts[2]))
+        esc = lambda x: "|".join(map(re.escape, sorted(x)))
+        self.hint = re.compile(f"^(?:{esc(heads)})|(?:{esc(tails)})$" + (f"|{esc(inner)}" if inner else "")) if self.terms else None
+        self.whole = frozenset(whole)
         self.sizes = (min(map(len, self.terms), default=1) - 2, max(map(len, self.terms), default=0) + 2)
 
-    def _may_match(self, word: str) -> bool:
-        _, one, two = self.rests
-        if not one and not two:
-            return False
-        for k, rest in enumerate(without_letters(word, 2 if two else 1)):
-            if k <= 1 and not rest.isdisjoint(one) or not rest.isdisjoint(two):
-                return True
-        return False
-
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, distance) of the nearest term within its allowed distance; ties go to the first in order of letters."""
         if word in self.terms:
             return word, 0
         if word.startswith(self.stems):
             return STEM, 0
-        if not self.sizes[0] <= len(word) <= self.sizes[1] or not self._may_match(word):
+        if not self.sizes[0] <= len(word) <= self.sizes[1] or self.hint is None or not (self.hint.search(word) or word in self.whole):
             return None
         best: tuple[int, str] | None = None
         n = len(word)

@@ -318,6 +318,32 @@ def test_trie_is_levenshtein():
         assert (got and (got[1], got[0])) == best
 
 
+def test_trie_misses_nothing():
+    """All words within two edits (exchanges among them) of a long term, and within one of a short one."""
+    letters = "abs"
+
+    def near(w):
+        yield from (w[:i] + c + w[j:] for i in range(len(w) + 1) for j in (i, i + 1) if j <= len(w) for c in ("", *letters))
+        yield from (w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1))
+
+    long, short = toxicity.LexiconTrie(["absolute"]), toxicity.LexiconTrie(["moron"])
+    assert all(long.match(v) and long.match(v)[1] <= 2 for w in near("absolute") for v in near(w) if _osa(v, "absolute") <= 2)
+    assert all(short.match(w) for w in near("moron"))
+
+
+def _osa(a, b):
+    older, row = None, list(range(len(b) + 1))
+    for i in range(1, len(a) + 1):
+        new = [i]
+        for j in range(1, len(b) + 1):
+            x = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                x = min(x, older[j - 2] + 1)
+            new.append(x)
+        older, row = row, new
+    return row[-1]
+
+
 def test_trie_finds_exchanged_letters():
     terms = ["moron", "idiot", "worthless", "scum", "stupid"]
     trie = toxicity.LexiconTrie(terms)
