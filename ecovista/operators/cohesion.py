@@ -64,8 +64,9 @@ def components(pairs: DataFrame) -> DataFrame:
     """pairs a, b -> node_id, component (least id), by alternating large and small stars; nodes with an edge only."""
     edges, state = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), None
     while True:
-        edges = cut(_star(_star(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        edges = cut(_star(_star(edges, True), False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
+        now = seen.get
         if now == state:
             break
         state = now
@@ -84,11 +85,11 @@ def bridges(edges: DataFrame) -> DataFrame:
     while True:  # prune leaves
         degree = _both(rest).groupBy("u").agg(F.count(F.lit(1)).alias("d")).filter("d = 1").select("u")
         marked = rest.join(degree.select(F.col("u").alias("a"), F.lit(True).alias("x")), "a", "left").join(degree.select(F.col("u").alias("b"), F.lit(True).alias("y")), "b", "left")
-        marked, n = cut_counted(marked.select("a", "b", F.coalesce("x", "y", F.lit(False)).alias("leaf")))
+        counts = Observation()
+        marked = cut(marked.select("a", "b", F.coalesce("x", "y", F.lit(False)).alias("leaf")).observe(counts, F.count_if("leaf").alias("pruned"), F.count_if(~F.col("leaf")).alias("left")))
         leaves, rest = marked.filter("leaf").select("a", "b"), marked.filter("NOT leaf").select("a", "b")
-        pruned = leaves.count()
         found = leaves if found is None else found.unionByName(leaves)
-        left = n - pruned
+        pruned, left = counts.get["pruned"], counts.get["left"]
         if not pruned or not left:
             break
     if not left:

@@ -8,29 +8,30 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.lineage import cut, cut_counted
 
-#: Rounds after which the pieces of a growing table are written as one.
-COMPACT = 4
-
 
 def transitive_dependents(edges: DataFrame) -> DataFrame:
     """(pkg, dependent): every node that reaches pkg over edges src -> dst, pkg itself left out even on cycles.
 
-    Semi-naive: each round joins only the pairs found in the last one, and lineage is cut to a table.
+    Walks are doubled: with the pairs joined by fewer than n edges and those joined by exactly n, one round gives both
+    for 2 n, so rounds grow with the logarithm of the depth, and a pair comes once for each node in the middle of its
+    walks.  A round without new pairs is the last, as a longer shortest walk has a shorter one within.
     """
-    edges = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    step = edges.select(F.col("dst").alias("mid"), F.col("src").alias("next"))
-    found = delta = edges.select(F.col("dst").alias("pkg"), F.col("src").alias("dependent"))
-    rounds, grown = 0, 1
+    found = cut(edges.filter("src <> dst").select(F.col("dst").alias("pkg"), F.col("src").alias("dependent")).distinct())
+    exact, grown = found, 1
     while grown:
-        new = delta.join(step, delta["dependent"] == step["mid"]).select("pkg", F.col("next").alias("dependent")).distinct()
-        delta, grown = cut_counted(new.join(found, ["pkg", "dependent"], "left_anti"))
-        found = found.unionAll(delta)
-        rounds += 1
-        if rounds % COMPACT == 0:  # what is scanned in a round stays a few tables
-            found = cut(found)
+        exact = cut(_walks(exact, exact))
+        new = exact.unionAll(_walks(exact, found))
+        new, grown = cut_counted(new.distinct().join(found, ["pkg", "dependent"], "left_anti"))
+        found = cut(found.unionAll(new)) if grown else found
     return cut(found.filter("pkg <> dependent"))
 
 
+def _walks(upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """Pairs joined by a walk of upper and then one of lower."""
+    low = lower.select(F.col("pkg").alias("middle"), F.col("dependent").alias("end"))
+    return upper.join(low, upper["dependent"] == low["middle"]).select("pkg", F.col("end").alias("dependent")).distinct()
+
+
 def criticality(nodes: DataFrame, closure: DataFrame) -> DataFrame:
     """node_id, criticality: its active transitive dependents; 0 for nodes without."""
     active = nodes.filter(F.coalesce("active", F.lit(False))).select(F.col("node_id").alias("dependent"))
