@@ -6,8 +6,10 @@ shingle within the first n - ceil(0.75 n) + 1 (their prefixes).  On the shingles
 
 1. Grouping: each document is compared with one leader, a document that shares many shingles with it and with
    others; links found make groups of similar documents.
-2. Matrix: for each shingle, the groups that have it in the union of their members' prefixes, with the least and
-   greatest set size.  The shingles of a document's prefix that are in a group's union bound its overlap with any
+   Documents that were compared with one leader are told apart by how they differ from it: two of them, the first not
+   linked with the leader, are linked only if they have most of the second's differences in common.
+2. Matrix: for each shingle, the groups (by leader) that have it in the union of their members' prefixes, with the
+   least and greatest set size.  The shingles of a document's prefix that are in a group's union bound its overlap with any
    member from above; only groups whose bound allows a link are opened, and within them only pairs whose own
    bound does.
 3. Pairs left are compared on their whole shingle sets, and links make the components.
@@ -139,14 +141,50 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets have percent * union <= 100 * intersection."""
+    both = _with_sets(docs, pairs)
+    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
+    return written(common.filter(f"100 * i >= {percent} * (s - i)").select("u", "v"), "links")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Documents u compared with leaders v: linked, and the shingles in which they differ, extra (in u) and missing (in v);
+    pairs that share less than half of the smaller set are left out, unless linked."""
+    both = _with_sets(docs, pairs).withColumn("i", F.size(F.array_intersect("a", "b")))
+    linked = (100 * F.col("i") >= percent * (F.size("a") + F.size("b") - F.col("i"))).alias("linked")
+    near = both.filter((2 * F.col("i") >= F.least(F.size("a"), F.size("b"))))
+    return written(near.select("u", "v", linked, F.array_except("a", "b").alias("extra"), F.array_except("b", "a").alias("missing")), "compared")
+
+
+def _with_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the whole sets a and b."""
     pairs = written(pairs.select("u", "v").distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     asked = docs.select("doc_id", "text").join(F.broadcast(ids) if few(ids) else ids.hint("merge"), "doc_id", "left_semi")
     sets = written(shingle_sets(asked), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("a")).hint("merge"), "u")
-    both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("b")).hint("merge"), "v")
-    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
-    return written(common.filter(f"100 * i >= {percent} * (s - i)").select("u", "v"), "links")
+    return left.join(sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("b")).hint("merge"), "v")
+
+
+def _by_difference(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of one leader, not both linked with it, that their differences from it allow to be linked.
+
+    Let b miss m of the leader's shingles and have e others.  A document that is not linked with the leader, but with b,
+    has more than m + p / (100 + p) * (e - m) of these m + e differences too: the leader itself lacks just that much to
+    be linked with it, or more.  So it has one of any (m + e) - that number of them, and those that fewest documents of
+    the leader have are asked.
+    """
+    p, q = percent, 100 + percent
+    rows = found.select("v", "u", "linked", F.size("extra").alias("e"), F.size("missing").alias("m"), F.explode(F.concat(F.transform("extra", lambda t: F.struct(t.alias("token"), F.lit(True).alias("more"))), F.transform("missing", lambda t: F.struct(t.alias("token"), F.lit(False).alias("more"))))).alias("d")).select("v", "u", "linked", "e", "m", "d.token", "d.more")
+    key = ["v", "token", "more"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.bool_or(~F.col("linked")).alias("asked")).filter("c > 1 AND asked")
+    # A difference that no other document has takes a place among the rarest without being asked for.
+    shared = written(rows.join(counts.select(*key, "c").hint("merge"), key), "differences")
+    held = shared.groupBy("u").agg(F.count(F.lit(1)).alias("held"))
+    rarest = Window.partitionBy("u").orderBy("c", "token", "more")
+    ranked = shared.join(held.hint("merge"), "u").withColumn("place", F.row_number().over(rarest) + F.col("e") + F.col("m") - F.col("held"))
+    asking = ranked.filter(f"place <= e + m - (100 * m + {p} * e) div {q}").select(*key, F.col("u").alias("b"))
+    met = asking.join(shared.filter("NOT linked").select(*key, F.col("u").alias("a")).hint("merge"), key).filter("a <> b")
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -188,10 +226,12 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     leaders = placed.groupBy("token").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("best")).select("token", (-F.col("best.minus")).alias("leader"))
     chosen = shared.join(leaders.hint("merge"), "token").filter("doc_id <> leader").groupBy("doc_id", "leader").count()
     best = chosen.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("leader")).alias("minus"))).alias("best")).select(F.col("doc_id").alias("u"), (-F.col("best.minus")).alias("v"))
-    links = verified(docs, _sized(best, nodes, percent), percent)
+    found = compared(docs, _sized(best, nodes, percent), percent)
+    links = found.filter("linked").select("u", "v")
 
     groups = written(connected_components(links.unionAll(copies)), "groups")
-    more = verified(docs, _across(shared, nodes, groups, percent), percent)
+    leaders = found.select(F.col("u").alias("doc_id"), F.col("v").alias("lead"))
+    more = verified(docs, _across(shared, nodes, groups, percent, leaders).unionAll(_by_difference(found, percent)), percent)
     if not more.isEmpty():
         groups = connected_components(links.unionAll(more).unionAll(copies))
     names = groups.select(F.col("node").alias("doc_id"), "component").distinct()
@@ -206,8 +246,9 @@ def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return found.filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v")
 
 
-def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different groups that the bounds allow to be linked.
+def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, leaders: DataFrame | None = None) -> DataFrame:
+    """Pairs of documents of different groups that the bounds allow to be linked; documents of one leader, and their
+    leader, were compared before, so a group is divided by leader.
 
     `left` is the number of a set's shingles from this one to its end in the common order.  The first shingle that two
     linked sets share has at least the needed overlap left in both; common shingles come last, so most sets that hold
@@ -216,16 +257,17 @@ def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
     """
     p, q = percent, 100 + percent
     member = nodes.join(groups.select(F.col("node").alias("doc_id"), "component").distinct().hint("merge"), "doc_id", "left").select("doc_id", "n", "last", F.coalesce("component", "doc_id").alias("grp"))
-    sizes = member.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"))
-    member = member.join(sizes.hint("merge"), "grp")
+    member = member.withColumn("lead", F.col("doc_id")) if leaders is None else member.join(leaders.hint("merge"), "doc_id", "left").withColumn("lead", F.coalesce("lead", "doc_id"))
+    sizes = member.groupBy("grp", "lead").agg(F.count(F.lit(1)).alias("docs"))
+    member = member.join(sizes.hint("merge"), ["grp", "lead"])
     cells = shared.join(member.hint("merge"), "doc_id")
     several = cells.groupBy("token").agg((F.min("grp") < F.max("grp")).alias("more")).filter("more").select("token")
     cells = written(cells.join(several.hint("merge"), "token", "left_semi"), "cells")
-    matrix = cells.groupBy("token", "grp", "docs").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most"), F.count(F.lit(1)).alias("members"))
-    matrix = matrix.select("token", F.col("grp").alias("other"), F.col("docs").alias("others"), "low", "high", "most", "members")
+    matrix = cells.groupBy("token", "grp", "lead", "docs").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most"), F.count(F.lit(1)).alias("members"))
+    matrix = matrix.select("token", F.struct("grp", "lead").alias("other"), F.col("docs").alias("others"), "low", "high", "most", "members")
     fits = f"100 * high >= {p} * n AND 100 * n >= {p} * low"
     least = f"ceil({p} * (n + greatest(low, ceil(n * {p} / 100))) / {q})"
-    first = f"(docs < others OR docs = others AND grp < other) AND least(left, most) >= {least}"
+    first = f"grp <> other.grp AND lead <> other.lead AND (docs < others OR docs = others AND grp < other.grp) AND least(left, most) >= {least}"
     asked = cells.join(matrix.hint("merge"), "token").filter(first).filter(fits).select("doc_id", "n", "other").distinct()
     asked = written(asked, "asked")
     # A member's size is within [low, high] and within what the document's own size allows; the overlap needed falls
@@ -236,7 +278,7 @@ def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
     opened = rows.groupBy("doc_id", "n", "other").agg(F.count(F.lit(1)).alias("m"), F.expr(need).alias("need")).filter("m >= need").select("doc_id", "n", "other")
     # Within an opened group, a member is met on the first shingle that both have.
     ask = cells.select("token", "doc_id", "left").join(opened.hint("merge"), "doc_id")
-    members = cells.select("token", F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("leftb"))
+    members = cells.select("token", F.struct("grp", "lead").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("leftb"))
     met = ask.join(members.hint("merge"), ["token", "other"]).filter(f"100 * least(n, nb) >= {p} * greatest(n, nb) AND least(left, leftb) >= ceil({p} * (n + nb) / {q})")
     pairs = met.select(F.greatest("doc_id", "b").alias("u"), F.least("doc_id", "b").alias("v")).distinct()
     # The shingles that both prefixes have, against what the pair's own sizes ask for: all shingles of the prefix that
