@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_scan, secret_scan, substring_dedup, token_store, toxicity
+from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_scan, secret_scan, spelling, substring_dedup, token_store, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hmm_lm": op1_hmm_lm,
     "op2_exact_dedup": op2_exact_dedup,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {
@@ -88,4 +93,39 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id
         FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1
     """,
+    # crc32 by its table; near words share what is left without one letter (at one place, if they are of one size).
+    "op13_spelling": """
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+            FROM range(256) r(i)),
+        runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+            FROM documents),
+        once AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        bytes AS (
+            SELECT id, run, n, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END FOR c IN string_split(id || ':' || run, '')]) AS b
+            FROM once),
+        hashed AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[1 + (xor(c, x) & 255)])), 4294967295) AS h
+            FROM bytes, crc),
+        w AS (
+            SELECT word, sum(n)::BIGINT AS n
+            FROM (SELECT CASE WHEN h % 199 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed)
+            WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+        less AS (SELECT DISTINCT word, i, word[: i] || word[i + 2 :] AS part FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+        near AS (
+            SELECT a.word, b.word AS other FROM less a JOIN less b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+            UNION SELECT l.word, w.word FROM less l JOIN w ON w.word = l.part
+            UNION SELECT w.word, l.word FROM less l JOIN w ON w.word = l.part),
+        best AS (
+            SELECT near.word, count(*) AS n_near, max(o.n) AS form_n, arg_min(o.word, (-o.n, o.word)) AS form
+            FROM near JOIN w o ON o.word = near.other GROUP BY 1),
+        f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+            FROM w LEFT JOIN best ON best.word = w.word),
+        r AS (
+            SELECT word, word AS root, form AS onward FROM f
+            UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.onward)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word WHERE r.onward IS NULL
+    """,
 }
