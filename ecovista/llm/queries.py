@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_scan, secret_scan, spelling, substring_dedup, token_store, toxicity
+from . import bpe, decontaminate, exact_dedup, hmm_lm, jaccard_join, license_scan, packing, secret_scan, spelling, substring_dedup, token_store, toxicity
 from .common import table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_hmm_lm(spark, sf_dir):
@@ -52,6 +52,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op13_spelling(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_packing": op12_packing,
     "op13_spelling": op13_spelling,
 }
 
