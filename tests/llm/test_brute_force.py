@@ -381,6 +381,21 @@ def test_secret_formats(spark):
     assert got[0]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
 
 
+def test_leaked_keys_do_not_hide_themselves(spark):
+    """Keys that stand without a keyword, many of them in the corpus that is learned from, and a few without any digit."""
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda a=letters + "0123456789": "gk_" + "".join(r.choice(a) for _ in range(30))
+    rows = [(i, f"api_key: {key()} thisandthatword{i % 9} wordwordword{i % 5}-{i % 7} 10.{i % 200}.130.{i % 99} v{i}.{i + 1}.{i + 2}-release") for i in range(400)]
+    alone = [key() for _ in range(60)] + [key(letters) for _ in range(4)]
+    rows += [(1000 + i, f"it was {k} then wordwordword{i % 5}-{i % 7}") for i, k in enumerate(alone)]
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[1000 + i] == f"format:7:{7 + len(k)}" for i, k in enumerate(alone))
+    assert found >= len(alone) - 2
+    spans = [(rows[i][1], x.split(":")) for i in range(400) for x in got[i].split(",")]
+    assert all(t[int(a) : int(b)].startswith("gk_") for t, (k, a, b) in spans if k == "format")
+
+
 def test_secret_grammar():
     """The automaton holds a format's length and its fixed beginning; credentials that were held out, without their
     keyword, are told from words."""
