@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.lineage import cut
-from ..operators import graph
+from ..operators import graph, incremental
 from .ecosystem import Ecosystem
 
 CONTRIBUTION_DAYS = 365
@@ -90,3 +90,14 @@ class Model(Ecosystem):
     @cached_property
     def projects(self) -> DataFrame:
         return self.table("part").groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("title")).agg(F.sum(F.when(F.col("p_size") > 45, F.col("p_retailprice")).otherwise(0.0).cast("decimal(18,2)")).cast("double").alias("total_awarded_usd"))
+
+    @cached_property
+    def refreshed(self) -> incremental.Views:
+        """The views after some ages have changed, some nodes and edges have gone and others come."""
+        key = F.col("node_id")
+        before = incremental.Views(self.nodes, self.all_edges, self.edges, incremental.Closure.of(self.closure), self.criticality.select("node_id", "criticality"))
+        aged = self.nodes.filter(key % 50 == 7).withColumns({"days_since_commit": F.when(key % 100 == 7, 400).otherwise(1).cast("long"), "archived": F.lit(False), "active": key % 100 == 57})
+        changes = aged.filter(key % 211 != 13).withColumn("deleted", F.lit(False)).unionByName(self.nodes.filter(key % 211 == 13).withColumn("deleted", F.lit(True))).drop("retained")
+        new = self.nodes.filter(key % 37 == 5).select(key.alias("src"), F.expr("node_id div 7").alias("dst")).filter("dst > 0")
+        edge_changes = self.all_edges.filter("src % 40 = 3").join(new, ["src", "dst"], "left_anti").withColumn("deleted", F.lit(True)).unionByName(new.withColumn("deleted", F.lit(False)))
+        return incremental.refresh(before, changes, edge_changes, self.config)

@@ -260,6 +260,38 @@ def j16_apply_delta(m):
     return graph.apply_delta(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id"], "event_id", "gone").select("user_id", "event_id", "event_type")
 
 
+#: What Model.refreshed changes: ages of some nodes, nodes and edges that go, edges that come.
+CHANGED = """
+n2 AS (
+  SELECT *, coalesce(days <= 90 AND NOT archived, false) AS active, CASE WHEN days IS NULL THEN node_type = 'ExternalRepo' ELSE days <= 90 AND NOT archived END AS retained
+  FROM (SELECT node_id, node_type, CASE WHEN node_id % 100 = 7 THEN 400 WHEN node_id % 100 = 57 THEN 1 ELSE days END AS days, archived AND node_id % 50 <> 7 AS archived FROM nodes WHERE node_id % 211 <> 13)),
+e2 AS (SELECT src, dst FROM alledges WHERE src % 40 <> 3 UNION SELECT node_id, node_id // 7 FROM nodes WHERE node_id % 37 = 5 AND node_id // 7 > 0),
+p2 AS (SELECT e2.src, e2.dst FROM e2 JOIN n2 a ON a.node_id = e2.src JOIN n2 b ON b.node_id = e2.dst WHERE a.retained AND b.retained AND e2.src <> e2.dst),
+w2 AS (SELECT dst AS pkg, src AS dependent FROM p2 UNION SELECT w.pkg, e.src FROM w2 w JOIN p2 e ON e.dst = w.dependent),
+c2 AS (SELECT pkg, dependent FROM w2 WHERE pkg <> dependent)
+"""
+
+
+@query(eco("SELECT node_id, active, retained FROM n2", CHANGED))
+def j16_p1_refreshed_nodes(m):
+    return m.refreshed.nodes.select("node_id", "active", "retained")
+
+
+@query(eco("SELECT src, dst FROM p2", CHANGED))
+def j16_p2_refreshed_edges(m):
+    return m.refreshed.edges
+
+
+@query(eco("SELECT pkg, dependent FROM c2", CHANGED))
+def j16_g1_refreshed_closure(m):
+    return m.refreshed.closure.pairs()
+
+
+@query(eco("SELECT node_id, coalesce(n, 0) AS criticality FROM n2 LEFT JOIN (SELECT pkg, count(*) AS n FROM c2 JOIN n2 d ON d.node_id = dependent AND d.active GROUP BY 1) ON pkg = node_id WHERE retained", CHANGED))
+def j16_g2_refreshed_criticality(m):
+    return m.refreshed.criticality
+
+
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
 def w7_first_per_key(m):
     return rank.first_per_key(m.table("events"), ["user_id"], "event_id").select("user_id", "event_id")
