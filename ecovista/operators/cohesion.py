@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, cut_counted
@@ -17,21 +19,48 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, core: starts from degrees; each round a node takes the h-index of its neighbours' estimates, until none changes."""
+def core_numbers(nodes: DataFrame, edges: DataFrame, sent: list[int] | None = None) -> DataFrame:
+    """node_id, core: starts from degrees; a node takes the h-index of its neighbours' estimates, until none changes.
+
+    A node keeps how many neighbours have which estimate.  Only nodes whose estimate fell tell their neighbours, so edges
+    are read for those alone, and only nodes that are told take the h-index anew; the rows of the others are copied.
+    sent: gets the number of rows told in each round.
+    """
     both = cut(_both(undirected(edges)))
-    est = cut(both.groupBy("u").agg(F.count(F.lit(1)).alias("core")))
-    order = Window.partitionBy("u").orderBy(F.col("core").desc())
-    while True:
-        # A hub's neighbours are counted by estimate before they meet, so its window has a row for each estimate only.
-        counted = both.join(est.select(F.col("u").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
-        new = counted.withColumn("i", F.sum("n").over(order)).groupBy("u").agg(F.max(F.least("i", "core")).alias("new"))
-        changes = Observation()
-        nxt = est.join(new, "u").select("u", F.least("core", "new").cast("long").alias("core"), (F.col("new") < F.col("core")).alias("changed"))
-        est = cut(nxt.observe(changes, F.count_if("changed").alias("n"))).select("u", "core")
-        if not changes.get["n"]:
-            break
-    return nodes.select("node_id").join(est.select(F.col("u").alias("node_id"), "core"), "node_id", "left").na.fill(0, ["core"])
+    first = both.groupBy("u").agg(F.count(F.lit(1)).alias("core"))
+    told = both.join(first.select(F.col("u").alias("v"), "core"), "v").groupBy("u", F.col("core").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    seen = told.groupBy("u").agg(F.collect_list(F.struct("value", "n")).alias("seen"))  # a row for each estimate, not for each neighbour
+    state, changed = _estimated(first.join(seen, "u"))
+    while changed:
+        fell = state.filter("core < was").select(F.col("u").alias("v"), "was", "core")
+        counts = Observation()
+        news = both.join(fell, "v").observe(counts, F.count(F.lit(1)).alias("n"))
+        news = news.select("u", F.explode(F.array(F.struct(F.col("was").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("core").alias("value"), F.lit(1).alias("n")))).alias("x"))
+        news = news.groupBy("u", "x.value").agg(F.sum("x.n").alias("n")).groupBy("u").agg(F.collect_list(F.struct("value", "n")).alias("news"))
+        # How many are told isn't known before it runs, so they are never broadcast.
+        after = state.join(news.hint("shuffle_hash"), "u", "left").select("u", "core", F.when(F.col("news").isNull(), F.col("seen")).otherwise(_summed("seen", "news")).alias("seen"))
+        state, changed = _estimated(after)
+        if sent is not None:
+            sent.append(counts.get["n"])
+    return nodes.select("node_id").join(state.select(F.col("u").alias("node_id"), "core"), "node_id", "left").na.fill(0, ["core"])
+
+
+def _summed(a: str, b: str) -> Column:
+    """Two lists of (value, n) as one, without what sums to 0; largest values first."""
+    both = F.concat(F.col(a), F.col(b))
+    values = F.sort_array(F.array_distinct(F.transform(both, lambda x: x["value"])), asc=False)
+    sums = F.transform(values, lambda v: F.struct(v.alias("value"), F.aggregate(F.filter(both, lambda x: x["value"] == v), F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("n")))
+    return F.filter(sums, lambda x: x["n"] > 0)
+
+
+def _estimated(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows: u, core, seen -> written: u, core (at most the h-index of seen), was (the core before), seen; number of those that fell."""
+    ordered = F.reverse(F.array_sort("seen"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("best"))
+    step = lambda t, x: F.struct((t["n"] + x["n"]).alias("n"), F.greatest(t["best"], F.least(t["n"] + x["n"], x["value"])).alias("best"))
+    changes = Observation()
+    new = rows.select("u", F.least("core", F.aggregate(ordered, start, step)["best"]).alias("core"), F.col("core").alias("was"), "seen")
+    return cut(new.observe(changes, F.count_if(F.col("core") < F.col("was")).alias("n"))), changes.get["n"]
 
 
 def core_shells(cores: DataFrame) -> DataFrame:
@@ -73,52 +102,89 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node_id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node_id"), F.col("v").alias("component")).distinct())
 
 
-def bridges(edges: DataFrame) -> DataFrame:
+def _ends(edges: DataFrame) -> DataFrame:
+    """u, e: each edge at both of its ends."""
+    return edges.select(F.col("a").alias("u"), "e").unionAll(edges.select(F.col("b").alias("u"), "e"))
+
+
+def _without_chains(edges: DataFrame, least: float) -> tuple[DataFrame, DataFrame] | None:
+    """Chains of nodes with two edges as one edge each: the edges (a, b, e) and which e have become which (node_id, component);
+    none if fewer than `least` nodes are in chains.
+
+    Edges that meet at such a node are linked, so a chain is a component of edges and is found in logarithmic rounds.
+    A chain that comes back to its node, or is a ring, has no bridge and goes.
+    """
+    inner, n = cut_counted(_ends(edges).groupBy("u").agg(F.count(F.lit(1)).alias("d"), F.min("e").alias("a"), F.max("e").alias("b")).filter("d = 2"))
+    if n < least:
+        return None
+    names = cut(components(inner.select("a", "b")))
+    named = edges.join(names, F.col("e") == F.col("node_id"), "left").select("a", "b", F.coalesce("component", "e").alias("e"))
+    outer = _ends(named).join(inner.select("u"), "u", "left_anti")
+    return cut(outer.groupBy("e").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b").select("a", "b", "e")), names
+
+
+#: Leaves are pruned, and chains folded, while a round takes this share of the edges at least: rounds are logarithmic in number.
+WORTH = 1 / 8
+
+
+def bridges(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """a, b (a < b): edges whose removal disconnects their ends.
 
-    A breadth-first forest is grown from the least node of each component.  Every other edge gets two random 64-bit
-    labels; a tree edge is a bridge exactly when the labels at the ends below it cancel out (up to a
-    chance of 2**-128).  Leaves are cut first, as an edge to a node of degree 1 is a bridge.
+    An edge to a node of degree 1 is a bridge and is cut; the edges of a chain are all bridges or none, so chains are
+    folded into one edge.  On what is left (few nodes have fewer than three edges) a breadth-first forest is grown from the
+    least node of each component.  Every other edge gets two random 64-bit labels; a tree edge is a bridge exactly when
+    the labels at the ends below it cancel out (up to a chance of 2**-128).  rounds: gets the edges before each round.
     """
-    rest = cut(undirected(edges))
-    found = None
-    while True:  # prune leaves
-        degree = _both(rest).groupBy("u").agg(F.count(F.lit(1)).alias("d")).filter("d = 1").select("u")
-        marked = rest.join(degree.select(F.col("u").alias("a"), F.lit(True).alias("x")), "a", "left").join(degree.select(F.col("u").alias("b"), F.lit(True).alias("y")), "b", "left")
+    members = cut(undirected(edges).withColumn("e", F.monotonically_increasing_id()))  # e: the chain that an edge is part of
+    kind = members.schema["a"].dataType
+    rest, parts = members, []
+    while True:
+        leaf = _ends(rest).groupBy("u").agg(F.count(F.lit(1)).alias("d")).filter("d = 1").select("u")
+        marked = rest.join(leaf.select(F.col("u").alias("a"), F.lit(True).alias("x")), "a", "left").join(leaf.select(F.col("u").alias("b"), F.lit(True).alias("y")), "b", "left")
         counts = Observation()
-        marked = cut(marked.select("a", "b", F.coalesce("x", "y", F.lit(False)).alias("leaf")).observe(counts, F.count_if("leaf").alias("pruned"), F.count_if(~F.col("leaf")).alias("left")))
-        leaves, rest = marked.filter("leaf").select("a", "b"), marked.filter("NOT leaf").select("a", "b")
-        found = leaves if found is None else found.unionByName(leaves)
-        pruned, left = counts.get["pruned"], counts.get["left"]
-        if not pruned or not left:
+        marked = cut(marked.select("a", "b", "e", F.coalesce("x", "y", F.lit(False)).alias("leaf")).observe(counts, F.count_if("leaf").alias("pruned"), F.count_if(~F.col("leaf")).alias("left")))
+        rest, pruned, left = marked.filter("NOT leaf").drop("leaf"), counts.get["pruned"], counts.get["left"]
+        parts.append(members.join(marked.filter("leaf").select("e"), "e").select("a", "b"))
+        if rounds is not None:
+            rounds.append(pruned + left)
+        if not left:
             break
-    if not left:
-        return found if found is not None else rest
-    both = cut(_both(rest))
-    roots = components(rest).select(F.col("component").alias("node_id")).distinct()
-    kind = rest.schema["a"].dataType
-    level = cut(roots.select("node_id", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth")))
+        if pruned < WORTH * (pruned + left):
+            folded = _without_chains(rest, max(1, WORTH * left))
+            if folded is None:
+                parts.append(_core_bridges(rest, members, kind))
+                break
+            rest, names = folded
+            members = cut(members.join(names, F.col("e") == F.col("node_id"), "left").select("a", "b", F.coalesce("component", "e").alias("e")))
+    return cut(reduce(DataFrame.unionAll, parts))
+
+
+def _core_bridges(rest: DataFrame, members: DataFrame, kind) -> DataFrame:
+    """a, b: the bridges among the edges rest (a, b, e), of which there may be several between two nodes."""
+    both = cut(rest.select(F.col("a").alias("u"), F.col("b").alias("v"), "e").unionAll(rest.select(F.col("b").alias("u"), F.col("a").alias("v"), "e")))
+    roots = components(rest.select("a", "b")).select(F.col("component").alias("node_id")).distinct()
+    level = cut(roots.select("node_id", F.lit(None).cast(kind).alias("parent"), F.lit(None).cast("long").alias("e"), F.lit(0).alias("depth")))
     tree, depth, grown = level, 0, 1
     while grown:
         depth += 1
-        nxt = both.join(level.select(F.col("node_id").alias("u")), "u").groupBy(F.col("v").alias("node_id")).agg(F.min("u").alias("parent"))
-        level, grown = cut_counted(nxt.join(tree.select("node_id"), "node_id", "left_anti").select("node_id", "parent", F.lit(depth).alias("depth")))
+        nxt = both.join(level.select(F.col("node_id").alias("u")), "u").groupBy(F.col("v").alias("node_id")).agg(F.min(F.struct(F.col("u").alias("parent"), "e")).alias("x"))
+        level, grown = cut_counted(nxt.join(tree.select("node_id"), "node_id", "left_anti").select("node_id", "x.parent", "x.e", F.lit(depth).alias("depth")))
         tree = tree.unionByName(level)
         if depth % COMPACT == 0:  # what is scanned in a round stays a few tables
             tree = cut(tree)
     tree = cut(tree)
-    arcs = tree.filter("parent IS NOT NULL").select(F.least("node_id", "parent").alias("a"), F.greatest("node_id", "parent").alias("b"))
-    chords = _both(rest.join(arcs, ["a", "b"], "left_anti"))
-    label = lambda n: F.xxhash64(F.least("u", "v"), F.greatest("u", "v"), F.lit(n))
-    own = chords.select(F.col("u").alias("node_id"), label(1).alias("x"), label(2).alias("y"))
-    sums = cut(own.groupBy("node_id").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")))
-    below = None
+    chords = _ends(rest.join(tree.select("e").filter("e IS NOT NULL"), "e", "left_anti"))
+    sums = chords.groupBy(F.col("u").alias("node_id")).agg(*[F.bit_xor(F.xxhash64("e", F.lit(n))).alias(x) for n, x in ((1, "x"), (2, "y"))])
+    known = cut(tree.join(sums, "node_id", "left").na.fill(0, ["x", "y"]))
+    below, cutting = None, []
     for d in range(depth - 1, 0, -1):  # fold up the forest, deepest level first
-        here = tree.filter(F.col("depth") == d).join(sums, "node_id", "left").select("node_id", "parent", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+        here = known.filter(F.col("depth") == d).select("node_id", "parent", "e", "x", "y")
         if below is not None:
-            up = below.groupBy(F.col("parent").alias("node_id")).agg(F.bit_xor("x").alias("bx"), F.bit_xor("y").alias("by"))
-            here = here.join(up, "node_id", "left").select("node_id", "parent", F.col("x").bitwiseXOR(F.coalesce("bx", F.lit(0))).alias("x"), F.col("y").bitwiseXOR(F.coalesce("by", F.lit(0))).alias("y"))
+            up = below.select(F.col("parent").alias("node_id"), "x", "y")
+            here = here.join(up.groupBy("node_id").agg(F.bit_xor("x").alias("bx"), F.bit_xor("y").alias("by")), "node_id", "left")
+            here = here.select("node_id", "parent", "e", F.col("x").bitwiseXOR(F.coalesce("bx", F.lit(0))).alias("x"), F.col("y").bitwiseXOR(F.coalesce("by", F.lit(0))).alias("y"))
         below = cut(here)
-        cutting = below.filter("x = 0 AND y = 0").select(F.least("node_id", "parent").alias("a"), F.greatest("node_id", "parent").alias("b"))
-        found = cutting if found is None else found.unionByName(cutting)
-    return found if found is not None else rest.limit(0)
+        cutting.append(below.filter("x = 0 AND y = 0").select("e"))
+    if not cutting:
+        return members.limit(0).select("a", "b")
+    return members.join(reduce(DataFrame.unionAll, cutting), "e").select("a", "b")

@@ -67,6 +67,10 @@ def neighbourhood(edges: DataFrame, closure: DataFrame) -> DataFrame:
     return union.groupBy("node_id").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in names])
 
 
+#: Relative standard error of a sketch of hll_sketch_agg's default size (2**12 registers).
+SKETCH_ERROR = 1.04 / 2**6
+
+
 def approximate_criticality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Criticality by sketches of neighbourhoods, without pairs: each node's sketch takes in those of its dependents until no node's estimate changes."""
     seed = nodes.withColumn("own", F.coalesce("active", F.lit(False)))

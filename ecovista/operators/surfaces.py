@@ -190,3 +190,10 @@ def scorecard(totals: DataFrame, fer: DataFrame) -> DataFrame:
 def gate_rank(g: DataFrame) -> DataFrame:
     """Place within passed and failed projects, borderline first among the passed."""
     return place(g, "passed", gate_order()[1:], "place")
+
+
+def critical_top(crit: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """node_id, node_type, ecosystem, criticality, criticality_pct of the k most critical packages (ties: least id)."""
+    best = crit.filter("criticality > 0").orderBy(F.desc("criticality"), "node_id").limit(k)
+    rows = nodes.select("node_id", "node_type", "ecosystem").join(F.broadcast(best), "node_id")  # k rows
+    return rows.select("node_id", "node_type", "ecosystem", "criticality", "criticality_pct").orderBy(F.desc("criticality"), "node_id")

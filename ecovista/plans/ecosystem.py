@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ class Ecosystem:
 
     @cached_property
     def active_nodes(self) -> DataFrame:
-        return cut(self.nodes.filter("retained"))
+        return self.nodes.filter("retained")
 
     @cached_property
     def packages(self) -> DataFrame:
@@ -70,11 +71,11 @@ class Ecosystem:
 
     @cached_property
     def gate(self) -> DataFrame:
-        return cut(surfaces.gate(self.gate_rows, self.config))
+        return surfaces.gate(self.gate_rows, self.config)
 
     @cached_property
     def debt(self) -> DataFrame:
-        return cut(surfaces.maintenance_debt(self.active_nodes, self.criticality, self.concentration, self.config))
+        return surfaces.maintenance_debt(self.active_nodes, self.criticality, self.concentration, self.config)
 
     @cached_property
     def keystones(self) -> DataFrame:
@@ -82,11 +83,11 @@ class Ecosystem:
 
     @cached_property
     def project_totals(self) -> DataFrame:
-        return cut(surfaces.project_totals(self.active_nodes, self.criticality, self.concentration))
+        return surfaces.project_totals(self.active_nodes, self.criticality, self.concentration)
 
     @cached_property
     def fer(self) -> DataFrame:
-        return cut(surfaces.funding_efficiency(self.project_totals, self.projects, self.config))
+        return surfaces.funding_efficiency(self.project_totals, self.projects, self.config)
 
     @cached_property
     def cores(self) -> DataFrame:
@@ -100,11 +101,11 @@ class Ecosystem:
     def snapshot(self) -> DataFrame:
         return snapshots.snapshot(self.nodes, self.criticality, self.concentration, self.gate, self.debt, self.keystones, self.fer, self.edges, self.cores, self.bridges)
 
-    def results(self) -> dict[str, DataFrame]:
-        """All tables of a full run, by name; each is computed when it is used."""
+    def results(self) -> dict[str, Callable[[], DataFrame]]:
+        """All tables of a full run by name, as functions: a table, and what it rests on, is computed when it is called for."""
         return {
-            "projection_audit": graph.projection_audit(self.nodes, self.all_edges, self.config), "dormant": self.nodes.filter("NOT retained"), "criticality": self.criticality, "decay": self.decay,
-            "concentration": self.concentration, "adoption": self.adoption, "cores": self.cores, "bridges": self.bridges, "gate": self.gate, "gate_summary": surfaces.gate_summary(self.gate, self.config),
-            "debt": self.debt, "debt_summary": surfaces.debt_summary(self.debt), "keystones": self.keystones, "keystone_summary": surfaces.keystone_summary(self.keystones),
-            "fer": self.fer, "fer_summary": surfaces.fer_summary(self.fer), "snapshot": self.snapshot, "north_star": snapshots.north_star(self.fer, self.debt, self.gate),
+            "projection_audit": lambda: graph.projection_audit(self.nodes, self.all_edges, self.config), "dormant": lambda: self.nodes.filter("NOT retained"), "criticality": lambda: self.criticality, "decay": lambda: self.decay,
+            "concentration": lambda: self.concentration, "adoption": lambda: self.adoption, "cores": lambda: self.cores, "bridges": lambda: self.bridges, "gate": lambda: self.gate, "gate_summary": lambda: surfaces.gate_summary(self.gate, self.config),
+            "debt": lambda: self.debt, "debt_summary": lambda: surfaces.debt_summary(self.debt), "keystones": lambda: self.keystones, "keystone_summary": lambda: surfaces.keystone_summary(self.keystones),
+            "fer": lambda: self.fer, "fer_summary": lambda: surfaces.fer_summary(self.fer), "snapshot": lambda: self.snapshot, "north_star": lambda: snapshots.north_star(self.fer, self.debt, self.gate),
         }

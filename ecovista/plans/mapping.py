@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +21,21 @@ class Model(Ecosystem):
 
     _known: dict[tuple, Model] = {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str, config: Config = DEFAULT):
-        self.spark, self.dir, self.config = spark, sf_dir, config
+    def __init__(self, spark: SparkSession, sf_dir: str, config: Config = DEFAULT, days_back: int = 0):
+        """days_back: the ecosystem as it was so many days before the last commit."""
+        self.spark, self.dir, self.config, self.days_back = spark, sf_dir, config, days_back
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Model:
         """One model for each state of a folder in an application: files written anew make a new one."""
-        files = tuple(sorted(spark.read.parquet(*[f"{sf_dir}/{t}.parquet" for t in ("part",)]).inputFiles()))
-        local = tuple(os.path.getmtime(f.removeprefix("file://")) for f in files if f.startswith("file://") and os.path.exists(f.removeprefix("file://")))
-        key = (spark.sparkContext.applicationId, sf_dir, files, local)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        states = []
+        for name in ("part", "lineitem"):  # what an ecosystem is derived from
+            at = path(f"{sf_dir}/{name}.parquet")
+            files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            found = files.globStatus(path(at, "*")) or files.globStatus(at) or []
+            states += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+        key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(states)))
         if key not in cls._known:
             cls._known = {k: m for k, m in cls._known.items() if k[:2] != key[:2]}
             cls._known[key] = cls(spark, sf_dir)
@@ -39,12 +45,18 @@ class Model(Ecosystem):
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
-    def commits(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_partkey").alias("repo"), F.col("l_suppkey").alias("contributor"), F.to_date("l_shipdate").alias("committed_at"), F.col("l_quantity").alias("quantity"))
+    def day(self) -> date:
+        """The day that ages are counted to."""
+        return self.table("lineitem").agg(F.to_date(F.max("l_shipdate"))).first()[0] - timedelta(days=self.days_back)
 
-    @cached_property
+    @property
     def as_of(self):
-        return F.lit(self.commits.agg(F.max("committed_at")).first()[0])
+        return F.lit(self.day)
+
+    @cached_property
+    def commits(self) -> DataFrame:
+        rows = self.table("lineitem").select(F.col("l_partkey").alias("repo"), F.col("l_suppkey").alias("contributor"), F.to_date("l_shipdate").alias("committed_at"), F.col("l_quantity").alias("quantity"))
+        return rows.filter(F.col("committed_at") <= self.as_of) if self.days_back else rows
 
     @cached_property
     def pairs(self) -> DataFrame:

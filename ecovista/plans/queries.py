@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import names, tiers
 from ..functions.lineage import shared_dir
 from ..operators import adoption, build, cohesion, concentration, fuzzy, graph, rank, reach, snapshots, surfaces
-from ..sources import ingest, payloads, tables
-from . import run
+from ..sources import ingest, landing, payloads, tables
+from . import rounds, run
 from .mapping import Model
-from .oracle import eco
+from .oracle import ECO, eco
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,6 +80,14 @@ def g2b_approximate_criticality(m):
     return reach.approximate_criticality(m.active_nodes, m.edges)
 
 
+@query(eco("SELECT true AS within_bound, count(*) AS n_nodes, sum(criticality)::BIGINT AS exact_total FROM crit"))
+def g2b_error_bound(m):
+    """Sketches against exact counts: nearly all nodes are within three standard errors of a sketch (and one, for small counts)."""
+    both = m.criticality.select("node_id", F.col("criticality").alias("exact")).join(reach.approximate_criticality(m.active_nodes, m.edges), "node_id")
+    near = F.abs(F.col("criticality") - F.col("exact")) <= 3 * reach.SKETCH_ERROR * F.col("exact") + 1
+    return both.agg((F.avg(near.cast("int")) >= 0.99).alias("within_bound"), F.count(F.lit(1)).alias("n_nodes"), F.sum("exact").alias("exact_total"))
+
+
 @query(eco("SELECT a.node_id, coalesce(round(s, 3), 0) AS decay_criticality FROM act a LEFT JOIN (SELECT pkg, sum(exp(-coalesce(days, 0) / 30.0)) AS s FROM closure JOIN act d ON d.node_id = dependent AND d.active GROUP BY 1) ON pkg = a.node_id"))
 def g3_decay_criticality(m):
     return reach.decay_criticality(m.active_nodes, m.closure, m.config)
@@ -235,6 +243,12 @@ def u3_package_names(m):
     return ingest.package_names(_named_edges(m)[0])
 
 
+@query("SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 40")
+def u7_live_first(m):
+    """Something was ingested, so no cached row counts."""
+    return ingest.live_else_cached(m.table("lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("k")), m.table("orders").select(F.col("o_orderkey").alias("k")))
+
+
 @query("SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 1000 UNION ALL SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 1000)")
 def u7_live_else_cached(m):
     """Nothing was ingested, so the cached rows count."""
@@ -254,6 +268,18 @@ def j14_not_processed(m):
     return graph.not_processed(m.table("orders").select("o_orderkey"), done, "o_orderkey")
 
 
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN 'r1' ELSE 'r3' END AS run FROM orders")
+def j14_ledger(m):
+    """Three runs over orders: the first has half of them, the second breaks off before it is entered, the third has all."""
+    ledger = landing.Ledger(m.spark, f"{shared_dir(m.spark)}/ledger-{uuid.uuid4().hex}", "o_orderkey")
+    orders, work = m.table("orders").select("o_orderkey", "o_totalprice"), lambda todo: todo
+    ledger.process("r1", orders.filter("o_orderkey % 2 = 0"), work)
+    ledger.attempt("r2", orders, work)
+    ledger.process("r3", orders, work)
+    ledger.process("r3", orders, work)
+    return ledger.output("o_orderkey long, o_totalprice double")
+
+
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'""")
 def j16_apply_delta(m):
     e = m.table("events").select("user_id", "event_id", "event_type", (F.col("event_type") == "error").alias("gone"))
@@ -650,9 +676,10 @@ def t4_fer_order(m):
     return m.fer.select("project", "fer").orderBy(F.desc_nulls_first("fer"), "project").limit(10)
 
 
-@query(eco("SELECT node_id, criticality, round(criticality_pct, 4) AS criticality_pct FROM crit WHERE criticality > 0 ORDER BY criticality DESC, node_id LIMIT 10"))
+@query(eco("SELECT node_id, node_type, 'e' || node_id % 7 AS ecosystem, criticality, round(criticality_pct, 4) AS criticality_pct FROM crit JOIN act USING (node_id) WHERE criticality > 0 ORDER BY criticality DESC, node_id LIMIT 10"))
 def t5_critical_top(m):
-    return m.criticality.filter("criticality > 0").orderBy(F.desc("criticality"), "node_id").limit(10).select("node_id", "criticality", R("criticality_pct", 4).alias("criticality_pct"))
+    nodes = m.active_nodes.withColumn("ecosystem", F.concat(F.lit("e"), F.col("node_id") % 7))
+    return surfaces.critical_top(m.criticality, nodes, 10).withColumn("criticality_pct", R("criticality_pct", 4))
 
 
 @query(eco("SELECT node_id, criticality, row_number() OVER (ORDER BY criticality DESC, node_id) AS place FROM crit"))
@@ -760,10 +787,10 @@ def p14_ecosystem(m):
 def _seeds(m):
     """Parts as project rows."""
     url = F.when(F.col("p_size") > 10, F.concat(F.lit("https://github.com/"), "p_brand", F.lit("/"), F.col("p_partkey")))
-    return m.table("part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("category"), F.when(F.col("p_size") % 2 == 0, "Live").otherwise("Expired").alias("integration_status"), (F.col("p_retailprice") > 1000).cast("string").alias("open_source"), url.alias("github_url"))
+    return m.table("part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("category"), F.when(F.col("p_size") % 2 == 0, "Live").otherwise("Expired").alias("integration_status"), (F.col("p_partkey") % 3 == 0).cast("string").alias("open_source"), url.alias("github_url"))
 
 
-@query("SELECT p_partkey AS ord, p_type AS category FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND p_size % 2 = 0 AND p_retailprice > 1000 AND p_size > 10")
+@query("SELECT p_partkey AS ord, p_type AS category FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND p_size % 2 = 0 AND p_partkey % 3 = 0 AND p_size > 10")
 def p21_seeds(m):
     return tables.seed_projects(_seeds(m), ["ECONOMY", "PROMO"], ["Live"], "open_source = 'true'").select("ord", "category")
 
@@ -920,6 +947,22 @@ def s13_commit_payload(m):
     return payloads.commits(_payload(m, "user_id", c).withColumnRenamed("user_id", "repo")).select("repo", "email", "name", F.col("committed_at").cast("timestamp_ntz").alias("committed_at"))
 
 
+@query(ORACLE_SQL["s13_commit_payload"])
+def s13_streamed_commits(m):
+    """The pages of s13 as landed files: taken in by two calls, the second of which replaces pages that were wrong at first."""
+    author = F.struct(F.col("event_type").alias("name"), F.when(F.col("event_type") != "error", F.concat(F.lit(" "), F.initcap("event_type"), F.lit("@X.org "))).alias("email"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
+    c = F.struct(F.struct(author.alias("author")).alias("commit"), F.struct(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("login"), "event_id")).alias("login")).alias("author"))
+    pages = _payload(m, "user_id", c).select(F.concat_ws("/", "user_id", "page").alias("id"), F.lit(1).cast("long").alias("landed"), "payload")
+    folder = f"{shared_dir(m.spark)}/landing-{uuid.uuid4().hex}"
+    odd = F.pmod(F.xxhash64("id"), F.lit(3))
+    pages.filter(odd != 0).withColumn("payload", F.when(odd == 1, F.lit("[]")).otherwise(F.col("payload"))).write.json(f"{folder}/files/first")
+    landing.land(m.spark, f"{folder}/files/*", f"{folder}/taken")
+    pages.filter(odd < 2).withColumn("landed", F.lit(2).cast("long")).write.json(f"{folder}/files/second")
+    landing.land(m.spark, f"{folder}/files/*", f"{folder}/taken")
+    now = landing.landed(m.spark, f"{folder}/taken").withColumn("repo", F.split("id", "/")[0].cast("long"))
+    return payloads.commits(now).select("repo", "email", "name", F.col("committed_at").cast("timestamp_ntz").alias("committed_at"))
+
+
 @query("SELECT DISTINCT 'u' || user_id AS from_name, event_type AS to_name, 'NPM' AS ecosystem, true AS is_direct FROM events")
 def s14_dependency_payload(m):
     return payloads.dependency_edges(_dependency_pages(m, "NPM")).select("from_name", "to_name", "ecosystem", "is_direct")
@@ -1117,10 +1160,38 @@ def x4_full_run(m):
     e = run.ecosystem_of(_enriched(m), m.config)
     got = e.results()
     part = lambda n, df, total=None: df.agg(F.count(F.lit(1)).alias("n"), R(F.sum((total if total is not None else F.lit(0)).cast("double")), 1).alias("total")).select(F.lit(n).alias("part"), "n", F.coalesce("total", F.lit(0.0)).alias("total"))
-    rows = [part("criticality", got["criticality"], F.col("criticality")), part("concentration", got["concentration"], F.col("hhi")), part("dormant", got["dormant"]), part("edges", e.edges), part("gate", got["gate"])]
+    rows = [part("criticality", got["criticality"](), F.col("criticality")), part("concentration", got["concentration"](), F.col("hhi")), part("dormant", got["dormant"]()), part("edges", e.edges), part("gate", got["gate"]())]
     return reduce(DataFrame.unionByName, rows)
 
 
+_THIRTY_BACK = ECO.replace("SELECT max(committed_at) AS d FROM commits)", "SELECT max(l_shipdate)::DATE - 30 AS d FROM lineitem)").replace("quantity FROM lineitem)", "quantity FROM lineitem WHERE CAST(l_shipdate AS DATE) <= (SELECT max(l_shipdate)::DATE - 30 FROM lineitem))")
+_FIGURES = """SELECT (SELECT d FROM ref) AS day, (SELECT count(*) FROM act WHERE node_type = 'Repo') AS active_repos, (SELECT count(*) FROM edges) AS dependency_edges, (SELECT count(*) FROM bridges) AS bridge_edges, (SELECT max(core) FROM cores) AS max_core,
+  (SELECT round(avg(hhi), 1) FROM conc) AS mean_hhi, (SELECT round(avg(pony_factor), 4) FROM conc) AS pony_rate, (SELECT round(avg(passed::INT), 4) FROM gate) AS gate_pass_rate, (SELECT count(*) FROM debt) AS debt_size, (SELECT count(*) FROM keystones) AS keystone_count"""
+_TWO = f"a AS MATERIALIZED ({_THIRTY_BACK} {_FIGURES}), b AS MATERIALIZED ({ECO} {_FIGURES})"
+
+
+def _two_rounds(m):
+    """Two runs, thirty days apart, through the store of snapshots."""
+    if "_two_rounds" not in m.__dict__:
+        folder = f"{shared_dir(m.spark)}/rounds-{uuid.uuid4().hex}"
+        before = Model(m.spark, m.dir, m.config, days_back=30)
+        rounds.close(before, rounds.Round(before.day, "Round 1"), folder)
+        m._two_rounds = rounds.close(m, rounds.Round(m.day, "Round 2"), folder)
+    return m._two_rounds
+
+
+@query(f"WITH {_TWO} SELECT day AS snapshot_date, 'Round 1' AS label, * EXCLUDE (day) FROM a UNION ALL SELECT day, 'Round 2', * EXCLUDE (day) FROM b")
+def x4_rounds(m):
+    return _two_rounds(m)["rounds"]().select("snapshot_date", "label", "active_repos", "dependency_edges", "bridge_edges", "max_core", "mean_hhi", "pony_rate", "gate_pass_rate", "debt_size", "keystone_count")
+
+
+@query(f"""WITH {_TWO} SELECT a.day AS earlier, b.day AS later, 'Round 1' AS earlier_label, 'Round 2' AS later_label, b.active_repos - a.active_repos AS active_repos_delta, b.debt_size - a.debt_size AS debt_size_delta,
+  round(b.mean_hhi - a.mean_hhi, 6) AS mean_hhi_delta, round(b.pony_rate - a.pony_rate, 6) AS pony_rate_delta, round(b.gate_pass_rate - a.gate_pass_rate, 6) AS gate_pass_rate_delta FROM a, b""")
+def x4_comparison(m):
+    c = _two_rounds(m)["comparison"]()
+    return c.select("earlier", "later", "earlier_label", "later_label", "active_repos_delta", "debt_size_delta", *[R(f"{x}_delta", 6).alias(f"{x}_delta") for x in ("mean_hhi", "pony_rate", "gate_pass_rate")])
+
+
 _X5 = """days AS (SELECT max(ts)::DATE AS d FROM events), c AS (SELECT user_id AS repo, CASE WHEN event_type = 'error' THEN 'unknown_' || event_type || '@unknown' ELSE event_type || '@x.org' END AS email, ts::DATE AS day FROM events),
 r AS (SELECT user_id AS repo, bool_or(event_type <> 'error') AS accessible FROM events GROUP BY 1)"""
 

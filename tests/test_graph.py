@@ -95,6 +95,36 @@ def test_random_graph_against_brute_force(spark):
     assert rows(cohesion.bridges(edges(spark, pairs)), "a", "b") == {p for p in und if not connected(*p, p)}
 
 
+def test_bridges_of_a_long_path_and_rings(spark):
+    """A path of 4,096 nodes, a ring of 300 with a tail, and two rings joined by a long chain."""
+    path = [(i, i + 1) for i in range(4095)]
+    ring = [(5000 + i, 5000 + (i + 1) % 300) for i in range(300)]
+    tail = [(5000, 6000), (6000, 6001), (6001, 6002)]
+    other = [(7000 + i, 7000 + (i + 1) % 50) for i in range(50)]
+    chain = [(5010, 8000), *[(8000 + i, 8001 + i) for i in range(200)], (8200, 7000)]
+    rounds = []
+    got = rows(cohesion.bridges(edges(spark, path + ring + tail + other + chain), rounds), "a", "b")
+    assert got == {(min(p), max(p)) for p in path + tail + chain}
+    assert len(rounds) < 20
+
+
+def test_dense_core_with_bridges(spark):
+    """Cliques (nothing to prune or to fold) joined by single edges, and by two."""
+    clique = lambda k: [(100 * k + a, 100 * k + b) for a in range(5) for b in range(a)]
+    pairs = [p for k in range(6) for p in clique(k)] + [(0, 100), (101, 202), (203, 304), (300, 401), (303, 402), (404, 502)]
+    assert rows(cohesion.bridges(edges(spark, pairs)), "a", "b") == {(0, 100), (101, 202), (203, 304), (404, 502)}
+
+
+def test_core_numbers_tell_fewer_each_round(spark):
+    """A clique with long arms: estimates fall along the arms only, and only those that fell are heard of."""
+    pairs = [(a, b) for a in range(6) for b in range(a)] + [(a, 100 * (a + 1)) for a in range(6)] + [(100 * (a + 1) + i, 100 * (a + 1) + i + 1) for a in range(6) for i in range(8)]
+    ids = sorted({x for p in pairs for x in p})
+    sent = []
+    got = dict(cohesion.core_numbers(nodes(spark, ids), edges(spark, pairs), sent).collect())
+    assert got == {i: 5 if i < 6 else 1 for i in ids}
+    assert sent == sorted(sent, reverse=True) and sent[-1] < sent[0] < 2 * len(pairs)
+
+
 def test_projection(spark):
     data = [(1, "Repo", 10, False), (2, "Repo", 120, False), (3, "Repo", 5, True), (4, "Project", 200, False), (5, "Contributor", None, None), (6, "ExternalRepo", 30, False), (7, "ExternalRepo", 180, False), (8, "Repo", None, False), (9, "ExternalRepo", None, False)]
     n = spark.createDataFrame(data, "node_id long, node_type string, days_since_commit int, archived boolean")

@@ -64,14 +64,14 @@ def test_run_from_csv(spark, tmp_path):
     assert nodes["core-lib"]["node_type"] == "ExternalRepo" and nodes["ann"]["node_type"] == "Contributor" and nodes["https://github.com/unknown/x"]["node_type"] == ""
     assert not nodes["https://github.com/c/z"]["retained"] and nodes[k]["stars"] == 7
     got = e.results()
-    assert {r["node_id"]: r["criticality"] for r in got["criticality"].collect()} == {w: 0, k: 1, "core-lib": 2}
-    assert {r["repo"]: (r["top_contributor"], r["hhi"]) for r in got["concentration"].collect()} == {k: ("ann", 6800.0), w: ("bob", 10000.0)}
-    assert {(r["a"], r["b"]) for r in got["bridges"].collect()} == {(w, k), ("core-lib", k)} or len(got["bridges"].collect()) == 2
-    s = got["snapshot"].first()
+    assert {r["node_id"]: r["criticality"] for r in got["criticality"]().collect()} == {w: 0, k: 1, "core-lib": 2}
+    assert {r["repo"]: (r["top_contributor"], r["hhi"]) for r in got["concentration"]().collect()} == {k: ("ann", 6800.0), w: ("bob", 10000.0)}
+    assert {(r["a"], r["b"]) for r in got["bridges"]().collect()} == {(w, k), ("core-lib", k)} or len(got["bridges"]().collect()) == 2
+    s = got["snapshot"]().first()
     assert (s["active_repos"], s["dependency_edges"], s["max_core"], s["bridge_edges"], s["project_nodes"]) == (2, 2, 1, 2, 2)
     assert [x["node_id"] for x in s["top_critical"]] == ["core-lib", k]
-    for name, df in got.items():
-        assert df.count() >= 0, name
+    for name, table in got.items():
+        assert table().count() >= 0, name
 
 
 def test_enrichment_of_nothing(spark):
