@@ -41,12 +41,15 @@ def _letters(column: str) -> Column:
 def best_match(titles: DataFrame, projects: DataFrame, cutoff: float = DEFAULT.fuzzy_cutoff) -> DataFrame:
     """titles: title; projects: project, ord -> title, project, ratio: the best project at the cutoff or more; the first of equals."""
     pairs = _bounded(titles, projects, cutoff).withColumn("ratio", sequence_ratio("a", "b")).filter(F.col("ratio") >= cutoff)
-    best = pairs.groupBy("title").agg(F.max(F.struct("ratio", (-F.col("ord")).alias("minus"), "project")).alias("m"))
-    return best.select("title", F.col("m.project").alias("project"), F.col("m.ratio").alias("ratio"))
+    return _best(pairs).select("title", F.col("m.project").alias("project"), (-F.col("m.minus")).alias("ratio"))
 
 
 def best_match_levenshtein(titles: DataFrame, projects: DataFrame, cutoff: float = DEFAULT.fuzzy_cutoff) -> DataFrame:
     """The same with 1 - edit distance / longer length."""
     pairs = _bounded(titles, projects, cutoff).withColumn("ratio", 1 - F.levenshtein("a", "b") / F.greatest("la", "lb")).filter(F.col("ratio") >= cutoff)
-    best = pairs.groupBy("title").agg(F.max(F.struct("ratio", (-F.col("ord")).alias("minus"), "project")).alias("m"))
-    return best.select("title", F.col("m.project").alias("project"), F.round(F.col("m.ratio"), 6).alias("ratio"))
+    return _best(pairs).select("title", F.col("m.project").alias("project"), F.round(-F.col("m.minus"), 6).alias("ratio"))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """title, m: the project of the greatest ratio, the first in order of equals."""
+    return pairs.groupBy("title").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "ord", "project")).alias("m"))

@@ -1221,6 +1221,30 @@ def x5_ingested_dependencies(m):
     return ingest.dependencies(_dependency_pages(m, "CARGO"), urls).select("from_repo", "to_package", "ecosystem")
 
 
+@query("""WITH u AS (SELECT user_id, count(*) AS n, max(event_id) AS e FROM events GROUP BY 1), d AS (SELECT * FROM u WHERE user_id % 2 = 0), p AS (SELECT * FROM u WHERE user_id % 3 = 0)
+SELECT 'https://github.com/u/' || coalesce(d.user_id, p.user_id) AS node_id, coalesce(d.n, 0) AS downloads, coalesce(p.n, 0) AS stars, coalesce(p.e, 0) AS forks FROM d FULL JOIN p ON d.user_id = p.user_id""")
+def x5_ingested_adoption(m):
+    """Users with an even number have download payloads, every third one project payloads."""
+    u = m.table("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("e"))
+    d = u.filter("user_id % 2 = 0").select(F.concat(F.lit("https://github.com/u/"), "user_id").alias("node_id"), F.to_json(F.struct(F.col("n").alias("downloads"))).alias("payload"))
+    key = F.struct(F.concat(F.lit("github.com/u/"), "user_id").alias("id")).alias("projectKey")
+    p = u.filter("user_id % 3 = 0").select(F.to_json(F.struct(key, F.col("n").alias("starsCount"), F.col("e").alias("forksCount"))).alias("payload"))
+    return ingest.adoption(d, p)
+
+
+@query(f"""WITH {_X5}, g AS (SELECT repo, email, count(*) AS commits FROM c JOIN r USING (repo) WHERE accessible AND day >= (SELECT d FROM days) - 90 GROUP BY 1, 2)
+SELECT 'contributions' AS name, true AS first, true AS second, (SELECT count(*) FROM g) AS n UNION ALL SELECT 'activity', true, false, (SELECT count(*) FROM r)""")
+def x5_store(m):
+    """Ingested tables are stored twice; the second time no activity came, and the table of the first time stays."""
+    folder = f"{shared_dir(m.spark)}/store-{uuid.uuid4().hex}"
+    contributions, activity = _landed(m)
+    contributions, activity = contributions.drop("aliases"), activity
+    first = ingest.store({"contributions": contributions, "activity": activity}, folder)
+    second = ingest.store({"contributions": contributions, "activity": activity.limit(0)}, folder)
+    part = lambda name: m.spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(first[name]).alias("first"), F.lit(second[name]).alias("second"), "n")
+    return part("contributions").unionAll(part("activity"))
+
+
 # --- sinks ----------------------------------------------------------------------------------------------------------
 
 

@@ -18,9 +18,16 @@ ACTIVITY = "map<string,struct<days_since_commit:int,latest_commit_date:string,ac
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV scan; `ord` is the order of input rows within and over files."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """A CSV scan; `ord` (a struct that can be compared) is the order of input rows within a file, and of files by path.
+
+    Files are read in splits unless a quoted value goes over lines: then one of its lines has an odd number of quotes.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    whole = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    df = spark.read.schema(schema).option("header", True).option("multiLine", whole).option("escape", '"').option("enforceSchema", False).csv(path)
+    # Ids grow within a split, and splits of a file by where they begin.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("ord", place)
 
 
 def number(c: str, kind: str = "double"):

@@ -1,10 +1,15 @@
 """CSV scans, sinks and the driver's contract."""
 
+from datetime import date
+
+import pytest
 from pyspark.sql import functions as F
 
 from ecovista.operators import build
-from ecovista.plans import run
-from ecovista.sources import tables
+from ecovista.operators.rank import last_per_key
+from ecovista.plans import rounds, run
+from ecovista.plans.ecosystem import Ecosystem
+from ecovista.sources import landing, tables
 
 
 def test_project_csv(spark, tmp_path):
@@ -92,3 +97,65 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+def test_csv_order_over_files(spark, tmp_path, breaks):
+    """First and last rows of keys over three files read in small splits, or whole where a value has line breaks."""
+    rows = [(f"https://github.com/o/r{i % 40}", f"round {i}", f"title {i}" + ("\nmore" if breaks and i == 150 else "")) for i in range(300)]
+    for f in range(3):
+        lines = ["github_url,round,submission_title,total_awarded_usd,tranche_completion", *[f'{u},{r},"{t}",{i},' for i, (u, r, t) in list(enumerate(rows))[100 * f : 100 * f + 100]]]
+        (tmp_path / f"part-{f}.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        raw = tables.read_csv(spark, str(tmp_path), tables.REPOS)
+        assert raw.rdd.getNumPartitions() == 3 if breaks else raw.rdd.getNumPartitions() > 6
+        assert [r["submission_title"] for r in raw.orderBy("ord").collect()] == [t for _, _, t in rows]
+        first = {r["github_url"]: r["total_awarded_usd"] for r in tables.repos(raw).collect()}
+        assert first == {f"https://github.com/o/r{i}": float(i) for i in range(40)}
+        last = last_per_key(raw, ["github_url"], "ord").collect()
+        assert {(r["github_url"], r["round"]) for r in last} == {(rows[i][0], rows[i][1]) for i in range(260, 300)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_run_that_breaks_off_counts_for_nothing(spark, tmp_path):
+    ledger = landing.Ledger(spark, f"file://{tmp_path}/ledger", "k")
+    items = spark.range(10).select(F.col("id").alias("k"))
+    fail = lambda df: df.withColumn("k", F.when(F.col("k") > 7, F.raise_error(F.lit("lost"))).otherwise(F.col("k")))
+    assert ledger.runs() == [] and ledger.output("k long").count() == 0
+    assert ledger.process("a", items.filter("k < 3"), lambda df: df)
+    with pytest.raises(Exception, match="lost"):
+        ledger.process("b", items, fail)
+    assert ledger.runs() == ["a"] and ledger.pending(items).count() == 7
+    ledger.attempt("c", items, lambda df: df)  # the output is written, and then the driver is lost
+    assert ledger.output("k long").count() == 3
+    assert ledger.process("d", items, lambda df: df) and not ledger.process("d", items, fail)
+    assert sorted((r["k"], r["run"]) for r in ledger.output("k long").collect()) == [(i, "a" if i < 3 else "d") for i in range(10)]
+
+
+def test_micro_batches_are_one_batch(spark, tmp_path):
+    """Three files in batches of one, the last replacing a row and deleting another; a replayed batch changes nothing."""
+    batches = [[("a", 1, "x"), ("b", 1, "y")], [("c", 1, "z"), ("a", 1, "x")], [("b", 2, "new"), ("c", 2, None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, landing.PAYLOADS).coalesce(1).write.json(f"{tmp_path}/files/{i}")
+    source, many, one = f"file://{tmp_path}/files/*", f"file://{tmp_path}/many", f"file://{tmp_path}/one"
+    assert landing.land(spark, source, many, files_a_batch=1) >= 3 and landing.land(spark, source, one) == 1
+    assert landing.land(spark, source, many) == 0
+    want = {("a", 1, "x"), ("b", 2, "new")}
+    assert {tuple(r) for r in landing.landed(spark, many).collect()} == {tuple(r) for r in landing.landed(spark, one).collect()} == want
+
+
+def test_rounds_are_compared_with_the_last_stored_one(spark, tmp_path):
+    folder, null = f"file://{tmp_path}/rounds", None
+    n = spark.createDataFrame([(i, "Repo", 1, False, True, "p") for i in range(6)], "node_id long, node_type string, days_since_commit int, archived boolean, active boolean, project string")
+    c = spark.createDataFrame([(0, 9, 5), (1, 9, 5), (1, 8, 5)], "repo long, contributor long, commits long")
+    p = spark.createDataFrame([("p", 10.0)], "title string, total_awarded_usd double")
+    e = lambda pairs: Ecosystem(n.withColumns({x: F.lit(1).cast("long") for x in ("downloads", "stars", "forks")}), spark.createDataFrame(pairs, "src long, dst long"), c, p)
+    first = rounds.close(e([(0, 1)]), rounds.Round(date(2026, 1, 1), "One"), folder)
+    assert first["comparison"]().count() == 0
+    second = rounds.close(e([(0, 1), (1, 2), (2, 3)]), rounds.Round(date(2026, 2, 1), null), folder)
+    row = second["comparison"]().first()
+    assert (row["earlier_label"], row["later_label"], row["dependency_edges_delta"], row["bridge_edges_delta"]) == ("One", "2026-02-01", 2, 2)
+    assert second["rounds"]().count() == 2 and second["snapshot"]().first()["snapshot_date"] == date(2026, 2, 1)
