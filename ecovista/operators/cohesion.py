@@ -33,15 +33,14 @@ def core_numbers(nodes: DataFrame, edges: DataFrame, sent: list[int] | None = No
     state, changed = _estimated(first.join(seen, "u"))
     while changed:
         fell = state.filter("core < was").select(F.col("u").alias("v"), "was", "core")
-        counts = Observation()
-        news = both.join(fell, "v").observe(counts, F.count(F.lit(1)).alias("n"))
-        news = news.select("u", F.explode(F.array(F.struct(F.col("was").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("core").alias("value"), F.lit(1).alias("n")))).alias("x"))
+        told = both.join(fell, "v")
+        news = told.select("u", F.explode(F.array(F.struct(F.col("was").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("core").alias("value"), F.lit(1).alias("n")))).alias("x"))
         news = news.groupBy("u", "x.value").agg(F.sum("x.n").alias("n")).groupBy("u").agg(F.collect_list(F.struct("value", "n")).alias("news"))
         # How many are told isn't known before it runs, so they are never broadcast.
         after = state.join(news.hint("shuffle_hash"), "u", "left").select("u", "core", F.when(F.col("news").isNull(), F.col("seen")).otherwise(_summed("seen", "news")).alias("seen"))
         state, changed = _estimated(after)
         if sent is not None:
-            sent.append(counts.get["n"])
+            sent.append(told.count())
     return nodes.select("node_id").join(state.select(F.col("u").alias("node_id"), "core"), "node_id", "left").na.fill(0, ["core"])
 
 

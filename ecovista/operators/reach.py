@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,27 +11,73 @@ from ..config import DEFAULT, Config
 from ..functions.lineage import cut, cut_counted
 
 
-def transitive_dependents(edges: DataFrame) -> DataFrame:
+#: Edges from which the walks may be doubled, and how many rows a doubling may make for each pair there is.
+LINEAR, WASTE = 4, 4
+#: Direct dependents from which a node is a hub, and the parts its edges are dealt into.
+HUB, SALTS = 100_000, 32
+#: Tables of pairs after which they are written as one.
+COMPACT = 8
+
+
+def transitive_dependents(edges: DataFrame, made: list[int] | None = None) -> DataFrame:
     """(pkg, dependent): every node that reaches pkg over edges src -> dst, pkg itself left out even on cycles.
 
-    Walks are doubled: with the pairs joined by fewer than n edges and those joined by exactly n, one round gives both
-    for 2 n, so rounds grow with the logarithm of the depth, and a pair comes once for each node in the middle of its
-    walks.  A round without new pairs is the last, as a longer shortest walk has a shorter one within.
+    Pairs come in order of their distance.  From those n edges apart, one more edge gives those n + 1 apart: a pair is made
+    once for each of its last edges, so rows stay in proportion to the result however dense or cyclic the graph is.
+    Along long chains that takes many rounds, so from LINEAR edges on pairs n apart are joined with all pairs found
+    instead, which gives all up to 2 n apart, where counts say that this makes WASTE rows a pair at most.  Edges of
+    hubs are dealt into SALTS parts, and pairs that end at one are met with each.  made: gets the rows of each round.
     """
-    found = cut(edges.filter("src <> dst").select(F.col("dst").alias("pkg"), F.col("src").alias("dependent")).distinct())
-    exact, grown = found, 1
-    while grown:
-        exact = cut(_walks(exact, exact))
-        new = exact.unionAll(_walks(exact, found))
-        new, grown = cut_counted(new.distinct().join(found, ["pkg", "dependent"], "left_anti"))
-        found = cut(found.unionAll(new)) if grown else found
-    return cut(found.filter("pkg <> dependent"))
-
-
-def _walks(upper: DataFrame, lower: DataFrame) -> DataFrame:
-    """Pairs joined by a walk of upper and then one of lower."""
-    low = lower.select(F.col("pkg").alias("middle"), F.col("dependent").alias("end"))
-    return upper.join(low, upper["dependent"] == low["middle"]).select("pkg", F.col("end").alias("dependent")).distinct()
+    base = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    hubs = base.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HUB).select(F.col("dst").alias("hub"))
+    salted = not hubs.isEmpty()
+    if salted:
+        base = cut(_with_hubs(base, hubs))
+    pairs = base.select(F.col("dst").alias("pkg"), F.col("src").alias("dependent"), F.lit(1).alias("d"), *(["src_hub"] if salted else []))
+    parts, front, reached = [pairs], pairs, 1
+    while True:
+        by = reached if reached >= LINEAR and _worth_doubling(front, parts) else 1
+        if by > 1:
+            low = reduce(DataFrame.unionAll, parts).select(F.col("pkg").alias("middle"), F.col("dependent").alias("end"), F.col("d").alias("more"), *([F.col("src_hub").alias("end_hub")] if salted else []))
+            walks = front.select("pkg", F.col("dependent").alias("middle")).join(low, "middle").select("pkg", F.col("end").alias("dependent"), (F.col("more") + reached).alias("d"), *([F.col("end_hub").alias("src_hub")] if salted else []))
+        else:
+            walks = _one_edge_on(front, base, salted).withColumn("d", F.lit(reached + 1))
+        walks = walks.filter("pkg <> dependent")
+        new = walks.groupBy("pkg", "dependent").agg(F.min("d").alias("d"), *([F.max("src_hub").alias("src_hub")] if salted else []))
+        known = reduce(DataFrame.unionAll, [p.select("pkg", "dependent") for p in parts])
+        part, grown = cut_counted(new.join(known, ["pkg", "dependent"], "left_anti"))
+        if made is not None:
+            made.append(walks.count())
+        if not grown:
+            return reduce(DataFrame.unionAll, [p.select("pkg", "dependent") for p in parts])
+        parts.append(part)
+        reached += by
+        front = part.filter(F.col("d") == reached)
+        if len(parts) > COMPACT:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+
+
+def _with_hubs(edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Edges with salt (their part, if dst is a hub) and src_hub."""
+    to = edges.join(hubs.select(F.col("hub").alias("dst"), F.lit(True).alias("dst_hub")), "dst", "left").join(hubs.select(F.col("hub").alias("src"), F.lit(True).alias("src_hub")), "src", "left")
+    return to.select("src", "dst", F.when(F.col("dst_hub"), F.pmod(F.xxhash64("src"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), F.coalesce("src_hub", F.lit(False)).alias("src_hub"))
+
+
+def _one_edge_on(front: DataFrame, edges: DataFrame, salted: bool) -> DataFrame:
+    if not salted:
+        return front.select("pkg", F.col("dependent").alias("dst")).join(edges, "dst").select("pkg", F.col("src").alias("dependent"))
+    parts = F.when(F.col("src_hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = front.select("pkg", F.col("dependent").alias("dst"), F.explode(parts).alias("salt"))
+    return dealt.join(edges.hint("merge"), ["dst", "salt"]).select("pkg", F.col("src").alias("dependent"), "src_hub")
+
+
+def _worth_doubling(front: DataFrame, parts: list[DataFrame]) -> bool:
+    """Whether joining front with all pairs makes no more than WASTE rows for each pair found."""
+    pairs = reduce(DataFrame.unionAll, [p.select("pkg", "dependent") for p in parts])
+    ends = front.groupBy(F.col("dependent").alias("pkg")).agg(F.count(F.lit(1)).alias("a"))
+    both = pairs.groupBy("pkg").agg(F.count(F.lit(1)).alias("b")).join(ends, "pkg", "left")
+    row = both.agg(F.sum(F.col("a") * F.col("b")).alias("rows"), F.sum("b").alias("found")).first()
+    return (row["rows"] or 0) <= WASTE * (row["found"] or 0)
 
 
 def criticality(nodes: DataFrame, closure: DataFrame) -> DataFrame:

@@ -95,6 +95,23 @@ def test_random_graph_against_brute_force(spark):
     assert rows(cohesion.bridges(edges(spark, pairs)), "a", "b") == {p for p in und if not connected(*p, p)}
 
 
+@pytest.mark.parametrize("hub", [100_000, 50])
+def test_closure_makes_rows_near_its_result(spark, monkeypatch, hub):
+    """A ring of 300 nodes, a hub between 100 and 100 others (salted in one case), and a dense cyclic part."""
+    monkeypatch.setattr(reach, "HUB", hub)
+    random.seed(3)
+    ring = [(i, (i + 1) % 300) for i in range(300)]
+    star = [(1000 + i, 2000) for i in range(100)] + [(2000, 3000 + i) for i in range(100)]
+    dense = [(5000 + random.randrange(80), 5000 + random.randrange(80)) for _ in range(500)]
+    made = []
+    got = rows(reach.transitive_dependents(edges(spark, ring + star + dense), made), "pkg", "dependent")
+    want = {(a, b) for a in range(300) for b in range(300) if a != b} | {(2000, 1000 + i) for i in range(100)} | {(3000 + i, d) for i in range(100) for d in (2000, *range(1000, 1100))}
+    assert {p for p in got if p[0] < 5000} == want
+    inner = {p for p in got if p[0] >= 5000}
+    assert len(inner) > 70 * 70 and sum(made) < 8 * len(got)
+    assert len(made) < 20
+
+
 def test_bridges_of_a_long_path_and_rings(spark):
     """A path of 4,096 nodes, a ring of 300 with a tail, and two rings joined by a long chain."""
     path = [(i, i + 1) for i in range(4095)]
