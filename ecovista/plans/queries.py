@@ -1154,12 +1154,12 @@ con AS (SELECT url AS repo, 'dev-' || l_suppkey AS contributor, sum(l_linenumber
 hh AS (SELECT repo, round(sum((commits / total) ** 2) * 10000, 1) AS hhi FROM (SELECT *, sum(commits) OVER (PARTITION BY repo) AS total FROM con) GROUP BY 1)"""
 
 
-@query(f"WITH {_X4} SELECT 'criticality' AS part, count(*) AS n, sum(criticality)::DOUBLE AS total FROM cr UNION ALL SELECT 'concentration', count(*), round(sum(hhi), 1) FROM hh UNION ALL SELECT 'dormant', (SELECT count(*) FROM x2) - count(*), 0 FROM ret UNION ALL SELECT 'edges', count(*), 0 FROM dep UNION ALL SELECT 'gate', count(*), 0 FROM hh JOIN cr ON node_id = repo")
+@query(f"WITH {_X4} SELECT 'criticality' AS part, count(*) AS n, sum(criticality)::DOUBLE AS total FROM cr UNION ALL SELECT 'concentration', count(*), round(sum(hhi), 0) FROM hh UNION ALL SELECT 'dormant', (SELECT count(*) FROM x2) - count(*), 0 FROM ret UNION ALL SELECT 'edges', count(*), 0 FROM dep UNION ALL SELECT 'gate', count(*), 0 FROM hh JOIN cr ON node_id = repo")
 def x4_full_run(m):
     """The metric run over the enriched graph: sizes and sums of what it derives."""
     e = run.ecosystem_of(_enriched(m), m.config)
     got = e.results()
-    part = lambda n, df, total=None: df.agg(F.count(F.lit(1)).alias("n"), R(F.sum((total if total is not None else F.lit(0)).cast("double")), 1).alias("total")).select(F.lit(n).alias("part"), "n", F.coalesce("total", F.lit(0.0)).alias("total"))
+    part = lambda n, df, total=None: df.agg(F.count(F.lit(1)).alias("n"), R(F.sum((total if total is not None else F.lit(0)).cast("double")), 0).alias("total")).select(F.lit(n).alias("part"), "n", F.coalesce("total", F.lit(0.0)).alias("total"))
     rows = [part("criticality", got["criticality"](), F.col("criticality")), part("concentration", got["concentration"](), F.col("hhi")), part("dormant", got["dormant"]()), part("edges", e.edges), part("gate", got["gate"]())]
     return reduce(DataFrame.unionByName, rows)
 
