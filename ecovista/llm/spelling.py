@@ -7,8 +7,8 @@ by dynamic programming so that together they are in as few words as possible.  O
 pivots.  So of two words that are near, the one whose prefix ends first in the order has a pivot that stands
 unchanged in the other word, and as it comes no later than that word's prefix ends, it stands in that prefix.
 Its place there is limited: an edit behind the pivot leaves its place from the left as it was, an edit before
-it leaves its place from the right.  Pivots are thus joined with prefixes by gram, side and place, and pairs
-are verified.
+it leaves its place from the right, and with it all that is on that side.  Of the rest, one edit leaves its first or
+its last letter as it is.  Pivots are thus joined with prefixes by gram, side, place and such a letter, and verified.
 
 Defined results: a null text has no words; a null doc_id counts as the empty string where a run is hashed;
 repeated rows count as often as they are there; ties between forms go to the least word in code-point order;
@@ -75,14 +75,14 @@ def pivots(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _index(vocabulary: DataFrame, order: dict[str, int]) -> DataFrame:
-    """The grams of prefixes: word, last (place of the prefix's last gram in the order), pivot, key, near, far, left.
+    """The grams of prefixes: word, last (place of the prefix's last gram in the order), pivot, key.
 
-    key is a hash of side, size and what an edit on the other side of the gram leaves as it is, the gram included; a
-    pivot has a key for each size that its partner may have.  near and far are the letters at the ends of the rest
-    (the one beside the gram and the outer one), left is how many letters the rest has.
+    A key is a hash of side, size and what an edit on the other side of the gram leaves as it is: the part up to the
+    gram, the gram included, and of the rest, in which the edit is, either the letter beside the gram or the outer one
+    (neither, if there is no more than one letter).  A pivot has keys for each size that its partner may have.
     """
     arrow_batches(vocabulary.sparkSession)
-    columns = ["word", "last", "pivot", "key", "near", "far", "left"]
+    columns = ["word", "last", "pivot", "key"]
 
     def hashes(letters: str) -> list[int]:
         """Of every beginning of letters, the empty one first."""
@@ -102,22 +102,21 @@ def _index(vocabulary: DataFrame, order: dict[str, int]) -> DataFrame:
             # An edit behind the gram leaves the left part, one before it the right part.
             ends = ((lefts[p + 2], size - p - 2, word[p + 2 : p + 3], word[-1]), (-rights[size - p], p, word[p - 1 : p], word[0]))
             for part, left, near, far in ends:
-                near, far = (near, far) if left else ("", "")
-                yield word, last, False, (part * _BASE + size) % _PRIME, near, far, left
-                if p in chosen:
-                    for partner in (size - 1, size, size + 1):
-                        yield word, last, True, (part * _BASE + partner) % _PRIME, near, far, left
+                stays = ([1] if left < 2 else []) + ([2 * ord(near) + 2, 2 * ord(far) + 3] if left else [])
+                for partner in (size - 1, size, size + 1) if p in chosen else ():
+                    yield from ((word, last, True, ((part * _BASE + partner) * _BASE + x) % _PRIME) for x in stays)
+                yield from ((word, last, False, ((part * _BASE + size) * _BASE + x) % _PRIME) for x in stays)
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+        kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int64()]
         for batch in batches:
             found = (row for word in batch.column(0).to_pylist() for row in rows(word))
             while some := list(islice(found, INDEX_ROWS)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], columns)
 
-    return vocabulary.select("word").mapInArrow(run, "word string, last int, pivot boolean, key long, near string, far string, left int")
+    return vocabulary.select("word").mapInArrow(run, "word string, last int, pivot boolean, key long")
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
@@ -126,9 +125,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     a, b = grams.filter("pivot").alias("a"), grams.filter("NOT pivot").alias("b")
     # The pivots are those of the word whose prefix ends first.
     ends_first = F.expr("a.last < b.last OR a.last = b.last AND a.word < b.word")
-    # One edit leaves the rest's first or last letter as it is, unless there is no more than one.
-    may = F.expr("a.near = b.near OR a.far = b.far OR greatest(a.left, b.left) < 2")
-    met = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & ends_first & may)
+    met = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & ends_first)
     return met.select(F.col("a.word").alias("a"), F.col("b.word").alias("b")).filter(F.levenshtein("a", "b", 1) == 1).distinct()
 
 
