@@ -1,4 +1,19 @@
-"""Best match of titles by Ratcliff-Obershelp similarity."""
+"""Best match of titles by Ratcliff-Obershelp similarity.
+
+The ratio is 2 M / T: T letters of both texts, M of them in blocks that follow one another in both.  All bounds below
+are lossless for any pair of a ratio of c or more:
+
+* lengths: the shorter text has at least c / (2 - c) of the longer one's letters;
+* letters: at least c T / 2 are in common, counted by letter;
+* edits: what is outside the blocks is at most (1 - c) T, and so is the edit distance;
+* grams: between two blocks there is a letter of neither, so k blocks are at most 1 + T - 2 M, and their pairs of
+  neighbouring letters, M - k or more, at least (1.5 c - 1) T - 1.  Two texts that share so many grams share one among
+  the rarest of each.
+
+The bound by grams has force only well above c = 2 / 3.  So the best match is searched from the top: equal texts first,
+then at each of LEVELS by the index of grams; a title whose best ratio reaches the level is settled, as all pairs of
+that ratio were found.  Titles left over, with nothing so near to them, are compared at the cutoff itself.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..config import DEFAULT
-
+from ..functions.lineage import cut, cut_counted
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Ratios at which the index of grams is asked before the cutoff.
+LEVELS = (0.9, 0.8)
+#: Grams known as frequent; all others count as rarer.  The order only steers the work.
+FREQUENT = 4096
+#: From this length on the ratio leaves out frequent letters, and equal texts need not have a ratio of 1.
+LONG = 200
 
 
 @F.pandas_udf(T.DoubleType())
@@ -20,16 +42,21 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def _bounded(titles: DataFrame, projects: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs of folded titles that the cutoff allows: a ratio is at most 2 min(la, lb) / (la + lb), and at most twice the
-    letters in common (counted by letter) over all letters; both bounds are taken before any Python runs."""
+def _sides(titles: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folded texts of both sides, each once: a, la; and b, lb with the first project that has it."""
+    a = titles.select(F.lower("title").alias("a")).filter("a IS NOT NULL").distinct().withColumn("la", F.length("a"))
+    b = projects.filter("project IS NOT NULL").groupBy(F.lower("project").alias("b")).agg(F.min(F.struct("ord", "project")).alias("first")).withColumn("lb", F.length("b"))
+    return a, b
+
+
+def _bounded(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs that the bounds by length and by letters allow."""
     lo = cutoff / (2 - cutoff)
-    a = titles.select("title").distinct().withColumn("a", F.lower("title")).withColumn("la", F.length("a")).withColumn("ca", _letters("a"))
-    b = projects.groupBy("project").agg(F.min("ord").alias("ord")).withColumn("b", F.lower("project")).withColumn("lb", F.length("b")).withColumn("cb", _letters("b"))
+    a, b = a.withColumn("ca", _letters("a")), b.withColumn("cb", _letters("b"))
     # An equi-join on each length a partner may have: no cross join.
-    a = a.withColumn("lb", F.explode(F.sequence(F.ceil(F.col("la") * lo).cast("int"), F.floor(F.col("la") / lo).cast("int"))))
+    a = a.withColumn("lb", F.explode(F.sequence(F.ceil(F.col("la") * lo - 1e-9).cast("int"), F.floor(F.col("la") / lo + 1e-9).cast("int"))))
     common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    return a.hint("shuffle_hash").join(b, "lb").filter(2 * common >= cutoff * (F.col("la") + F.col("lb"))).drop("ca", "cb")
+    return a.hint("shuffle_hash").join(b, "lb").filter(2 * common >= cutoff * (F.col("la") + F.col("lb")) - 1e-9).select("a", "la", "b", "lb", "first")
 
 
 def _letters(column: str) -> Column:
@@ -38,18 +65,95 @@ def _letters(column: str) -> Column:
     return F.array(*counts, F.length(F.regexp_replace(column, f"[{LETTERS}]", "")))
 
 
+def _grams(texts: DataFrame, text: str) -> DataFrame:
+    """Pairs of neighbouring letters, those that repeat with a number, so that sets of them share what the texts share."""
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(F.col(text), i, F.lit(2))))
+    pairs = texts.withColumn("g", F.when(F.length(text) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return pairs.withColumn("g", F.transform("g", lambda x, i: F.concat(x, (i + 1 - F.array_position("g", x)).cast("string"))))
+
+
+def _least_shared(level: float, letters: Column) -> Column:
+    """The grams that a pair of so many letters at least shares."""
+    return F.ceil((1.5 * level - 1) * letters - 1 - 1e-9)
+
+
+def _of_one(level: float, length: str) -> Column:
+    """The same for all partners of a text of this length."""
+    return _least_shared(level, F.col(length) * 2 / (2 - level))
+
+
+def _rarest(texts: DataFrame, text: str, frequent: DataFrame, level: float) -> DataFrame:
+    """gram, text, length: of each text the rarest grams, one of which every partner shares."""
+    length = "l" + text
+    rows = texts.select(text, length, F.explode("g").alias("gram")).join(F.broadcast(frequent), "gram", "left")  # FREQUENT rows at most
+    order = Window.partitionBy(text).orderBy(F.coalesce("c", F.lit(0)), "gram")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col(length) - F.greatest(_of_one(level, length), F.lit(1))).select("gram", text, length)
+
+
+def by_grams(a: DataFrame, b: DataFrame, frequent: DataFrame, level: float) -> DataFrame:
+    """Pairs a, la, b, lb that the index of grams allows a ratio of level, for texts a that it can decide on.
+
+    a: a, la, g; b: b, lb, g, as `_grams` makes them.
+    """
+    asked = _rarest(a.filter(_of_one(level, "la") >= 1), "a", frequent, level)
+    met = asked.hint("merge").join(_rarest(b, "b", frequent, level), "gram").filter(2 * F.least("la", "lb") >= level * (F.col("la") + F.col("lb")) - 1e-9)
+    pairs = met.select("a", "la", "b", "lb").distinct()
+    both = pairs.hint("merge").join(a.select("a", F.col("g").alias("ga")), "a").hint("merge").join(b.select("b", F.col("g").alias("gb")), "b")
+    return both.filter(F.size(F.array_intersect("ga", "gb")) >= _least_shared(level, F.col("la") + F.col("lb"))).select("a", "la", "b", "lb")
+
+
+def candidates(pairs: DataFrame, level: float) -> DataFrame:
+    """The pairs that the bound by edits leaves to be compared in Python."""
+    return pairs.filter(F.levenshtein("a", "b") <= (1 - level) * (F.col("la") + F.col("lb")) + 1e-9)
+
+
+def _compared(pairs: DataFrame, b: DataFrame, level: float) -> DataFrame:
+    """a, m: of each text the best partner of a ratio of level or more."""
+    found = candidates(pairs, level).withColumn("ratio", sequence_ratio("a", "b")).filter(F.col("ratio") >= level)
+    found = found if "first" in found.columns else found.hint("merge").join(b.select("b", "first"), "b")
+    return found.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "first")).alias("m"))
+
+
+def frequent_grams(*texts: DataFrame) -> DataFrame:
+    """gram, c: the FREQUENT commonest grams."""
+    rows = [t.select(F.explode("g").alias("gram")) for t in texts]
+    counts = rows[0].unionAll(rows[1]) if len(rows) > 1 else rows[0]
+    return counts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "gram").limit(FREQUENT)
+
+
 def best_match(titles: DataFrame, projects: DataFrame, cutoff: float = DEFAULT.fuzzy_cutoff) -> DataFrame:
-    """titles: title; projects: project, ord -> title, project, ratio: the best project at the cutoff or more; the first of equals."""
-    pairs = _bounded(titles, projects, cutoff).withColumn("ratio", sequence_ratio("a", "b")).filter(F.col("ratio") >= cutoff)
-    return _best(pairs).select("title", F.col("m.project").alias("project"), (-F.col("m.minus")).alias("ratio"))
+    """titles: title; projects: project, ord -> title, project, ratio: the best project at the cutoff or more; the first of equals.
+
+    Titles and projects are compared in small letters; null matches nothing, an empty title only an empty project.
+    """
+    a, b = _sides(titles, projects)
+    b = cut(_grams(b, "b"))
+    equal = a.filter(f"la < {LONG}").hint("merge").join(b.select(F.col("b").alias("a"), "first"), "a").select("a", F.struct(F.lit(-1.0).alias("minus"), "first").alias("m"))
+    settled = cut(equal)
+    left, n = cut_counted(_grams(a.hint("merge").join(settled, "a", "left_anti"), "a"))
+    done = [settled]
+    if n:
+        frequent = cut(frequent_grams(left, b))
+        for level in [x for x in LEVELS if x > cutoff]:
+            found, some = cut_counted(_compared(by_grams(left, b, frequent, level), b, level))
+            if some:
+                done.append(found)
+                left = left.hint("merge").join(found, "a", "left_anti")
+        decided = _of_one(cutoff, "la") >= 1
+        if cutoff > 2 / 3:
+            done.append(_compared(by_grams(left, b, frequent, cutoff), b, cutoff))
+        done.append(_compared(_bounded(left.filter(~decided).select("a", "la"), b.drop("g"), cutoff), b, cutoff))
+    best = done[0]
+    for more in done[1:]:
+        best = best.unionAll(more)
+    out = titles.select("title").filter("title IS NOT NULL").distinct().withColumn("a", F.lower("title")).hint("merge").join(best, "a")
+    return out.select("title", F.col("m.first.project").alias("project"), (-F.col("m.minus")).alias("ratio"))
 
 
 def best_match_levenshtein(titles: DataFrame, projects: DataFrame, cutoff: float = DEFAULT.fuzzy_cutoff) -> DataFrame:
     """The same with 1 - edit distance / longer length."""
-    pairs = _bounded(titles, projects, cutoff).withColumn("ratio", 1 - F.levenshtein("a", "b") / F.greatest("la", "lb")).filter(F.col("ratio") >= cutoff)
-    return _best(pairs).select("title", F.col("m.project").alias("project"), F.round(-F.col("m.minus"), 6).alias("ratio"))
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """title, m: the project of the greatest ratio, the first in order of equals."""
-    return pairs.groupBy("title").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "ord", "project")).alias("m"))
+    a, b = _sides(titles, projects)
+    pairs = _bounded(a, b, cutoff).withColumn("ratio", 1 - F.levenshtein("a", "b") / F.greatest("la", "lb")).filter(F.col("ratio") >= cutoff)
+    best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "first")).alias("m"))
+    out = titles.select("title").distinct().withColumn("a", F.lower("title")).hint("merge").join(best, "a")
+    return out.select("title", F.col("m.first.project").alias("project"), F.round(-F.col("m.minus"), 6).alias("ratio"))

@@ -183,11 +183,34 @@ def _titles(m):
     return names_, names_.select(F.concat("title", F.lit(" sdk")).alias("project"), F.crc32("title").alias("ord"))
 
 
-@query()
+#: The ratio in SQL: of each pair of texts the longest block in common, the first of equals, then what is left and right of it.
+_RATIO = """WITH RECURSIVE t AS (SELECT DISTINCT p_name AS title FROM part),
+seg AS (
+  SELECT a.title, b.title || ' sdk' AS project, lower(a.title) AS x, lower(b.title || ' sdk') AS y, 0 AS m FROM t a, t b
+  UNION ALL
+  SELECT title, project, CASE side WHEN 0 THEN substr(x, 1, i - 1) ELSE substr(x, i + n) END, CASE side WHEN 0 THEN substr(y, 1, strpos(y, block) - 1) ELSE substr(y, strpos(y, block) + n) END, n * (1 - side)
+  FROM (SELECT *, best // 1000 AS n, 1000 - best % 1000 AS i, substr(x, 1000 - best % 1000, best // 1000) AS block
+        FROM (SELECT *, list_max(flatten([[CASE WHEN contains(y, substr(x, i::INT, n::INT)) THEN n * 1000 + 1000 - i ELSE 0 END FOR n IN range(1, length(x) - i + 2)] FOR i IN range(1, length(x) + 1)])) AS best FROM seg WHERE x <> '' AND y <> '')
+        WHERE best > 0), (VALUES (0), (1)) sides(side)),
+ratios AS (SELECT title, project, 2 * sum(m) / (length(title) + length(project))::DOUBLE AS ratio FROM seg GROUP BY 1, 2)
+SELECT title, arg_max(project, ratio) AS project, round(max(ratio), 6) AS ratio FROM ratios WHERE ratio >= 0.6 GROUP BY 1"""
+
+
+@query(_RATIO)
 def j5_fuzzy_match(m):
     return fuzzy.best_match(*_titles(m)).withColumn("ratio", R("ratio", 6))
 
 
+@query("""WITH t AS (SELECT p_partkey, p_name || ' ' || substr(md5(p_partkey::VARCHAR), 1, 16) AS project FROM part)
+SELECT p_partkey AS ord, project, round((2 * length(project) - 2) / (2 * length(project) - 1)::DOUBLE, 6) AS ratio FROM t""")
+def j5_fuzzy_misspelt(m):
+    """A title for each part with a letter left out, against the titles of all parts."""
+    t = m.table("part").select(F.concat_ws(" ", "p_name", F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 16)).alias("project"), F.col("p_partkey").alias("ord"))
+    off = t.select(F.concat(F.substring("project", 1, 4), F.expr("substring(project, 6)")).alias("title"))
+    best = fuzzy.best_match(off, t)
+    return best.join(t.hint("merge"), "project").select("ord", "project", R("ratio", 6).alias("ratio"))
+
+
 @query("""WITH t AS (SELECT DISTINCT p_name AS title FROM part), p AS (SELECT title || ' sdk' AS project FROM t),
 x AS (SELECT title, project, 1 - levenshtein(lower(title), lower(project)) / greatest(length(title), length(project))::DOUBLE AS ratio FROM t, p)
 SELECT title, round(max(ratio), 6) AS ratio FROM x WHERE ratio >= 0.6 GROUP BY 1""")

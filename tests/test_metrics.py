@@ -1,6 +1,7 @@
 """Concentration, ranks, gate, surfaces, snapshots and text functions on small exact inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,59 @@ def test_fuzzy(spark):
     assert got == [("Silver Harbor", "SILVER HARBOR", 1.0)]
 
 
+def _brute_match(titles, projects, cutoff):
+    """Every title against every project in order; a later one must be better."""
+    from difflib import SequenceMatcher
+
+    out = {}
+    for t in set(titles):
+        best, found = 0.0, None
+        for p in projects:
+            r = SequenceMatcher(None, t.lower(), p.lower()).ratio()
+            if r > best:
+                best, found = r, p
+        # An empty title has no better ratio than 0 with anything but an empty project.
+        if found is not None and best >= cutoff:
+            out[t] = (found, best)
+    return out
+
+
+@pytest.mark.parametrize("cutoff", [0.6, 0.7, 0.85, 0.95])
+def test_fuzzy_against_all_pairs(spark, cutoff):
+    r = random.Random(5)
+    words = ["silver", "harbor", "node", "stellar", "wallet", "kit", "bridge", "sdk", "aaab", "abab", "x", "Ünit", "go"]
+    projects = [" ".join(r.choice(words) for _ in range(r.randrange(1, 5))) for _ in range(60)] + ["", "a", "ab", "x" * 250, "long " * 60]
+    projects = list(dict.fromkeys(projects))
+
+    def typo(s, n):
+        for _ in range(n):
+            i = r.randrange(len(s) + 1)
+            s = s[:i] + r.choice(["", "z", "q ", "E"]) + s[i + r.randrange(2) :]
+        return s
+
+    titles = [typo(r.choice(projects), r.randrange(6)) for _ in range(150)] + ["", "A", "zzz", "X" * 250, "long " * 60, "axbxcxdx", "abcd"]
+    got = fuzzy.best_match(spark.createDataFrame([(t,) for t in [*titles, None, titles[0]]], "title string"), spark.createDataFrame([(p, i) for i, p in enumerate(projects)] + [(None, 99)], "project string, ord long"), cutoff)
+    assert {x["title"]: (x["project"], x["ratio"]) for x in got.collect()} == _brute_match(titles, projects, cutoff)
+
+
+def test_fuzzy_compares_linearly(spark):
+    """Ten times the titles, each a letter off its project: about ten times the pairs that reach Python, not a hundred."""
+    r = random.Random(7)
+    pairs = []
+    for n in (150, 1500):
+        names = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(24)) for _ in range(n)]
+        a = fuzzy._grams(spark.createDataFrame([(t[:9] + "#" + t[10:], 24) for t in names], "a string, la int"), "a")
+        b = fuzzy._grams(spark.createDataFrame([(t, 24) for t in names], "b string, lb int"), "b")
+        pairs.append(fuzzy.candidates(fuzzy.by_grams(a, b, fuzzy.frequent_grams(a, b), 0.9), 0.9).count())
+    assert pairs[0] >= 150 and pairs[1] >= 1500 and pairs[1] <= 11 * pairs[0]
+
+
+def test_fuzzy_of_empty_tables(spark):
+    t, p = spark.createDataFrame([], "title string"), spark.createDataFrame([], "project string, ord long")
+    some_t, some_p = spark.createDataFrame([("ab",)], "title string"), spark.createDataFrame([("ab", 1)], "project string, ord long")
+    assert [fuzzy.best_match(x, y).count() for x, y in ((t, p), (some_t, p), (t, some_p), (some_t, some_p))] == [0, 0, 0, 1]
+
+
 def test_quantiles_and_places(spark):
     values = [5, 1, 1, 9, 3, 3, 3, 7]
     df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(values)], "i long, v long, g long")
