@@ -6,13 +6,14 @@ are lossless for any pair of a ratio of c or more:
 * lengths: the shorter text has at least c / (2 - c) of the longer one's letters;
 * letters: at least c T / 2 are in common, counted by letter;
 * edits: what is outside the blocks is at most (1 - c) T, and so is the edit distance;
-* grams: between two blocks there is a letter of neither, so k blocks are at most 1 + T - 2 M, and their pairs of
-  neighbouring letters, M - k or more, at least (1.5 c - 1) T - 1.  Two texts that share so many grams share one among
-  the rarest of each.
-
-The bound by grams has force only well above c = 2 / 3.  So the best match is searched from the top: equal texts first,
-then at each of LEVELS by the index of grams; a title whose best ratio reaches the level is settled, as all pairs of
-that ratio were found.  Titles left over, with nothing so near to them, are compared at the cutoff itself.
+* grams of q letters: between two blocks there is a letter of neither, so k blocks are at most 1 + T - 2 M, and their
+  grams, M - (q - 1) k or more, at least ((q - 1/2) c - (q - 1)) T - (q - 1).  Two texts that share so many grams share
+  one among the rarest of each.
+
+The bound by grams has force only well above c = 2 (q - 1) / (2 q - 1), and long grams, which few texts share, need a high
+c.  So the best match is searched from the top: equal texts first, then at each of LEVELS by an index of grams; a title
+whose best ratio reaches the level is settled, as all pairs of that ratio were found.  Titles left over, with nothing
+so near to them, are compared at the cutoff itself.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from ..config import DEFAULT
 from ..functions.lineage import cut, cut_counted
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
-#: Ratios at which the index of grams is asked before the cutoff.
-LEVELS = (0.9, 0.8)
+#: Ratios at which an index of grams is asked before the cutoff, and the letters of a gram.
+LEVELS = ((0.95, 4), (0.9, 3), (0.8, 2))
 #: Grams known as frequent; all others count as rarer.  The order only steers the work.
 FREQUENT = 4096
 #: From this length on the ratio leaves out frequent letters, and equal texts need not have a ratio of 1.
@@ -65,41 +66,46 @@ def _letters(column: str) -> Column:
     return F.array(*counts, F.length(F.regexp_replace(column, f"[{LETTERS}]", "")))
 
 
-def _grams(texts: DataFrame, text: str) -> DataFrame:
-    """Pairs of neighbouring letters, those that repeat with a number, so that sets of them share what the texts share."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(F.col(text), i, F.lit(2))))
-    pairs = texts.withColumn("g", F.when(F.length(text) > 1, pairs).otherwise(F.array().cast("array<string>")))
-    return pairs.withColumn("g", F.transform("g", lambda x, i: F.concat(x, (i + 1 - F.array_position("g", x)).cast("string"))))
+def grams(texts: DataFrame, text: str, q: int) -> DataFrame:
+    """texts with g, the grams of q letters; those that repeat have a number, so that sets of them share what the texts share."""
+    pieces = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(F.col(text), i, F.lit(q))))
+    texts = texts.withColumn("g", F.when(F.length(text) >= q, pieces).otherwise(F.array().cast("array<string>")))
+    return texts.withColumn("g", F.transform("g", lambda x, i: F.concat(x, (i + 1 - F.array_position("g", x)).cast("string"))))
+
 
+def frequent_grams(a: DataFrame, b: DataFrame) -> DataFrame:
+    """gram, c: the FREQUENT commonest grams."""
+    counts = a.select(F.explode("g").alias("gram")).unionAll(b.select(F.explode("g").alias("gram"))).groupBy("gram")
+    return counts.agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "gram").limit(FREQUENT)
 
-def _least_shared(level: float, letters: Column) -> Column:
+
+def _least_shared(level: float, q: int, letters: Column) -> Column:
     """The grams that a pair of so many letters at least shares."""
-    return F.ceil((1.5 * level - 1) * letters - 1 - 1e-9)
+    return F.ceil(((q - 0.5) * level - (q - 1)) * letters - (q - 1) - 1e-9)
 
 
-def _of_one(level: float, length: str) -> Column:
+def _of_one(level: float, q: int, length: str) -> Column:
     """The same for all partners of a text of this length."""
-    return _least_shared(level, F.col(length) * 2 / (2 - level))
+    return _least_shared(level, q, F.col(length) * 2 / (2 - level))
 
 
-def _rarest(texts: DataFrame, text: str, frequent: DataFrame, level: float) -> DataFrame:
+def _rarest(texts: DataFrame, text: str, frequent: DataFrame, level: float, q: int) -> DataFrame:
     """gram, text, length: of each text the rarest grams, one of which every partner shares."""
     length = "l" + text
     rows = texts.select(text, length, F.explode("g").alias("gram")).join(F.broadcast(frequent), "gram", "left")  # FREQUENT rows at most
     order = Window.partitionBy(text).orderBy(F.coalesce("c", F.lit(0)), "gram")
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col(length) - F.greatest(_of_one(level, length), F.lit(1))).select("gram", text, length)
-
+    asked = F.col(length) - q + 2 - F.greatest(_of_one(level, q, length), F.lit(1))
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= asked).select("gram", text, length)
 
-def by_grams(a: DataFrame, b: DataFrame, frequent: DataFrame, level: float) -> DataFrame:
-    """Pairs a, la, b, lb that the index of grams allows a ratio of level, for texts a that it can decide on.
 
-    a: a, la, g; b: b, lb, g, as `_grams` makes them.
-    """
-    asked = _rarest(a.filter(_of_one(level, "la") >= 1), "a", frequent, level)
-    met = asked.hint("merge").join(_rarest(b, "b", frequent, level), "gram").filter(2 * F.least("la", "lb") >= level * (F.col("la") + F.col("lb")) - 1e-9)
-    pairs = met.select("a", "la", "b", "lb").distinct()
+def by_grams(a: DataFrame, b: DataFrame, level: float, q: int) -> DataFrame:
+    """Pairs a, la, b, lb that an index of grams allows a ratio of level, for those of a (a, la) that it can decide on; b: b, lb."""
+    a, b = cut(grams(a.filter(_of_one(level, q, "la") >= 1), "a", q)), cut(grams(b, "b", q))
+    frequent = cut(frequent_grams(a, b))
+    met = _rarest(a, "a", frequent, level, q).hint("merge").join(_rarest(b, "b", frequent, level, q), "gram")
+    pairs = met.filter(2 * F.least("la", "lb") >= level * (F.col("la") + F.col("lb")) - 1e-9).select("a", "la", "b", "lb").distinct()
     both = pairs.hint("merge").join(a.select("a", F.col("g").alias("ga")), "a").hint("merge").join(b.select("b", F.col("g").alias("gb")), "b")
-    return both.filter(F.size(F.array_intersect("ga", "gb")) >= _least_shared(level, F.col("la") + F.col("lb"))).select("a", "la", "b", "lb")
+    return both.filter(F.size(F.array_intersect("ga", "gb")) >= _least_shared(level, q, F.col("la") + F.col("lb"))).select("a", "la", "b", "lb")
 
 
 def candidates(pairs: DataFrame, level: float) -> DataFrame:
@@ -114,35 +120,29 @@ def _compared(pairs: DataFrame, b: DataFrame, level: float) -> DataFrame:
     return found.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "first")).alias("m"))
 
 
-def frequent_grams(*texts: DataFrame) -> DataFrame:
-    """gram, c: the FREQUENT commonest grams."""
-    rows = [t.select(F.explode("g").alias("gram")) for t in texts]
-    counts = rows[0].unionAll(rows[1]) if len(rows) > 1 else rows[0]
-    return counts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "gram").limit(FREQUENT)
-
-
 def best_match(titles: DataFrame, projects: DataFrame, cutoff: float = DEFAULT.fuzzy_cutoff) -> DataFrame:
     """titles: title; projects: project, ord -> title, project, ratio: the best project at the cutoff or more; the first of equals.
 
     Titles and projects are compared in small letters; null matches nothing, an empty title only an empty project.
     """
     a, b = _sides(titles, projects)
-    b = cut(_grams(b, "b"))
+    b = cut(b)
     equal = a.filter(f"la < {LONG}").hint("merge").join(b.select(F.col("b").alias("a"), "first"), "a").select("a", F.struct(F.lit(-1.0).alias("minus"), "first").alias("m"))
-    settled = cut(equal)
-    left, n = cut_counted(_grams(a.hint("merge").join(settled, "a", "left_anti"), "a"))
-    done = [settled]
+    done = [cut(equal)]
+    left, n = cut_counted(a.hint("merge").join(done[0], "a", "left_anti"))
     if n:
-        frequent = cut(frequent_grams(left, b))
-        for level in [x for x in LEVELS if x > cutoff]:
-            found, some = cut_counted(_compared(by_grams(left, b, frequent, level), b, level))
+        for level, q in [(x, q) for x, q in LEVELS if x > cutoff]:
+            found, some = cut_counted(_compared(by_grams(left, b, level, q), b, level))
             if some:
                 done.append(found)
-                left = left.hint("merge").join(found, "a", "left_anti")
-        decided = _of_one(cutoff, "la") >= 1
+                left, n = cut_counted(left.hint("merge").join(found, "a", "left_anti"))
+            if not n:
+                break
+    if n:
+        decided = _of_one(cutoff, 2, "la") >= 1
         if cutoff > 2 / 3:
-            done.append(_compared(by_grams(left, b, frequent, cutoff), b, cutoff))
-        done.append(_compared(_bounded(left.filter(~decided).select("a", "la"), b.drop("g"), cutoff), b, cutoff))
+            done.append(_compared(by_grams(left, b, cutoff, 2), b, cutoff))
+        done.append(_compared(_bounded(left.filter(~decided), b, cutoff), b, cutoff))
     best = done[0]
     for more in done[1:]:
         best = best.unionAll(more)
