@@ -147,12 +147,12 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Documents u compared with leaders v: linked, and the shingles in which they differ, extra (in u) and missing (in v);
-    pairs that share less than half of the smaller set are left out, unless linked."""
+    """Documents u compared with leaders v: linked, n (size of v's set), and the shingles in which they differ, extra (in u)
+    and missing (in v); pairs that share less than half of the smaller set are left out, unless linked."""
     both = _with_sets(docs, pairs).withColumn("i", F.size(F.array_intersect("a", "b")))
     linked = (100 * F.col("i") >= percent * (F.size("a") + F.size("b") - F.col("i"))).alias("linked")
     near = both.filter((2 * F.col("i") >= F.least(F.size("a"), F.size("b"))))
-    return written(near.select("u", "v", linked, F.array_except("a", "b").alias("extra"), F.array_except("b", "a").alias("missing")), "compared")
+    return written(near.select("u", "v", linked, F.size("b").alias("n"), F.array_except("a", "b").alias("extra"), F.array_except("b", "a").alias("missing")), "compared")
 
 
 def _with_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -166,15 +166,20 @@ def _with_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _by_difference(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of one leader, not both linked with it, that their differences from it allow to be linked.
+    """Links (u, v) of documents of one leader, not both linked with it, from how they differ from it.
 
-    Let b miss m of the leader's shingles and have e others.  A document that is not linked with the leader, but with b,
+    Let b miss m of the leader's n shingles and have e others.  A document that is not linked with the leader, but with b,
     has more than m + p / (100 + p) * (e - m) of these m + e differences too: the leader itself lacks just that much to
     be linked with it, or more.  So it has one of any (m + e) - that number of them, and those that fewest documents of
     the leader have are asked.
+
+    Sets of n - m + e shingles that have s differences in common share n - m - m' + s, so a link asks for a number of
+    them that follows from the sizes.  On the first that both have, in the order of the rarest, as many must be left
+    on both sides; and pairs that meet are decided by their differences alone, without a look at the texts.
     """
     p, q = percent, 100 + percent
-    rows = found.select("v", "u", "linked", F.size("extra").alias("e"), F.size("missing").alias("m"), F.explode(F.concat(F.transform("extra", lambda t: F.struct(t.alias("token"), F.lit(True).alias("more"))), F.transform("missing", lambda t: F.struct(t.alias("token"), F.lit(False).alias("more"))))).alias("d")).select("v", "u", "linked", "e", "m", "d.token", "d.more")
+    facts = found.select("v", "u", "linked", "n", F.size("extra").alias("e"), F.size("missing").alias("m"), F.concat(F.transform("extra", lambda t: F.struct(t.alias("token"), F.lit(True).alias("more"))), F.transform("missing", lambda t: F.struct(t.alias("token"), F.lit(False).alias("more")))).alias("d"))
+    rows = facts.select("v", "u", "linked", "n", "e", "m", F.explode("d").alias("d")).select("v", "u", "linked", "n", "e", "m", "d.token", "d.more")
     key = ["v", "token", "more"]
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.bool_or(~F.col("linked")).alias("asked")).filter("c > 1 AND asked")
     # A difference that no other document has takes a place among the rarest without being asked for.
@@ -182,9 +187,19 @@ def _by_difference(found: DataFrame, percent: int) -> DataFrame:
     held = shared.groupBy("u").agg(F.count(F.lit(1)).alias("held"))
     rarest = Window.partitionBy("u").orderBy("c", "token", "more")
     ranked = shared.join(held.hint("merge"), "u").withColumn("place", F.row_number().over(rarest) + F.col("e") + F.col("m") - F.col("held"))
-    asking = ranked.filter(f"place <= e + m - (100 * m + {p} * e) div {q}").select(*key, F.col("u").alias("b"))
-    met = asking.join(shared.filter("NOT linked").select(*key, F.col("u").alias("a")).hint("merge"), key).filter("a <> b")
-    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    ranked = written(ranked.select(*key, "u", "linked", "n", "e", "m", (F.col("e") + F.col("m") - F.col("place") + 1).alias("left")), "ranked")
+    side = lambda x: ranked.select(*key, "n", F.col("u").alias(x), *[F.col(c).alias(c + x) for c in ("linked", "e", "m", "left")])
+    asking = side("b").filter(f"leftb > (100 * mb + {p} * eb) div {q}")
+    met = asking.join(side("a").filter("NOT linkeda").drop("n").hint("merge"), key).filter("a <> b")
+    na, nb = "(n - ma + ea)", "(n - mb + eb)"
+    least = f"ceil({p} * ({na} + {nb}) / {q}) - n + ma + mb"
+    met = met.filter(f"100 * least({na}, {nb}) >= {p} * greatest({na}, {nb}) AND least(lefta, leftb) >= {least}")
+    pairs = met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    differences = found.select("u", "n", "extra", "missing")
+    of = lambda x: differences.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), F.col("extra").alias(f"e{x}"), F.col("missing").alias(f"m{x}")).hint("merge")
+    both = pairs.join(of("u"), "u").join(of("v").drop("nv"), "v")
+    common = "nu - size(mu) - size(mv) + size(array_intersect(mu, mv)) + size(array_intersect(eu, ev))"
+    return both.selectExpr("u", "v", f"{common} AS i", "2 * nu - size(mu) + size(eu) - size(mv) + size(ev) AS s").filter(f"100 * i >= {p} * (s - i)").select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -231,7 +246,7 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
 
     groups = written(connected_components(links.unionAll(copies)), "groups")
     leaders = found.select(F.col("u").alias("doc_id"), F.col("v").alias("lead"))
-    more = verified(docs, _across(shared, nodes, groups, percent, leaders).unionAll(_by_difference(found, percent)), percent)
+    more = verified(docs, _across(shared, nodes, groups, percent, leaders), percent).unionAll(written(_by_difference(found, percent), "links"))
     if not more.isEmpty():
         groups = connected_components(links.unionAll(more).unionAll(copies))
     names = groups.select(F.col("node").alias("doc_id"), "component").distinct()

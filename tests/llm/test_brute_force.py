@@ -143,6 +143,47 @@ def test_jaccard_across_groups(spark):
     assert len(linked) == 60 and linked - got == set()
 
 
+def test_jaccard_by_difference(spark):
+    """Links of documents of one leader, at least one of them not linked with it, against all pairs; some are just at the threshold."""
+    r, rows, want = random.Random(11), [], set()
+    for k in range(6):
+        base = k << 20
+        leader = set(range(base, base + r.randrange(60, 150)))
+        sets = []
+        for _ in range(40):
+            # Some of a tail that many share, without some of the leader, each a little changed.
+            tail = range(base + 1000, base + 1000 + r.randrange(10, 60))
+            lost = r.sample(sorted(leader), r.randrange(len(leader) // 3))
+            sets.append((leader - set(lost)) | set(r.sample(tail, r.randrange(len(tail)))) | {base + 5000 + r.randrange(400) for _ in range(r.randrange(6))})
+        sets += [set(sets[0]) | {base + 9000 + i} for i in range(3)]
+        linked = [100 * len(x & leader) >= 75 * len(x | leader) for x in sets]
+        first = 1000 * (k + 1)
+        rows += [(first + i, first - 1, linked[i], len(leader), sorted(x - leader), sorted(leader - x)) for i, x in enumerate(sets)]
+        want |= {(first + j, first + i) for i, j in itertools.combinations(range(len(sets)), 2) if not (linked[i] and linked[j]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    found = spark.createDataFrame(rows, "u long, v long, linked boolean, n int, extra array<long>, missing array<long>")
+    got = [(x["u"], x["v"]) for x in jaccard_join._by_difference(found, 75).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_jaccard_of_a_template(spark):
+    """Pages of one stem and one tail, each with three words of the tail changed, and a leader with the stem only."""
+    r, stem, tail, other = random.Random(2), words(125, 1), words(65, 2), words(25, 3)
+    texts = [stem + other]
+    for i in range(40):
+        page = list(tail)
+        for at in r.sample(range(len(page)), 3):
+            page[at] = f"own{i}x{at}"
+        texts.append(stem + page)
+    texts += [words(300, 10 + i) + tail + other for i in range(80)]
+    want = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common, union = jaccard(texts[i], texts[j])
+        if 100 * common >= 75 * union:
+            want = [want[i] if x == want[j] else x for x in want] if want[i] < want[j] else [want[j] if x == want[i] else x for x in want]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(want))
+
+
 def test_jaccard_row_without_id(spark):
     """A row without an id is a document like any other: it takes part in a component, but doesn't name it."""
     base = words(100, 1)
