@@ -45,8 +45,8 @@ def build_graph(projects: DataFrame, repos: DataFrame, config: Config = DEFAULT)
     projects = last_per_key(projects, ["title"], "ord")
     named = repos.filter("trim(coalesce(submission_title, '')) NOT IN ('', 'nan')").select("github_url", F.trim("submission_title").alias("title"))
     best = fuzzy.best_match(named.select("title").distinct(), projects.select(F.col("title").alias("project"), "ord"), config.fuzzy_cutoff)
-    home = named.join(best.select("title", "project"), "title").select(F.col("github_url").alias("src"), F.col("project").alias("dst"))
-    own = repos.join(home.withColumnsRenamed({"src": "github_url", "dst": "project"}), "github_url", "left")
+    home = named.join(best.select("title", "project").hint("merge"), "title").select(F.col("github_url").alias("src"), F.col("project").alias("dst"))
+    own = repos.join(home.withColumnsRenamed({"src": "github_url", "dst": "project"}).hint("merge"), "github_url", "left")
     repo_nodes = _node(own, "Repo", "github_url", "project", "total_awarded_usd")
     project_nodes = _node(projects, "Project", "title", None, "total_awarded_usd").join(repo_nodes.select("node_id"), "node_id", "left_anti")
     return Graph(project_nodes.unionByName(repo_nodes), home.withColumn("edge_type", F.lit("belongs_to")))

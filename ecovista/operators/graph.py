@@ -43,6 +43,12 @@ def projection_audit(nodes: DataFrame, edges: DataFrame, config: Config = DEFAUL
     )
 
 
+def dormant_with_funding(nodes: DataFrame, projects: DataFrame) -> DataFrame:
+    """node_id, project, funding of nodes that the projection removes; funding (of projects: title, total_awarded_usd) is null where the project is unknown."""
+    p = projects.select(F.col("title").alias("_title"), F.col("total_awarded_usd").alias("funding"))
+    return nodes.filter("NOT retained").join(p, F.col("project") == F.col("_title"), "left").select("node_id", "project", "funding")
+
+
 def dependency_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("node_type").isin("Repo", "ExternalRepo"))
 
@@ -71,7 +77,7 @@ def enrich_adoption(nodes: DataFrame, signals: DataFrame) -> DataFrame:
 
 def enrich_activity(nodes: DataFrame, activity: DataFrame, config: Config = DEFAULT) -> DataFrame:
     a = activity.select("node_id", F.col("days_since_commit").alias("_days"), F.coalesce("archived", F.lit(False)).alias("_archived"))
-    j = nodes.join(a, "node_id", "left")
+    j = nodes.join(a.hint("merge"), "node_id", "left")  # scanned activity comes from exploded maps, whose size is not known
     now = (F.col("_days") <= config.active_window_days) & ~F.col("_archived")
     return j.withColumns({"active": F.coalesce(now, "active"), "days_since_commit": F.coalesce("_days", "days_since_commit"), "archived": F.coalesce("_archived", "archived")}).drop("_days", "_archived")
 

@@ -127,9 +127,20 @@ def place(df: DataFrame, group: str, order: list[Column], name: str) -> DataFram
     for r in dealt.groupBy(group, "_range").count().orderBy(group, "_range").collect():  # a row for each range, and one more for each group
         offsets.append((r[group], r["_range"], before.get(r[group], 0)))
         before[r[group]] = before.get(r[group], 0) + r["count"]
-    base = df.sparkSession.createDataFrame(offsets, f"`{group}` {df.schema[group].dataType.simpleString()}, _range int, _before long")
+    base = df.sparkSession.createDataFrame(offsets, f"_group {df.schema[group].dataType.simpleString()}, _part int, _before long")
     w = Window.partitionBy(group, "_range").orderBy(*order)
-    return dealt.join(F.broadcast(base), [group, "_range"]).withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_range", "_before")
+    placed = dealt.join(F.broadcast(base), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_part")))  # null is a group too
+    return placed.withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_range", "_group", "_part", "_before")
+
+
+def leading(df: DataFrame, value: str, key: str, k: int, nulls_first: bool = False, digits: int | None = None) -> DataFrame:
+    """The k rows of the greatest value, in that order (ties: least key); each task passes on k rows at most.
+
+    Rows without a value are left out, or come first with nulls_first.  digits: values that are equal after rounding tie.
+    """
+    by = F.col(value) if digits is None else F.round(value, digits)
+    rows = df if nulls_first else df.filter(F.col(value).isNotNull())
+    return rows.orderBy(by.desc_nulls_first() if nulls_first else by.desc(), key).limit(k)
 
 
 def top(df: DataFrame, value: str, key: str, k: int, *more: str) -> DataFrame:

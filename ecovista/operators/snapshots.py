@@ -99,6 +99,15 @@ def trend(delta: DataFrame) -> DataFrame:
     return df.withColumn("trend", F.when(F.size("improved") > F.size("degraded"), "improving").when(F.size("degraded") > F.size("improved"), "degrading").otherwise("stable"))
 
 
+#: Metrics that are drawn over the rounds.
+SERIES = ["gate_pass_rate", "pony_rate", "mean_hhi"]
+
+
+def trend_series(snaps: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """snapshot_date and the metrics that snaps has, by date; null in rounds that lack one."""
+    return snaps.select("snapshot_date", *[m for m in metrics or SERIES if m in snaps.columns]).orderBy("snapshot_date")
+
+
 def comparison_table(snaps: DataFrame) -> DataFrame:
     """Rows (earlier, later, metric, before, after, delta, direction) for each pair of consecutive rounds."""
     w, parts = _rounds(), []

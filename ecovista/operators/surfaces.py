@@ -11,7 +11,7 @@ from ..config import DEFAULT, Config
 from ..functions import narratives
 from ..functions.tiers import FER_TIERS, commit_trend, fer_tier
 from .cohesion import inner_core
-from .rank import exclusive_percentile, funded_percentile, place, top
+from .rank import average_percentile, exclusive_percentile, funded_percentile, leading, place, top
 from .reach import union_reach
 
 
@@ -81,6 +81,15 @@ def debt_summary(debt: DataFrame, k: int = 5) -> DataFrame:
     return counts.crossJoin(top(debt, "risk", "node_id", k))  # one row each
 
 
+def debt_top(debt: DataFrame, k: int = 10) -> DataFrame:
+    return leading(debt, "risk", "node_id", k)
+
+
+def debt_scatter(debt: DataFrame) -> DataFrame:
+    """Where each entry lies in a drawing of criticality against concentration, with its trend."""
+    return debt.select("node_id", "criticality_pct", "hhi", "trend")
+
+
 def keystone_repos(conc: DataFrame, crit: DataFrame) -> DataFrame:
     """contributor, node_id, criticality of each flagged repo: rows, as one owner may have any number of them."""
     flagged = conc.filter("pony_factor = 1").select(F.col("repo").alias("node_id"), F.col("top_contributor").alias("contributor"))
@@ -103,6 +112,10 @@ def keystone_summary(k: DataFrame, n: int = 5) -> DataFrame:
     return counts.crossJoin(top(k, "kci", "contributor", n, "n_repos", "at_risk"))  # one row each
 
 
+def keystone_top(k: DataFrame, n: int = 10) -> DataFrame:
+    return leading(k, "kci", "contributor", n)
+
+
 def project_totals(nodes: DataFrame, crit: DataFrame, conc: DataFrame) -> DataFrame:
     """Per project: criticality of its repos, number of repos, flagged repos."""
     repos = nodes.filter("node_type = 'Repo' AND project IS NOT NULL AND project <> ''").select("node_id", "project")
@@ -174,6 +187,33 @@ def rollup(awards: DataFrame, keys: list[str]) -> DataFrame:
     return awards.groupBy(*keys).agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n"), F.count_distinct("voter").alias("voters"), (100 * F.avg(F.col("flagged").cast("int"))).alias("flagged_pct"))
 
 
+def fer_top(fer: DataFrame, k: int = 10) -> DataFrame:
+    """By FER, projects without one first."""
+    return leading(fer, "fer", "project", k, nulls_first=True)
+
+
+def underfunded_top(fer: DataFrame, over: float = 1.5, k: int = 10) -> DataFrame:
+    return leading(fer.filter(F.col("fer") > over), "fer", "project", k)
+
+
+def balanced_top(fer: DataFrame, low: float = 0.8, high: float = 1.2, k: int = 5) -> DataFrame:
+    """The most critical projects whose funding fits."""
+    return leading(fer.filter(F.col("fer").between(low, high)), "criticality", "project", k)
+
+
+def concentrated_top(conc: DataFrame, k: int = 10) -> DataFrame:
+    return leading(conc, "hhi", "repo", k)
+
+
+def top_share_top(conc: DataFrame, k: int = 20) -> DataFrame:
+    return leading(conc, "top_share", "repo", k)
+
+
+def adopted_top(adoption: DataFrame, k: int = 15) -> DataFrame:
+    """By adoption score; scores that differ by rounding errors tie."""
+    return leading(adoption, "adoption_score", "node_id", k, digits=9)
+
+
 def most_underfunded(fer: DataFrame, k: int = 5) -> DataFrame:
     """One row: the k critically underfunded projects of the highest FER."""
     return top(fer.filter("tier = 'critically_underfunded'"), "fer", "project", k)
@@ -181,8 +221,6 @@ def most_underfunded(fer: DataFrame, k: int = 5) -> DataFrame:
 
 def scorecard(totals: DataFrame, fer: DataFrame) -> DataFrame:
     """Per project with repos: flagged share, average-rank percentile of criticality, FER with tier unknown where there is none."""
-    from .rank import average_percentile
-
     t = average_percentile(totals, "criticality", "crit_rank_pct").withColumn("high_pony_ratio", F.round(F.col("pony_risk_repos") / F.greatest("n_repos", F.lit(1)), 4))
     return t.join(fer.select("project", "fer", F.when(F.col("fer").isNull(), "unknown").otherwise(F.col("tier")).alias("tier")), "project", "left")
 
@@ -194,6 +232,6 @@ def gate_rank(g: DataFrame) -> DataFrame:
 
 def critical_top(crit: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     """node_id, node_type, ecosystem, criticality, criticality_pct of the k most critical packages (ties: least id)."""
-    best = crit.filter("criticality > 0").orderBy(F.desc("criticality"), "node_id").limit(k)
+    best = leading(crit.filter("criticality > 0"), "criticality", "node_id", k)
     rows = nodes.select("node_id", "node_type", "ecosystem").join(F.broadcast(best), "node_id")  # k rows
     return rows.select("node_id", "node_type", "ecosystem", "criticality", "criticality_pct").orderBy(F.desc("criticality"), "node_id")

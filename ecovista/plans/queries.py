@@ -57,7 +57,7 @@ def p3_projection_audit(m):
 
 @query(eco("SELECT node_id, project, funding FROM nodes LEFT JOIN projects USING (project) WHERE NOT retained"))
 def p22_dormant_with_funding(m):
-    return m.nodes.filter("NOT retained").join(m.projects, F.col("project") == F.col("title"), "left").select("node_id", "project", F.col("total_awarded_usd").alias("funding"))
+    return graph.dormant_with_funding(m.nodes, m.projects)
 
 
 @query(eco("SELECT e.src, e.dst FROM alledges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst WHERE a.node_type IN ('Repo', 'ExternalRepo') AND b.node_type IN ('Repo', 'ExternalRepo')"))
@@ -385,10 +385,11 @@ def a2_commit_share(m):
 
 
 @query("""SELECT user_id AS repo, event_type AS email, count(*) AS commits, min(ts) AS first_date, max(ts) AS last_date,
-  (array_agg(props ORDER BY ts, props))[1] AS display, (count(DISTINCT props) - 1) AS n_aliases FROM events GROUP BY 1, 2""")
+  (array_agg(props ORDER BY ts, props))[1] AS display, (count(DISTINCT props) - 1) AS n_aliases,
+  array_to_string(list_sort(list_filter(list(DISTINCT props), lambda x: x <> (array_agg(props ORDER BY ts, props))[1])), ' | ') AS alias_names FROM events GROUP BY 1, 2""")
 def a3_roll_up_commits(m):
     c = m.table("events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("email"), F.col("props").alias("name"), F.col("ts").alias("committed_at"))
-    return concentration.roll_up_commits(c).withColumn("n_aliases", F.size("aliases").cast("long")).drop("aliases")
+    return concentration.roll_up_commits(c).withColumns({"n_aliases": F.size("aliases").cast("long"), "alias_names": F.array_join("aliases", " | ")}).drop("aliases")
 
 
 @query(eco("SELECT p_partkey AS repo, coalesce(age, 9999) AS days_since_commit FROM part LEFT JOIN ages ON repo = p_partkey"))
@@ -657,7 +658,7 @@ def a34_fer_display(m):
 
 @query(eco("SELECT node_id, round(criticality_pct, 4) AS criticality_pct, hhi, trend FROM debt"))
 def a35_debt_scatter(m):
-    return m.debt.select("node_id", R("criticality_pct", 4).alias("criticality_pct"), "hhi", "trend")
+    return surfaces.debt_scatter(m.debt).withColumn("criticality_pct", R("criticality_pct", 4))
 
 
 @query(eco("SELECT 'node' AS kind, node_type AS label, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', 'depends_on', count(*) FROM alledges UNION ALL SELECT 'edge', 'contributed_to', count(*) FROM contrib"))
@@ -686,17 +687,17 @@ def t1_w10_gate_order(m):
 
 @query(eco("SELECT node_id, risk FROM debt ORDER BY risk DESC, node_id LIMIT 10"))
 def t2_debt_top(m):
-    return m.debt.select("node_id", "risk").orderBy(F.desc("risk"), "node_id").limit(10)
+    return surfaces.debt_top(m.debt).select("node_id", "risk")
 
 
 @query(eco("SELECT contributor, kci FROM keystones ORDER BY kci DESC, contributor LIMIT 10"))
 def t3_keystone_top(m):
-    return m.keystones.select("contributor", "kci").orderBy(F.desc("kci"), "contributor").limit(10)
+    return surfaces.keystone_top(m.keystones).select("contributor", "kci")
 
 
 @query(eco("SELECT project, fer FROM fer ORDER BY fer DESC NULLS FIRST, project LIMIT 10"))
 def t4_fer_order(m):
-    return m.fer.select("project", "fer").orderBy(F.desc_nulls_first("fer"), "project").limit(10)
+    return surfaces.fer_top(m.fer).select("project", "fer")
 
 
 @query(eco("SELECT node_id, node_type, 'e' || node_id % 7 AS ecosystem, criticality, round(criticality_pct, 4) AS criticality_pct FROM crit JOIN act USING (node_id) WHERE criticality > 0 ORDER BY criticality DESC, node_id LIMIT 10"))
@@ -721,32 +722,32 @@ def t6_top_with_decay(m):
 
 @query(eco("SELECT repo, top_share FROM conc ORDER BY top_share DESC, repo LIMIT 20"))
 def t8_top_share(m):
-    return m.concentration.select("repo", "top_share").orderBy(F.desc("top_share"), "repo").limit(20)
+    return surfaces.top_share_top(m.concentration).select("repo", "top_share")
 
 
 @query(eco("SELECT repo, hhi FROM conc ORDER BY hhi DESC, repo LIMIT 10"))
 def t10_hhi_top(m):
-    return m.concentration.select("repo", "hhi").orderBy(F.desc("hhi"), "repo").limit(10)
+    return surfaces.concentrated_top(m.concentration).select("repo", "hhi")
 
 
 @query(eco("SELECT project, fer FROM fer WHERE fer > 1.5 ORDER BY fer DESC, project LIMIT 10"))
 def t10_underfunded_top(m):
-    return m.fer.filter("fer > 1.5").select("project", "fer").orderBy(F.desc("fer"), "project").limit(10)
+    return surfaces.underfunded_top(m.fer).select("project", "fer")
 
 
 @query(eco("SELECT node_id, round(adoption_score, 4) AS adoption_score FROM adopt ORDER BY round(adoption_score, 9) DESC, node_id LIMIT 15"))
 def t10_adopted_top(m):
-    return m.adoption.orderBy(R("adoption_score", 9).desc(), "node_id").limit(15).select("node_id", R("adoption_score", 4).alias("adoption_score"))
+    return surfaces.adopted_top(m.adoption).select("node_id", R("adoption_score", 4).alias("adoption_score"))
 
 
 @query(eco("SELECT project, fer, criticality FROM fer WHERE fer BETWEEN 0.8 AND 1.2 ORDER BY criticality DESC, project LIMIT 5"))
 def t10_balanced_top(m):
-    return m.fer.filter("fer BETWEEN 0.8 AND 1.2").select("project", "fer", "criticality").orderBy(F.desc("criticality"), "project").limit(5)
+    return surfaces.balanced_top(m.fer).select("project", "fer", "criticality")
 
 
 @query(eco("SELECT node_id, criticality FROM crit ORDER BY criticality DESC, node_id LIMIT 8"))
 def t10_critical_top(m):
-    return m.criticality.select("node_id", "criticality").orderBy(F.desc("criticality"), "node_id").limit(8)
+    return rank.leading(m.criticality.select("node_id", "criticality"), "criticality", "node_id", 8)
 
 
 @query(eco(""" SELECT node_id, a AS criticality_text, b AS maintenance_text, c AS adoption_text, CASE WHEN passed THEN 'Passes' ELSE 'Fails' END || ' with ' || votes || ' of 2 signals needed; ' || a || '; ' || b || '; ' || c || '.' AS explanation FROM texts""", """texts AS (SELECT *,
@@ -909,17 +910,20 @@ def c2_trend(m):
 
 def _c3(metric, low):
     up, down = ("worsening", "improving") if low else ("improving", "worsening")
-    return f"SELECT earlier, later, '{metric}' AS metric, {metric}_delta::DOUBLE AS delta, CASE WHEN {metric}_delta = 0 THEN '--' WHEN {metric}_delta > 0 THEN '↑ ({up})' ELSE '↓ ({down})' END AS direction FROM delta"
+    return f"SELECT earlier, later, '{metric}' AS metric, {metric}_before::DOUBLE AS before, {metric}_after::DOUBLE AS after, {metric}_delta::DOUBLE AS delta, CASE WHEN {metric}_delta = 0 THEN '--' WHEN {metric}_delta > 0 THEN '↑ ({up})' ELSE '↓ ({down})' END AS direction FROM delta"
 
 
-@query("WITH" + _ROUNDS + ", " + _DELTA + " " + " UNION ALL ".join(_c3(*x) for x in snapshots.COMPARED))
+_VALUES = "SELECT *, " + ", ".join(f"lag({m}) OVER w AS {m}_before, {m} AS {m}_after, round({m} - lag({m}) OVER w, 6) AS {m}_delta" for m, _ in snapshots.COMPARED) + ", lag(snapshot_date) OVER w AS earlier, snapshot_date AS later FROM rounds WINDOW w AS (ORDER BY snapshot_date)"
+
+
+@query("WITH" + _ROUNDS + f", delta AS (SELECT * FROM ({_VALUES}) WHERE earlier IS NOT NULL) " + " UNION ALL ".join(_c3(*x) for x in snapshots.COMPARED))
 def c3_comparison_table(m):
-    return snapshots.comparison_table(_rounds(m)).select("earlier", "later", "metric", "delta", "direction")
+    return snapshots.comparison_table(_rounds(m)).select("earlier", "later", "metric", "before", "after", "delta", "direction")
 
 
 @query("WITH" + _ROUNDS + " SELECT snapshot_date, gate_pass_rate, pony_rate, mean_hhi FROM rounds")
 def c4_trend_series(m):
-    return _rounds(m).select("snapshot_date", "gate_pass_rate", "pony_rate", "mean_hhi")
+    return snapshots.trend_series(_rounds(m))
 
 
 @query(eco("SELECT node_id, criticality, hhi FROM gate WHERE NOT passed ORDER BY criticality_pct DESC, node_id LIMIT 10"))
@@ -991,12 +995,19 @@ def s14_dependency_payload(m):
     return payloads.dependency_edges(_dependency_pages(m, "NPM")).select("from_name", "to_name", "ecosystem", "is_direct")
 
 
-def _dependency_pages(m, system):
+@query("""WITH t AS (SELECT DISTINCT user_id, event_type FROM events), c AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_type) AS prev FROM t)
+  SELECT coalesce(prev, 'u' || user_id) AS from_name, event_type AS to_name, 'NPM' AS ecosystem, prev IS NULL AS is_direct FROM c""")
+def s14_indirect_edges(m):
+    """A user's event types as a chain: it depends on the first, the first on the second and so on."""
+    return payloads.dependency_edges(_dependency_pages(m, "NPM", chain=True)).select("from_name", "to_name", "ecosystem", "is_direct")
+
+
+def _dependency_pages(m, system, chain=False):
     """A user's event types as its dependencies."""
     node = lambda n: F.struct(F.struct(F.lit(system).alias("system"), n.alias("name"), F.lit("1").alias("version")).alias("versionKey"))
     g = m.table("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
     nodes = F.concat(F.array(node(F.concat(F.lit("u"), "user_id"))), F.transform("types", node))
-    edges = F.transform(F.sequence(F.lit(1), F.size("types")), lambda i: F.struct(F.lit(0).alias("fromNode"), i.alias("toNode"), F.lit("^1").alias("requirement")))
+    edges = F.transform(F.sequence(F.lit(1), F.size("types")), lambda i: F.struct((i - 1 if chain else F.lit(0)).alias("fromNode"), i.alias("toNode"), F.lit("^1").alias("requirement")))
     return g.select(F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges"))).alias("payload"))
 
 
@@ -1141,6 +1152,17 @@ def x1_graph_edges(m):
     return build.build_graph(*_seed_tables(m)).edges.select("src", "dst", "edge_type")
 
 
+@query("""SELECT 'https://github.com/c/' || c_custkey AS src, CASE c_mktsegment WHEN 'FURNITURE' THEN 'NATION_0' ELSE n_name END AS dst, 'belongs_to' AS edge_type
+  FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+def x1_near_titles(m):
+    """Titles with another letter, titles that are as near to several projects (the first of them counts) and titles under the cutoff."""
+    n, c = m.table("nation"), m.table("customer")
+    segment, name = F.col("c_mktsegment"), F.lower("n_name")
+    title = F.when(segment == "BUILDING", "nan").when(segment == "AUTOMOBILE", F.replace(name, F.lit("_"), F.lit(" "))).when(segment == "FURNITURE", "nation_").when(segment == "MACHINERY", F.concat(F.lit("zq "), "n_nationkey")).otherwise(F.initcap("n_name"))
+    repos = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("https://github.com/c/"), "c_custkey").alias("github_url"), title.alias("submission_title"), F.lit("1.5").alias("total_awarded_usd"), F.col("c_custkey").alias("ord"))  # 25 nations
+    return build.build_graph(_seed_tables(m)[0], tables.repos(repos), m.config).edges.select("src", "dst", "edge_type")
+
+
 def _enriched(m):
     o, li = m.table("orders"), m.table("lineitem")
     url = F.concat(F.lit("https://github.com/c/"), "o_custkey")
@@ -1177,6 +1199,13 @@ con AS (SELECT url AS repo, 'dev-' || l_suppkey AS contributor, sum(l_linenumber
 hh AS (SELECT repo, round(sum((commits / total) ** 2) * 10000, 1) AS hhi FROM (SELECT *, sum(commits) OVER (PARTITION BY repo) AS total FROM con) GROUP BY 1)"""
 
 
+@query(f"WITH {_X2} SELECT DISTINCT url AS src, 'part-' || l_partkey AS dst FROM used")
+def p4_of_mixed_nodes(m):
+    """Of a graph with projects and contributors, the edges between packages."""
+    g = _enriched(m)
+    return graph.induced(g.edges, graph.dependency_nodes(g.nodes)).select("src", "dst")
+
+
 @query(f"WITH {_X4} SELECT 'criticality' AS part, count(*) AS n, sum(criticality)::DOUBLE AS total FROM cr UNION ALL SELECT 'concentration', count(*), round(sum(hhi), 0) FROM hh UNION ALL SELECT 'dormant', (SELECT count(*) FROM x2) - count(*), 0 FROM ret UNION ALL SELECT 'edges', count(*), 0 FROM dep UNION ALL SELECT 'gate', count(*), 0 FROM hh JOIN cr ON node_id = repo")
 def x4_full_run(m):
     """The metric run over the enriched graph: sizes and sums of what it derives."""
@@ -1291,10 +1320,11 @@ def s9_guarded_sink(m):
     return m.spark.read.parquet(path)
 
 
-@query("SELECT user_id AS repo, event_type AS email, count(*) AS commits FROM events GROUP BY 1, 2")
+@query("SELECT repo, email, commits, display, alias_names FROM (" + ORACLE_SQL["a3_roll_up_commits"] + ")")
 def s12_contributor_export(m):
     c = m.table("events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("email"), F.col("props").alias("name"), F.col("ts").alias("committed_at"))
     path = f"{shared_dir(m.spark)}/export-{uuid.uuid4().hex}"
     tables.export_contributors(concentration.roll_up_commits(c), path)
-    kind = "repo long, part int, contributors array<struct<email:string,commits:long>>"
-    return m.spark.read.schema(kind).json(path).select("repo", F.inline("contributors"))
+    kind = "repo long, part int, contributors array<struct<email:string,display:string,commits:long,aliases:array<string>>>"
+    back = m.spark.read.schema(kind).json(path).select("repo", F.inline("contributors"))
+    return back.select("repo", "email", "commits", "display", F.array_join("aliases", " | ").alias("alias_names"))

@@ -23,8 +23,9 @@ def contributions(pages: DataFrame, repos: DataFrame, as_of: Column, config: Con
     activity: repo, latest_commit, days_since_commit (9999 without commits), accessible, archived.  Pages of
     repositories that can't be read make no contributions.
     """
-    commits = payloads.commits(pages)
-    readable = repos.filter("accessible").select("repo")
+    # Commits are exploded from payloads, so their size is not known: both joins are by sorted keys.
+    commits = payloads.commits(pages).hint("merge")
+    readable = repos.filter("accessible").select("repo").hint("merge")
     recent = concentration.in_window(commits, as_of, config.active_window_days).join(readable, "repo", "left_semi")
     rolled = concentration.roll_up_commits(recent)
     shared = concentration.shares(rolled).select("repo", F.col("display").alias("contributor"), "email", "commits", "first_date", "last_date", "aliases", F.round(100 * F.col("share"), 2).alias("commit_share_pct"))
@@ -58,7 +59,7 @@ def package_names(edges: DataFrame) -> DataFrame:
 def translate_names(edges: DataFrame, urls: DataFrame, ecosystem: str = "CARGO") -> DataFrame:
     """Both ends of edges of one ecosystem as URLs; names without one, and edges of others, stay as they are."""
     known = urls.groupBy("name").agg(F.min("url").alias("url"))
-    end = lambda c: known.select(F.col("name").alias(f"_{c}"), F.col("url").alias(f"_url_{c}"))
+    end = lambda c: known.select(F.col("name").alias(f"_{c}"), F.col("url").alias(f"_url_{c}")).hint("merge")
     own = F.col("ecosystem") == ecosystem
     j = edges.join(end("from_repo"), own & (F.col("from_repo") == F.col("_from_repo")), "left").join(end("to_package"), own & (F.col("to_package") == F.col("_to_package")), "left")
     return j.select(F.coalesce("_url_from_repo", "from_repo").alias("from_repo"), F.coalesce("_url_to_package", "to_package").alias("to_package"), *[c for c in edges.columns if c not in ("from_repo", "to_package")])

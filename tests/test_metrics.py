@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ecovista.functions import names, tiers
-from ecovista.operators import adoption, concentration, fuzzy, rank, snapshots, surfaces
+from ecovista.operators import adoption, concentration, fuzzy, graph, rank, snapshots, surfaces
 
 
 def contributions(spark, rows):
@@ -157,3 +157,29 @@ def test_quantiles_and_places(spark):
         assert [got[i] for i in order] == list(range(1, len(order) + 1))
     top = rank.top(df, "v", "i", 3).first()["top"]
     assert [(r["i"], r["v"]) for r in top] == [(3, 9), (7, 7), (0, 5)]
+
+
+def test_place_of_rows_without_a_group(spark):
+    rows = [("a", 3), ("a", 1), (None, 5), (None, 2), (None, 2), ("b", 9)]
+    df = spark.createDataFrame([(g, v, n) for n, (g, v) in enumerate(rows)], "g string, v int, n int")
+    got = {(r["g"], r["v"], r["n"]): r["place"] for r in rank.place(df, "g", [F.col("v"), F.col("n")], "place").collect()}
+    assert got == {("a", 1, 1): 1, ("a", 3, 0): 2, (None, 2, 3): 1, (None, 2, 4): 2, (None, 5, 2): 3, ("b", 9, 5): 1}
+
+
+def test_leading_rows(spark):
+    df = spark.createDataFrame([("c", 0.1 + 0.2), ("b", 0.3), ("a", None), ("d", 0.1)], "k string, v double")
+    keys = lambda **how: [r["k"] for r in rank.leading(df, "v", "k", 3, **how).collect()]
+    assert keys() == ["c", "b", "d"] and keys(digits=9) == ["b", "c", "d"] and keys(nulls_first=True) == ["a", "c", "b"]
+    assert rank.leading(df.limit(0), "v", "k", 3).collect() == []
+
+
+def test_series_over_rounds(spark):
+    snaps = spark.createDataFrame([("2024-04-01", 0.5, None), ("2024-01-01", 0.4, 1800.0)], "snapshot_date string, gate_pass_rate double, mean_hhi double")
+    assert [tuple(r) for r in snapshots.trend_series(snaps).collect()] == [("2024-01-01", 0.4, 1800.0), ("2024-04-01", 0.5, None)]
+
+
+def test_dormant_with_funding(spark):
+    nodes = spark.createDataFrame([("a", "P", False), ("b", "P", True), ("c", None, False), ("d", "none", False)], "node_id string, project string, retained boolean")
+    projects = spark.createDataFrame([("P", 5.0)], "title string, total_awarded_usd double")
+    got = {tuple(r) for r in graph.dormant_with_funding(nodes, projects).collect()}
+    assert got == {("a", "P", 5.0), ("c", None, None), ("d", "none", None)}
