@@ -472,6 +472,35 @@ def test_licences(spark):
         assert 0 <= r["start_char"] < r["end_char"] <= len(texts[r["doc_id"]])
 
 
+#: Statements that are neither templates nor frames of the training set, with the family and version that they name.
+STATEMENTS = [
+    ("You can use it under the conditions of the Mozilla Public License, v. 2.0", "mpl", "2.0"), ("To all of it the Unlicense applies", "unlicense", None), ("Apache License, Version 1.1", "apache", "1.1"), ("MIT Licence", "mit", None),
+    ("GPLv3", "gpl", "3.0"), ("dual licensed, GPLv2 among them", "gpl", "2.0"), ("WTFPL", "wtfpl", None), ("The software is provided \"as is\", without warranty of any kind", "mit", None),
+    ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd", "3-clause"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS", "apache", "2.0"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl", "3.0"),
+    ("Photographs: Creative Commons Attribution-ShareAlike 3.0", "cc-by-sa", "3.0"), ("This is an LGPL library", "lgpl", None), ("Code under the 2-clause BSD license", "bsd", "2-clause"),
+    ("Licensed under the Academic Free License", "unknown", None), ("Licensed under the Apache License, Version 7.0", "unknown", None), ("Licensed under the Sleepycat License", "unknown", None), ("Released under the Vovida Software License", "unknown", None),
+    ("Distributed under the terms of the Open Software License 3.0", "unknown", None), ("Available under the CeCILL licence", "unknown", None), ("SPDX-License-Identifier: EUPL-1.2", "unknown", None), ("Licensed under the Lucent Public License", "unknown", None),
+]
+
+
+def test_licence_statements_and_versions():
+    """All statements get their family and version, or are of the unknown class."""
+    model = license_scan.LicenceModel([" ".join(words(30, i)) for i in range(300)])
+    for text, family, version in STATEMENTS:
+        assert {(f, v) for _, _, f, _, _, v in model.statements(text)} == {(family, version)}, text
+    for text in ("The MIT campus is large", "He has permission to leave", "Apache helicopters flew over the town", ""):
+        assert not model.statements(text), text
+
+
+def test_licence_behind_a_long_sentence():
+    """A sentence that only tells with its neighbours is in the middle of its own window."""
+    model = license_scan.LicenceModel([" ".join(words(30, i)) for i in range(300)])
+    long = "W" + " ".join(words(80, 5)) + ". "
+    got = model.statements(long + "Released under the MIT License.")
+    assert [(x[2], x[0]) for x in got] == [("mit", len(long))]
+
+
 def test_word_hashes():
     texts = [b"", b"  ", b"One two\tONE\n two  three", b"x" * 5000 + b" y", b"a b c d e f"]
     w = text_kernel.hash_words(texts)
