@@ -1206,6 +1206,17 @@ def p4_of_mixed_nodes(m):
     return graph.induced(g.edges, graph.dependency_nodes(g.nodes)).select("src", "dst")
 
 
+@query(f"""WITH {_X4}, ex AS (SELECT repo, sum((commits / total) ** 2) * 10000 AS hhi, max(commits / total) AS top FROM (SELECT *, sum(commits) OVER (PARTITION BY repo) AS total FROM con) GROUP BY 1)
+  SELECT node_id, criticality::BIGINT AS criticality, round(hhi, 4) AS hhi, (round(top, 6) >= 0.5)::BIGINT AS flagged, ex.repo IS NOT NULL AS in_gate FROM cr LEFT JOIN ex ON repo = node_id""")
+def x4_full_run_rows(m):
+    """The metric run over the enriched graph, package by package."""
+    got = run.ecosystem_of(_enriched(m), m.config).results()
+    conc = got["concentration"]().select(F.col("repo").alias("node_id"), R("hhi_exact", 4).alias("hhi"), F.col("pony_factor").cast("long").alias("flagged"))
+    gated = got["gate"]().select("node_id", F.lit(True).alias("in_gate"))
+    rows = got["criticality"]().select("node_id", F.col("criticality").cast("long").alias("criticality"))
+    return rows.join(conc, "node_id", "left").join(gated, "node_id", "left").select("node_id", "criticality", "hhi", "flagged", F.coalesce("in_gate", F.lit(False)).alias("in_gate"))
+
+
 @query(f"WITH {_X4} SELECT 'criticality' AS part, count(*) AS n, sum(criticality)::DOUBLE AS total FROM cr UNION ALL SELECT 'concentration', count(*), round(sum(hhi), 0) FROM hh UNION ALL SELECT 'dormant', (SELECT count(*) FROM x2) - count(*), 0 FROM ret UNION ALL SELECT 'edges', count(*), 0 FROM dep UNION ALL SELECT 'gate', count(*), 0 FROM hh JOIN cr ON node_id = repo")
 def x4_full_run(m):
     """The metric run over the enriched graph: sizes and sums of what it derives."""
@@ -1300,14 +1311,14 @@ def x5_store(m):
 # --- sinks ----------------------------------------------------------------------------------------------------------
 
 
-@query("WITH" + _ROUNDS + " SELECT snapshot_date::VARCHAR AS date, coalesce(lower(replace(label, ' ', '_')), '') AS round, active_repos FROM rounds")
+@query("WITH" + _ROUNDS + " SELECT snapshot_date::VARCHAR AS date, coalesce(lower(replace(label, ' ', '_')), '') AS round, active_repos, mean_hhi, gate_pass_rate, debt_size FROM rounds")
 def s10_s11_snapshot_round_trip(m):
     """Written twice: a rerun replaces its own rows."""
     path = f"{shared_dir(m.spark)}/snapshots-{uuid.uuid4().hex}"
     snaps = _rounds(m)
     for _ in range(2):
         tables.write_snapshot(snaps, path, "label")
-    return tables.read_snapshots(m.spark, path, "active_repos long, date string, round string").select("date", F.coalesce("round", F.lit("")).alias("round"), "active_repos")
+    return tables.read_snapshots(m.spark, path, "active_repos long, mean_hhi double, gate_pass_rate double, debt_size long, date string, round string").select("date", F.coalesce("round", F.lit("")).alias("round"), "active_repos", "mean_hhi", "gate_pass_rate", "debt_size")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders")
