@@ -1206,21 +1206,28 @@ def p4_of_mixed_nodes(m):
     return graph.induced(g.edges, graph.dependency_nodes(g.nodes)).select("src", "dst")
 
 
+def _full_run(m):
+    """One run over the enriched graph for all queries of a model."""
+    if "full_run" not in m.__dict__:
+        m.full_run = run.ecosystem_of(_enriched(m), m.config)
+    return m.full_run
+
+
 @query(f"""WITH {_X4}, ex AS (SELECT repo, sum((commits / total) ** 2) * 10000 AS hhi, max(commits / total) AS top FROM (SELECT *, sum(commits) OVER (PARTITION BY repo) AS total FROM con) GROUP BY 1)
-  SELECT node_id, criticality::BIGINT AS criticality, round(hhi, 4) AS hhi, (round(top, 6) >= 0.5)::BIGINT AS flagged, ex.repo IS NOT NULL AS in_gate FROM cr LEFT JOIN ex ON repo = node_id""")
+  SELECT node_id, criticality::BIGINT AS criticality, round(hhi, 4) AS hhi, coalesce((round(top, 6) >= 0.5)::BIGINT, -1) AS flagged, ex.repo IS NOT NULL AS in_gate FROM cr LEFT JOIN ex ON repo = node_id""")
 def x4_full_run_rows(m):
     """The metric run over the enriched graph, package by package."""
-    got = run.ecosystem_of(_enriched(m), m.config).results()
+    got = _full_run(m).results()
     conc = got["concentration"]().select(F.col("repo").alias("node_id"), R("hhi_exact", 4).alias("hhi"), F.col("pony_factor").cast("long").alias("flagged"))
     gated = got["gate"]().select("node_id", F.lit(True).alias("in_gate"))
     rows = got["criticality"]().select("node_id", F.col("criticality").cast("long").alias("criticality"))
-    return rows.join(conc, "node_id", "left").join(gated, "node_id", "left").select("node_id", "criticality", "hhi", "flagged", F.coalesce("in_gate", F.lit(False)).alias("in_gate"))
+    return rows.join(conc, "node_id", "left").join(gated, "node_id", "left").select("node_id", "criticality", "hhi", F.coalesce("flagged", F.lit(-1).cast("long")).alias("flagged"), F.coalesce("in_gate", F.lit(False)).alias("in_gate"))
 
 
 @query(f"WITH {_X4} SELECT 'criticality' AS part, count(*) AS n, sum(criticality)::DOUBLE AS total FROM cr UNION ALL SELECT 'concentration', count(*), round(sum(hhi), 0) FROM hh UNION ALL SELECT 'dormant', (SELECT count(*) FROM x2) - count(*), 0 FROM ret UNION ALL SELECT 'edges', count(*), 0 FROM dep UNION ALL SELECT 'gate', count(*), 0 FROM hh JOIN cr ON node_id = repo")
 def x4_full_run(m):
     """The metric run over the enriched graph: sizes and sums of what it derives."""
-    e = run.ecosystem_of(_enriched(m), m.config)
+    e = _full_run(m)
     got = e.results()
     part = lambda n, df, total=None: df.agg(F.count(F.lit(1)).alias("n"), R(F.sum((total if total is not None else F.lit(0)).cast("double")), 0).alias("total")).select(F.lit(n).alias("part"), "n", F.coalesce("total", F.lit(0.0)).alias("total"))
     rows = [part("criticality", got["criticality"](), F.col("criticality")), part("concentration", got["concentration"](), F.col("hhi")), part("dormant", got["dormant"]()), part("edges", e.edges), part("gate", got["gate"]())]
