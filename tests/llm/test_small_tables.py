@@ -129,7 +129,7 @@ def test_drops_carry_other_columns_along(spark):
 def test_contamination_in_blocks_of_items(spark, monkeypatch):
     """Several blocks find what one finds: of what a search through all pairs finds all that has up to 0.1 edits a letter, and nothing else.
 
-    Between that and the limit of 0.15 recall is under 1: here one pair of two items' texts (21 edits of 143 letters) is not found.
+    Between that and the limit of 0.15 recall is under 1: here one pair of two items' texts (21 edits of 144 letters) is not found.
     """
     texts = [" ".join(f"{w}{(i * 7 + k) % 89}" for k, w in enumerate(["alpha", "beta", "gamma", "delta"] * 5)) for i in range(12)]
     items = plain(spark, list(enumerate(texts))).withColumnRenamed("doc_id", "item_id")
