@@ -472,7 +472,7 @@ def test_licences(spark):
         assert 0 <= r["start_char"] < r["end_char"] <= len(texts[r["doc_id"]])
 
 
-#: Statements that are neither templates nor frames of the training set, with the family and version that they name.
+#: Statements with the family and version that they name; those of MIT Licence, GPLv3, WTFPL and the SPDX line of the AGPL are in the training set, the others not.
 STATEMENTS = [
     ("You can use it under the conditions of the Mozilla Public License, v. 2.0", "mpl", "2.0"), ("To all of it the Unlicense applies", "unlicense", None), ("Apache License, Version 1.1", "apache", "1.1"), ("MIT Licence", "mit", None),
     ("GPLv3", "gpl", "3.0"), ("dual licensed, GPLv2 among them", "gpl", "2.0"), ("WTFPL", "wtfpl", None), ("The software is provided \"as is\", without warranty of any kind", "mit", None),
