@@ -183,3 +183,17 @@ def test_dormant_with_funding(spark):
     projects = spark.createDataFrame([("P", 5.0)], "title string, total_awarded_usd double")
     got = {tuple(r) for r in graph.dormant_with_funding(nodes, projects).collect()}
     assert got == {("a", "P", 5.0), ("c", None, None), ("d", "none", None)}
+
+
+def test_halves_in_the_sql_of_funding_narratives(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from ecovista.functions import narratives
+    from ecovista.plans import oracle, queries
+
+    rows = [("a", "significantly_overfunded", 10.0, 69.0, 0.145), ("b", "balanced", 60.0, 59.7, 1.005), ("c", "overfunded", 40.0, 80.0, 0.575), ("d", "unfunded", 0.5, 0.0, None)]
+    df = spark.createDataFrame(rows, "project string, tier string, crit_pct double, fund_pct double, fer double")
+    got = dict(df.select("project", narratives.funding(*[F.col(c) for c in ("tier", "crit_pct", "fund_pct", "fer")])).collect())
+    fer = ", ".join(f"('{p}', '{t}', {c}::DOUBLE, {f}::DOUBLE, {'NULL' if x is None else x}::DOUBLE)" for p, t, c, f, x in rows)
+    sql = queries.ORACLE_SQL["n2_funding_narratives"].removeprefix(oracle.ECO)
+    assert dict(duckdb.sql(f"WITH fer(project, tier, crit_pct, fund_pct, fer) AS (VALUES {fer}) {sql}").fetchall()) == got
+    assert "ratio 0.15." in got["a"] and "ratio 1.01." in got["b"]
