@@ -197,3 +197,20 @@ def test_halves_in_the_sql_of_funding_narratives(spark):
     sql = queries.ORACLE_SQL["n2_funding_narratives"].removeprefix(oracle.ECO)
     assert dict(duckdb.sql(f"WITH fer(project, tier, crit_pct, fund_pct, fer) AS (VALUES {fer}) {sql}").fetchall()) == got
     assert "ratio 0.15." in got["a"] and "ratio 1.01." in got["b"]
+
+
+def test_halves_in_comparison_narratives(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from ecovista.plans import queries
+
+    # Differences of 20.55, 28.35 and 0.05 points and of 1711.5, 698.5 and 0.5, none of them exact in binary.
+    rows = [("2024-01-01", 0.2166, 470.7), ("2024-04-01", 0.4221, 2182.2), ("2024-07-01", 0.7056, 1483.7), ("2024-10-01", 0.7061, 1484.2)]
+    df = spark.createDataFrame([(d, None, g, h, g, 0) for d, g, h in rows], "snapshot_date string, label string, gate_pass_rate double, mean_hhi double, pony_rate double, debt_size long")
+    got = dict(snapshots.deltas(df).select("later", "narrative").collect())
+    assert got["2024-04-01"] == "2024-01-01 to 2024-04-01: gate passes up by 20.6 points, concentration up by 1712, flagged repositories up by 20.6 points."
+    assert got["2024-07-01"] == "2024-04-01 to 2024-07-01: gate passes up by 28.4 points, concentration down by 699, flagged repositories up by 28.4 points."
+    assert got["2024-10-01"] == "2024-07-01 to 2024-10-01: gate passes up by 0.1 points, concentration up by 1, flagged repositories up by 0.1 points."
+    absent = [m for m in snapshots.METRICS if m not in ("gate_pass_rate", "mean_hhi", "pony_rate", "debt_size")]
+    values = ", ".join(f"('{d}', NULL::VARCHAR, {g}::DOUBLE, {h}::DOUBLE, {g}::DOUBLE, 0::BIGINT{', 0' * len(absent)})" for d, g, h in rows)
+    rounds = f"WITH rounds(snapshot_date, label, gate_pass_rate, mean_hhi, pony_rate, debt_size, {', '.join(absent)}) AS (VALUES {values})"
+    assert dict(duckdb.sql(f"{rounds}, {queries._DELTA} {queries._N4}").fetchall()) == got
