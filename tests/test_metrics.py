@@ -214,3 +214,21 @@ def test_halves_in_comparison_narratives(spark):
     values = ", ".join(f"('{d}', NULL::VARCHAR, {g}::DOUBLE, {h}::DOUBLE, {g}::DOUBLE, 0::BIGINT{', 0' * len(absent)})" for d, g, h in rows)
     rounds = f"WITH rounds(snapshot_date, label, gate_pass_rate, mean_hhi, pony_rate, debt_size, {', '.join(absent)}) AS (VALUES {values})"
     assert dict(duckdb.sql(f"{rounds}, {queries._DELTA} {queries._N4}").fetchall()) == got
+
+
+def test_titles_a_letter_apart_need_no_index_of_grams(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    projects = list(dict.fromkeys("".join(rng.choices("abc ", k=rng.randrange(1, 9))) for _ in range(120))) + ["x" * 199, "x" * 60 + "y" + "x" * 60]
+    titles = [p[:i] + p[i + 1 :] for p in projects for i in (0, len(p) // 2)] + [p + "b" for p in projects] + ["", "zzzz"]
+    p = spark.createDataFrame(list(zip(projects, range(len(projects)))), "project string, ord long")
+    found = {r["title"]: (r["project"], r["ratio"]) for r in fuzzy.best_match(spark.createDataFrame([(t,) for t in titles], "title string"), p).collect()}
+    for t in set(titles):
+        ratio, place = max((SequenceMatcher(None, t.lower(), x.lower()).ratio(), -k) for k, x in enumerate(projects))
+        assert found.get(t) == ((projects[-place], ratio) if ratio >= 0.6 else None), t
+    long = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota kappa"]
+    q = spark.createDataFrame(list(zip(long, range(3))), "project string, ord long")
+    monkeypatch.setattr(fuzzy, "by_grams", lambda *_: pytest.fail("asked the index"))
+    got = fuzzy.best_match(spark.createDataFrame([("alpha bta gamma",), ("delta epsilon zetaa",), ("eta theta iota kappa",)], "title string"), q)
+    assert {r["title"]: r["project"] for r in got.collect()} == {"alpha bta gamma": long[0], "delta epsilon zetaa": long[1], "eta theta iota kappa": long[2]}
