@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ecovista.operators import cohesion, graph, reach
 
@@ -160,3 +161,16 @@ def test_approximate_criticality_of_a_deep_chain(spark):
     n = nodes(spark, [999, *deep, *wide], active={*deep, *wide})
     got = reach.approximate_criticality(n, e).filter("node_id < 999")
     assert rows(got, "node_id", "criticality") == {(i, i) for i in deep}
+
+
+def test_joins_of_growing_tables_send_nothing_to_the_driver(spark):
+    from ecovista.functions.lineage import cut
+    from ecovista.operators import cohesion, graph, reach
+
+    nodes = cut(spark.range(50).withColumnRenamed("id", "node_id").withColumn("active", F.lit(True)))
+    edges = cut(spark.range(1, 50).selectExpr("id AS src", "id div 2 AS dst"))
+    closure = reach.transitive_dependents(edges)
+    star = cohesion._star(edges.selectExpr("src AS u", "dst AS v"), True)
+    for df in (graph.induced(edges, nodes), graph.degrees(nodes, edges), reach.criticality(nodes, closure), reach.union_reach(nodes.selectExpr("node_id % 3 AS owner", "node_id"), closure), star):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert closure.count() == reach.criticality(nodes, closure).agg(F.sum("criticality")).first()[0]
