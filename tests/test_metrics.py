@@ -232,3 +232,17 @@ def test_titles_a_letter_apart_need_no_index_of_grams(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "by_grams", lambda *_: pytest.fail("asked the index"))
     got = fuzzy.best_match(spark.createDataFrame([("alpha bta gamma",), ("delta epsilon zetaa",), ("eta theta iota kappa",)], "title string"), q)
     assert {r["title"]: r["project"] for r in got.collect()} == {"alpha bta gamma": long[0], "delta epsilon zetaa": long[1], "eta theta iota kappa": long[2]}
+
+
+def test_enriched_nodes_are_built_once(spark):
+    from ecovista.operators import build
+
+    make = lambda kind, *rows: spark.createDataFrame(list(rows), kind)
+    g = build.Graph(build._node(make("id string, funding double", ("r", 1.0), ("q", 1.0)), "Repo", "id", None, "funding"), make("src string, dst string, edge_type string"))
+    deps = make("from_repo string, to_package string, ecosystem string, ord long", ("r", "p", "B", 2), ("q", "p", "A", 1))
+    people = make("contributor string, repo string, commits long, ord long", ("c", "r", 1, 1), ("c", "lost", 2, 2))
+    more = make("node_id string, downloads long, stars long, forks long", ("r", 1, 2, 3)), make("repo string, days_since_commit long, archived boolean", ("r", 3, False))
+    nodes = build.enrich_graph(g, deps, people, *more).nodes
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert {(r["node_id"], r["node_type"], r["ecosystem"]) for r in nodes.collect()} == {("r", "Repo", None), ("q", "Repo", None), ("p", "ExternalRepo", "A"), ("c", "Contributor", None), ("lost", "", None)}
+    assert plan.count("Join") <= 3 and "Broadcast" not in plan  # before, all steps were in one stage, with the nodes eight times
