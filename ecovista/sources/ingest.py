@@ -30,7 +30,7 @@ def contributions(pages: DataFrame, repos: DataFrame, as_of: Column, config: Con
     rolled = concentration.roll_up_commits(recent)
     shared = concentration.shares(rolled).select("repo", F.col("display").alias("contributor"), "email", "commits", "first_date", "last_date", "aliases", F.round(100 * F.col("share"), 2).alias("commit_share_pct"))
     seen = commits.join(readable, "repo", "left_semi")
-    return shared, concentration.recency(repos.select("repo"), seen, as_of).join(repos.select("repo", "accessible", "archived"), "repo")
+    return shared, concentration.recency(repos.select("repo"), seen, as_of).join(repos.select("repo", "accessible", "archived").hint("merge"), "repo")
 
 
 def accessible_edges(readings: DataFrame) -> DataFrame:

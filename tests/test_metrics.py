@@ -246,3 +246,13 @@ def test_enriched_nodes_are_built_once(spark):
     plan = nodes._jdf.queryExecution().executedPlan().toString()
     assert {(r["node_id"], r["node_type"], r["ecosystem"]) for r in nodes.collect()} == {("r", "Repo", None), ("q", "Repo", None), ("p", "ExternalRepo", "A"), ("c", "Contributor", None), ("lost", "", None)}
     assert plan.count("Join") <= 3 and "Broadcast" not in plan  # before, all steps were in one stage, with the nodes eight times
+
+
+def test_labels_are_joined_apart(spark):
+    from ecovista.functions.lineage import cut
+
+    c = cut(contributions(spark, [("a", "x", 80), ("a", "y", 20), ("b", "x", 5), ("c", "z", 1)]))
+    passing = spark.createDataFrame([("a",)], "repo string")
+    got = concentration.labelled(concentration.bipartite(c.hint("merge")), passing)
+    assert {r[0] for r in got.collect()} == {"x", "y"}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
