@@ -509,3 +509,15 @@ def test_word_hashes():
     h = w.hashes.tolist()
     assert h[0] == h[2] and h[1] == h[3] and len({*h[:5]}) == 3
     assert np.diff(text_kernel.shingles(w)[0]).tolist() == [0, 0, 1, 1, 2]
+
+
+def test_secret_formats_are_learned_from_all_strings(spark):
+    """The automata are of all distinct strings out of the held fold, of words of letters only as well."""
+    keys = [hashlib.sha256(str(i).encode()).hexdigest()[: 16 + i % 9] for i in range(3000)]
+    plain = ["".join(chr(97 + ord(c) % 26) for c in hashlib.sha256(f"w{i}".encode()).hexdigest()[:14]) for i in range(3000)]
+    plain = [p for p in plain if not set(p) <= set("abcdef")]
+    docs = spark.createDataFrame([(i, f"{k} and {p}") for i, (k, p) in enumerate(zip(keys, plain))], "doc_id long, text string")
+    model = secret_scan.fit(docs)
+    kept = {k for k in keys[: len(plain)] if secret_scan.hash_of("held " + k) % secret_scan.HELD}
+    assert model.formats["hex"].size == len(kept)
+    assert model.background["words"].size >= 0.6 * len(set(plain))
