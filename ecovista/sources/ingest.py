@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.lineage import cut
 from ..operators import adoption as signals
 from ..operators import concentration
 from . import payloads, tables
@@ -24,10 +25,11 @@ def contributions(pages: DataFrame, repos: DataFrame, as_of: Column, config: Con
     repositories that can't be read make no contributions.
     """
     # Commits are exploded from payloads, so their size is not known: both joins are by sorted keys.
-    commits = payloads.commits(pages).hint("merge")
+    # Payloads are parsed, and commits rolled up, once for all that is made from them.
+    commits = cut(payloads.commits(pages))
     readable = repos.filter("accessible").select("repo").hint("merge")
     recent = concentration.in_window(commits, as_of, config.active_window_days).join(readable, "repo", "left_semi")
-    rolled = concentration.roll_up_commits(recent)
+    rolled = cut(concentration.roll_up_commits(recent))
     shared = concentration.shares(rolled).select("repo", F.col("display").alias("contributor"), "email", "commits", "first_date", "last_date", "aliases", F.round(100 * F.col("share"), 2).alias("commit_share_pct"))
     seen = commits.join(readable, "repo", "left_semi")
     return shared, concentration.recency(repos.select("repo"), seen, as_of).join(repos.select("repo", "accessible", "archived").hint("merge"), "repo")

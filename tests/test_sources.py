@@ -159,3 +159,19 @@ def test_rounds_are_compared_with_the_last_stored_one(spark, tmp_path):
     row = second["comparison"]().first()
     assert (row["earlier_label"], row["later_label"], row["dependency_edges_delta"], row["bridge_edges_delta"]) == ("One", "2026-02-01", 2, 2)
     assert second["rounds"]().count() == 2 and second["snapshot"]().first()["snapshot_date"] == date(2026, 2, 1)
+
+
+def test_landed_payloads_are_parsed_once(spark):
+    from ecovista.sources import ingest
+
+    page = '[{"commit":{"author":{"name":"n","email":"N@x.org","date":"2024-05-01T00:00:00Z"}},"author":null}]'
+    pages = spark.createDataFrame([("a", page), ("a", page), ("b", page)], "repo string, payload string")
+    repos = spark.createDataFrame([("a", True, False), ("b", False, False)], "repo string, accessible boolean, archived boolean")
+    day = spark.sql("SELECT DATE'2024-05-03' AS d").first()[0]
+    from pyspark.sql import functions as F
+
+    shared, activity = ingest.contributions(pages, repos, F.lit(day))
+    for df in (shared, activity):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(r["repo"], r["email"], r["commits"]) for r in shared.collect()] == [("a", "n@x.org", 2)]
+    assert {(r["repo"], r["days_since_commit"]) for r in activity.collect()} == {("a", 2), ("b", 9999)}
