@@ -256,3 +256,28 @@ def test_labels_are_joined_apart(spark):
     got = concentration.labelled(concentration.bipartite(c.hint("merge")), passing)
     assert {r[0] for r in got.collect()} == {"x", "y"}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_computed_once_for_ranks_and_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    nodes = spark.createDataFrame([(i, i % 3) for i in range(9)], "node_id long, stars long").withColumns({"stars": counted("stars"), "forks": F.lit(1), "downloads": F.lit(1)})
+    assert adoption.adoption_scores(nodes).count() == 9 and seen.value == 9  # 18 before
+    totals, projects = spark.createDataFrame([("a", 3, 1), ("b", 1, 0)], "project string, criticality long, pony_risk_repos long"), spark.createDataFrame([("a", 2.0), ("b", 1.0)], "title string, total_awarded_usd double")
+    seen.value = 0
+    surfaces.funding_efficiency(totals.withColumn("criticality", counted("criticality")), projects).collect()
+    assert seen.value == 2
+
+
+def test_ages_need_no_pairs_of_contributors(spark):
+    from ecovista.plans.mapping import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    read = m.ages._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+    assert read.startswith("struct<l_partkey:bigint,l_shipdate:timestamp")  # before, commits were grouped by contributor, for ages too
+    assert m.contributions.count() == m.commits.filter(F.col("committed_at") >= F.date_sub(m.as_of, 365)).select("repo", "contributor").distinct().count()
