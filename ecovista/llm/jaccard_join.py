@@ -50,6 +50,16 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return offsets, (hashes >> np.uint64(2)).astype(np.int64)
 
 
+def _repeated(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that are there `least` times or more, ascending, and how often; empties held.  Sorted in place, so that a
+    worker holds the values twice at most, and only those that repeat are made into arrays of their own."""
+    tokens = np.concatenate(held)
+    held.clear()
+    tokens.sort()
+    values = np.unique(tokens[: len(tokens) - least + 1][tokens[least - 1 :] == tokens[: len(tokens) - least + 1]]) if len(tokens) >= least else tokens[:0]
+    return values, np.searchsorted(tokens, values, "right") - np.searchsorted(tokens, values, "left")
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """The commonest shingles, rarest first, as 62-bit numbers: counted over all documents, by task and then in all."""
 
@@ -59,9 +69,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
         held, size = [], 0
 
         def report():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            hot = counts >= LOCAL_HOT
-            return pa.RecordBatch.from_arrays([pa.array(values[hot]), pa.array(counts[hot])], ["token", "n"])
+            values, counts = _repeated(held, LOCAL_HOT)
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["token", "n"])
 
         for batch in by_size(batches, 0):
             offsets, tokens = _tokens(utf8(batch.column(0)))
@@ -69,7 +78,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             size += len(held[-1])
             if size >= CHUNK:
                 yield report()
-                held, size = [], 0
+                size = 0
         if size:
             yield report()
 

@@ -238,3 +238,24 @@ def test_values_of_scans_on_odd_rows(spark):
     assert substring_dedup.repeated_passages(docs(spark, [*ROWS, (None, LONG)])).collect() == []
     pair = substring_dedup.repeated_passages(docs(spark, [*ROWS, (9, LONG)])).collect()
     assert {(r["doc_id"], r["other_id"], r["class_id"]) for r in pair} == {(9, 5, 5)}
+
+
+def test_repeated_shingles_are_counted_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from ecovista.llm.jaccard_join import _repeated
+
+    numbers = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 500):
+        x = numbers.integers(0, max(1, n // 4), n)
+        values, counts = np.unique(x, return_counts=True)
+        got = _repeated([x[: n // 2], x[n // 2 :]], 3)
+        assert (got[0] == values[counts >= 3]).all() and (got[1] == counts[counts >= 3]).all()
+    held = [numbers.integers(0, 1 << 62, 100_000) for _ in range(10)]
+    tracemalloc.start()
+    _repeated(held, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8_000_000  # np.unique with counts took 2.4 times the values, beside those passed in
