@@ -23,11 +23,10 @@ import hashlib
 import json
 import re
 import struct
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import arrow_batches, id_text
+from .common import arrow_batches, id_text, kept_in_worker
 
 #: Words whose results a worker keeps; beyond it the table is started anew.
 MEMO_WORDS = 400_000
@@ -377,7 +376,7 @@ class Encoder:
         return b"".join(ids), b" ".join(decoded)
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def encoder(path: str) -> Encoder:
     """One encoder for a worker process."""
     return Encoder(path)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, id_text, one_row_ids, without_ids, written
+from .common import arrow_batches, give_back, id_text, one_row_ids, without_ids, written
 
 MAX_EDIT = 0.15
 SHORT = 32
@@ -263,6 +263,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_edit: float =
         def run(batches):
             import pyarrow as pa
 
+            give_back()
             matcher = Matcher(own, max_edit)
             sizes = [len(normal(t)) for _, t in own]
             for batch in batches:

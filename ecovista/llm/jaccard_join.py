@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_size, few, id_text, most_frequent, one_row_ids, without_ids, written
+from .common import arrow_batches, by_size, few, give_back, id_text, most_frequent, one_row_ids, without_ids, written
 from .components import connected_components
 from .text_kernel import distinct_sets, hash_words, mix, shingles, utf8
 
@@ -66,6 +66,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         held, size = [], 0
 
         def report():
@@ -96,6 +97,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         seen: set = set()
         bits = np.zeros(1 << 22, bool)
         bits[values & ((1 << 22) - 1)] = True
@@ -141,6 +143,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         for batch in by_size(batches, 1):
             offsets, tokens = distinct_sets(*_tokens(utf8(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int64()))], ["doc_id", "tokens"])

@@ -17,14 +17,13 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _Memo, byte_letters
-from .common import arrow_batches, by_size, id_text, written
+from .common import arrow_batches, by_size, id_text, kept_in_worker, written
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; longer words are never kept.
@@ -73,7 +72,7 @@ class ByteEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def byte_encoder(path: str) -> ByteEncoder:
     """One encoder for a worker process."""
     return ByteEncoder(path)

@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TextCutter, _Memo, byte_letters
-from .common import arrow_batches, id_text, shared_dir, shuffle_partitions
+from .common import arrow_batches, id_text, kept_in_worker, shared_dir, shuffle_partitions
 
 SCALE = 20
 LANES = 32
@@ -140,7 +139,7 @@ class LibraryEncoder:
         return b"".join(map(self.words.__getitem__, self.cutter.latin_words(text)))
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 

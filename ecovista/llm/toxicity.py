@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Memo
-from .common import arrow_batches, id_text, shuffle_partitions, written
+from .common import arrow_batches, give_back, id_text, shuffle_partitions, written
 
 #: Labelled rows that are learned from, about.
 MAX_SAMPLE = 12_000
@@ -262,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     def rows(batches):
         import pyarrow as pa
 
+        give_back()
         m = model.prepare()
         for batch in batches:
             x = [m.features(t).tolist() for t in batch.column(0).to_pylist()]
@@ -302,8 +303,10 @@ def score_column(model: ToxicityModel, text):
     """Scores of a text column, as a column."""
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
-        m = model if hasattr(model, "trie") else model.prepare()
-        return pd.Series([m.score(m.features(t)) for t in texts])
+        if not hasattr(model, "trie"):
+            give_back()
+            model.prepare()
+        return pd.Series([model.score(model.features(t)) for t in texts])
 
     return scores(F.coalesce(text.cast("string"), F.lit("")))
 

@@ -50,3 +50,22 @@ def test_stages(spark, tmp_path):
     assert b - c == {1003}
     assert c - d == {1004}
     assert d == e
+
+
+def test_workers_give_back_what_other_operators_keep(spark):
+    """An encoder stays in a worker for tasks that encode; a task of another operator in that worker gives it up."""
+    from ecovista.llm import bpe, common, queries
+
+    path = queries.vocabulary()
+
+    def kept_before_and_after(batches):
+        import pyarrow as pa
+
+        bpe.encoder(path)
+        before = bpe.encoder.cache_info().currsize
+        common.give_back()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x] * batch.num_rows, pa.int32()) for x in (before, bpe.encoder.cache_info().currsize)], ["before", "after"])
+
+    docs = spark.createDataFrame([(i, f"some words of document {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert {tuple(r) for r in docs.mapInArrow(kept_before_and_after, "before int, after int").collect()} == {(1, 0)}
