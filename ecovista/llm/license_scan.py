@@ -5,9 +5,12 @@ sentence is looked at if it has a word that the templates have and the corpus ha
 depends on a fixed list of cues).  Its features, or those of it in the middle of its neighbours' words, are words
 and pairs of words.  The classifier is trained here: on names of licences with their versions in the frames in
 which they are named, on paragraphs of the licences' texts, on both with words dropped, exchanged and put in; on
-made-up licences' names in the same frames (the class of other licences); and on lines of the corpus (about
-MAX_NEGATIVES, by a hash).  There is one weight vector for each family.  Probabilities are calibrated on lines held
-out of training (a temperature).  The bound under which a statement that speaks of licensing is of the unknown
+made-up licences' names in the same frames (the class of other licences); and on all lines of the corpus in
+paragraphs that don't speak of licences, in windows of WINDOW_WORDS words.  These are dealt into shards by a hash; each shard trains on the
+statements and on its own windows, which together weigh as NEGATIVES statements do, and the shards' weights are averaged
+(exactly, as whole numbers).  Which words the corpus has, and how often, is counted over all windows as well.  There is
+one weight vector for each family.  Probabilities are calibrated on statements and windows held out of training (a
+temperature).  The bound under which a statement that speaks of licensing is of the unknown
 class is set on statements of real licences that are in no family and not trained on: at most one in ten of them
 may pass.  A prediction is confirmed by word pairs: by the share of a template's that the statement has, or of the
 statement's that a template has; and a version that is named must be one that the family has.  Sentences of one
@@ -23,12 +26,14 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, id_text, written
+from .bpe import _Memo
+from .common import arrow_batches, id_text, most_frequent, written
 from .licence_texts import NAMES, OTHERS, TEXTS
 
 #: How a statement names a licence, and how it adds a version to the name.
@@ -41,8 +46,20 @@ MADE_UP = 400
 #: Beginnings of words by which a statement of no known family still speaks of licensing.
 LICENSING = ("licen", "copyright", "copyleft", "spdx")
 BUCKETS = 1 << 14
-#: Lines of the corpus that are trained on, about.
-MAX_NEGATIVES = 3000
+#: What all windows of the corpus weigh together, in statements; fewer windows weigh one each.  A word that less than one in so many windows has hardly is in the corpus.
+NEGATIVES = 3000
+#: Windows of a shard, about; how much of their weight is one step of training; the share that is held out.
+SHARD = 100_000
+STEP = 4
+HELD = 5
+EPOCHS = 6
+#: Words of the corpus that are put between those of statements: the most frequent ones.
+FILLER = 20_000
+#: Words that are counted in a task before they are passed on.
+COUNTED = 200_000
+HEATS = (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)
+#: Weights are averaged as whole numbers of this part of one, so that no order of adding matters.
+UNIT = 2.0**-32
 COPIES = 6
 #: The least bound of the unknown class, and the share of other licences' statements that may pass the one set on them.
 LEAST = 0.5
@@ -102,12 +119,51 @@ def windows(words: list[str]) -> list[list[str]]:
     return [words[i : i + WINDOW_WORDS] for i in range(0, max(1, len(words) - half), half)]
 
 
+class Windows:
+    """Windows of the corpus's lines, laid out for training: the features of all behind each other, in steps."""
+
+    def __init__(self, rows: list[np.ndarray], size: int):
+        self.steps = []
+        for i in range(0, len(rows), size):
+            part = rows[i : i + size]
+            counts = np.array([len(x) for x in part])
+            flat = np.concatenate(part)
+            columns, local = np.unique(flat, return_inverse=True)
+            order = np.argsort(local, kind="stable")
+            owner = np.repeat(np.arange(len(part)), counts)[order]
+            self.steps.append((columns, local, np.concatenate(([0], np.cumsum(counts)[:-1])), np.maximum(1.0, np.sqrt(counts) / 3)[:, None], owner, np.searchsorted(local[order], np.arange(len(columns)))))
+
+    @staticmethod
+    def logits(step: tuple, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        columns, local, begins, scale, _, _ = step
+        return np.add.reduceat(weights[columns][local], begins, axis=0) / scale + bias
+
+
+def _softmax_rows(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 class LicenceModel:
     """A multinomial logistic regression over hashed features, with a temperature."""
 
     def __init__(self, negatives: list[str]):
-        rng = random.Random(11)
-        filler = [w for t in negatives[:200] for w in words_of(t)] or ["the"]
+        """Trained on lines that are given; see fit for those of a table."""
+        lines = [w for t in negatives for w in windows(words_of(t)) if w]
+        counts = Counter(w for x in lines for w in x)
+        self.prepare(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FILLER], len(lines))
+        rows = [features(w) for w in lines]
+        held = [zlib.crc32(" ".join(w).encode()) % HELD == 0 for w in lines]
+        self.weights, self.bias = self.train([x for x, h in zip(rows, held) if not h])
+        self.finish(self.losses([x for x, h in zip(rows, held) if h]) * UNIT, counts)
+
+    def prepare(self, frequent: list[tuple[str, int]], n_windows: int) -> None:
+        """Make the statements that are trained on: frequent are the corpus's most frequent words with their counts."""
+        self.n_windows = n_windows
+        self.share = min(1.0, NEGATIVES / max(n_windows, 1))  # what a window weighs
+        rng = self.rng = random.Random(11)
+        total = sum(n for _, n in frequent)
+        filler = self.filler = [w for w, n in frequent for _ in range(max(1, FILLER * n // total))] or ["the"]
         rows, labels = [], []
         # What each family's statements read like: (words, version, whether they are of the licence's text).
         self.known = {f: [(words_of(t), None) for t in statements_of(f)] for f in NAMES}
@@ -135,32 +191,62 @@ class LicenceModel:
             name = " ".join([*rng.choices(filler, k=rng.randrange(1, 4)), rng.choice(ends if k % 4 < 2 else tails)])
             name = rng.choice(VERSIONED).format(name, f"{rng.randrange(1, 4)}.{rng.randrange(0, 3)}") if k % 2 else name
             train(words_of(FRAMES[1 + k % (len(FRAMES) - 1)].format(name)), OTHER, 2)
-        for t in negatives:
-            train(words_of(t)[:WINDOW_WORDS], NONE, 1)
         order = list(range(len(rows)))
         rng.shuffle(order)
         cut = len(order) * 4 // 5
-        self.weights = np.zeros((BUCKETS, len(FAMILIES)))
-        self.bias = np.zeros(len(FAMILIES))
-        for epoch in range(6):
+        self.training, self.held_out = ([(rows[i], labels[i]) for i in part] for part in (order[:cut], order[cut:]))
+
+    def train(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, bias) by stochastic descent over the statements and these windows, of which a step takes several."""
+        share = max(self.share, min(1.0, NEGATIVES * (HELD - 1) / HELD / max(len(rows), 1)))
+        steps = Windows(rows, max(1, round(STEP / share))).steps
+        weights, bias = np.zeros((BUCKETS, len(FAMILIES))), np.zeros(len(FAMILIES))
+        order = [(i, -1) for i in range(len(self.training))] + [(-1, i) for i in range(len(steps))]
+        random.Random(11).shuffle(order)
+        for epoch in range(EPOCHS):
             rate = 0.3 / (1 + epoch)
-            for i in order[:cut]:
-                p = self._softmax(self._logits(rows[i]))
-                p[labels[i]] -= 1
-                self.weights[rows[i]] -= rate * p / max(1.0, np.sqrt(len(rows[i])) / 3)
-                self.bias -= rate * p
-        self.heat = 1.0
-        held = [(self._logits(rows[i]), labels[i]) for i in order[cut:]]
-        if held:
-            loss = lambda heat: -sum(np.log(self._softmax(z / heat)[y] + 1e-12) for z, y in held)
-            self.heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=loss)
+            for i, j in order:
+                if i >= 0:
+                    x, y = self.training[i]
+                    scale = max(1.0, np.sqrt(len(x)) / 3)
+                    p = self._softmax(weights[x].sum(axis=0) / scale + bias)
+                    p[y] -= 1
+                    weights[x] -= rate * p / scale
+                    bias -= rate * p
+                else:
+                    columns, _, _, scale, owner, begins = steps[j]
+                    p = _softmax_rows(Windows.logits(steps[j], weights, bias))
+                    p[:, NONE] -= 1
+                    weights[columns] -= rate * share * np.add.reduceat((p / scale)[owner], begins, axis=0)
+                    bias -= rate * share * p.sum(axis=0)
+        return weights, bias
+
+    def losses(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The summed loss of windows held out of training under each of HEATS, each loss in whole UNITs."""
+        out = np.zeros(len(HEATS), np.int64)
+        for step in Windows(rows, 1000).steps:
+            z = Windows.logits(step, self.weights, self.bias)
+            out += [np.round(-np.log(_softmax_rows(z / heat)[:, NONE] + 1e-12) / UNIT).astype(np.int64).sum() for heat in HEATS]
+        return out
+
+    def template_words(self) -> set[str]:
+        return {w for ws in self.known.values() for base, _ in ws for w in base if not w[0].isdigit()}
+
+    def finish(self, losses: np.ndarray, counts: dict[str, int]) -> None:
+        """The temperature, from the loss of the windows held out and the statements held out; cues and bound.  counts: how often
+        the corpus has the templates' words."""
+        rng, filler = self.rng, self.filler
+        held = [(self._logits(x), y) for x, y in self.held_out]
+        own = [-sum(np.log(self._softmax(z / heat)[y] + 1e-12) for z, y in held) for heat in HEATS]
+        self.heat = HEATS[int(np.argmin(np.array(own) + self.share * losses))]
+        usual = {w for w, n in counts.items() if n * self.share >= 1}
+        del self.training, self.held_out, self.rng, self.filler  # not needed by the tasks that scan
         self.pairs = {f: [(set(zip(w, w[1:])) or {(x,) for x in w}, v) for w, v in ws] for f, ws in self.known.items()}
         # Names of one word confirm by themselves; identifiers, which may be other words as well, don't.
         self.own = {f: frozenset(w[0] for n in (*NAMES[f][0], *joined_names(f)) if len(w := words_of(n)) == 1) for f in NAMES}
         self.versions = {f: {plain_version(v): v for v in NAMES[f][2]} for f in NAMES}
         self.naming = {f: {"version", "v", "license", "licence", "by"} | {w for n in (*NAMES[f][0], *NAMES[f][1]) for w in words_of(n)} for f in NAMES}
-        usual = {w for t in negatives for w in words_of(t)}
-        self.cues = frozenset({w for ws in self.known.values() for base, _ in ws for w in base if not w[0].isdigit()} - usual)
+        self.cues = frozenset(self.template_words() - usual)
         # The unknown class: other licences' statements, as they are and with words of the corpus around.
         strange = [words_of(f.format(n)) for n in OTHERS for f in FRAMES]
         strange += [[rng.choice(filler) for _ in range(4)] + w + [rng.choice(filler) for _ in range(4)] for w in strange]
@@ -239,15 +325,128 @@ def _rank(found: tuple) -> tuple:
     return found[0] != "none", found[0] != "unknown", found[1]
 
 
+_speaks = re.compile("licen[sc]|copyright|rights reserved|creative commons|spdx|redistribut|public domain|permission")
+
+
+def lines_windows(text: str):
+    """(where it is, words) of the windows of all lines in paragraphs that speak of no licence."""
+    for paragraph in _PARAGRAPH.finditer(text):
+        if _speaks.search(paragraph.group().lower()):
+            continue
+        for k, line in enumerate(paragraph.group().split("\n")):
+            for m, w in enumerate(windows(words_of(line)) if len(line) > 20 else ()):
+                if w:
+                    yield (paragraph.start(), k, m), w
+
+
+def _with_tail(word: str) -> tuple[int, bytes]:
+    """A word's checksum, and what follows another word's if this one stands behind it."""
+    return zlib.crc32(word.encode()), b" " + word.encode()
+
+
+def features_of(rows: list[list[str]], known: _Memo) -> list[np.ndarray]:
+    """features of many windows at once."""
+    values, sizes = [], []
+    for words in rows:
+        sums, tails = zip(*map(known.__getitem__, words))
+        values += sums
+        values += map(zlib.crc32, tails[1:], sums)  # the checksum of both words with a blank between them
+        sizes.append(2 * len(words) - 1)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    both = np.unique(owner * BUCKETS + np.array(values, np.int64) % BUCKETS)
+    return np.split(both % BUCKETS, np.searchsorted(both, np.arange(1, len(rows)) * BUCKETS))
+
+
+def _featured(batches, held: bool):
+    """(hashes of where they stand and what they read, features) of the windows that are held out of training, or of the others."""
+    known = _Memo(_with_tail, COUNTED)
+    for batch in batches:
+        hashes, rows = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for at, w in lines_windows(text):
+                h = zlib.crc32(f"{doc} {at} {' '.join(w)}".encode("utf-8", "replace"))
+                if (h % HELD == 0) == held:
+                    hashes.append(h)
+                    rows.append(w)
+            if len(rows) > 2000:
+                yield hashes, features_of(rows, known)
+                hashes, rows = [], []
+        if rows:
+            yield hashes, features_of(rows, known)
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often the windows have each word; the null word is the number of windows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                for _, w in lines_windows(text):
+                    counts.update(w)
+                    counts[None] += 1
+            if len(counts) > COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame) -> LicenceModel:
-    """Train on the templates and on a bounded sample of the corpus's lines that speak of no licence."""
-    lines = id_text(docs).select(F.explode(F.split("text", "\n")).alias("line")).filter((F.length("line") > 20) & (F.xxhash64("line") % 16 == 0))
-    plain = lines.filter(~F.lower("line").rlike("licen[sc]|copyright|rights reserved|creative commons|spdx|redistribut|public domain|permission")).groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.substring("line", 1, 400)).alias("line"))
-    plain = written(plain, "licence-lines")
-    # About MAX_NEGATIVES of them pass a bound on their hash, so a bounded number comes to the driver.
-    bound = int(min(1.0, MAX_NEGATIVES / max(plain.count(), 1)) * (1 << 20))
-    chosen = plain.filter(F.pmod(F.shiftright("h", 8), F.lit(1 << 20)) < bound).select("h", "line").collect()
-    return LicenceModel([r["line"] for r in sorted(chosen, key=lambda r: r["h"])])
+    """Train on the statements and on all lines of paragraphs that speak of no licence."""
+    arrow_batches(docs.sparkSession)
+    docs = id_text(docs)
+    counts = written(_word_counts(docs), "licence-words")
+    n = sum(r["n"] for r in counts.filter("word IS NULL").collect())  # one row at most
+    counts = counts.filter("word IS NOT NULL")
+    model = LicenceModel.__new__(LicenceModel)
+    frequent = most_frequent(counts, "n", FILLER).collect()  # FILLER words at most
+    model.prepare(sorted(((r["word"], r["n"]) for r in frequent), key=lambda x: (-x[1], x[0])), n)
+    shards = -(-n // SHARD)
+    names = [f"w{i}" for i in range(len(FAMILIES))]
+
+    def windows_to_train(batches):
+        import pyarrow as pa
+
+        for hashes, rows in _featured(batches, False):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([x.astype("<u2").tobytes() for x in rows], pa.binary())], ["h", "x"])
+
+    def train(shard):
+        """A shard's weights in UNITs, a row for each bucket that isn't 0; the bias is behind the buckets."""
+        import pyarrow as pa
+
+        shard = shard.sort_by([("h", "ascending"), ("x", "ascending")])
+        weights, bias = model.train([np.frombuffer(x, "<u2").astype(np.int64) for x in shard.column("x").to_pylist()])
+        all_of = np.round(np.vstack((weights, bias)) / UNIT).astype(np.int64)
+        at = np.flatnonzero(all_of.any(axis=1))
+        return pa.table([pa.array(at), *(pa.array(all_of[at, i]) for i in range(len(FAMILIES)))], ["bucket", *names])
+
+    dealt = docs.mapInArrow(windows_to_train, "h long, x binary").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(max(shards, 1))))
+    trained = dealt.groupBy("shard").applyInArrow(train, ", ".join(f"{c} long" for c in ["bucket", *names]))
+    sums = trained.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).collect()  # BUCKETS + 1 rows at most
+    whole = np.zeros((BUCKETS + 1, len(FAMILIES)))
+    for r in sums:
+        whole[r["bucket"]] = [r[c] * UNIT for c in names]
+    if sums:  # each shard has a bias
+        whole /= next(r["n"] for r in sums if r["bucket"] == BUCKETS)
+    else:
+        whole[:-1], whole[-1] = model.train([])
+    model.weights, model.bias = whole[:-1], whole[-1]
+
+    def losses(batches):
+        import pyarrow as pa
+
+        for _, rows in _featured(batches, True):
+            # Whole parts of each loss, so that no order of adding matters.
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in model.losses(rows)], [f"l{i}" for i in range(len(HEATS))])
+
+    lost = docs.mapInArrow(losses, ", ".join(f"l{i} long" for i in range(len(HEATS)))).agg(*[F.coalesce(F.sum(f"l{i}"), F.lit(0)).alias(f"l{i}") for i in range(len(HEATS))]).first()
+    used = counts.filter(F.col("word").isin(sorted(model.template_words()))).collect()  # words of the templates only
+    model.finish(np.array(lost) * UNIT, {r["word"]: r["n"] for r in used})
+    return model
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:

@@ -521,3 +521,32 @@ def test_secret_formats_are_learned_from_all_strings(spark):
     kept = {k for k in keys[: len(plain)] if secret_scan.hash_of("held " + k) % secret_scan.HELD}
     assert model.formats["hex"].size == len(kept)
     assert model.background["words"].size >= 0.6 * len(set(plain))
+
+
+def test_licences_are_learned_from_all_lines(spark):
+    """Every window of every line counts, not those of a hash: in training, and for which words are cues."""
+    lines = [f"{' '.join(words(30, 5000 + i))} warranty" for i in range(200)]
+    hashes = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "xxhash64(line) AS h").collect()
+    few = [r["line"] for r in hashes if r["h"] % 16][:6]
+    long = " ".join(words(150, 9))
+    docs = spark.createDataFrame([(i, "\n".join([x, f"a plain line of number {i} here"])) for i, x in enumerate(few)] + [(50, long), (51, None)], "doc_id long, text string")
+    model = license_scan.fit(docs)
+    assert model.n_windows == 2 * len(few) + len(license_scan.windows(license_scan.words_of(long)))
+    assert "warranty" not in model.cues and "licensed" in model.cues
+    local = license_scan.LicenceModel([*few, *(f"a plain line of number {i} here" for i in range(len(few))), long])
+    assert local.cues == model.cues and local.n_windows == model.n_windows
+
+
+def test_licence_shards_are_averaged(spark, monkeypatch):
+    """Shards that train by themselves give weights that are averaged exactly, in any order and number of tasks."""
+    monkeypatch.setattr(license_scan, "SHARD", 60)
+    docs = spark.createDataFrame([(i, " ".join(words(30, i))) for i in range(200)] + [(500, "Released under the MIT License.")], "doc_id long, text string")
+    a, b = (license_scan.fit(docs.repartition(n)) for n in (1, 5))
+    assert np.array_equal(a.weights, b.weights) and a.heat == b.heat and a.bound == b.bound
+    assert {r["family"] for r in license_scan.scan_licences(docs, a).collect()} == {"mit"}
+
+
+def test_licence_features_of_many_windows():
+    rows = [words(12, 1), ["a"], ["a", "b", "a", "b"], ["gpl-3.0", "x.y"]]
+    got = license_scan.features_of(rows, bpe._Memo(license_scan._with_tail))
+    assert [x.tolist() for x in got] == [license_scan.features(w).tolist() for w in rows]
